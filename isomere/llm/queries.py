@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, url_filter
+from . import exact_dedup, secret_scan, url_filter
 from .common import table
 
 
@@ -13,11 +13,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     known = labels.select(F.col("doc_id").alias("page_id"), (F.col("toxic") == 1).alias("block")).filter("block is not null")
     return url_filter.url_filter(pages, pages.join(known, "page_id").select("url", "block"))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op8_url_filter)}
-ORACLE_SQL = {"op5_exact_dedup": exact_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op5_exact_dedup, op6_secret_scan, op8_url_filter)}
+ORACLE_SQL = {"op5_exact_dedup": exact_dedup.SQL, "op6_secret_scan": secret_scan.sql()}
