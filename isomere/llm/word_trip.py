@@ -14,84 +14,112 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: A chunk ends with the batch of texts that takes it to so many words.
 CHUNK_WORDS = 3_000_000
 SENT = "part int, chunk bigint, words array<string>"
+COUNTED = SENT + ", contexts array<int>, counts array<bigint>"
 
 #: A batch with columns id and text to its words and the number of words of each text.
 Split = Callable[[pa.RecordBatch], tuple[pa.Array, np.ndarray]]
 
 
-def part_of(words: pa.Array, parts: int) -> np.ndarray:
-    """The part of each word, by the CRC of its bytes."""
-    return np.fromiter((zlib.crc32(w.encode()) % parts for w in words.to_pylist()), np.uint16, len(words))
+#: The word that ends a text where ends are wanted; words have no spaces.
+END = " "
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], split: Split) -> Iterator[tuple[int, pa.Array, pa.Array, np.ndarray, np.ndarray]]:
-    """(chunk, ids, distinct words, number of each word, words of each text); the frequent words have small numbers."""
-    from pyspark import TaskContext
+class Chunk:
+    """ids; the distinct items, which are words or words in contexts; each position's item; words of each text; learn.
 
-    base, n, ids, words, counts = TaskContext.get().partitionId() << 32, 0, [], [], []
+    Items that are frequent in the chunk have small numbers. learn holds the column of that name for each text, if any.
+    """
 
-    def whole():
-        d = pa.chunked_array(words).dictionary_encode().unify_dictionaries().combine_chunks()
-        d = d if isinstance(d, pa.DictionaryArray) else d.chunk(0)
-        at = d.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(-np.bincount(at, minlength=len(d.dictionary)), kind="stable")
+    def __init__(self, number: int, ids: list, words: list, lengths: list, learn: list, ends: bool, frequent: pa.Array | None):
+        self.number, self.ids = number, pa.chunked_array(ids).combine_chunks()
+        self.lengths, self.learn = np.concatenate(lengths).astype(np.int64), np.concatenate(learn)
+        d = pa.concat_arrays(words).dictionary_encode()
+        at, names = d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
+        if ends:
+            at = np.insert(at, np.cumsum(self.lengths), len(names))
+            self.lengths = self.lengths + 1
+            names = pa.concat_arrays([names, pa.array([END], names.type)])
+        contexts = np.zeros(len(at), np.int64)
+        if frequent is not None and len(frequent):
+            place = pc.fill_null(pc.index_in(names, value_set=frequent.cast(names.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            within = np.arange(len(at)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+            last, last_but_one = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            last[1:], last_but_one[2:] = place[at[:-1]], place[at[:-2]]
+            last[within < 1], last_but_one[within < 2] = 0, 0
+            contexts = last + np.where(last > 0, last_but_one, 0) * (len(frequent) + 1)
+        items, at = np.unique(contexts * max(1, len(names)) + at, return_inverse=True) if frequent is not None else (np.arange(len(names)), at)
+        order = np.argsort(-np.bincount(at, minlength=len(items)), kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        return base + n, pa.chunked_array(ids).combine_chunks(), d.dictionary.take(pa.array(order)), rank[at], np.concatenate(counts)
+        self.at, items = rank[at], items[order]
+        self.names, self.word, self.context = names, items % max(1, len(names)), (items // max(1, len(names))).astype(np.int32)
+
+    def parts(self, parts: int) -> np.ndarray:
+        """The part of each item, by the CRC of its word."""
+        return np.fromiter((zlib.crc32(w.encode()) % parts for w in self.names.to_pylist()), np.uint16, len(self.names))[self.word]
 
+
+def chunks(batches: Iterator[pa.RecordBatch], split: Split, ends: bool = False, frequent: pa.Array | None = None) -> Iterator[Chunk]:
+    from pyspark import TaskContext
+
+    number, ids, words, lengths, learn = TaskContext.get().partitionId() << 32, [], [], [], []
     for b in batches:
         if b.num_rows:
-            w, c = split(b)
+            w, n = split(b)
             ids.append(b.column("id"))
             words.append(w)
-            counts.append(c)
+            lengths.append(n)
+            learn.append(b.column("learn").to_numpy(zero_copy_only=False).astype(bool) if "learn" in b.schema.names else np.ones(len(n), bool))
             if sum(map(len, words)) >= CHUNK_WORDS:
-                yield whole()
-                n, ids, words, counts = n + 1, [], [], []
+                yield Chunk(number, ids, words, lengths, learn, ends, frequent)
+                number, ids, words, lengths, learn = number + 1, [], [], [], []
     if ids:
-        yield whole()
+        yield Chunk(number, ids, words, lengths, learn, ends, frequent)
+
 
+def _part(c: np.ndarray, parts: int) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.bincount(c, minlength=parts))]).astype(np.int32)
 
-def _mark(words: pa.Array) -> int:
-    """A check number of a chunk's dictionary, to notice if a chunk that was read again was cut otherwise."""
-    return zlib.crc32(np.frombuffer(pc.binary_length(words).cast(pa.int32()).buffers()[1], np.uint8)) if len(words) else 0
 
+def sent(docs: DataFrame, split: Split, parts: int, counted: bool = False, frequent: pa.Array | None = None) -> DataFrame:
+    """docs (id, what split wants) to rows of SENT: each chunk's distinct items of a part, in order of their numbers.
 
-def sent(docs: DataFrame, split: Split, parts: int) -> DataFrame:
-    """docs (id, text or what split wants) to rows of SENT: each chunk's distinct words of a part, in order of their numbers."""
+    counted: rows of COUNTED, in which texts have ends, items are words in their contexts of up to two frequent words, and
+    counts says how often the texts to learn from hold each.
+    """
 
     def run(batches):
-        for chunk, _, words, _, _ in _chunks(batches, split):
-            part = part_of(words, parts)
+        for c in chunks(batches, split, counted, frequent):
+            part = c.parts(parts)
             order = np.argsort(part, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), words.take(pa.array(order)).cast(pa.string()))
-            b = pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, chunk)), lists], names=["part", "chunk", "words"]
-            )
+            ends = pa.array(_part(part, parts))
+            lists = pa.ListArray.from_arrays(ends, c.names.take(pa.array(c.word[order])).cast(pa.string()))
+            columns = [pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, c.number)), lists]
+            if counted:
+                n = np.bincount(c.at[np.repeat(c.learn, c.lengths)], minlength=len(part))[order]
+                columns += [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (c.context[order], n)]
+            b = pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "words", "contexts", "counts"][: len(columns)])
             yield b.filter(pc.greater(pc.list_value_length(lists), 0))
 
-    return docs.mapInArrow(run, SENT)
+    return docs.mapInArrow(run, COUNTED if counted else SENT)
 
 
-def kept(docs: DataFrame, split: Split, parts: int) -> DataFrame:
-    """docs to one row a chunk: the ids, the number of words of each text, the words' numbers, the part of each number."""
+def kept(docs: DataFrame, split: Split, parts: int, counted: bool = False, frequent: pa.Array | None = None) -> DataFrame:
+    """docs to one row a chunk: the ids, the number of words of each text, the items of the words, the part of each item."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for chunk, ids, words, at, counts in _chunks(batches, split):
-            planes = at.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()  # the high bytes are mostly zero
-            packed = pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-            part = pa.compress(part_of(words, parts).tobytes(), codec="zstd", asbytes=True)
+        for c in chunks(batches, split, counted, frequent):
+            planes = c.at.astype("<u4").view(np.uint8).reshape(-1, 4).T  # the high bytes are mostly zero
+            packed, part = (pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in (planes, c.parts(parts)))
             yield pa.RecordBatch.from_pydict(
                 {
-                    "chunk": [chunk], "ids": pa.array([ids.to_pylist()], pa.list_(ids.type)), "counts": [counts.astype(np.int32)], "n": [len(at)],
-                    "at": [packed], "n_words": [len(words)], "part": [part],
+                    "chunk": [c.number], "ids": pa.array([c.ids.to_pylist()], pa.list_(c.ids.type)), "counts": [c.lengths.astype(np.int32)],
+                    "n": [len(c.at)], "at": [packed], "n_words": [len(c.word)], "part": [part],
                 }
             )
 
