@@ -121,7 +121,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         table = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             table[rank] = token
-        for b in batches:
+        for b in (whole.slice(start, word_trip.AT_ONCE) for whole in batches for start in range(0, whole.num_rows, word_trip.AT_ONCE)):
             lists = b.column("ids")
             ends = lists.offsets.to_numpy()
             flat = lists.values.to_numpy(zero_copy_only=False)

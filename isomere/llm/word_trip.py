@@ -15,8 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: A chunk ends with the batch of texts that takes it to so many words.
-CHUNK_WORDS = 3_000_000
+#: A chunk ends with the text that takes it to so many words.
+CHUNK_WORDS = 1_200_000
+#: Texts that are cut into words at once.
+AT_ONCE = 1000
 SENT = "part int, chunk bigint, words array<string>"
 COUNTED = SENT + ", contexts array<int>, counts array<bigint>"
 
@@ -67,8 +69,9 @@ def chunks(batches: Iterator[pa.RecordBatch], split: Split, ends: bool = False,
     from pyspark import TaskContext
 
     number, ids, words, lengths, learn = TaskContext.get().partitionId() << 32, [], [], [], []
-    for b in batches:
-        if b.num_rows:
+    for whole in batches:
+        for start in range(0, whole.num_rows, AT_ONCE):
+            b = whole.slice(start, AT_ONCE)
             w, n = split(b)
             ids.append(b.column("id"))
             words.append(w)
