@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, minhash, pitman_yor, secret_scan, url_filter
+from . import byte_bpe, exact_dedup, language_id, minhash, pitman_yor, secret_scan, url_filter
 from .common import table
 
 
@@ -31,11 +31,15 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.query(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     known = labels.select(F.col("doc_id").alias("page_id"), (F.col("toxic") == 1).alias("block")).filter("block is not null")
     return url_filter.url_filter(pages, pages.join(known, "page_id").select("url", "block"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_minhash, op4_byte_bpe, op5_exact_dedup, op6_secret_scan, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_minhash, op4_byte_bpe, op5_exact_dedup, op6_secret_scan, op7_language_id, op8_url_filter)}
 ORACLE_SQL = {"op5_exact_dedup": exact_dedup.SQL, "op6_secret_scan": secret_scan.sql()}
