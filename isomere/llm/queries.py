@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, minhash, pitman_yor, secret_scan, url_filter
+from . import byte_bpe, exact_dedup, language_id, minhash, pitman_yor, quality, secret_scan, url_filter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.encode_and_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -41,5 +45,5 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, pages.join(known, "page_id").select("url", "block"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_minhash, op4_byte_bpe, op5_exact_dedup, op6_secret_scan, op7_language_id, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_minhash, op3_quality, op4_byte_bpe, op5_exact_dedup, op6_secret_scan, op7_language_id, op8_url_filter)}
 ORACLE_SQL = {"op5_exact_dedup": exact_dedup.SQL, "op6_secret_scan": secret_scan.sql()}
