@@ -24,15 +24,28 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder; its lineage ends here."""
-    context = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; one of this machine's only where none is named, as in tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         where = context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="isomere-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder; its lineage ends here."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to the shared checkpoint folder and read again."""
+    where = f"{_shared(df.sparkSession)}/{name}"
+    df.write.parquet(where)
+    return df.sparkSession.read.parquet(where)
+
+
 #: A key is hot from this many rows on, and from this share of all rows on; so there are at most 1 / HOT_SHARE hot keys.
 HOT_ROWS, HOT_SHARE = 1000, 0.005
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, minhash, pitman_yor, quality, secret_scan, url_filter
+from . import byte_bpe, exact_dedup, language_id, minhash, mixing, pitman_yor, quality, secret_scan, url_filter
 from .common import table
 
 
@@ -45,5 +45,9 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, pages.join(known, "page_id").select("url", "block"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_minhash, op3_quality, op4_byte_bpe, op5_exact_dedup, op6_secret_scan, op7_language_id, op8_url_filter)}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_minhash, op3_quality, op4_byte_bpe, op5_exact_dedup, op6_secret_scan, op7_language_id, op8_url_filter, op9_mixing)}
 ORACLE_SQL = {"op5_exact_dedup": exact_dedup.SQL, "op6_secret_scan": secret_scan.sql()}
