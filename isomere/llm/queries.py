@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, minhash, mixing, pitman_yor, quality, secret_scan, url_filter
+from . import byte_bpe, exact_dedup, language_id, minhash, mixing, pitman_yor, quality, secret_scan, token_file, url_filter
 from .common import table
 
 
@@ -49,5 +49,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_minhash, op3_quality, op4_byte_bpe, op5_exact_dedup, op6_secret_scan, op7_language_id, op8_url_filter, op9_mixing)}
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.query(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_minhash, op3_quality, op4_byte_bpe, op5_exact_dedup, op6_secret_scan, op7_language_id, op8_url_filter, op9_mixing, op10_token_file)}
 ORACLE_SQL = {"op5_exact_dedup": exact_dedup.SQL, "op6_secret_scan": secret_scan.sql()}
