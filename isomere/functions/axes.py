@@ -48,7 +48,10 @@ def coordinate_identifiers(coordinates: Column, name: Column) -> Column:
 
 def components(values: Column, count: int) -> list[Column]:
     """One array for each coordinate of a tuple axis."""
-    return [F.transform(values, lambda v, k=k: F.get(v, F.lit(k))) for k in range(count)]
+    def pick(k: int) -> Column:
+        return F.transform(values, lambda v: F.get(v, F.lit(k)))
+
+    return [pick(k) for k in range(count)]
 
 
 def bounds_of(bounds: Column, positions: Column) -> Column:

@@ -22,20 +22,31 @@ def precision(value: Column) -> Column:
     return out
 
 
+def _let(value: Column, then) -> Column:
+    """then(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def resolve(value: Column) -> Column:
     """struct(kind, when, precision): moment, unrepresentable (year 0, beyond 9999, a leap second) or malformed."""
-    form = precision(value)
-    plain = F.regexp_like(value, F.lit("^[0-9]{4}([^0-9]|$)"))
-    zero, leap = F.startswith(value, F.lit("0000")), (form == "second") & F.regexp_like(value, F.lit(r"T[0-9]{2}:[0-9]{2}:60"))
-    full = F.when(form == "year", F.concat(value, F.lit("-01-01"))).when(form == "month", F.concat(value, F.lit("-01"))).otherwise(value)
-    probe = F.when(zero, F.concat(F.lit("2000"), F.substring(full, 5, 100))).otherwise(full)
-    probe = F.when(leap, F.regexp_replace(probe, r"(T[0-9]{2}:[0-9]{2}):60", "$1:59")).otherwise(probe)
-    when = F.when(plain, F.try_to_timestamp(probe))
-    kind = (
-        F.when(form.isNull(), "malformed").when(~plain, F.lit("unrepresentable")).when(when.isNull(), "malformed")
-        .when(zero | leap, "unrepresentable").otherwise("moment")
-    )
-    return F.struct(kind.alias("kind"), F.when(kind == "moment", when).alias("when"), F.when(kind == "moment", form).alias("precision"))
+
+    def probed(x: Column) -> Column:
+        v, form = x["v"], x["form"]
+        full = F.concat(v, F.when(form == "year", "-01-01").when(form == "month", "-01").otherwise(""))
+        leap = (form == "second") & F.regexp_like(v, F.lit(r"T[0-9]{2}:[0-9]{2}:60"))
+        year = F.when(F.startswith(v, F.lit("0000")), F.concat(F.lit("2000"), F.substring(full, 5, 100))).otherwise(full)
+        return F.struct(
+            form.alias("form"), F.regexp_like(v, F.lit("^[0-9]{4}([^0-9]|$)")).alias("plain"), (leap | F.startswith(v, F.lit("0000"))).alias("odd"),
+            F.try_to_timestamp(F.when(leap, F.regexp_replace(year, r"(T[0-9]{2}:[0-9]{2}):60", "$1:59")).otherwise(year)).alias("when"),
+        )
+
+    def told(x: Column) -> Column:
+        kind = F.when(x["form"].isNull(), "malformed").when(~x["plain"], "unrepresentable").when(x["when"].isNull(), "malformed").when(x["odd"], "unrepresentable").otherwise("moment")
+        right = x["form"].isNotNull() & x["plain"] & ~x["odd"] & x["when"].isNotNull()
+        return F.struct(kind.alias("kind"), F.when(right, x["when"]).alias("when"), F.when(right, x["form"]).alias("precision"))
+
+    first = F.struct(value.alias("v"), precision(value).alias("form"))
+    return _let(_let(first, probed), told)
 
 
 def maybe_datetime(value: Column, column: WindowSpec) -> Column:

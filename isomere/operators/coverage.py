@@ -70,9 +70,9 @@ def _global_axis(distinct: DataFrame, column: str) -> DataFrame:
 def series(df: DataFrame, key: str, time: str, order: Sequence[str], measures: dict[str, str], axis: str = "t", domain_type: str = "PointSeries") -> Coverage:
     """One coverage a key with a single axis; every row is a place of it, so equal times stay apart."""
     pos = (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).alias("pos")
-    rows = df.select(F.col(key), pos, F.col(time).alias("_value"), *[F.col(c).alias(f"_{k}") for k, c in measures.items()])
-    values = rows.select(key, "pos", F.col("_value").alias("value"))
-    ranges = {k: Range((axis,), rows.select(key, F.col("pos").alias(place(axis)), F.col(f"_{k}").alias("value"))) for k in measures}
+    rows = df.select(F.col(key), pos, F.col(time).alias("_at"), *[F.col(c).alias(f"_m_{k}") for k, c in measures.items()])
+    values = rows.select(key, "pos", F.col("_at").alias("value"))
+    ranges = {k: Range((axis,), rows.select(key, F.col("pos").alias(place(axis)), F.col(f"_m_{k}").alias("value"))) for k in measures}
     return Coverage((key,), {axis: values}, ranges, domain_type)
 
 
