@@ -98,18 +98,19 @@ def axis_form_issues(axes: DataFrame, keys: Sequence[str]) -> DataFrame:
     ])
 
 
-def monotonic_issues(values: DataFrame, keys: Sequence[str], axis: Sequence[str] = ("name",)) -> DataFrame:
-    """values: keys, axis columns, pos, value (number; null and NaN are skipped). The first place where an axis turns or rests.
+def monotonic_issues(values: DataFrame, keys: Sequence[str], axis: Sequence[str] = ("name",), strict: bool = False) -> DataFrame:
+    """values: keys, axis columns, pos, value (number; null and NaN are skipped). The first place where an axis turns back.
 
-    The first unequal pair sets the direction; an axis that never changes is not flagged.
+    The first unequal pair sets the direction. Equal neighbours break the order only if strict, and then even before that pair.
     """
     by = Window.partitionBy(*keys, *axis).orderBy("pos")
     rows = values.filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
     rows = rows.withColumn("sg", F.sign(F.col("value") - F.lag("value").over(by)))
     rows = rows.withColumn("dir", F.first(F.nullif("sg", F.lit(0.0)), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    broken = rows.groupBy(*keys, *axis).agg(F.min(F.when((F.col("sg") != 0) & (F.col("sg") != F.col("dir")), F.col("pos"))).alias("pos"), F.min(F.when(F.col("sg") == 0, F.col("pos"))).alias("rest"), F.count(F.nullif("sg", F.lit(0.0))).alias("moves"))
-    broken = broken.withColumn("pos", F.least("pos", F.when(F.col("moves") > 0, F.col("rest")))).filter("pos is not null")
-    return finding(broken, keys, "axis.not-monotonic", json_pointer(F.lit("domain"), F.lit("axes"), *[F.col(a) for a in axis]), F.col("pos"))
+    turned = (F.col("sg") != 0) & (F.col("sg") != F.col("dir"))
+    broken = rows.filter(turned | (F.col("sg") == 0) if strict else turned).groupBy(*keys, *axis).agg(F.min("pos").alias("pos"))
+    at = json_pointer(F.lit("domain"), F.lit("axes"), *[F.col(a) for a in axis], F.lit("values"), F.col("pos"))
+    return finding(broken, keys, "axis.not-monotonic", at, F.col("pos"))
 
 
 def polygon_issues(rings: DataFrame, keys: Sequence[str], arity: Column) -> DataFrame:
