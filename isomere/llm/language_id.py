@@ -23,6 +23,8 @@ from .common import numbered, split_words
 MOST_GRAMS, MOST_LANGUAGES = 100_000, 250
 #: Cost of a change of language, in natural log units; add-SMOOTH of the n-gram probabilities.
 SWITCH, SMOOTH = 12.0, 0.5
+#: Texts that are labelled at once.
+AT_ONCE = 2000
 #: A language is written in a script that has this share of its letters.
 SCRIPT_SHARE = 0.01
 UND = "und"
@@ -44,19 +46,40 @@ SCRIPTS = {
 }
 
 
-def script_of(letter: str) -> str:
-    o = ord(letter)
-    return next((name for name, ranges in SCRIPTS.items() if any(a <= o <= b for a, b in ranges)), "other")
+_TABLE = sorted((a, b, i) for i, ranges in enumerate(SCRIPTS.values()) for a, b in ranges)
+_STARTS, _ENDS, _NUMBERS = (np.array([r[k] for r in _TABLE]) for k in range(3))
+OTHER = len(SCRIPTS)
 
 
-def letters(word: str) -> str:
-    return word.lower() if word.isalpha() else "".join(c for c in word.lower() if c.isalpha())
+def scripts_of(signs: np.ndarray) -> np.ndarray:
+    """The number of each code point's script; OTHER outside all ranges."""
+    at = np.maximum(np.searchsorted(_STARTS, signs, side="right") - 1, 0)
+    return np.where((signs >= _STARTS[at]) & (signs <= _ENDS[at]), _NUMBERS[at], OTHER)
 
 
-def grams(word: str) -> list[str]:
-    """The n-grams of one to three letters of a word between blanks."""
-    w = f" {word} "
-    return [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i : i + n] != " "]
+def letters(words: pa.Array) -> pa.Array:
+    return pc.replace_substring_regex(pc.utf8_lower(words.cast(pa.large_string())), r"[^\p{L}]", "")
+
+
+class Signs:
+    """The letters of words (none empty) as code points with a blank before and after each word, and their n-grams."""
+
+    def __init__(self, words: pa.Array):
+        text = " " + "".join([w + " " for w in words.to_pylist()])
+        self.signs = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        blank = self.signs == 32
+        self.size = np.diff(np.nonzero(blank)[0]) - 1
+        word = np.cumsum(blank) - 1
+        letter = np.nonzero(~blank)[0]
+        self.letters, self.letter_word = self.signs[letter], word[letter]
+        two = np.arange(1, len(text))
+        of_two = word[two] - blank[two]  # a closing blank belongs to the word before it
+        three = np.arange(2, len(text))
+        three = three[~blank[three - 1]]
+        # One to three letters, as one number each: no letter is 0, so the lengths stay apart.
+        keys = [self.letters, self.signs[two - 1] << 21 | self.signs[two], self.signs[three - 2] << 42 | self.signs[three - 1] << 21 | self.signs[three]]
+        self.keys = np.concatenate(keys)
+        self.words = np.concatenate([self.letter_word, of_two, word[three] - blank[three]])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -64,66 +87,75 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _count(batches):
-    """(lang, gram, n) and, under gram script:x, the letters in each script, from (lang, text)."""
-    for b in batches:
-        rows: dict[tuple[str, str], int] = {}
-        langs = b.column("lang").to_pylist()
-        words, of = split_words(b.column("text"))
-        names, at = numbered(words)
-        code = {x: i for i, x in enumerate(sorted(set(langs)))}
-        lang = np.array([code[x] for x in langs], np.int64)[of] if len(of) else np.zeros(0, np.int64)
-        n = np.bincount(at * len(code) + lang, minlength=len(names) * len(code)).reshape(len(names), -1) if len(code) else np.zeros((0, 0))
-        for word, counts in zip(names.to_pylist(), n.tolist(), strict=True):
-            word = letters(word)
-            if word:
-                scripts = [f"script:{script_of(c)}" for c in word]
-                for x, k in zip(code, counts, strict=True):
-                    if k:
-                        for g in [*grams(word), *scripts]:
-                            rows[x, g] = rows.get((x, g), 0) + k
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in rows], pa.string()), "gram": pa.array([k[1] for k in rows], pa.string()), "n": pa.array(rows.values(), pa.int64())})
+    """(lang, key, n): how often each language's texts hold each n-gram, and under -1 - k the letters in script k."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, AT_ONCE):
+            b = whole.slice(start, AT_ONCE)
+            words, of = split_words(b.column("text"))
+            names, at = numbered(letters(words)) if len(words) else (pa.array([], pa.string()), np.zeros(0, np.int64))
+            langs = b.column("lang").dictionary_encode()
+            lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[of]
+            full = pc.not_equal(names, "").to_numpy(zero_copy_only=False)
+            if not full.any():
+                continue
+            place = np.cumsum(full) - 1
+            lang, at = lang[full[at]], place[at[full[at]]]
+            signs = Signs(names.filter(pa.array(full)))
+            keys = np.concatenate([signs.keys, -1 - scripts_of(signs.letters)])
+            owner = np.concatenate([signs.words, signs.letter_word])
+            grams, which = np.unique(keys, return_inverse=True)
+            for k, name in enumerate(langs.dictionary.to_pylist()):
+                n = np.bincount(at[lang == k], minlength=len(signs.size))
+                counts = np.bincount(which, n[owner], len(grams)).astype(np.int64)
+                seen = counts > 0
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * int(seen.sum()), pa.string()), "gram": grams[seen], "n": counts[seen]})
 
 
 class Model:
-    def __init__(self, langs: list[str], grams_: dict[str, int], logs: np.ndarray, unseen: np.ndarray, scripts: dict[str, np.ndarray]):
-        self.langs, self.grams, self.logs, self.unseen, self.scripts = langs, grams_, logs, unseen, scripts
-
-    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(scores of each word for each language, number of its letters); impossible languages score far below."""
-        out, size = np.zeros((len(words), len(self.langs))), np.zeros(len(words), np.int64)
-        places, owners = [], []
-        for i, word in enumerate(words):
-            word = letters(word)
-            size[i] = len(word)
-            if word:
-                found = [self.grams.get(g, -1) for g in grams(word)]
-                places += found
-                owners += [i] * len(found)
-                wrong = ~np.logical_or.reduce([self.scripts[s] for s in {script_of(c) for c in word}]) if len(self.scripts) else np.zeros(len(self.langs), bool)
-                if wrong.any() and not wrong.all():
-                    out[i, wrong] -= 1e4
-        if places:
-            each = np.vstack([self.logs, self.unseen])[np.array(places)]
-            np.add.at(out, np.array(owners), each)
+    def __init__(self, langs: list[str], grams: np.ndarray, logs: np.ndarray, unseen: np.ndarray, scripts: np.ndarray):
+        """grams: sorted keys; logs: a row each and a column a language; scripts: whether each is used by each language."""
+        self.langs, self.grams, self.logs, self.scripts = langs, grams, np.vstack([logs, unseen]).astype(np.float32), scripts
+
+    def scores(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(scores of each word for each language, number of its letters); languages of other scripts score far below."""
+        out, size = np.zeros((len(words), len(self.langs)), np.float32), np.zeros(len(words), np.int64)
+        own = letters(words)
+        full = pc.not_equal(own, "").to_numpy(zero_copy_only=False)
+        if not full.any():
+            return out, size
+        signs = Signs(own.filter(pa.array(full)))
+        size[full] = signs.size
+        at = np.minimum(np.searchsorted(self.grams, signs.keys), max(0, len(self.grams) - 1))
+        at = np.where(self.grams[at] == signs.keys, at, len(self.grams)) if len(self.grams) else np.zeros(len(signs.keys), np.int64)
+        script, found = scripts_of(signs.letters), []
+        for k in range(len(self.langs)):
+            able = np.ones(len(signs.size), bool)
+            able[signs.letter_word[~self.scripts[script, k]]] = False
+            found.append((np.bincount(signs.words, self.logs[at, k], len(signs.size)), able))
+        able = np.stack([a for _, a in found], axis=1)
+        # A word in scripts of no language, or in mixed ones, keeps all candidates.
+        out[full] = np.stack([v for v, _ in found], axis=1) - 1e4 * (~able & able.any(axis=1)[:, None])
         return out, size
 
 
 def train(labelled: DataFrame) -> Model:
     """The model of labelled (lang, text)."""
-    counts = labelled.filter("lang is not null and text is not null").mapInArrow(_count, "lang string, gram string, n bigint")
+    counts = labelled.filter("lang is not null and text is not null").mapInArrow(_count, "lang string, gram bigint, n bigint")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    script = F.col("gram").startswith("script:")
-    some = counts.filter(~script).groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("all"))
+    some = counts.filter("gram >= 0").groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("all"))
     top = some.orderBy(F.desc("all"), "gram").limit(MOST_GRAMS).collect()
-    by_script = counts.filter(script).collect()  # languages by scripts
-    langs = sorted({r.lang for r in by_script} | {x for r in top for x in r.by})
+    by_script = counts.filter("gram < 0").collect()  # languages by scripts
+    langs = sorted({r.lang for r in by_script})
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"{len(langs)} languages; the model is bounded for {MOST_LANGUAGES}")
+    top.sort(key=lambda r: r.gram)
     n = np.array([[r.by.get(x, 0) for x in langs] for r in top], np.float64).reshape(len(top), len(langs))
     total = n.sum(axis=0) + SMOOTH * (len(top) + 1)
-    letters_ = {x: sum(r.n for r in by_script if r.lang == x) for x in langs}
-    scripts = {name: np.array([any(r.n >= SCRIPT_SHARE * letters_[x] for r in by_script if r.lang == x and r.gram == f"script:{name}") for x in langs], bool) for name in [*SCRIPTS, "other"]}
-    return Model(langs, {r.gram: i for i, r in enumerate(top)}, np.log((n + SMOOTH) / total), np.log(SMOOTH / total), scripts)
+    held = np.zeros((OTHER + 1, len(langs)))
+    for r in by_script:
+        held[-1 - r.gram, langs.index(r.lang)] = r.n
+    used = held >= SCRIPT_SHARE * np.maximum(held.sum(axis=0), 1)
+    return Model(langs, np.array([r.gram for r in top], np.int64), np.log((n + SMOOTH) / total), np.log(SMOOTH / total), used)
 
 
 def viterbi(scores: np.ndarray, of: np.ndarray, texts: int) -> np.ndarray:
@@ -161,12 +193,12 @@ def viterbi(scores: np.ndarray, of: np.ndarray, texts: int) -> np.ndarray:
 
 def _label(model: Model):
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(start, AT_ONCE) for whole in batches for start in range(0, whole.num_rows, AT_ONCE)):
             words, of = split_words(b.column("text"))
             names, at = numbered(words)
             texts, count = b.num_rows, max(1, len(model.langs))
             if len(model.langs) and len(names):
-                each, size = model.scores(names.to_pylist())
+                each, size = model.scores(names)
                 lettered = size[at] > 0
                 at, of = at[lettered], of[lettered]
                 label = viterbi(each[at], of, texts)
@@ -201,7 +233,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
 
     def run(batches):
         label = _label(model)
-        for b in batches:
+        for b in (whole.slice(start, AT_ONCE) for whole in batches for start in range(0, whole.num_rows, AT_ONCE)):
             own = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(text_col)], names=["doc_id", "text"])
             (found,) = label([own])
             yield b.filter(pc.not_equal(found.column("lang_pred"), UND))
