@@ -112,10 +112,10 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 def drop_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with their columns."""
-    keep = exact_dedup(docs, text_col, id_col).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    own = docs.withColumn("_own_sha", F.sha2(normalised(F.col(text_col)), 256))
-    one = own.dropDuplicates([id_col, "_own_sha"])
-    same = (F.col("_own_sha") == F.col("_keep_sha")) & F.col(id_col).eqNullSafe(F.col("_keep_id"))
+    keep = exact_dedup(docs, text_col, id_col).filter("kept").select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
+    own = docs.withColumn("__own_sha", F.sha2(normalised(F.col(text_col)), 256))
+    one = own.dropDuplicates([id_col, "__own_sha"])
+    same = (F.col("__own_sha") == F.col("__keep_sha")) & F.col(id_col).eqNullSafe(F.col("__keep_id"))
     return one.join(keep, same, "left_semi").select(docs.columns)
 
 

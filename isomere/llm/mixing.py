@@ -113,8 +113,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = No
 def join_cells(own: DataFrame, found: DataFrame, seed: int) -> DataFrame:
     """own with weight, prob and sampled of the cells; the join is on values, of which any may be null or held by most rows."""
     sides = [*MARGINALS]
-    rows = found.select(*[F.col(c).alias(f"_{c}") for c in sides], "weight", "prob")
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in sides]
+    rows = found.select(*[F.col(c).alias(f"__{c}") for c in sides], "weight", "prob")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in sides]
     joined = own.join(rows, same[0] & same[1] & same[2], "left")
     return joined.select(
         "doc_id", *sides, "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("prob", F.lit(0.0)).alias("prob"),
@@ -126,9 +126,9 @@ def sample(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None =
     """The sampled rows of docs, with their columns."""
     mixed = mix(docs, targets, budget, seed, id_col, text_col)
     cells = mixed.groupBy(*MARGINALS).agg(F.max("weight").alias("weight"), F.max("prob").alias("prob"))
-    names = {c: f"_{c}" for c in (*MARGINALS, "weight", "prob")}
+    names = {c: f"__{c}" for c in (*MARGINALS, "weight", "prob")}
     cells = checkpoint(cells.withColumnsRenamed(names))
     kind = topic(F.col(text_col))
-    same = docs["source"].eqNullSafe(F.col("_source")) & docs["lang"].eqNullSafe(F.col("_lang")) & kind.eqNullSafe(F.col("_topic"))
+    same = docs["source"].eqNullSafe(F.col("__source")) & docs["lang"].eqNullSafe(F.col("__lang")) & kind.eqNullSafe(F.col("__topic"))
     some = tokens(F.col(text_col)) > 0
-    return docs.join(cells, same).filter(some & (draw(F.col(id_col), seed) < F.col("_prob"))).select(docs.columns)
+    return docs.join(cells, same).filter(some & (draw(F.col(id_col), seed) < F.col("__prob"))).select(docs.columns)
