@@ -109,13 +109,12 @@ def grid_transpose(spark, sf_dir):
     return coverage.flatten(coverage.transposed(_orders(spark, sf_dir), "n", ["y", "x"]))
 
 
-@query("""WITH g AS (SELECT event_type, CAST(ts AS DATE) AS d, count(*) AS n FROM events WHERE user_id < 40 GROUP BY ALL)
-SELECT x.v AS x, CAST(t.v AS VARCHAR) AS t, g.n FROM (SELECT DISTINCT event_type AS v FROM g) x CROSS JOIN (SELECT DISTINCT d AS v FROM g) t LEFT JOIN g ON g.event_type = x.v AND g.d = t.v""")
+@query("""WITH g AS (SELECT user_id, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY ALL)
+SELECT x.v AS x, CAST(t.v AS VARCHAR) AS t, CAST(g.n AS VARCHAR) AS n FROM (SELECT DISTINCT user_id AS v FROM g) x CROSS JOIN (SELECT DISTINCT d AS v FROM g) t LEFT JOIN g ON g.user_id = x.v AND g.d = t.v""")
 def grid_holes(spark, sf_dir):
-    events = table(spark, sf_dir, "events").filter("user_id < 40")
-    counts = events.groupBy("event_type", F.to_date("ts").alias("d")).agg(F.count("*").alias("n"))
-    flat = coverage.flatten(coverage.grid(counts, {"x": "event_type", "t": "d"}, {"n": "n"}))
-    return flat.withColumn("t", F.col("t").cast("string"))
+    counts = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.count("*").alias("n"))
+    flat = coverage.flatten(coverage.grid(counts, {"x": "user_id", "t": "d"}, {"n": "n"}))
+    return flat.withColumns({"t": F.col("t").cast("string"), "n": F.col("n").cast("string")})
 
 
 @query(f"SELECT g.*, m.total FROM ({GRID}) g LEFT JOIN (SELECT o_orderpriority, count(*) AS total FROM orders GROUP BY 1) m ON m.o_orderpriority = g.x")
@@ -142,7 +141,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("values"), F.array(F.lit(8), F.lit(8)).alias("shape"))
 
 
-CELLS = "SELECT vec_id, i - 1 AS i, embedding[i] AS value FROM embeddings, range(1, 65) r(i)"
+CELLS = "SELECT vec_id, label, i - 1 AS i, embedding[i] AS value FROM embeddings, range(1, 65) r(i)"
 
 
 @query(f"SELECT vec_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, value FROM ({CELLS})")
@@ -222,13 +221,14 @@ def tile_layout(spark, sf_dir):
 
 
 def _stitched(spark: SparkSession, sf_dir: str, holes: bool) -> tuple[DataFrame, DataFrame]:
-    """Vectors cut into four tiles of 4 by 4 and put together again; with holes, vectors divisible by 5 lack their last tile."""
+    """Vectors cut into four tiles of 4 by 4 and put together again; with holes, vectors of label 0 lack their last tile."""
     cells = coverage.from_arrays(_vectors(spark, sf_dir), ["vec_id"], ["y", "x"]).cells
     name = F.format_string("v%d/%d-%d", "vec_id", F.floor(F.col("p_y") / 4), F.floor(F.col("p_x") / 4))
     values = F.transform(F.array_sort(F.collect_list(F.struct("p_y", "p_x", "value"))), lambda s: s["value"])
     documents = cells.groupBy(name.alias("url"), "vec_id").agg(values.alias("values"))
     if holes:
-        documents = documents.filter(~((F.col("vec_id") % 5 == 0) & F.endswith("url", F.lit("1-1"))))
+        labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+        documents = documents.join(labels, "vec_id").filter((F.col("label") != 0) | ~F.endswith("url", F.lit("1-1")))
     documents = documents.select("url", F.array(F.lit(4), F.lit(4)).alias("tile_shape"), "values")
     sets = _vectors(spark, sf_dir).select("vec_id", "shape", F.array(F.lit(4), F.lit(4)).alias("tile_shape"), F.format_string("v%d/{y}-{x}", "vec_id").alias("url_template"))
     return tiles.stitch(tiles.layout(sets, ["vec_id"], ["y", "x"]), documents, ["vec_id"])
@@ -239,45 +239,48 @@ def tile_assemble(spark, sf_dir):
     return _stitched(spark, sf_dir, False)[0]
 
 
-@query(f"SELECT vec_id, i AS flat_idx, CASE WHEN vec_id % 5 = 0 AND i // 8 >= 4 AND i % 8 >= 4 THEN NULL ELSE value END AS value FROM ({CELLS})")
+@query(f"SELECT vec_id, i AS flat_idx, CASE WHEN label = 0 AND i // 8 >= 4 AND i % 8 >= 4 THEN NULL ELSE value END AS value FROM ({CELLS})")
 def tile_assemble_holes(spark, sf_dir):
     return _stitched(spark, sf_dir, True)[0]
 
 
-@query("SELECT vec_id, 'v' || vec_id || '/1-1' AS url, 'transient' AS kind, '4,4' AS offsets FROM embeddings WHERE vec_id % 5 = 0")
+@query("SELECT vec_id, 'v' || vec_id || '/1-1' AS url, 'transient' AS kind, '4,4' AS offsets FROM embeddings WHERE label = 0")
 def tile_failures(spark, sf_dir):
     failed = _stitched(spark, sf_dir, True)[1]
     return failed.select("vec_id", "url", "kind", F.array_join(F.transform("offsets", lambda o: o.cast("string")), ",").alias("offsets"))
 
 
 def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Sites that point at pages; every third page's document is missing and every seventh is of another type."""
-    pages = table(spark, sf_dir, "pages")
-    documents = pages.filter("page_id % 3 <> 0").select("url", F.when(F.col("page_id") % 7 == 0, "Other").otherwise("Domain").alias("type"), F.substring("html", 1, 20).alias("body")).dropDuplicates(["url"])
-    return references.resolve(pages.dropDuplicates(["url"]).select("page_id", "url"), documents, ["Domain"])
+    """Sites that point at pages: those without a label have no document, those labelled toxic one of another type."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    url = F.concat("page_id", F.lit(":"), "url").alias("url")
+    kind = F.when(F.col("toxic") == 1, "Other").otherwise("Domain").alias("type")
+    documents = pages.join(labels, pages.page_id == labels.doc_id).select(url, kind, F.substring("html", 1, 20).alias("body"))
+    return references.resolve(pages.select("page_id", url), documents, ["Domain"])
 
 
-UNIQUE = "(SELECT * FROM pages WHERE url IN (SELECT url FROM pages GROUP BY url HAVING count(*) = 1))"
+SITES = "(SELECT page_id, page_id || ':' || url AS url, html, toxic FROM pages LEFT JOIN labels ON page_id = doc_id)"
 
 
-@query(f"SELECT page_id, url, CASE WHEN page_id % 3 <> 0 AND page_id % 7 <> 0 THEN left(html, 20) END AS body FROM {UNIQUE}")
+@query(f"SELECT page_id, url, CASE WHEN toxic = 0 THEN left(html, 20) END AS body FROM {SITES}")
 def resolve_refs(spark, sf_dir):
-    once = table(spark, sf_dir, "pages").groupBy("url").agg(F.count("*").alias("n")).filter("n = 1").select("url")
-    return _references(spark, sf_dir)[0].join(once, "url", "left_semi").select("page_id", "url", "body")
+    return _references(spark, sf_dir)[0].select("page_id", "url", "body")
 
 
-@query(f"SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN 'transient' ELSE 'unrecoverable' END AS kind FROM {UNIQUE} WHERE page_id % 3 = 0 OR page_id % 7 = 0")
+FAILED = f"(SELECT page_id, url, CASE WHEN toxic IS NULL THEN 'transient' ELSE 'unrecoverable' END AS kind FROM {SITES} WHERE toxic IS NULL OR toxic <> 0)"
+
+
+@query(f"SELECT page_id, url, kind FROM {FAILED}")
 def resolve_failures(spark, sf_dir):
-    once = table(spark, sf_dir, "pages").groupBy("url").agg(F.count("*").alias("n")).filter("n = 1").select("url")
-    return _references(spark, sf_dir)[1].join(once, "url", "left_semi").select("page_id", "url", "kind")
+    return _references(spark, sf_dir)[1].select("page_id", "url", "kind")
 
 
 def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").filter("page_id % 3 = 0 or page_id % 7 = 0")
-    return pages.select((F.col("page_id") % 10).alias("g"), "page_id", F.when(F.col("page_id") % 3 == 0, "transient").otherwise("unrecoverable").alias("kind"))
+    """The failures, in ten groups."""
+    return _references(spark, sf_dir)[1].select((F.col("page_id") % 10).alias("g"), "page_id", "kind")
 
 
-FAILURES = "(SELECT page_id % 10 AS g, page_id, CASE WHEN page_id % 3 = 0 THEN 'transient' ELSE 'unrecoverable' END AS kind FROM pages WHERE page_id % 3 = 0 OR page_id % 7 = 0)"
+FAILURES = f"(SELECT page_id % 10 AS g, page_id, kind FROM {FAILED})"
 
 
 @query(f"SELECT g, page_id, kind, n = 3 AS halt FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY page_id) AS n FROM {FAILURES}) WHERE n <= 3")
