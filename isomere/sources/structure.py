@@ -1,0 +1,49 @@
+"""Structural rules that a document must meet to be decoded: each is a column with the reason for the quarantine, or null."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _first(*rules: tuple[Column, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for wrong, reason in reversed(rules):
+        out = F.when(F.coalesce(wrong, F.lit(False)), reason).otherwise(out)
+    return out
+
+
+def axis_error(axis: Column) -> Column:
+    """axis: struct of values, start, stop, num, dataType, coordinates."""
+    values, start, stop, num = (axis[m] for m in ("values", "start", "stop", "num"))
+    composite = F.coalesce(axis["dataType"].isin("tuple", "polygon"), F.lit(False))
+    whole = start.isNotNull() & stop.isNotNull() & num.isNotNull()
+    return _first(
+        (values.isNull() & ~whole, "neither values nor a whole regular form"), (F.size(values) == 0, "no values"),
+        (composite & (values.isNull() | axis["coordinates"].isNull()), "a composite axis needs values and coordinates"),
+        (F.size(axis["coordinates"]) == 0, "no coordinates"), ((axis["dataType"] == "polygon") & (F.size(axis["coordinates"]) < 2), "polygons need two coordinates"),
+        (values.isNull() & (num < 1), "num below 1"), (values.isNull() & (num == 1) & (start != stop), "one value with start other than stop"),
+    )
+
+
+def tiled_error(shape: Column, tile_shapes: Column) -> Column:
+    return _first(
+        (F.size(shape) == 0, "no shape"), (F.size(tile_shapes) == 0, "no tile sets"),
+        (F.exists(tile_shapes, lambda t: F.size(t) != F.size(shape)), "a tile set of another rank"),
+    )
+
+
+def unit_error(label: Column, symbol: Column) -> Column:
+    return _first((label.isNull() & symbol.isNull(), "a unit needs a label or a symbol"))
+
+
+def observed_error(categories: Column) -> Column:
+    return _first((F.size(categories) == 0, "no categories"))
+
+
+def parameter_error(unit: Column, categories: Column, encoding: Column) -> Column:
+    return _first((categories.isNotNull() & unit.isNotNull(), "categories with a unit"), (encoding.isNotNull() & categories.isNull(), "an encoding without categories"))
+
+
+def group_error(members: Column, label: Column, observed: Column) -> Column:
+    return _first((members.isNull() | (F.size(members) == 0), "no members"), (label.isNull() & observed.isNull(), "a group needs a label or an observed property"))
