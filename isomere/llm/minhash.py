@@ -5,10 +5,11 @@ drawn from its hash, and a place keeps the smallest of rank plus a fraction; sin
 different, the estimates vary less than with independent hashes, and once every place has a rank no later one can beat, the
 text is done. Texts with the same set form one class, and classes that agree in a band of ROWS places meet in a bucket.
 
-In a bucket each class is first compared with the smallest; then, as buckets of one group of copies are by then one
-component, only classes of different components are compared with each other. Pairs whose signatures agree in far fewer
-places than the wanted similarity makes likely (LEAST standard deviations) go; the others are confirmed on full sets. Groups are
-connected components, found by alternating stars.
+In a bucket each class is first compared with the one that meets most others, as the text that copies were made from does;
+then, for some rounds, with one drawn at random, if that is of another component. What is left after that is compared with
+all classes of other components in its buckets, so no pair that meets goes untested unless it is linked already. Pairs whose
+signatures agree in far fewer places than the wanted similarity makes likely (LEAST standard deviations) go; the others are
+confirmed on full sets. Groups are connected components, found by alternating stars.
 
 A text with fewer words than a shingle is one shingle; null, empty and blank texts have no set, link to nothing and stay.
 component_id is the smallest doc_id of the group (null if all are null). Of repeated rows one stays. Extra columns are
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, checkpoint, components, join_counted, numbered, split_words
 
-#: At similarity 0.8 a pair meets in no band with a chance of (1 - 0.8 ** 5) ** 32, or 3 in a million.
-BANDS, ROWS, LEAST = 32, 5, 6
+#: At similarity 0.8 a pair meets in no band with a chance of (1 - 0.8 ** 7) ** 50, or 8 in a million.
+BANDS, ROWS, LEAST = 50, 7, 6
+#: Rounds of comparisons with one class a bucket.
+ROUNDS = 4
 SIGNATURE = BANDS * ROWS
 #: Texts whose signatures are made at once.
 AT_ONCE = 4000
@@ -90,6 +93,13 @@ def signatures(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out.reshape(sets, m)
 
 
+def names_of(hashes: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A name of each set by two sums of its hashes and its size; null for an empty one."""
+    sums = [np.concatenate([[U(0)], np.cumsum(mix(hashes ^ U(salt)))]) for salt in (1, 2)]
+    one, two = (s[ends[1:]] - s[ends[:-1]] for s in sums)
+    return pa.array([f"{x:016x}{y:016x}{z:x}" if z else None for x, y, z in zip(one.tolist(), two.tolist(), np.diff(ends).tolist(), strict=True)], pa.string())
+
+
 SIGNED = "row bigint, doc_id {}, n_shingles bigint, name string, bands array<bigint>, bytes binary"
 
 
@@ -101,8 +111,6 @@ def _sign(words: int):
                 hashes, ends = shingles(b.column("text"), words)
                 found = signatures(hashes, ends).view(U)
                 n = np.diff(ends)
-                sums = [np.concatenate([[U(0)], np.cumsum(mix(hashes ^ U(salt)))]) for salt in (1, 2)]
-                one, two = (s[ends[1:]] - s[ends[:-1]] for s in sums)
                 band = np.zeros((len(n), BANDS), U)
                 for k in range(ROWS):
                     band = mix(band ^ found[:, k::ROWS])
@@ -112,7 +120,7 @@ def _sign(words: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("row"), b.column("doc_id"), pa.array(n),
-                        pa.array([f"{x:016x}{y:016x}{z:x}" if f else None for x, y, z, f in zip(one.tolist(), two.tolist(), n.tolist(), full, strict=True)], pa.string()),
+                        names_of(hashes, ends),
                         pa.array([x if f else None for x, f in zip(band.view(np.int64), full, strict=True)], pa.list_(pa.int64())),
                         pa.array([x.tobytes() if f else None for x, f in zip(short, full, strict=True)], pa.binary()),
                     ],
@@ -147,7 +155,8 @@ def _sets(words: int):
         for b in batches:
             if b.num_rows:
                 hashes, ends = shingles(b.column("text"), words)
-                yield pa.RecordBatch.from_arrays([b.column("class"), pa.array([hashes[s:e].tobytes() for s, e in zip(ends, ends[1:], strict=False)], pa.binary())], names=["class", "hashes"])
+                sets = pa.array([hashes[s:e].tobytes() for s, e in zip(ends, ends[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("class"), sets, names_of(hashes, ends)], names=["class", "hashes", "name"])
 
     return run
 
@@ -178,34 +187,51 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     classes = signed.filter("name is not null").groupBy("name").agg(one, F.count("*").alias("rows"))
     classes = checkpoint(classes.select(F.monotonically_increasing_id().alias("class"), "name", "one.*", "rows"))
     placed = classes.select("class", F.explode("bands").alias("bucket"))
-    meet = placed.groupBy("bucket").agg(F.min("class").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    meet = checkpoint(meet)
-    members = checkpoint(join_counted(placed, meet, ["bucket"], "n").select("bucket", F.col("class").alias("a"), "b", "n"))
-    stars = checkpoint(likely(members.filter("a <> b").select("a", "b"), classes, percent / 100))
-
-    def involved(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-
-    def sets_of(which: DataFrame) -> DataFrame:
-        wanted = which.join(classes.select("class", "name", F.col("doc_id").alias("_id")), "class")
-        texts = docs.select(F.col(id_col).alias("_own"), lower).join(wanted, F.col("_own").eqNullSafe(F.col("_id")))
-        # Another text under the same doc_id has another set, and goes by its size and sums.
-        return checkpoint(texts.select("class", "text").mapInArrow(_sets(words), "class bigint, hashes binary").dropDuplicates(["class"]))
-
-    sets = sets_of(involved(stars))
-    links = checkpoint(confirm(stars, sets, percent))
-    groups = components(links)
-    now = members.join(groups, members.a == groups.node, "left").select("bucket", "a", F.coalesce("component", "a").alias("g"))
-    mixed = now.groupBy("bucket").agg(F.min("g").alias("least"), F.max("g").alias("most")).filter("least < most").select("bucket")
+    meet = checkpoint(placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    members = join_counted(placed, meet, ["bucket"], "n").select("bucket", F.col("class").alias("a"), "n")
+    members = checkpoint(members)
+    often = members.groupBy("a").agg(F.sum("n").alias("meets"))
+    wanted = often.select(F.col("a").alias("class")).join(classes.select("class", F.col("doc_id").alias("_id")), "class")
+    texts = docs.select(F.col(id_col).alias("_own"), lower).join(wanted, F.col("_own").eqNullSafe(F.col("_id")))
+    # Another text under the same doc_id has another set, which goes by its name.
+    named_sets = texts.select("class", "text").mapInArrow(_sets(words), "class bigint, hashes binary, name string")
+    sets = checkpoint(named_sets.join(classes.select("class", "name"), ["class", "name"]).dropDuplicates(["class"]).select("class", "hashes"))
+
+    members = checkpoint(members.join(often, "a"))
+    alone = members.withColumn("g", F.col("a"))
+    links, groups, tested = None, None, None
+
+    def grouped() -> DataFrame:
+        return alone if groups is None else members.join(groups, members.a == groups.node, "left").withColumn("g", F.coalesce("component", "a")).drop("node", "component")
+
+    def add(pairs: DataFrame) -> bool:
+        """Tests pairs (a, b); whether there were new ones."""
+        nonlocal links, groups, tested
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = checkpoint(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        if not pairs.head(1):
+            return False
+        found = confirm(likely(pairs, classes, percent / 100), sets, percent)
+        links = checkpoint(found if links is None else links.unionByName(found))
+        tested = pairs if tested is None else checkpoint(tested.unionByName(pairs))
+        groups = components(links)
+        return True
+
+    for k in range(ROUNDS):
+        now = checkpoint(grouped().select("bucket", "a", "n", "g", (F.col("meets") if k == 0 else F.xxhash64("a", "bucket", F.lit(k))).alias("rank")))
+        ends = F.min("g").alias("low"), F.max("g").alias("high")
+        best = now.groupBy("bucket", "n").agg(F.max_by(F.struct("a", "g"), F.struct("rank", "a")).alias("best"), *ends).filter("low < high")
+        best = checkpoint(best.select("bucket", "n", F.col("best.a").alias("b"), F.col("best.g").alias("h")))
+        pairs = join_counted(now.drop("n", "rank"), best, ["bucket"], "n").filter("g <> h").select("a", "b")
+        if not add(pairs):
+            break
+    now = checkpoint(grouped().select("bucket", "a", "g"))
+    mixed = now.groupBy("bucket").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("bucket")
     across = checkpoint(now.join(mixed, "bucket", "left_semi"))
     other = across.select("bucket", F.col("a").alias("b"), F.col("g").alias("h"))
-    pairs = across.join(other, "bucket").filter("g < h").select("a", "b")
-    tested = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = checkpoint(likely(pairs, classes, percent / 100).join(tested, ["a", "b"], "left_anti"))
-    if rest.head(1):
-        more = sets_of(involved(rest).join(sets, "class", "left_anti"))
-        links = links.unionByName(confirm(rest, sets.unionByName(more), percent))
-        groups = components(links)
+    add(across.join(other, "bucket").filter("g < h").select("a", "b"))
+    if groups is None:
+        groups = components(classes.sparkSession.createDataFrame([], "a bigint, b bigint"))
     named = classes.join(groups, classes["class"] == groups.node, "left").select("name", "class", F.coalesce("component", "class").alias("component"), "rows")
     named = checkpoint(named)
     rows = checkpoint(signed.filter("name is not null").select("row", "doc_id", "n_shingles", "name"))
@@ -219,5 +245,5 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_dedup keeps, with their columns; rows with the same doc_id stay or go together."""
-    gone = near_dedup(docs, words, percent, id_col, text_col).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = near_dedup(docs, words, percent, id_col, text_col).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")

@@ -21,6 +21,8 @@ from .common import SPACE, WORD, checkpoint
 
 TEMPERATURE, BUDGET = 0.7, 0.5
 TOLERANCE, MOST_LOOPS = 1e-3, 30
+#: Cells are broadcast up to this number, and shuffled to the documents beyond.
+MOST_CELLS = 50_000
 MARGINALS = ("source", "lang", "topic")
 
 
@@ -110,12 +112,16 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = No
     return join_cells(own, found, seed)
 
 
+def bounded(cells: DataFrame) -> DataFrame:
+    return F.broadcast(cells) if cells.count() <= MOST_CELLS else cells
+
+
 def join_cells(own: DataFrame, found: DataFrame, seed: int) -> DataFrame:
     """own with weight, prob and sampled of the cells; the join is on values, of which any may be null or held by most rows."""
     sides = [*MARGINALS]
     rows = found.select(*[F.col(c).alias(f"__{c}") for c in sides], "weight", "prob")
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in sides]
-    joined = own.join(rows, same[0] & same[1] & same[2], "left")
+    joined = own.join(bounded(rows), same[0] & same[1] & same[2], "left")
     return joined.select(
         "doc_id", *sides, "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("prob", F.lit(0.0)).alias("prob"),
         (draw(F.col("doc_id"), seed) < F.coalesce("prob", F.lit(0.0))).alias("sampled"),
@@ -131,4 +137,4 @@ def sample(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None =
     kind = topic(F.col(text_col))
     same = docs["source"].eqNullSafe(F.col("__source")) & docs["lang"].eqNullSafe(F.col("__lang")) & kind.eqNullSafe(F.col("__topic"))
     some = tokens(F.col(text_col)) > 0
-    return docs.join(cells, same).filter(some & (draw(F.col(id_col), seed) < F.col("__prob"))).select(docs.columns)
+    return docs.join(bounded(cells), same).filter(some & (draw(F.col(id_col), seed) < F.col("__prob"))).select(docs.columns)
