@@ -28,47 +28,57 @@ BLOCK, LANES, SLOTS = 8192, 512, 1024
 #: Characters of text that a shard has on average; one shard is written and read by one task.
 SHARD_CHARS = 8_000_000
 TOP, BOTTOM, LIMIT, RAISE = np.uint32(1 << 24), np.uint32(1 << 16), 2000, 24
+#: Odd factors that spread the signs of an id over the slots of each order.
+FACTORS = np.array([[0x9E3779B1], [0x85EBCA77], [0x27D4EB2F]])
 END_ID = 0
 
 
 class Mixer:
-    """Counts and weights of all lanes; predict() and learn() take turns, alike in coding and decoding."""
+    """Counts and weights of all lanes; predict() and learn() take turns, alike in coding and decoding.
+
+    Fractions are products and sums of doubles in a fixed order, which IEEE arithmetic rounds alike on every machine.
+    """
 
     def __init__(self, lanes: int):
         self.n = np.arange(lanes)
-        self.counts = np.ones((3, lanes * SLOTS, 16), np.int32)
-        self.weight = np.full((lanes, 3), 85, np.int64)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.counts = np.ones((3 * lanes * SLOTS, 16), np.int16)
+        self.flat, self.sums = self.counts.reshape(-1), np.full(3 * lanes * SLOTS, 16, np.int32)
+        self.base = (np.arange(3)[:, None] * lanes + self.n) * SLOTS
+        self.weight = np.full((3, lanes), 85, np.int64)
+        self.keys = np.zeros((3, lanes), np.int64)
+        self.contexts = np.zeros((3, lanes), np.int64)
+        self.last = np.zeros(lanes, np.int64)
+        self.shift(np.zeros(lanes, np.int64))
 
     def predict(self, prefix: np.ndarray) -> np.ndarray:
         """Cumulative frequencies (lanes, 17) of the next sign; prefix: 1 and the signs of this id so far."""
-        keys = prefix * 0x9E3779B1, (prefix * 0x85EBCA77) ^ ((self.last + 1) * 0xC2B2AE3D), (prefix * 0x27D4EB2F) ^ ((self.last + 1) * 0x165667B1) ^ ((self.before + 1) * 0x9E3779B1)
-        self.rows = [((k & 0xFFFFFFFF) >> 11) % SLOTS + self.n * SLOTS for k in keys]
-        self.p = []
-        mixed = np.zeros((len(self.n), 16), np.int64)
-        for k in range(3):
-            c = self.counts[k][self.rows[k]]
-            p = (c << 12) // c.sum(axis=1)[:, None]
-            self.p.append(p)
-            mixed += p * self.weight[:, k : k + 1]
+        np.multiply(prefix, FACTORS, out=self.keys)
+        self.keys ^= self.contexts
+        self.rows = ((self.keys & 0xFFFFFFFF) >> 11 & SLOTS - 1) + self.base
+        self.seen, self.share = self.counts[self.rows], 16.0 / self.sums[self.rows]
+        part = self.seen * (self.share * self.weight)[:, :, None]
+        mixed = part[0] + part[1]
+        mixed += part[2]
         cumulative = np.zeros((len(self.n), 17), np.uint32)
-        cumulative[:, 1:] = np.cumsum((mixed >> 8) + 1, axis=1)
+        cumulative[:, 1:] = np.cumsum(mixed.astype(np.int64) + 1, axis=1)
         return cumulative
 
     def learn(self, sign: np.ndarray) -> None:
-        at = np.stack([p[self.n, sign] for p in self.p], axis=1)
-        best = at.argmax(axis=1)
+        best = (self.seen[:, self.n, sign] * self.share).argmax(axis=0)
         self.weight -= self.weight >> 4
-        self.weight[self.n, best] += 256 - self.weight.sum(axis=1)
-        for k in range(3):
-            rows, counts = self.rows[k], self.counts[k]
-            counts[rows, sign] += RAISE
-            full = counts[rows].sum(axis=1) > LIMIT
-            if full.any():
-                counts[rows[full]] = (counts[rows[full]] >> 1) | 1
+        self.weight[best, self.n] += 256 - self.weight.sum(axis=0)
+        self.flat[self.rows * 16 + sign] += RAISE
+        self.sums[self.rows] += RAISE
+        full = self.rows[self.sums[self.rows] > LIMIT]
+        if len(full):
+            self.counts[full] = (self.counts[full] >> 1) | 1
+            self.sums[full] = self.counts[full].sum(axis=1)
 
     def shift(self, ids: np.ndarray) -> None:
-        self.before, self.last = self.last, ids.astype(np.int64)
+        """Goes on to the next id after ids."""
+        self.contexts[2] = ((ids + 1) * 0x165667B1) ^ ((self.last + 1) * 0x9E3779B1)
+        self.contexts[1] = (ids + 1) * 0xC2B2AE3D
+        self.last = ids.astype(np.int64)
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
