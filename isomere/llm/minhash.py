@@ -100,7 +100,9 @@ def names_of(hashes: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.array([f"{x:016x}{y:016x}{z:x}" if z else None for x, y, z in zip(one.tolist(), two.tolist(), np.diff(ends).tolist(), strict=True)], pa.string())
 
 
-SIGNED = "row bigint, doc_id {}, n_shingles bigint, name string, bands array<bigint>, bytes binary"
+SIGNED = "row bigint, doc_id {}, n_shingles bigint, name string, bands array<bigint>, bytes binary, bits array<bigint>"
+#: Words of 64 bits that hold one bit of each place.
+WORDS = -(-SIGNATURE // 64)
 
 
 def _sign(words: int):
@@ -117,14 +119,18 @@ def _sign(words: int):
                 band = mix(band ^ np.arange(BANDS, dtype=U))
                 full = n > 0
                 short = (mix(found) >> U(56)).astype(np.uint8)
+                bits = np.zeros((len(n), 8 * WORDS), np.uint8)
+                bits[:, : -(-SIGNATURE // 8)] = np.packbits(short & 1, axis=1)
+                bits = bits.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("row"), b.column("doc_id"), pa.array(n),
                         names_of(hashes, ends),
                         pa.array([x if f else None for x, f in zip(band.view(np.int64), full, strict=True)], pa.list_(pa.int64())),
                         pa.array([x.tobytes() if f else None for x, f in zip(short, full, strict=True)], pa.binary()),
+                        pa.array(list(bits), pa.list_(pa.int64())),
                     ],
-                    names=["row", "doc_id", "n_shingles", "name", "bands", "bytes"],
+                    names=["row", "doc_id", "n_shingles", "name", "bands", "bytes", "bits"],
                 )
 
     return run
@@ -183,7 +189,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     lower = ascii_lower(F.col(text_col)).alias("text")
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), lower)
     signed = checkpoint(own.mapInArrow(_sign(words), SIGNED.format(kind)))
-    one = F.min_by(F.struct("doc_id", "bands", "bytes"), "row").alias("one")
+    one = F.min_by(F.struct("doc_id", "bands", "bytes", "bits"), "row").alias("one")
     classes = signed.filter("name is not null").groupBy("name").agg(one, F.count("*").alias("rows"))
     classes = checkpoint(classes.select(F.monotonically_increasing_id().alias("class"), "name", "one.*", "rows"))
     placed = classes.select("class", F.explode("bands").alias("bucket"))
@@ -217,7 +223,15 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         groups = components(links)
         return True
 
+    def crossing() -> float:
+        """Pairs of classes of different components that meet, a bucket at a time."""
+        sizes = grouped().groupBy("bucket", "g").agg(F.count("*").cast("double").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"))
+        return sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).head()[0] or 0.0
+
+    total = members.count()
     for k in range(ROUNDS):
+        if k and crossing() <= total:  # then the last comparison is the shorter way
+            break
         now = checkpoint(grouped().select("bucket", "a", "n", "g", (F.col("meets") if k == 0 else F.xxhash64("a", "bucket", F.lit(k))).alias("rank")))
         ends = F.min("g").alias("low"), F.max("g").alias("high")
         best = now.groupBy("bucket", "n").agg(F.max_by(F.struct("a", "g"), F.struct("rank", "a")).alias("best"), *ends).filter("low < high")
@@ -227,9 +241,14 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
             break
     now = checkpoint(grouped().select("bucket", "a", "g"))
     mixed = now.groupBy("bucket").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("bucket")
-    across = checkpoint(now.join(mixed, "bucket", "left_semi"))
-    other = across.select("bucket", F.col("a").alias("b"), F.col("g").alias("h"))
-    add(across.join(other, "bucket").filter("g < h").select("a", "b"))
+    across = now.join(mixed, "bucket", "left_semi").join(classes.select(F.col("class").alias("a"), "bits"), "a")
+    across = checkpoint(across)
+    other = across.select("bucket", F.col("a").alias("b"), F.col("g").alias("h"), F.col("bits").alias("other"))
+    # Of unlike places half the bits agree by chance; the same margin as in likely(), on one bit a place.
+    unlike = sum((F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("other", F.lit(k)))) for k in range(WORDS)), F.lit(0))
+    share = (1 - percent / 100) / 2
+    most = SIGNATURE * share + LEAST * np.sqrt(SIGNATURE * share * (1 - share))
+    add(across.join(other, "bucket").filter((F.col("g") < F.col("h")) & (unlike <= float(most))).select("a", "b"))
     if groups is None:
         groups = components(classes.sparkSession.createDataFrame([], "a bigint, b bigint"))
     named = classes.join(groups, classes["class"] == groups.node, "left").select("name", "class", F.coalesce("component", "class").alias("component"), "rows")
