@@ -2,10 +2,12 @@
 
 A file holds shards of documents in ascending order of their ids. A shard's token ids are cut into blocks of BLOCK ids; each
 block is coded by itself (the model starts anew) and carries its length and a CRC-32 of its ids, so a damaged block is
-noticed and spoils no other. An id is four signs of four bits. For each sign, counts under the contexts of order 0 (the
-signs of this id so far), order 1 (and the id before) and order 2 (and the two ids before) give three predictions; they
-are mixed by weights that follow whichever order predicted best, and the mixture drives a range coder. All arithmetic is on
-integers, so what one machine writes any other reads. The blocks of a shard are coded side by side, as lanes of arrays.
+noticed and spoils no other. Order 2 (the two ids before) and order 1 (the id before) each remember the id that came last in
+their context and how often it came in a row; order 0 counts signs of four bits under the signs of the id so far. First it is
+coded whether the id is order 2's, then whether it is order 1's, else its four signs. The chance that a guess is right is
+mixed from the hit rates that the three orders have for it (by their trust, and whether they agree), with weights that
+follow whichever order judged best; it drives a range coder. All arithmetic is on integers, so what one machine writes any
+other reads. The blocks of a shard are coded side by side, as lanes of arrays.
 
 A null text counts as empty and holds only its end. Null ids of documents come first. Repeated rows and ids are kept, extra
 columns are ignored, and an empty table gives an empty result. Ids must be below 65536.
@@ -24,144 +26,235 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BLOCK, LANES, SLOTS = 8192, 512, 1024
+BLOCK, LANES = 4096, 2048
+#: Rows of sign counts and places of remembered ids that a lane has.
+SLOTS, PLACES = 1024, 4096
 #: Characters of text that a shard has on average; one shard is written and read by one task.
-SHARD_CHARS = 8_000_000
-TOP, BOTTOM, LIMIT, RAISE = np.uint32(1 << 24), np.uint32(1 << 16), 2000, 24
-#: Odd factors that spread the signs of an id over the slots of each order.
-FACTORS = np.array([[0x9E3779B1], [0x85EBCA77], [0x27D4EB2F]])
+SHARD_CHARS = 16_000_000
+#: Of an interval of 64 bits: words of 16 bits leave when they are settled, or when it is short.
+WORD, TOP, BOTTOM = np.uint64(16), np.uint64(1 << 48), np.uint64(1 << 32)
+LIMIT, RAISE = 2000, 24
+#: Chances are in parts of SCALE, and at least LEAST; runs are trusted up to TRUST.
+SCALE, LEAST, TRUST = 4096, 32, 7
 END_ID = 0
 
 
-class Mixer:
-    """Counts and weights of all lanes; predict() and learn() take turns, alike in coding and decoding.
+class Coder:
+    """The interval of each lane."""
+
+    def __init__(self, lanes: int):
+        self.low, self.span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+
+    def narrow(self, i: np.ndarray, step: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        low, span = self.low[i] + start * step, size * step
+        while True:
+            settled = (low ^ (low + span)) < TOP
+            short = span < BOTTOM
+            which = np.nonzero(settled | short)[0]
+            if not len(which):
+                break
+            tight = which[~settled[which]]
+            span[tight] = (~low[tight] + np.uint64(1)) & (BOTTOM - np.uint64(1))
+            self.shift(i[which], low[which])
+            low[which] <<= WORD
+            span[which] <<= WORD
+        self.low[i], self.span[i] = low, span
+
+
+class Encoder(Coder):
+    def __init__(self, ids: np.ndarray):
+        super().__init__(len(ids))
+        self.ids = ids
+        self.out, self.size = np.zeros((len(ids), ids.shape[1] // 2 + 512), np.uint16), np.zeros(len(ids), np.int64)
+
+    def room(self) -> None:
+        """Called every 32 ids, for which 512 words are enough."""
+        if self.size.max(initial=0) + 512 > self.out.shape[1]:
+            self.out = np.concatenate([self.out, np.zeros((len(self.out), self.out.shape[1] // 2 + 512), np.uint16)], axis=1)
+
+    def shift(self, i: np.ndarray, low: np.ndarray) -> None:
+        self.out[i, self.size[i]] = low >> np.uint64(48)
+        self.size[i] += 1
+
+    def hit(self, i: np.ndarray, chance: np.ndarray, right: np.ndarray) -> np.ndarray:
+        chance = chance.astype(np.uint64)
+        step = self.span[i] >> np.uint64(12)
+        self.narrow(i, step, np.where(right, np.uint64(0), chance), np.where(right, chance, np.uint64(SCALE) - chance))
+        return right
+
+    def sign(self, i: np.ndarray, ends: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        n = np.arange(len(i))
+        start = ends[n, wanted]
+        self.narrow(i, self.span[i] // ends[:, 16], start, ends[n, wanted + 1] - start)
+        return wanted
+
+    def codes(self) -> list[bytes]:
+        every = np.arange(len(self.low))
+        self.room()
+        for _ in range(4):
+            self.shift(every, self.low)
+            self.low <<= WORD
+        return [self.out[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.size)]
+
+
+class Decoder(Coder):
+    def __init__(self, codes: list[bytes]):
+        super().__init__(len(codes))
+        self.data = np.zeros((len(codes), max(map(len, codes), default=0) // 2 + 8), np.uint64)
+        for i, c in enumerate(codes):
+            self.data[i, : len(c) // 2] = np.frombuffer(c[: len(c) // 2 * 2], "<u2")
+        self.code, self.at = np.zeros(len(codes), np.uint64), np.full(len(codes), 4)
+        for k in range(4):
+            self.code = (self.code << WORD) | self.data[:, k]
+
+    def room(self) -> None:
+        """A damaged block may ask for more than there is."""
+        np.minimum(self.at, self.data.shape[1] - 1, out=self.at)
+
+    def shift(self, i: np.ndarray, low: np.ndarray) -> None:
+        self.code[i] = (self.code[i] << WORD) | self.data[i, np.minimum(self.at[i], self.data.shape[1] - 1)]
+        self.at[i] += 1
+
+    def hit(self, i: np.ndarray, chance: np.ndarray, right: None) -> np.ndarray:
+        chance = chance.astype(np.uint64)
+        step = self.span[i] >> np.uint64(12)
+        found = self.code[i] - self.low[i] < chance * step
+        self.narrow(i, step, np.where(found, np.uint64(0), chance), np.where(found, chance, np.uint64(SCALE) - chance))
+        return found
+
+    def sign(self, i: np.ndarray, ends: np.ndarray, wanted: None) -> np.ndarray:
+        n, step = np.arange(len(i)), self.span[i] // ends[:, 16]
+        where = (self.code[i] - self.low[i]) // step
+        sign = (ends[:, 1:16] <= where[:, None]).sum(axis=1)
+        start = ends[n, sign]
+        self.narrow(i, step, start, ends[n, sign + 1] - start)
+        return sign
 
-    Fractions are products and sums of doubles in a fixed order, which IEEE arithmetic rounds alike on every machine.
-    """
+
+class Mixer:
+    """The guesses of orders 2 and 1, hit rates and weights of both flags, and the sign counts of order 0, of all lanes."""
 
     def __init__(self, lanes: int):
-        self.n = np.arange(lanes)
-        self.counts = np.ones((3 * lanes * SLOTS, 16), np.int16)
-        self.flat, self.sums = self.counts.reshape(-1), np.full(3 * lanes * SLOTS, 16, np.int32)
-        self.base = (np.arange(3)[:, None] * lanes + self.n) * SLOTS
-        self.weight = np.full((3, lanes), 85, np.int64)
-        self.keys = np.zeros((3, lanes), np.int64)
-        self.contexts = np.zeros((3, lanes), np.int64)
-        self.last = np.zeros(lanes, np.int64)
-        self.shift(np.zeros(lanes, np.int64))
-
-    def predict(self, prefix: np.ndarray) -> np.ndarray:
-        """Cumulative frequencies (lanes, 17) of the next sign; prefix: 1 and the signs of this id so far."""
-        np.multiply(prefix, FACTORS, out=self.keys)
-        self.keys ^= self.contexts
-        self.rows = ((self.keys & 0xFFFFFFFF) >> 11 & SLOTS - 1) + self.base
-        self.seen, self.share = self.counts[self.rows], 16.0 / self.sums[self.rows]
-        part = self.seen * (self.share * self.weight)[:, :, None]
-        mixed = part[0] + part[1]
-        mixed += part[2]
-        cumulative = np.zeros((len(self.n), 17), np.uint32)
-        cumulative[:, 1:] = np.cumsum(mixed.astype(np.int64) + 1, axis=1)
-        return cumulative
-
-    def learn(self, sign: np.ndarray) -> None:
-        best = (self.seen[:, self.n, sign] * self.share).argmax(axis=0)
-        self.weight -= self.weight >> 4
-        self.weight[best, self.n] += 256 - self.weight.sum(axis=0)
+        self.counts = np.ones((lanes * SLOTS, 16), np.int16)
+        self.flat, self.sums = self.counts.reshape(-1), np.full(lanes * SLOTS, 16, np.int32)
+        self.ids, self.trust = np.zeros((2, lanes * PLACES), np.uint16), np.zeros((2, lanes * PLACES), np.int8)
+        self.rates = np.full((2, 3 * lanes * 16), SCALE // 2, np.int32)
+        self.weights = np.full((2, 3, lanes), 85, np.int32)
+        self.first = np.arange(3)[:, None] * lanes * 16 + np.arange(lanes) * 16
+        self.order = np.arange(3)[:, None]
+
+    def look(self, last: np.ndarray, before: np.ndarray) -> None:
+        """Goes on to the next id of the first lanes, whose ids so far end with before, last."""
+        n = len(last)
+        spread = last * 0x9E3779B1
+        base = np.arange(n) * PLACES
+        self.place = [base + (((spread ^ (before * 0x85EBCA77)) & 0xFFFFFFFF) * 0x2C1B3C6D >> 15 & PLACES - 1), base + (spread >> 13 & PLACES - 1)]
+        self.guess = [self.ids[k][p].astype(np.int64) for k, p in enumerate(self.place)]
+        trust = [self.trust[k][p].astype(np.int64) for k, p in enumerate(self.place)]
+        agree = self.guess[0] == self.guess[1]
+        self.context = self.first[:, :n].copy()
+        self.context[1] += 2 * trust[1] + agree
+        self.context[2] += 2 * trust[0] + agree
+
+    def chance(self, flag: int, i: np.ndarray) -> np.ndarray:
+        """The chance that the guess is right, for lanes i."""
+        self.at = self.context[:, i]
+        self.judged = self.rates[flag][self.at]
+        self.share = self.weights[flag][:, i]
+        return np.clip((self.judged * self.share).sum(axis=0) >> 8, LEAST, SCALE - LEAST)
+
+    def learn_flag(self, flag: int, i: np.ndarray, right: np.ndarray) -> None:
+        off = right * SCALE - self.judged
+        self.rates[flag][self.at] += off >> 4
+        best = np.abs(off).argmin(axis=0)
+        share = self.share - (self.share >> 5)
+        self.weights[flag][:, i] = share + (self.order == best) * (256 - share.sum(axis=0))
+
+    def ends(self, i: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        """Cumulative frequencies, from 0, of the next sign; prefix: 1 and the signs of this id so far."""
+        self.rows = i * SLOTS + (prefix * 0x9E3779B1 >> 11 & SLOTS - 1)
+        out = np.zeros((len(i), 17), np.uint64)
+        np.cumsum(self.counts[self.rows], axis=1, dtype=np.uint64, out=out[:, 1:])
+        return out
+
+    def learn_sign(self, sign: np.ndarray) -> None:
         self.flat[self.rows * 16 + sign] += RAISE
-        self.sums[self.rows] += RAISE
-        full = self.rows[self.sums[self.rows] > LIMIT]
+        sums = self.sums[self.rows] + RAISE
+        self.sums[self.rows] = sums
+        full = self.rows[sums > LIMIT]
         if len(full):
             self.counts[full] = (self.counts[full] >> 1) | 1
             self.sums[full] = self.counts[full].sum(axis=1)
 
-    def shift(self, ids: np.ndarray) -> None:
-        """Goes on to the next id after ids."""
-        self.contexts[2] = ((ids + 1) * 0x165667B1) ^ ((self.last + 1) * 0x9E3779B1)
-        self.contexts[1] = (ids + 1) * 0xC2B2AE3D
-        self.last = ids.astype(np.int64)
+    def learn(self, ids: np.ndarray) -> None:
+        for k, p in enumerate(self.place):
+            trust = np.where(self.guess[k] == ids, np.minimum(self.trust[k][p] + 1, TRUST), 1)
+            self.trust[k][p], self.ids[k][p] = trust, ids
+
+
+def _code(coder: Coder, ids: np.ndarray, lengths: np.ndarray, known: bool) -> None:
+    """Codes ids if they are known, or else finds them; lanes with the longest blocks come first."""
+    lanes = len(lengths)
+    mixer, every = Mixer(lanes), np.arange(lanes)
+    zero = np.zeros(lanes, np.int64)
+    for t in range(int(lengths.max(initial=0))):
+        if t % 32 == 0:
+            coder.room()
+            live = int(np.searchsorted(-lengths, -t, side="left"))
+        if lengths[live - 1] <= t:
+            live = int(np.searchsorted(-lengths, -t, side="left"))
+        i = every[:live]
+        now = ids[:live, t].astype(np.int64)
+        mixer.look(ids[:live, t - 1].astype(np.int64) if t else zero[:live], ids[:live, t - 2].astype(np.int64) if t > 1 else zero[:live])
+        right = coder.hit(i, mixer.chance(0, i), now == mixer.guess[0] if known else None)
+        mixer.learn_flag(0, i, right)
+        found = np.where(right, mixer.guess[0], now)
+        i = np.nonzero(~right)[0]
+        other = i[mixer.guess[0][i] != mixer.guess[1][i]]
+        if len(other):
+            right = coder.hit(other, mixer.chance(1, other), now[other] == mixer.guess[1][other] if known else None)
+            mixer.learn_flag(1, other, right)
+            hit = other[right]
+            found[hit] = mixer.guess[1][hit]
+            missed = np.zeros(live, bool)
+            missed[i] = True
+            missed[hit] = False
+            i = np.nonzero(missed)[0]
+        if len(i):
+            prefix, wanted = np.ones(len(i), np.int64), now[i]
+            for shift in (12, 8, 4, 0):
+                sign = coder.sign(i, mixer.ends(i, prefix), (wanted >> shift) & 15 if known else None)
+                mixer.learn_sign(sign)
+                prefix = (prefix << 4) | sign
+            found[i] = prefix & 0xFFFF
+        if not known:
+            ids[:live, t] = found
+        mixer.learn(found)
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block's code; blocks of ids below 65536, the longest first."""
-    lanes, longest = len(blocks), max(map(len, blocks), default=0)
-    ids = np.zeros((lanes, longest), np.int64)
-    for i, b in enumerate(blocks):
-        ids[i, : len(b)] = b
-    lengths = np.array([len(b) for b in blocks])
-    mixer, low, span = Mixer(lanes), np.zeros(lanes, np.uint32), np.full(lanes, 0xFFFFFFFF, np.uint32)
-    out, size = np.zeros((lanes, 9 * longest + 16), np.uint8), np.zeros(lanes, np.int64)
-
-    def emit(which: np.ndarray) -> None:
-        out[which, size[which]] = low[which] >> np.uint32(24)
-        size[which] += 1
-        low[which] <<= np.uint32(8)
-        span[which] <<= np.uint32(8)
-
-    for t in range(longest):
-        live = lengths > t
-        now, prefix = ids[:, t], np.ones(lanes, np.int64)
-        for shift in (12, 8, 4, 0):
-            sign = (now >> shift) & 15
-            c = mixer.predict(prefix)
-            step = span // c[:, 16]
-            new_low, new_span = low + c[mixer.n, sign] * step, step * (c[mixer.n, sign + 1] - c[mixer.n, sign])
-            low[live], span[live] = new_low[live], new_span[live]
-            while True:
-                same = (low ^ (low + span)) < TOP
-                short = ~same & (span < BOTTOM)
-                which = np.nonzero(live & (same | short))[0]
-                if not len(which):
-                    break
-                tight = np.nonzero(live & short)[0]
-                span[tight] = (~low[tight] + np.uint32(1)) & (BOTTOM - np.uint32(1))
-                emit(which)
-            mixer.learn(sign)
-            prefix = (prefix << 4) | sign
-        mixer.shift(now)
-    for _ in range(4):
-        emit(np.arange(lanes))
-    return [out[i, : size[i]].tobytes() for i in range(lanes)]
+    """Each block's code; blocks of ids below 65536."""
+    lengths = np.array([len(b) for b in blocks], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    ids = np.zeros((len(blocks), int(lengths.max(initial=0))), np.uint16)
+    for i, k in enumerate(order):
+        ids[i, : lengths[k]] = blocks[k]
+    coder = Encoder(ids)
+    _code(coder, ids, lengths[order], True)
+    out = [b""] * len(blocks)
+    for k, code in zip(order, coder.codes(), strict=True):
+        out[k] = code
+    return out
 
 
 def decode_blocks(codes: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
-    lanes, longest = len(codes), int(lengths.max(initial=0))
-    data = np.zeros((lanes, max(map(len, codes), default=0) + 8), np.uint32)
-    for i, c in enumerate(codes):
-        data[i, : len(c)] = np.frombuffer(c, np.uint8)
-    mixer, low, span = Mixer(lanes), np.zeros(lanes, np.uint32), np.full(lanes, 0xFFFFFFFF, np.uint32)
-    code, at = np.zeros(lanes, np.uint32), np.full(lanes, 4)
-    for k in range(4):
-        code = (code << np.uint32(8)) | data[:, k]
-    ids = np.zeros((lanes, longest), np.int64)
-    for t in range(longest):
-        live = lengths > t
-        prefix = np.ones(lanes, np.int64)
-        for _ in range(4):
-            c = mixer.predict(prefix)
-            step = span // c[:, 16]
-            where = np.minimum((code - low) // np.maximum(step, np.uint32(1)), c[:, 16] - np.uint32(1))
-            sign = (c[:, 1:] <= where[:, None]).sum(axis=1)
-            sign = np.where(live, sign, 0)
-            new_low, new_span = low + c[mixer.n, sign] * step, step * (c[mixer.n, sign + 1] - c[mixer.n, sign])
-            low[live], span[live] = new_low[live], new_span[live]
-            while True:
-                same = (low ^ (low + span)) < TOP
-                short = ~same & (span < BOTTOM)
-                which = np.nonzero(live & (same | short))[0]
-                if not len(which):
-                    break
-                tight = np.nonzero(live & short)[0]
-                span[tight] = (~low[tight] + np.uint32(1)) & (BOTTOM - np.uint32(1))
-                code[which] = (code[which] << np.uint32(8)) | data[which, at[which]]
-                at[which] = np.minimum(at[which] + 1, data.shape[1] - 1)
-                low[which] <<= np.uint32(8)
-                span[which] <<= np.uint32(8)
-            mixer.learn(sign)
-            prefix = (prefix << 4) | sign
-        now = prefix & 0xFFFF
-        ids[:, t] = now
-        mixer.shift(now)
-    return [ids[i, :n] for i, n in enumerate(lengths)]
+    order = np.argsort(-lengths, kind="stable")
+    ids = np.zeros((len(codes), int(lengths.max(initial=0))), np.uint16)
+    _code(Decoder([codes[k] for k in order]), ids, lengths[order].astype(np.int64), False)
+    out = [np.zeros(0, np.uint16)] * len(codes)
+    for i, k in enumerate(order):
+        out[k] = ids[i, : lengths[k]]
+    return out
 
 
 def _tokenise(path: str):
@@ -192,7 +285,7 @@ def _write(batches):
         nonlocal number
         ids = np.frombuffer(b"".join(x for _, x in docs), "<u2")
         parts = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-        codes = encode_blocks(parts)
+        codes = [c for i in range(0, len(parts), LANES) for c in encode_blocks(parts[i : i + LANES])]
         n = len(parts)
         kind = pa.list_(types[0])
         lists = pa.array([[d.as_py() for d, _ in docs], *[[]] * (n - 1)], kind)
