@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, split_words
+from .common import checkpoint, numbered, split_words
 
 MOST_GRAMS, MOST_LANGUAGES = 100_000, 250
 #: Cost of a change of language, in natural log units; add-SMOOTH of the n-gram probabilities.
@@ -141,7 +141,7 @@ class Model:
 def train(labelled: DataFrame) -> Model:
     """The model of labelled (lang, text)."""
     counts = labelled.filter("lang is not null and text is not null").mapInArrow(_count, "lang string, gram bigint, n bigint")
-    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = checkpoint(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     some = counts.filter("gram >= 0").groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("all"))
     top = some.orderBy(F.desc("all"), "gram").limit(MOST_GRAMS).collect()
     by_script = counts.filter("gram < 0").collect()  # languages by scripts
