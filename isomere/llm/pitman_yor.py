@@ -1,15 +1,14 @@
 """LM scoring by a hierarchical Pitman-Yor model of words.
 
-A token's restaurant is that of the longest context of frequent words before it, of up to two words; the restaurant of two
+A token's restaurant is that of the up to two words before it in its text, whatever words they are; the restaurant of two
 words has that of the last one as its parent, shared by all contexts that end with it, and those share the root, whose base
-is uniform over the training vocabulary and one unknown word. A word is frequent with a share of about MIN_SHARE of the
-training tokens, so there are at most 4 / (3 * MIN_SHARE) of them whatever the corpus; customers in other contexts are
-seated in the root, so every training token is seated.
+is uniform over the training vocabulary and one unknown word. Every context that the training texts hold has a restaurant.
 
 Seats are sampled by Gibbs: the customers of a dish leave and are seated again one after the other, given all others (from
 EXACT customers on, in strides that double, in which the chance of a new table stays as at the stride's middle). Words are
 dealt over parts; a part sweeps over all restaurants' cells of its words, given each restaurant's customers and tables as
-of the last round. Predictive probabilities are averaged over the sweeps after BURN_IN; perplexity uses these averages.
+of the last round. These totals are summed by the hash of the context, dealt over groups, and come back to the parts that
+hold the context; no task holds those of all contexts. Predictive probabilities are averaged over the sweeps after BURN_IN; perplexity uses these averages.
 
 Null texts count as empty and still have their end. A null doc_id trains and is not held out. Repeated rows and ids are
 kept, extra columns ignored; an empty table gives an empty result.
@@ -25,8 +24,9 @@ from pyspark.sql import functions as F
 
 from . import word_trip
 from .common import ascii_lower, checkpoint, split_words
+from .minhash import U, mix
 
-MIN_SHARE, ROUNDS = 1e-3, 2
+ROUNDS = 2
 SWEEPS, BURN_IN, EXACT = 6, 2, 32
 #: Of the restaurants without context, with one and with two words.
 STRENGTH = np.array([10.0, 5.0, 5.0])
@@ -47,24 +47,32 @@ def seat(rng: np.random.Generator, customers: np.ndarray, new: np.ndarray, disco
 
 
 class State:
-    """What all parts share: frequent words, vocabulary size, discounts a level, and each context's customers and tables."""
+    """What a part is told: number of context words, vocabulary size, discounts a level, its contexts' customers and tables.
 
-    def __init__(self, frequent: int, distinct: int, discounts: np.ndarray, customers: np.ndarray, tables: np.ndarray):
+    A context is a number: the place of its last word, from 1, plus frequent + 1 times that of the word before; 0 is the root.
+    codes are the sorted contexts that customers and tables belong to, from 0; without them they belong to all in turn.
+    """
+
+    def __init__(self, frequent: int, distinct: int, discounts: np.ndarray, customers: np.ndarray, tables: np.ndarray, codes: np.ndarray | None = None):
         self.side, self.distinct, self.discounts = frequent + 1, distinct, discounts
-        level = np.where(np.arange(self.side**2) >= self.side, 2, 1)
+        self.codes = np.arange(len(customers)) if codes is None else codes
+        level = np.where(self.codes >= self.side, 2, 1)
         level[0] = 0
         strength, discount = STRENGTH[level], discounts[level]
         self.new, self.all = strength + discount * tables, strength + customers
         self.left = self.new / self.all
 
+    def at(self, context: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.codes, context)
+
     def unknown(self, context: np.ndarray) -> np.ndarray:
         p = np.full(len(context), self.left[0] / (self.distinct + 1))
         return self.backed(context, p)
 
     def backed(self, context: np.ndarray, root: np.ndarray) -> np.ndarray:
         """The probability in a context of a word without customers there or in the parent, by its probability in the root."""
-        one = np.where(context > 0, self.left[context % self.side] * root, root)
-        return np.where(context >= self.side, self.left[context] * one, one)
+        one = np.where(context > 0, self.left[self.at(context % self.side)] * root, root)
+        return np.where(context >= self.side, self.left[self.at(context)] * one, one)
 
 
 class Part:
@@ -89,6 +97,7 @@ class Part:
             self.tables[k] = np.minimum(self.customers[k], 1)
             self.pass_up(k)
         self.p: list[np.ndarray] = []
+        self.told: tuple | None = None
 
     def pass_up(self, k: int) -> None:
         if k == 2:
@@ -96,9 +105,14 @@ class Part:
         elif k == 1:
             self.customers[0] = self.direct[0] + np.bincount(self.up_one, self.tables[1], len(self.words)).astype(np.int64)
 
+    def contexts(self, s: State) -> list[np.ndarray]:
+        """The place in s of the context of each cell."""
+        if self.told is None or self.told[0] is not s:
+            self.told = s, [np.zeros(len(self.words), np.int64), s.at(self.one // self.size), s.at(self.two // self.size)]
+        return self.told[1]
+
     def predict(self, s: State) -> list[np.ndarray]:
-        d, out = s.discounts, []
-        contexts = [np.zeros(len(self.words), np.int64), self.one // self.size, self.two // self.size]
+        d, out, contexts = s.discounts, [], self.contexts(s)
         for k, up in enumerate((None, self.up_one, self.up_two)):
             above = np.full(len(self.words), 1 / (s.distinct + 1)) if up is None else out[-1][up]
             out.append((self.customers[k] - d[k] * self.tables[k] + s.new[contexts[k]] * above) / s.all[contexts[k]])
@@ -107,8 +121,8 @@ class Part:
     def sweep(self, s: State, rng: np.random.Generator) -> None:
         p = self.predict(s)
         above = [np.full(len(self.words), 1 / (s.distinct + 1)), p[0][self.up_one], p[1][self.up_two]]
-        for k, keys in ((2, self.two), (1, self.one), (0, None)):
-            new = (s.new[0] if keys is None else s.new[keys // self.size]) * above[k]
+        for k in (2, 1, 0):
+            new = s.new[self.contexts(s)[k]] * above[k]
             self.tables[k] = seat(rng, self.customers[k], new, s.discounts[k])
             self.pass_up(k)
 
@@ -133,11 +147,16 @@ class Part:
             key = own * self.size + word
             at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
             held = known & inside & (keys[at] == key) if len(keys) else np.zeros(len(word), bool)
-            p = np.where(inside, s.left[own] * p, p)
+            p = np.where(inside, s.left[s.at(own)] * p, p)
             if held.any():
                 p[held] = self.p[level][at[held]]
         return np.log10(p)
 
+    def sums(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """This part's customers and tables in each of the sorted contexts codes, which hold all of its own."""
+        at = np.concatenate([np.searchsorted(codes, x) for x in (np.zeros(len(self.words), np.int64), self.one // self.size, self.two // self.size)])
+        return tuple(np.bincount(at, np.concatenate(x), len(codes)).astype(np.int64) for x in (self.customers, self.tables))
+
     def totals(self) -> pa.RecordBatch:
         """(level, context, customers, tables, once, twice) of this part."""
         rows = []
@@ -151,78 +170,120 @@ class Part:
 TOTALS = ["level", "context", "customers", "tables", "once", "twice"]
 
 
-def frequent_words(docs: DataFrame, split: word_trip.Split) -> pa.Array:
-    """All words with MIN_SHARE of the training tokens, and none with less than 3 / 4 of that.
+#: data: packed word, differences of context, n, hashes of context words, differences of all contexts, asked ones too;
+#: stats: a level the cells with one customer and those with two at first, then the numbers of tokens and of words.
+PART = "part int, words array<string>, data binary, stats array<bigint>"
+TOLD = "part int, words array<string>, data binary, state binary"
+TOLD_ARROW = pa.schema([("part", pa.int32()), ("words", pa.list_(pa.string())), ("data", pa.binary()), ("state", pa.binary())])
 
-    A chunk sends the words that have a quarter of that share of its tokens, so a word's sum lacks at most a quarter of it.
-    """
 
-    def run(batches):
-        for c in word_trip.chunks(batches, split, True):
-            n = np.bincount(c.word[c.at[np.repeat(c.learn, c.lengths)]], minlength=len(c.names))
-            common = np.nonzero(n > MIN_SHARE / 4 * n.sum())[0]
-            yield pa.RecordBatch.from_pydict({"w": pa.concat_arrays([c.names.take(pa.array(common)).cast(pa.string()), pa.array([""])]), "n": np.append(n[common], n.sum())})
+def _listed(x: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
-    counts = docs.mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    total = F.max(F.when(F.col("w") == "", F.col("n")))
-    rows = checkpoint(counts)
-    least = (rows.agg(total).head()[0] or 0) * MIN_SHARE * 3 / 4
-    return pa.array([r.w for r in rows.filter((F.col("w") != "") & (F.col("n") >= max(1.0, least))).orderBy("w").collect()], pa.string())
 
+class Asked:
+    """The items of a part's rows of word_trip.COUNTED: words, contexts by the sorted hashes of context words, counts."""
 
-PART = "part int, words array<string>, word array<int>, context array<int>, n array<bigint>"
+    def __init__(self, words: pa.ChunkedArray, items: pa.ChunkedArray, names: np.ndarray | None = None):
+        rows = [word_trip.unpacked(x) for x in items.to_pylist()]
+        self.names = np.unique(np.concatenate([r[4] for r in rows])) if names is None else names
+        side, starts = len(self.names) + 1, np.cumsum([0, *pc.list_value_length(words).to_pylist()])
+        codes = []
+        for _, one, two, _, names_ in rows:
+            place = np.concatenate([[0], np.searchsorted(self.names, names_) + 1])
+            codes.append(place[one] + side * place[two])
+        self.words = pc.list_flatten(words).combine_chunks() if isinstance(words, pa.ChunkedArray) else pc.list_flatten(words)
+        self.word = np.concatenate([r[0] + k for r, k in zip(rows, starts, strict=False)])
+        self.context, self.n = np.concatenate(codes), np.concatenate([r[3] for r in rows])
+        self.ends = np.cumsum([0, *(len(r[0]) for r in rows)])
 
 
 def vocabulary(sent: DataFrame) -> DataFrame:
-    """One row of PART a part: its training words, and how often each context holds each of them."""
+    """One row of PART a part: its training words, how often each context holds each of them, and all contexts asked for."""
 
     def whole(t: pa.Table) -> pa.Table:
-        w, c, n = (pc.list_flatten(t.column(x)).combine_chunks() for x in ("words", "contexts", "counts"))
-        n = n.to_numpy(zero_copy_only=False)
-        learnt = n > 0
-        w, c, n = w.filter(pa.array(learnt)), c.to_numpy(zero_copy_only=False)[learnt].astype(np.int64), n[learnt]
-        d = w.dictionary_encode()
-        order = pc.sort_indices(d.dictionary).to_numpy()
+        a = Asked(t.column("words"), t.column("items"))
+        side, learnt = len(a.names) + 1, a.n > 0
+        d = a.words.dictionary_encode()
+        used = np.zeros(len(d.dictionary), bool)
+        word = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)[a.word[learnt]]
+        used[word] = True
+        words = d.dictionary.filter(pa.array(used))
+        order = pc.sort_indices(words).to_numpy()
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        cells, at = np.unique(c * max(1, len(order)) + place[d.indices.to_numpy(zero_copy_only=False)], return_inverse=True)
-        counts, size = np.bincount(at, n, len(cells)).astype(np.int64), max(1, len(order))
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x))
-        return pa.table(
-            {"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "words": one(d.dictionary.take(pa.array(order))), "word": one((cells % size).astype(np.int32)), "context": one((cells // size).astype(np.int32)), "n": one(counts)}
-        )
+        words, word, size = words.take(pa.array(order)), place[(np.cumsum(used) - 1)[word]], max(1, len(order))
+        codes = np.unique(np.concatenate([[0], a.context, a.context % side]))
+        cells, at = np.unique(np.searchsorted(codes, a.context[learnt]) * size + word, return_inverse=True)
+        n = np.bincount(at, a.n[learnt], len(cells)).astype(np.int64)
+        word, context = cells % size, codes[cells // size]
+        part = Part(words, word, context, n, side)
+        stats = [*(int((c == i).sum()) for i in (1, 2) for c in part.customers), int(n.sum()), len(words)]
+        data = word_trip.pack(word, np.diff(context, prepend=0), n, a.names, np.diff(codes, prepend=0))
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "words": _listed(words), "data": pa.array([data], pa.binary()), "stats": pa.array([stats], pa.list_(pa.int64()))})
 
     return sent.groupBy("part").applyInArrow(whole, PART)
 
 
-def _of(columns: dict, k: int, side: int) -> Part:
-    word, context, n = (columns[c][k].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in ("word", "context", "n"))
-    return Part(columns["words"][k].values, word, context, n, side)
+class Held:
+    """A part as kept in rows of PART or TOLD, with the group and hash of each of its contexts and what it is told of them."""
+
+    def __init__(self, words: pa.Array, data: bytes, groups: int):
+        self.words = words
+        self.word, context, self.n, self.names, codes = word_trip.unpacked(data)
+        self.context, self.codes, self.side = np.cumsum(context), np.cumsum(codes), len(self.names) + 1
+        each = np.concatenate([[0], self.names]).astype(np.int64).view(U)
+        one, two = each[self.codes % self.side], self.codes // self.side
+        self.hash = np.where(two > 0, mix(mix(one) ^ each[two]), one)
+        group = (self.hash % U(groups)).astype(np.int64)
+        self.order = np.argsort(group, kind="stable")
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=groups))])
 
+    def part(self) -> Part:
+        return Part(self.words, self.word, self.context, self.n, self.side)
 
-def _columns(t) -> dict:
-    return {c: t.column(c) for c in ("part", "words", "word", "context", "n")}
+    def state(self, distinct: int, discounts: np.ndarray, state: bytes) -> State:
+        return State(self.side - 1, distinct, discounts, *word_trip.unpacked(state), self.codes)
 
 
-def _round(parts: DataFrame, frequent: int, state: State | None, number: int, distinct: int) -> State:
-    """The state after a round of sweeps, or with one table a cell if there is no state before."""
+def _round(parts: DataFrame, kept: DataFrame, groups: int, number: int, distinct: int, discounts: np.ndarray) -> DataFrame:
+    """kept as rows of TOLD, after a round of sweeps of parts, or with one table a cell if number is 0.
 
-    def run(batches):
+    A part asks each group for its contexts there, giving its own customers and tables; their sums come back in turn.
+    """
+
+    def ask(batches):
         for b in batches:
             for k in range(b.num_rows):
-                part = _of(_columns(b), k, frequent + 1)
-                yield (part.run(state, [number, b.column("part")[k].as_py()]) if state else part).totals()
-
-    sums = parts.mapInArrow(run, ", ".join(f"{c} bigint" for c in TOTALS)).groupBy("level", "context").agg(*[F.sum(c).alias(c) for c in TOTALS[2:]])
-    t = sums.toArrow()
-    level, context, customers, tables, once, twice = (t.column(c).to_numpy() for c in TOTALS)
-    size = (frequent + 1) ** 2
-    if state is None:
-        o, w = (np.bincount(level, x, 3) for x in (once, twice))
-        discounts = np.clip(np.where(o > 0, o / np.maximum(o + 2 * w, 1), 0.5), 0.05, 0.95)
-    else:
-        discounts = state.discounts
-    return State(frequent, distinct, discounts, np.bincount(context, customers, size), np.bincount(context, tables, size))
+                number_, held = b.column("part")[k].as_py(), Held(b.column("words")[k].values, b.column("data")[k].as_py(), groups)
+                part = held.part()
+                if number:
+                    part.run(held.state(distinct, discounts, b.column("state")[k].as_py()), [number, number_])
+                rows = [x[held.order] for x in (held.hash.view(np.int64), *part.sums(held.codes))]
+                some = np.nonzero(np.diff(held.ends))[0]
+                sums = [word_trip.pack(*(x[held.ends[g] : held.ends[g + 1]] for x in rows)) for g in some.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), number_, np.int32)), pa.array(sums, pa.binary())], names=["group", "part", "sums"])
+
+    def add(t: pa.Table) -> pa.Table:
+        rows = [word_trip.unpacked(x) for x in t.column("sums").to_pylist()]
+        names, at = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([r[k] for r in rows]), len(names)).astype(np.int64)[at] for k in (1, 2)]
+        ends = np.cumsum([0, *(len(r[0]) for r in rows)])
+        back = [word_trip.pack(*(x[a:b] for x in sums)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table({"group": t.column("group"), "part": t.column("part"), "sums": pa.array(back, pa.binary())})
+
+    def tell(back: pa.Table, own: pa.Table) -> pa.Table:
+        own, back = own.combine_chunks(), back.sort_by("group")
+        held = Held(own.column("words").chunk(0)[0].values, own.column("data")[0].as_py(), groups)
+        rows = [word_trip.unpacked(x) for x in back.column("sums").to_pylist()]
+        sums = np.zeros((2, len(held.codes)), np.int64)
+        sums[:, held.order] = [np.concatenate([r[k] for r in rows]) for k in (0, 1)]
+        state = pa.array([word_trip.pack(*sums)], pa.binary())
+        return pa.Table.from_arrays([own.column("part"), own.column("words"), own.column("data"), state], schema=TOLD_ARROW)
+
+    kind = "group int, part int, sums binary"
+    back = parts.mapInArrow(ask, kind).groupBy("group").applyInArrow(add, kind)
+    return back.groupBy("part").cogroup(kept.select("part", "words", "data").groupBy("part")).applyInArrow(tell, TOLD)
 
 
 def _split(b: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
@@ -243,31 +304,34 @@ def pitman_yor(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
     lower = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     own = docs.select(F.col(id_col).alias("id"), lower.alias("text"), (~held).alias("learn"))
     count = word_trip.parts_for(docs)
-    frequent = frequent_words(own, _split)
-    sent = word_trip.sent(own, _split, count, True, frequent)
+    groups = max(1, count // 2)
+    sent = word_trip.sent(own, _split, count, True)
     parts = checkpoint(vocabulary(sent))
-    every = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
-    n, v = parts.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in (every, F.size("words"))]).head()
-    state = None
+    *few, n, v = parts.agg(*[F.coalesce(F.sum(F.get("stats", F.lit(k))), F.lit(0)) for k in range(8)]).head()
+    once, twice = np.array(few[:3], float), np.array(few[3:], float)
+    discounts = np.clip(np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5), 0.05, 0.95)
+    told = parts
     for k in range(ROUNDS):
-        state = _round(parts, len(frequent), state, k, v)
+        told = _round(told, parts, groups, k, v, discounts)
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        if known.num_rows:
-            part = _of(_columns(known.combine_chunks()), 0, len(frequent) + 1).run(state, [ROUNDS, known.column("part")[0].as_py()])
-        else:
-            part = Part(pa.array([], pa.string()), *[np.zeros(0, np.int64)] * 3, len(frequent) + 1)
         rows = []
-        for number, chunk, w, c in zip(*(asked.column(x).combine_chunks() for x in ("part", "chunk", "words", "contexts")), strict=True):
-            at = pc.index_in(w.values, value_set=part.words)
-            known_, at = at.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if asked.num_rows:
+            known = known.combine_chunks()
+            held = Held(known.column("words").chunk(0)[0].values, known.column("data")[0].as_py(), groups)
+            state = held.state(v, discounts, known.column("state")[0].as_py())
+            part = held.part().run(state, [ROUNDS, known.column("part")[0].as_py()])
+            a = Asked(asked.column("words"), asked.column("items"), held.names)
+            place = pc.index_in(a.words, value_set=part.words)
+            known_, at = place.is_valid().to_numpy(zero_copy_only=False)[a.word], pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)[a.word]
             counts = np.where(known_, part.n[at], 0) if len(part.n) else np.zeros(len(at), np.int64)
-            logs = part.log(state, at, known_, c.values.to_numpy(zero_copy_only=False).astype(np.int64))
-            rows.append((number.as_py(), chunk.as_py(), len(at), pa.compress(counts.astype("<i8").tobytes(), codec="zstd", asbytes=True), logs.astype("<f4").tobytes()))
+            logs = part.log(state, at, known_, a.context)
+            for number, chunk, i, j in zip(asked.column("part").to_pylist(), asked.column("chunk").to_pylist(), a.ends[:-1], a.ends[1:], strict=True):
+                rows.append((number, chunk, int(j - i), pa.compress(counts[i:j].astype("<i8").tobytes(), codec="zstd", asbytes=True), logs[i:j].astype("<f4").tobytes()))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, BACK_ARROW, strict=True)], schema=BACK_ARROW)
 
-    back = sent.groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(answer, BACK)
-    texts = word_trip.kept(own.drop("learn"), _split, count, True, frequent)
+    back = sent.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(answer, BACK)
+    texts = word_trip.kept(own.drop("learn"), _split, count, True)
     kind = docs.schema[id_col].dataType
 
     def score(answers: pa.Table, row: dict) -> pa.Table:

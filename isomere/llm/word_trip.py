@@ -7,6 +7,8 @@ shuffles are few and wide, and no word, however frequent, is sent more than once
 
 from __future__ import annotations
 
+import hashlib
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -20,7 +22,7 @@ CHUNK_WORDS = 1_200_000
 #: Texts that are cut into words at once.
 AT_ONCE = 1000
 SENT = "part int, chunk bigint, words array<string>"
-COUNTED = SENT + ", contexts array<int>, counts array<bigint>"
+COUNTED = SENT + ", items binary"
 
 #: A batch with columns id and text to its words and the number of words of each text.
 Split = Callable[[pa.RecordBatch], tuple[pa.Array, np.ndarray]]
@@ -30,13 +32,43 @@ Split = Callable[[pa.RecordBatch], tuple[pa.Array, np.ndarray]]
 END = " "
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Whole numbers of 64 bits, compressed byte by byte, as the high bytes are mostly equal."""
+    out = []
+    for x in arrays:
+        planes = pa.compress(x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+        out += [struct.pack("<qq", len(x), len(planes)), planes]
+    return b"".join(out)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    """The arrays that were given to pack()."""
+    out, at = [], 0
+    while at < len(data):
+        n, size = struct.unpack_from("<qq", data, at)
+        at += 16
+        raw = pa.decompress(data[at : at + size], 8 * n, codec="zstd", asbytes=True) if n else b""
+        out.append(np.frombuffer(raw, np.uint8).reshape(8, n).T.copy().view("<i8").reshape(-1))
+        at += size
+    return out
+
+
+def names_of(words: list[str]) -> np.ndarray:
+    """A hash of 64 bits of each word, never 0."""
+    h = np.frombuffer(b"".join([hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words]), "<i8")
+    return np.where(h == 0, 1, h)
+
+
 class Chunk:
     """ids; the distinct items, which are words or words in contexts; each position's item; words of each text; learn.
 
+    The context of an item is up to two words before it: one is the last of them and two the one before that, as places
+    among names counted from 1; 0 is no word.
+
     Items that are frequent in the chunk have small numbers. learn holds the column of that name for each text, if any.
     """
 
-    def __init__(self, number: int, ids: list, words: list, lengths: list, learn: list, ends: bool, frequent: pa.Array | None):
+    def __init__(self, number: int, ids: list, words: list, lengths: list, learn: list, ends: bool):
         self.number, self.ids = number, pa.chunked_array(ids).combine_chunks()
         self.lengths, self.learn = np.concatenate(lengths).astype(np.int64), np.concatenate(learn)
         d = pa.concat_arrays(words).dictionary_encode()
@@ -45,27 +77,28 @@ class Chunk:
             at = np.insert(at, np.cumsum(self.lengths), len(names))
             self.lengths = self.lengths + 1
             names = pa.concat_arrays([names, pa.array([END], names.type)])
-        contexts = np.zeros(len(at), np.int64)
-        if frequent is not None and len(frequent):
-            place = pc.fill_null(pc.index_in(names, value_set=frequent.cast(names.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        size = max(1, len(names))
+        items, contexts = np.arange(len(names)), np.zeros(1, np.int64)
+        if ends:
             within = np.arange(len(at)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
             last, last_but_one = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-            last[1:], last_but_one[2:] = place[at[:-1]], place[at[:-2]]
+            last[1:], last_but_one[2:] = at[:-1] + 1, at[:-2] + 1
             last[within < 1], last_but_one[within < 2] = 0, 0
-            contexts = last + np.where(last > 0, last_but_one, 0) * (len(frequent) + 1)
-        items, at = np.unique(contexts * max(1, len(names)) + at, return_inverse=True) if frequent is not None else (np.arange(len(names)), at)
+            contexts, of = np.unique(last + last_but_one * (size + 1), return_inverse=True)
+            items, at = np.unique(of * size + at, return_inverse=True)
         order = np.argsort(-np.bincount(at, minlength=len(items)), kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         self.at, items = rank[at], items[order]
-        self.names, self.word, self.context = names, items % max(1, len(names)), (items // max(1, len(names))).astype(np.int32)
+        self.names, self.word, context = names, items % size, contexts[items // size]
+        self.one, self.two = context % (size + 1), context // (size + 1)
 
     def parts(self, parts: int) -> np.ndarray:
         """The part of each item, by the CRC of its word."""
         return np.fromiter((zlib.crc32(w.encode()) % parts for w in self.names.to_pylist()), np.uint16, len(self.names))[self.word]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], split: Split, ends: bool = False, frequent: pa.Array | None = None) -> Iterator[Chunk]:
+def chunks(batches: Iterator[pa.RecordBatch], split: Split, ends: bool = False) -> Iterator[Chunk]:
     from pyspark import TaskContext
 
     number, ids, words, lengths, learn = TaskContext.get().partitionId() << 32, [], [], [], []
@@ -78,45 +111,58 @@ def chunks(batches: Iterator[pa.RecordBatch], split: Split, ends: bool = False,
             lengths.append(n)
             learn.append(b.column("learn").to_numpy(zero_copy_only=False).astype(bool) if "learn" in b.schema.names else np.ones(len(n), bool))
             if sum(map(len, words)) >= CHUNK_WORDS:
-                yield Chunk(number, ids, words, lengths, learn, ends, frequent)
+                yield Chunk(number, ids, words, lengths, learn, ends)
                 number, ids, words, lengths, learn = number + 1, [], [], [], []
     if ids:
-        yield Chunk(number, ids, words, lengths, learn, ends, frequent)
+        yield Chunk(number, ids, words, lengths, learn, ends)
 
 
 def _part(c: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.bincount(c, minlength=parts))]).astype(np.int32)
 
 
-def sent(docs: DataFrame, split: Split, parts: int, counted: bool = False, frequent: pa.Array | None = None) -> DataFrame:
+def _counted(c: Chunk, order: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    n = np.bincount(c.at[np.repeat(c.learn, c.lengths)], minlength=len(c.word))
+    hashes, strings = names_of(c.names.to_pylist()), c.names.cast(pa.string())
+    for k in np.nonzero(np.diff(starts))[0].tolist():
+        of = order[starts[k] : starts[k + 1]]
+        words, word = np.unique(c.word[of], return_inverse=True)
+        before, place = np.unique(np.concatenate([[0], c.one[of], c.two[of]]), return_inverse=True)
+        items = pack(word, place[1 : 1 + len(of)], place[1 + len(of) :], n[of], hashes[before[1:] - 1])
+        yield pa.RecordBatch.from_pydict({
+            "part": pa.array([k], pa.int32()), "chunk": [c.number], "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), strings.take(pa.array(words))), "items": pa.array([items], pa.binary()),
+        })
+
+
+def sent(docs: DataFrame, split: Split, parts: int, counted: bool = False) -> DataFrame:
     """docs (id, what split wants) to rows of SENT: each chunk's distinct items of a part, in order of their numbers.
 
-    counted: rows of COUNTED, in which texts have ends, items are words in their contexts of up to two frequent words, and
-    counts says how often the texts to learn from hold each.
+    counted: rows of COUNTED, in which texts have ends and items are words in their contexts of up to two words. A row then
+    has its distinct words, and packed: the place of each item's word there, the places of the one and two words of its
+    context among names, counted from 1, how often the texts to learn from hold it, and names, the hashes of the words.
     """
 
     def run(batches):
-        for c in chunks(batches, split, counted, frequent):
+        for c in chunks(batches, split, counted):
             part = c.parts(parts)
             order = np.argsort(part, kind="stable")
-            ends = pa.array(_part(part, parts))
-            lists = pa.ListArray.from_arrays(ends, c.names.take(pa.array(c.word[order])).cast(pa.string()))
-            columns = [pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, c.number)), lists]
+            starts = _part(part, parts)
             if counted:
-                n = np.bincount(c.at[np.repeat(c.learn, c.lengths)], minlength=len(part))[order]
-                columns += [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (c.context[order], n)]
-            b = pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "words", "contexts", "counts"][: len(columns)])
+                yield from _counted(c, order, starts)
+                continue
+            lists = pa.ListArray.from_arrays(pa.array(starts), c.names.take(pa.array(c.word[order])).cast(pa.string()))
+            b = pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, c.number)), lists], names=["part", "chunk", "words"])
             yield b.filter(pc.greater(pc.list_value_length(lists), 0))
 
     return docs.mapInArrow(run, COUNTED if counted else SENT)
 
 
-def kept(docs: DataFrame, split: Split, parts: int, counted: bool = False, frequent: pa.Array | None = None) -> DataFrame:
+def kept(docs: DataFrame, split: Split, parts: int, counted: bool = False) -> DataFrame:
     """docs to one row a chunk: the ids, the number of words of each text, the items of the words, the part of each item."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for c in chunks(batches, split, counted, frequent):
+        for c in chunks(batches, split, counted):
             planes = c.at.astype("<u4").view(np.uint8).reshape(-1, 4).T  # the high bytes are mostly zero
             packed, part = (pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in (planes, c.parts(parts)))
             yield pa.RecordBatch.from_pydict(

@@ -61,6 +61,39 @@ def test_seating():
     assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 5 and 1 < t[3] < 100_000
 
 
+def test_pitman_yor_rare_contexts(spark):
+    """Pairs of words, each with one word in 6000, are told from their context, of one word and of two."""
+    pairs = [(k, f"a{k} b{k} c{k}") for k in range(2000)]
+    rows = [(i, " ".join(t for _, t in pairs[i % 100 :: 100])) for i in range(300)]
+    held = [(1000, "a7 b7 c7"), (1001, "zzz b8 c8"), (1002, "b8 a7 c8")]
+    docs = spark.createDataFrame(rows + held, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in pitman_yor.pitman_yor(docs, F.col("doc_id") >= 1000).collect()}
+    # b7 and c7 follow from their contexts, which together save two words of about 1 in 6000.
+    assert got[1000].score > got[1000].base_score + 4
+    # Only c8 does, by one word before it that is known with two others.
+    assert got[1001].score > got[1001].base_score + 1.5
+    assert got[1002].score < got[1000].score - 3
+
+
+def test_pitman_yor_totals_are_of_all_parts():
+    """A state of some contexts predicts as one of all."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    words, code = pa.array(list("abcdef")), rng.choice([0, 1, 2, 4, 5, 7, 8], 40)
+    cells, n = np.unique(code * 6 + rng.integers(0, 6, 40), return_counts=True)
+    part = pitman_yor.Part(words, cells % 6, cells // 6, n, 3)
+    codes = np.unique(np.concatenate([[0], cells // 6, cells // 6 % 3]))
+    customers, tables = part.sums(codes)
+    t = part.totals().to_pandas()
+    for r in t.itertuples():
+        assert (customers[codes == r.context], tables[codes == r.context]) == (r.customers, r.tables)
+    all_ = [np.bincount(codes, x, 9) for x in (customers, tables)]
+    dense, sparse = pitman_yor.State(2, 6, np.full(3, 0.5), *all_), pitman_yor.State(2, 6, np.full(3, 0.5), customers, tables, codes)
+    for a, b in zip(part.predict(dense), part.predict(sparse), strict=True):
+        assert np.allclose(a, b)
+
+
 def test_language_id_held_out(spark, sf, sf_docs):
     from isomere.llm import queries
 
