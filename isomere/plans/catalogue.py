@@ -255,7 +255,7 @@ def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     url = F.concat("page_id", F.lit(":"), "url").alias("url")
     kind = F.when(F.col("toxic") == 1, "Other").otherwise("Domain").alias("type")
-    documents = pages.join(labels, pages.page_id == labels.doc_id).select(url, kind, F.substring("html", 1, 20).alias("body"))
+    documents = pages.join(labels, pages.page_id == labels.doc_id).select(url, kind, F.col("html").alias("body"))
     return references.resolve(pages.select("page_id", url), documents, ["Domain"])
 
 
@@ -264,7 +264,13 @@ SITES = "(SELECT page_id, page_id || ':' || url AS url, html, toxic FROM pages L
 
 @query(f"SELECT page_id, url, CASE WHEN toxic = 0 THEN left(html, 20) END AS body FROM {SITES}")
 def resolve_refs(spark, sf_dir):
-    return _references(spark, sf_dir)[0].select("page_id", "url", "body")
+    return _references(spark, sf_dir)[0].select("page_id", "url", F.substring("body", 1, 20).alias("body"))
+
+
+@query(f"SELECT page_id, url, CASE WHEN toxic = 0 THEN length(html) END AS n_chars, CASE WHEN toxic = 0 THEN sha256(html) END AS body_sha256 FROM {SITES}")
+def resolve_refs_whole(spark, sf_dir):
+    out = _references(spark, sf_dir)[0]
+    return out.select("page_id", "url", F.length("body").cast("long").alias("n_chars"), F.sha2(F.encode("body", "UTF-8"), 256).alias("body_sha256"))
 
 
 FAILED = f"(SELECT page_id, url, CASE WHEN toxic IS NULL THEN 'transient' ELSE 'unrecoverable' END AS kind FROM {SITES} WHERE toxic IS NULL OR toxic <> 0)"

@@ -43,3 +43,10 @@ def test_entry(spark, con):
 
     assert __spark_entry__.entry(spark).columns == ["user_id", "t", "value"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_references_keep_whole_bodies(spark, con):
+    bodies = catalogue._references(spark, SF)[0].filter("body is not null")
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html")
+    both = bodies.select("page_id", "body").join(pages, "page_id").collect()
+    assert both and all(r.body == r.html for r in both)
