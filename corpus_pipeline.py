@@ -16,7 +16,7 @@ from isomere.llm import byte_bpe, common, exact_dedup, language_id, minhash, mix
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no language."""
+    """Without documents that no language fits; one without a language in its column gets the one found."""
     learnt = docs.filter(~language_id.held_out(F.col("doc_id"))).select("lang", "text")
     return language_id.keep_identified(docs, language_id.train(learnt))
 

@@ -27,6 +27,10 @@ SWITCH, SMOOTH = 12.0, 0.5
 AT_ONCE = 2000
 #: A language is written in a script that has this share of its letters.
 SCRIPT_SHARE = 0.01
+#: A letter belongs to a language's alphabet with this share of its letters.
+LETTER_SHARE = 1e-4
+#: A text fits if words with this share of its letters are explained by a language; on sf0.1 all have 0.36, random letters 0.05.
+FITTING = 0.25
 UND = "und"
 
 #: Fixed ranges of code points (first, last) of scripts.
@@ -115,14 +119,21 @@ class Model:
     def __init__(self, langs: list[str], grams: np.ndarray, logs: np.ndarray, unseen: np.ndarray, scripts: np.ndarray):
         """grams: sorted keys; logs: a row each and a column a language; scripts: whether each is used by each language."""
         self.langs, self.grams, self.logs, self.scripts = langs, grams, np.vstack([logs, unseen]).astype(np.float32), scripts
+        p = np.where(logs > unseen + 1e-6, np.exp(logs), 0.0)[grams < 1 << 21]  # of single letters
+        self.alphabet = 1 + (p > LETTER_SHARE * p.sum(axis=0)).sum(axis=0)
 
-    def scores(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(scores of each word for each language, number of its letters); languages of other scripts score far below."""
+    def scores(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores of each word for each language, number of its letters, whether some language explains it).
+
+        Languages of other scripts score far below. A language explains a word of its scripts that is at least as likely in
+        it as if each letter and blank were drawn from its alphabet at random.
+        """
+        explained = np.zeros(len(words), bool)
         out, size = np.zeros((len(words), len(self.langs)), np.float32), np.zeros(len(words), np.int64)
         own = letters(words)
         full = pc.not_equal(own, "").to_numpy(zero_copy_only=False)
         if not full.any():
-            return out, size
+            return out, size, explained
         signs = Signs(own.filter(pa.array(full)))
         size[full] = signs.size
         at = np.minimum(np.searchsorted(self.grams, signs.keys), max(0, len(self.grams) - 1))
@@ -133,9 +144,12 @@ class Model:
             able[signs.letter_word[~self.scripts[script, k]]] = False
             found.append((np.bincount(signs.words, self.logs[at, k], len(signs.size)), able))
         able = np.stack([a for _, a in found], axis=1)
+        random = -(6 * signs.size[:, None] + 2) * np.log(self.alphabet) - (3 * signs.size[:, None] + 1) * np.log(3)
+        value = np.stack([v for v, _ in found], axis=1)
+        explained[full] = (able & (value >= random)).any(axis=1)
         # A word in scripts of no language, or in mixed ones, keeps all candidates.
-        out[full] = np.stack([v for v, _ in found], axis=1) - 1e4 * (~able & able.any(axis=1)[:, None])
-        return out, size
+        out[full] = value - 1e4 * (~able & able.any(axis=1)[:, None])
+        return out, size, explained
 
 
 def train(labelled: DataFrame) -> Model:
@@ -191,14 +205,17 @@ def viterbi(scores: np.ndarray, of: np.ndarray, texts: int) -> np.ndarray:
     return out
 
 
-def _label(model: Model):
+def _label(model: Model, fit: bool = False):
+    """fit: with a last column, the share of the letters in words that some language explains."""
+
     def run(batches):
         for b in (whole.slice(start, AT_ONCE) for whole in batches for start in range(0, whole.num_rows, AT_ONCE)):
             words, of = split_words(b.column("text"))
             names, at = numbered(words)
             texts, count = b.num_rows, max(1, len(model.langs))
             if len(model.langs) and len(names):
-                each, size = model.scores(names)
+                each, size, explained = model.scores(names)
+                fitting = np.bincount(of, (size * explained)[at], texts)
                 lettered = size[at] > 0
                 at, of = at[lettered], of[lettered]
                 label = viterbi(each[at], of, texts)
@@ -207,11 +224,14 @@ def _label(model: Model):
                 change[1:] = (of[1:] != of[:-1]) | (label[1:] != label[:-1])
                 spans = np.bincount(of[change], minlength=texts)
             else:
-                share, spans = np.zeros((texts, count)), np.zeros(texts, np.int64)
+                share, spans, fitting = np.zeros((texts, count)), np.zeros(texts, np.int64), np.zeros(texts)
             total, top = share.sum(axis=1), share.argmax(axis=1)
             langs = [model.langs[k] if n else UND for k, n in zip(top, total, strict=True)]
             score = np.where(total > 0, share[np.arange(texts), top] / np.maximum(total, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(score), pa.array(spans.astype(np.int64))], names=["doc_id", "lang_pred", "score", "n_spans"])
+            columns, names = [b.column("doc_id"), pa.array(langs, pa.string()), pa.array(score), pa.array(spans.astype(np.int64))], ["doc_id", "lang_pred", "score", "n_spans"]
+            if fit:
+                columns, names = [*columns, pa.array(fitting / np.maximum(total, 1))], [*names, "fit"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -228,14 +248,18 @@ def query(docs: DataFrame) -> DataFrame:
     return identify(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs with a language, with their columns."""
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that a learned language fits, with their columns; a null language is filled with the one found."""
 
     def run(batches):
-        label = _label(model)
+        label = _label(model, True)
         for b in (whole.slice(start, AT_ONCE) for whole in batches for start in range(0, whole.num_rows, AT_ONCE)):
             own = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(text_col)], names=["doc_id", "text"])
             (found,) = label([own])
-            yield b.filter(pc.not_equal(found.column("lang_pred"), UND))
+            if lang_col in b.schema.names:
+                at, lang = b.schema.get_field_index(lang_col), b.column(lang_col)
+                filled = pc.coalesce(lang, found.column("lang_pred").cast(lang.type))
+                b = pa.RecordBatch.from_arrays([filled if k == at else c for k, c in enumerate(b.columns)], names=b.schema.names)
+            yield b.filter(pc.and_(pc.not_equal(found.column("lang_pred"), UND), pc.greater_equal(found.column("fit"), FITTING)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -41,3 +41,18 @@ def test_stages_keep_columns(spark, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         own = stage(spark, own, "")
         assert own.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_language_stage_decides(spark, sf, sf_docs):
+    """Texts in a script of no language and letters at random are dropped, clean ones kept; a null language is filled."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    junk = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(200))
+    german = sf_docs[(sf_docs.lang == "de") & (sf_docs.n_chars > 500)].text.iloc[0]
+    known = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = [(10**9, "собака и кошка бегут по улице", None, "a", 29), (10**9 + 1, junk, None, "a", len(junk)), (10**9 + 2, german, None, "a", len(german))]
+    docs = known.unionByName(spark.createDataFrame(odd, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    got = {r.doc_id: r.lang for r in corpus_pipeline.identified(spark, docs, sf).collect()}
+    assert 10**9 not in got and 10**9 + 1 not in got and got[10**9 + 2] == "de"
+    assert len(got) == len(sf_docs) + 1
