@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ def _shared(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         where = context.getConf().get("spark.checkpoint.dir", None)
+        if where is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="isomere-checkpoints-"))
     return context.getCheckpointDir()
 
@@ -46,6 +49,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(where)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to a folder of its own in the shared checkpoint folder, and read again.
+
+    Unlike those of a checkpoint, its statistics are those of its files; loops need that, as the planner multiplies the
+    sizes that it guesses for joins, time after time.
+    """
+    where = f"{_shared(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(where)
+    back = df.sparkSession.read.schema(df.schema).parquet(where)
+    back.stored_in = where
+    return back
+
+
+def release(*frames: DataFrame) -> None:
+    """Removes the files of frames that stored() gave and nothing will read again."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_in)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: A key is hot from this many rows on, and from this share of all rows on; so there are at most 1 / HOT_SHARE hot keys.
 HOT_ROWS, HOT_SHARE = 1000, 0.005
 
@@ -66,27 +89,66 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str)
     )
 
 
+def _forest(batches):
+    """Edges (a, b) of each batch to edges from every node to the least one that it reaches within the batch."""
+    for batch in batches:
+        nodes, at = np.unique(np.concatenate([batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)]), return_inverse=True)
+        top = list(range(len(nodes)))
+
+        def root(x: int, top: list[int] = top) -> int:
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        for a, b in at.reshape(2, -1).T.tolist():
+            a, b = root(a), root(b)
+            top[max(a, b)] = min(a, b)
+        roots = np.array([root(x) for x in range(len(top))], np.int64)
+        linked = np.nonzero(roots != np.arange(len(top)))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[roots[linked]])], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each node of edges (a, b) can reach, by alternating large and small stars.
+    """(node, component): the smallest node that each node of edges (a, b), whole numbers, can reach.
 
-    Each round is two shuffles of edges; the loop ends when a round changes nothing.
+    Tasks first unite their own edges, a batch at a time; alternating large and small stars unite the rest. Each round is
+    two joins of edges with one row a node, in which hot nodes are broadcast; the loop ends when a round changes nothing.
     """
-    e = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    e = stored(edges.filter("a <> b").select("a", "b").mapInArrow(_forest, "a bigint, b bigint").distinct())
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"))
-        low = low.select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = checkpoint(small.unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        low = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n")))
+        large = stored(join_counted(both, low, ["a"], "n").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        lower = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = join_counted(large, lower, ["a"], "n").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = stored(small.unionByName(lower.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        release(e, low, large, lower)
+        e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if now == before:
             break
         before = now
     stars = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    return checkpoint(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()))
+    out = stored(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()))
+    release(e)
+    return out
+
+
+#: Bytes of text that a task works on at once.
+PIECE = 4_000_000
+
+
+def pieces(batches, column: str = "text", most: int = PIECE):
+    """The rows of batches in turn, cut such that each piece holds at most `most` bytes of text or is one row."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < b.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+            yield b.slice(start, stop - start)
+            start = stop
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -5,15 +5,25 @@ drawn from its hash, and a place keeps the smallest of rank plus a fraction; sin
 different, the estimates vary less than with independent hashes, and once every place has a rank no later one can beat, the
 text is done. Texts with the same set form one class, and classes that agree in a band of ROWS places meet in a bucket.
 
-In a bucket each class is first compared with the one that meets most others, as the text that copies were made from does;
-then, for some rounds, with one drawn at random, if that is of another component. What is left after that is compared with
-all classes of other components in its buckets, so no pair that meets goes untested unless it is linked already. Pairs whose
-signatures agree in far fewer places than the wanted similarity makes likely (LEAST standard deviations) go; the others are
-confirmed on full sets. Groups are connected components, found by alternating stars.
+In a bucket each class is verified on full sets against the hub, the class that meets most others, as the text that copies
+were made from does; so a group of copies costs one comparison a copy. Two classes x and y of a bucket whose pair is still
+open, since at least x is unlike the hub p, need not be compared one by one. If no shingle outside p is in both, what they
+share is in x and p, so they are alike at most if y is smaller than p, and only by a little:
+
+* they share a shingle that p lacks: each class posts its shingles that p lacks, and pairs come from equal posts. From the
+  number of posts that a pair shares, and from what each shares with p, follows a bound of what the two share; pairs below
+  the wanted similarity go, the others are verified on full sets. A post with more than SHORT classes is a bucket of its own
+  and gets a hub in the next round.
+* or y is smaller than p: then x lacks all but a few of the shingles of p that y lacks. y posts so many of those that x must
+  lack one of them, and x, if near enough to p, posts all that it lacks.
+
+So every pair that meets is either linked already, or excluded by its sizes, or verified. Groups are connected components,
+by union-find within tasks and alternating stars between them.
 
 A text with fewer words than a shingle is one shingle; null, empty and blank texts have no set, link to nothing and stay.
-component_id is the smallest doc_id of the group (null if all are null). Of repeated rows one stays. Extra columns are
-ignored; an empty table gives an empty result.
+component_id is the smallest doc_id of the group (null if all are null). Of repeated rows one stays. Very long texts have
+sets of any size; such a set is held by one task at a time with its hub's. Equally good hubs are told apart by class number,
+which changes no link. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,15 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpoint, components, join_counted, numbered, split_words
+from .common import ascii_lower, components, join_counted, numbered, pieces, split_words, stored
 
 #: At similarity 0.8 a pair meets in no band with a chance of (1 - 0.8 ** 7) ** 50, or 8 in a million.
-BANDS, ROWS, LEAST = 50, 7, 6
-#: Rounds of comparisons with one class a bucket.
-ROUNDS = 4
+BANDS, ROWS = 50, 7
 SIGNATURE = BANDS * ROWS
-#: Texts whose signatures are made at once.
-AT_ONCE = 4000
+#: Classes of a post that are paired at once; a post with more is a bucket of the next round.
+SHORT = 32
+#: Long posts are paired, class by class, once they would give at most one pair for FEW members of buckets, or after ROUNDS.
+FEW, ROUNDS = 16, 12
+#: Bytes of text whose signatures are made at once.
+AT_ONCE = 1_000_000
 U = np.uint64
 
 
@@ -100,168 +112,159 @@ def names_of(hashes: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.array([f"{x:016x}{y:016x}{z:x}" if z else None for x, y, z in zip(one.tolist(), two.tolist(), np.diff(ends).tolist(), strict=True)], pa.string())
 
 
-SIGNED = "row bigint, doc_id {}, n_shingles bigint, name string, bands array<bigint>, bytes binary, bits array<bigint>"
-#: Words of 64 bits that hold one bit of each place.
-WORDS = -(-SIGNATURE // 64)
+SIGNED = "doc_id {}, n_shingles bigint, name string, bands array<bigint>"
 
 
 def _sign(words: int):
     def run(batches):
-        for whole in batches:
-            for start in range(0, whole.num_rows, AT_ONCE):
-                b = whole.slice(start, AT_ONCE)
-                hashes, ends = shingles(b.column("text"), words)
-                found = signatures(hashes, ends).view(U)
-                n = np.diff(ends)
-                band = np.zeros((len(n), BANDS), U)
-                for k in range(ROWS):
-                    band = mix(band ^ found[:, k::ROWS])
-                band = mix(band ^ np.arange(BANDS, dtype=U))
-                full = n > 0
-                short = (mix(found) >> U(56)).astype(np.uint8)
-                bits = np.zeros((len(n), 8 * WORDS), np.uint8)
-                bits[:, : -(-SIGNATURE // 8)] = np.packbits(short & 1, axis=1)
-                bits = bits.view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("row"), b.column("doc_id"), pa.array(n),
-                        names_of(hashes, ends),
-                        pa.array([x if f else None for x, f in zip(band.view(np.int64), full, strict=True)], pa.list_(pa.int64())),
-                        pa.array([x.tobytes() if f else None for x, f in zip(short, full, strict=True)], pa.binary()),
-                        pa.array(list(bits), pa.list_(pa.int64())),
-                    ],
-                    names=["row", "doc_id", "n_shingles", "name", "bands", "bytes", "bits"],
-                )
+        for b in pieces(batches, most=AT_ONCE):
+            hashes, ends = shingles(b.column("text"), words)
+            found = signatures(hashes, ends).view(U)
+            n = np.diff(ends)
+            band = np.zeros((len(n), BANDS), U)
+            for k in range(ROWS):
+                band = mix(band ^ found[:, k::ROWS])
+            band = mix(band ^ np.arange(BANDS, dtype=U))
+            lists = pa.array([x if f else None for x, f in zip(band.view(np.int64), n > 0, strict=True)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), names_of(hashes, ends), lists], names=["doc_id", "n_shingles", "name", "bands"])
 
     return run
 
 
-def _likely(least: float):
-    """Pairs (a, b, bytes_a, bytes_b) whose signatures agree in so many places that the similarity may be reached."""
-    fewest = least * SIGNATURE - LEAST * np.sqrt(SIGNATURE * least * (1 - least))
-
+def _sets(words: int):
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SIGNATURE) for c in ("bytes_a", "bytes_b"))
-                yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= fewest))
+        for b in pieces(batches):
+            hashes, ends = shingles(b.column("text"), words)
+            sets = pa.array([hashes[s:e].tobytes() for s, e in zip(ends, ends[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("class"), sets, names_of(hashes, ends)], names=["class", "hashes", "name"])
 
     return run
 
 
-def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) that may reach the similarity by their signatures, each once."""
-    sides = [classes.select(F.col("class").alias(c), F.col("bytes").alias(f"bytes_{c}")) for c in "ab"]
-    both = pairs.distinct().join(sides[0], "a").join(sides[1], "b").select("a", "b", "bytes_a", "bytes_b")
-    return both.mapInArrow(_likely(least), "a bigint, b bigint")
+TESTED = "hub bigint, class bigint, of_hub bigint, size bigint, common bigint, alike boolean, novel array<bigint>, missing array<bigint>"
 
 
-def _sets(words: int):
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                hashes, ends = shingles(b.column("text"), words)
-                sets = pa.array([hashes[s:e].tobytes() for s, e in zip(ends, ends[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("class"), sets, names_of(hashes, ends)], names=["class", "hashes", "name"])
+def _test(percent: int):
+    """Pairs of sets (hub, class) to their sizes, what they share, whether they are alike, and what either has alone.
 
-    return run
+    Of an alike class only those missing shingles are given that it posts if it is smaller than the hub.
+    """
 
-
-def _confirm(percent: int):
     def run(batches):
-        for b in batches:
-            x, y = ([np.frombuffer(v, U) for v in b.column(c).to_pylist()] for c in ("hashes_a", "hashes_b"))
-            common = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], np.int64)
-            union = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64) - common
-            yield b.select(["a", "b"]).filter(pa.array(100 * common >= percent * union))
+        for b in pieces(batches, "hashes"):
+            rows = []
+            for hub, class_, p, x in zip(*(b.column(c).to_pylist() for c in ("hub", "class", "hub_hashes", "hashes")), strict=True):
+                p, x = np.frombuffer(p, U), np.frombuffer(x, U)
+                at = np.minimum(np.searchsorted(p, x), len(p) - 1)
+                both = p[at] == x
+                common = int(both.sum())
+                lacks = np.ones(len(p), bool)
+                lacks[at[both]] = False
+                alike = 100 * common >= percent * (len(p) + len(x) - common)
+                missing = p[lacks]
+                if alike:
+                    missing = missing[: 1 + (percent * (len(p) - len(x)) - 1) // (100 + percent)] if len(x) < len(p) else missing[:0]
+                rows.append((hub, class_, len(p), len(x), common, alike, x[~both].view(np.int64), missing.view(np.int64)))
+            types = [*[pa.int64()] * 5, pa.bool_(), *[pa.list_(pa.int64())] * 2]
+            names = ["hub", "class", "of_hub", "size", "common", "alike", "novel", "missing"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return run
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    a, b = (sets.select(F.col("class").alias(c), F.col("hashes").alias(f"hashes_{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_confirm(percent), "a bigint, b bigint")
+def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """TESTED of distinct pairs (hub, class)."""
+    hubs = sets.select(F.col("class").alias("hub"), F.col("hashes").alias("hub_hashes"))
+    return pairs.join(sets, "class").join(hubs, "hub").select("hub", "class", "hub_hashes", "hashes").mapInArrow(_test(percent), TESTED)
+
+
+def posted(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of TESTED with the group g of each class: long posts (bucket, class, n), and pairs (hub, class) to verify."""
+    each = stored(found.select("hub", "class", "g", "size", "common", F.explode("novel").alias("e")))
+    ends = F.min("g").alias("low"), F.max("g").alias("high")
+    posts = stored(each.groupBy("hub", "e").agg(F.count("*").alias("n"), *ends).filter("low < high").select("hub", "e", "n"))
+    shared = stored(join_counted(each, posts, ["hub", "e"], "n"))
+    long = shared.filter(F.col("n") > SHORT).select(F.xxhash64("hub", "e").alias("bucket"), "class", "n")
+    short = shared.filter(F.col("n") <= SHORT)
+    other = short.select("hub", "e", *[F.col(c).alias(f"_{c}") for c in ("class", "g", "size", "common")])
+    met = short.join(other, ["hub", "e"]).filter("class < _class and g <> _g")
+    met = met.groupBy("hub", "class", "_class", "size", "_size", "common", "_common").agg(F.count("*").alias("c"))
+    near = met.filter((100 + percent) * (F.col("c") + F.least("common", "_common")) >= percent * (F.col("size") + F.col("_size")))
+
+    room = F.expr(f"{100 + percent} * common div {percent} - size")  # the size of the largest y that x may be like
+    least = found.groupBy("hub").agg(F.min("size").alias("least"))
+    x = found.filter(~F.col("alike") & (room < F.col("of_hub")) & (100 * room >= percent * F.col("size"))).join(least, "hub").filter(room >= F.col("least"))
+    x = x.select("hub", "class", "g", room.alias("room"), F.explode("missing").alias("e"))
+    first = F.expr(f"cast(1 + ({percent} * (of_hub - size) - 1) div {100 + percent} as int)")
+    y = found.filter("size < of_hub").select("hub", F.col("class").alias("_class"), F.col("g").alias("_g"), "size", F.explode(F.slice("missing", F.lit(1), first)).alias("e"))
+    under = x.join(y, ["hub", "e"]).filter("class <> _class and g <> _g and size <= room")
+    pairs = near.select("class", "_class").unionByName(under.select("class", "_class"))
+    return long, pairs.select(F.greatest("class", "_class").alias("class"), F.least("class", "_class").alias("hub")).distinct()
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles long, component_id, kept boolean, class long (of texts with the same set)."""
     kind = docs.schema[id_col].dataType.simpleString()
     lower = ascii_lower(F.col(text_col)).alias("text")
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), lower)
-    signed = checkpoint(own.mapInArrow(_sign(words), SIGNED.format(kind)))
-    one = F.min_by(F.struct("doc_id", "bands", "bytes", "bits"), "row").alias("one")
+    own = docs.select(F.col(id_col).alias("doc_id"), lower)
+    signed = stored(own.mapInArrow(_sign(words), SIGNED.format(kind)).withColumn("row", F.monotonically_increasing_id()))
+    one = F.min_by(F.struct("doc_id", "n_shingles", "bands"), F.struct(F.col("doc_id").isNull(), F.col("row"))).alias("one")
     classes = signed.filter("name is not null").groupBy("name").agg(one, F.count("*").alias("rows"))
-    classes = checkpoint(classes.select(F.monotonically_increasing_id().alias("class"), "name", "one.*", "rows"))
+    classes = stored(classes.select("name", "one.*", "rows", F.monotonically_increasing_id().alias("class")))
     placed = classes.select("class", F.explode("bands").alias("bucket"))
-    meet = checkpoint(placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    members = join_counted(placed, meet, ["bucket"], "n").select("bucket", F.col("class").alias("a"), "n")
-    members = checkpoint(members)
-    often = members.groupBy("a").agg(F.sum("n").alias("meets"))
-    wanted = often.select(F.col("a").alias("class")).join(classes.select("class", F.col("doc_id").alias("_id")), "class")
+    meet = stored(placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    members = stored(join_counted(placed, meet, ["bucket"], "n").select("bucket", "class", "n"))
+    wanted = members.select("class").distinct().join(classes.select("class", F.col("doc_id").alias("_id")), "class")
     texts = docs.select(F.col(id_col).alias("_own"), lower).join(wanted, F.col("_own").eqNullSafe(F.col("_id")))
     # Another text under the same doc_id has another set, which goes by its name.
     named_sets = texts.select("class", "text").mapInArrow(_sets(words), "class bigint, hashes binary, name string")
-    sets = checkpoint(named_sets.join(classes.select("class", "name"), ["class", "name"]).dropDuplicates(["class"]).select("class", "hashes"))
-
-    members = checkpoint(members.join(often, "a"))
-    alone = members.withColumn("g", F.col("a"))
-    links, groups, tested = None, None, None
-
-    def grouped() -> DataFrame:
-        return alone if groups is None else members.join(groups, members.a == groups.node, "left").withColumn("g", F.coalesce("component", "a")).drop("node", "component")
-
-    def add(pairs: DataFrame) -> bool:
-        """Tests pairs (a, b); whether there were new ones."""
-        nonlocal links, groups, tested
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = checkpoint(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if not pairs.head(1):
-            return False
-        found = confirm(likely(pairs, classes, percent / 100), sets, percent)
-        links = checkpoint(found if links is None else links.unionByName(found))
-        tested = pairs if tested is None else checkpoint(tested.unionByName(pairs))
+    sets = stored(named_sets.join(classes.select("class", "name"), ["class", "name"]).dropDuplicates(["class"]).select("class", "hashes"))
+
+    links, total = None, members.count()
+    for left in range(ROUNDS - 1, -1, -1):
+        often = members.groupBy("class").agg(F.sum("n").alias("meets"))
+        ranked = stored(members.join(often, "class"))
+        hubs = stored(ranked.groupBy("bucket", "n").agg(F.max_by("class", F.struct("meets", "class")).alias("hub")))
+        pairs = join_counted(ranked.drop("n"), hubs, ["bucket"], "n").filter("class <> hub").select("hub", "class").distinct()
+        found = stored(tested(pairs, sets, percent))
+        new = found.filter("alike").select(F.col("hub").alias("a"), F.col("class").alias("b"))
+        links = stored(new if links is None else links.unionByName(new))
         groups = components(links)
-        return True
-
-    def crossing() -> float:
-        """Pairs of classes of different components that meet, a bucket at a time."""
-        sizes = grouped().groupBy("bucket", "g").agg(F.count("*").cast("double").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"))
-        return sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).head()[0] or 0.0
-
-    total = members.count()
-    for k in range(ROUNDS):
-        if k and crossing() <= total:  # then the last comparison is the shorter way
+        g = groups.select(F.col("node").alias("class"), F.col("component").alias("g"))
+        found = found.join(g, "class", "left").withColumn("g", F.coalesce("g", "class"))
+        # Only hubs with classes of several groups have open pairs.
+        alone = found.groupBy("hub").agg(F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high")
+        open_ = stored(join_counted(stored(found), stored(alone.select("hub", "n")), ["hub"], "n").drop("n"))
+        long, pairs = posted(open_, percent)
+        long = stored(long)
+        meetings = long.groupBy("bucket").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0))).head()[0]
+        last = not left or FEW * meetings <= total
+        if last and meetings:  # then pairing them is the shorter way
+            pairs = pairs.unionByName(paired(long)).distinct()
+        more = stored(tested(pairs, sets, percent).filter("alike").select(F.col("hub").alias("a"), F.col("class").alias("b")))
+        if more.head(1):
+            links = stored(links.unionByName(more))
+            groups = components(links)
+        if last:
             break
-        now = checkpoint(grouped().select("bucket", "a", "n", "g", (F.col("meets") if k == 0 else F.xxhash64("a", "bucket", F.lit(k))).alias("rank")))
-        ends = F.min("g").alias("low"), F.max("g").alias("high")
-        best = now.groupBy("bucket", "n").agg(F.max_by(F.struct("a", "g"), F.struct("rank", "a")).alias("best"), *ends).filter("low < high")
-        best = checkpoint(best.select("bucket", "n", F.col("best.a").alias("b"), F.col("best.g").alias("h")))
-        pairs = join_counted(now.drop("n", "rank"), best, ["bucket"], "n").filter("g <> h").select("a", "b")
-        if not add(pairs):
-            break
-    now = checkpoint(grouped().select("bucket", "a", "g"))
-    mixed = now.groupBy("bucket").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("bucket")
-    across = now.join(mixed, "bucket", "left_semi").join(classes.select(F.col("class").alias("a"), "bits"), "a")
-    across = checkpoint(across)
-    other = across.select("bucket", F.col("a").alias("b"), F.col("g").alias("h"), F.col("bits").alias("other"))
-    # Of unlike places half the bits agree by chance; the same margin as in likely(), on one bit a place.
-    unlike = sum((F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("other", F.lit(k)))) for k in range(WORDS)), F.lit(0))
-    share = (1 - percent / 100) / 2
-    most = SIGNATURE * share + LEAST * np.sqrt(SIGNATURE * share * (1 - share))
-    add(across.join(other, "bucket").filter((F.col("g") < F.col("h")) & (unlike <= float(most))).select("a", "b"))
-    if groups is None:
-        groups = components(classes.sparkSession.createDataFrame([], "a bigint, b bigint"))
+        members = long
     named = classes.join(groups, classes["class"] == groups.node, "left").select("name", "class", F.coalesce("component", "class").alias("component"), "rows")
-    named = checkpoint(named)
-    rows = checkpoint(signed.filter("name is not null").select("row", "doc_id", "n_shingles", "name"))
-    rows = checkpoint(join_counted(rows, named, ["name"], "rows").drop("rows"))
+    named = stored(named)
+    rows = stored(signed.filter("name is not null").select("row", "doc_id", "n_shingles", "name"))
+    rows = stored(join_counted(rows, named, ["name"], "rows").drop("rows"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    tops = checkpoint(rows.groupBy("component").agg(first, F.count("*").alias("n")))
+    tops = stored(rows.groupBy("component").agg(first, F.count("*").alias("n")))
     full = join_counted(rows, tops, ["component"], "n").select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"), "class")
     empty = signed.filter("name is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("long").alias("class"))
     return full.unionByName(empty)
 
 
+def paired(long: DataFrame) -> DataFrame:
+    """All pairs (hub, class) of the classes of each bucket."""
+    other = long.select("bucket", F.col("class").alias("hub"))
+    return long.join(other, "bucket").filter("hub < class").select("class", "hub").distinct()
+
+
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_dedup keeps, with their columns; rows with the same doc_id stay or go together."""
     gone = near_dedup(docs, words, percent, id_col, text_col).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select(F.col("doc_id").alias("__gone"))

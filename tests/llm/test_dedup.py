@@ -65,3 +65,38 @@ def test_hot_group(spark):
     got = minhash.near_dedup(spark.createDataFrame(near + rest, "doc_id bigint, text string")).collect()
     assert {r.component_id for r in got if r.doc_id < 300} == {0}
     assert all(r.component_id == r.doc_id for r in got if r.doc_id >= 300)
+
+
+def _edited(rng, words, share, tag):
+    """words with a share of them replaced, some left out, by few replacements so that edits are shared now and then."""
+    out = []
+    for w in words:
+        x = rng.random()
+        if x < share * 0.8:
+            out.append(f"{tag}{rng.randrange(40)}")
+        elif x >= share:
+            out.append(w)
+    return out
+
+
+def test_near_dedup_copies_of_copies(spark, monkeypatch):
+    """Groups around texts that themselves are edited copies, in all degrees of likeness; brute force finds the same groups."""
+    import random
+
+    rng, texts = random.Random(5), []
+    for t in range(3):
+        top = [f"t{t}w{i}" for i in range(90)]
+        for _ in range(60):
+            texts.append(_edited(rng, top, rng.uniform(0, 0.25), "x"))
+        for k in range(3):
+            own = _edited(rng, top, 0.2, f"s{k}x")
+            texts += [_edited(rng, own, rng.uniform(0, 0.2), "y") for _ in range(25)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = brute.shingle_sets([t for _, t in rows], 2)
+    want = dict(zip(range(len(rows)), brute.groups([i for i, _ in rows], sets), strict=True))
+    for short in (32, 12):
+        monkeypatch.setattr(minhash, "SHORT", short)
+        got = minhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), words=2).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+    assert 20 < len(set(want.values())) < len(rows)
