@@ -6,8 +6,9 @@ different, the estimates vary less than with independent hashes, and once every
 text is done. Texts with the same set form one class, and classes that agree in a band of ROWS places meet in a bucket.
 
 In a bucket each class is verified on full sets against the hub, the class that meets most others, as the text that copies
-were made from does; so a group of copies costs one comparison a copy. Two classes x and y of a bucket whose pair is still
-open, since at least x is unlike the hub p, need not be compared one by one. If no shingle outside p is in both, what they
+were made from does; so a group of copies costs one comparison a copy. Then the classes of buckets of up to SMALL are paired
+where they are not of one component yet. Two classes x and y of a larger bucket whose pair is still open, since at least x is
+unlike the hub p, need not be compared one by one. If no shingle outside p is in both, what they
 share is in x and p, so they are alike at most if y is smaller than p, and only by a little:
 
 * they share a shingle that p lacks: each class posts its shingles that p lacks, and pairs come from equal posts. From the
@@ -39,10 +40,12 @@ from .common import ascii_lower, components, join_counted, numbered, pieces, spl
 #: At similarity 0.8 a pair meets in no band with a chance of (1 - 0.8 ** 7) ** 50, or 8 in a million.
 BANDS, ROWS = 50, 7
 SIGNATURE = BANDS * ROWS
-#: Classes of a post that are paired at once; a post with more is a bucket of the next round.
-SHORT = 32
-#: Long posts are paired, class by class, once they would give at most one pair for FEW members of buckets, or after ROUNDS.
-FEW, ROUNDS = 16, 12
+#: Places that are ranked: the least prime number from SIGNATURE on.
+PLACES = 353
+#: Classes of a bucket, and of a post, that are paired one by one; a post with more is a bucket of the next round.
+SMALL, SHORT = 16, 64
+#: Rounds after which long posts are paired as well, as they are before if that gives fewer pairs than buckets have members.
+ROUNDS = 12
 #: Bytes of text whose signatures are made at once.
 AT_ONCE = 1_000_000
 U = np.uint64
@@ -82,27 +85,26 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One row of SIGNATURE values for each set; infinite where the set is empty."""
-    sets, m = len(ends) - 1, SIGNATURE
-    owner = np.repeat(np.arange(sets), np.diff(ends))
-    out = np.full(sets * m, np.inf)
-    live = np.arange(len(hashes))
-    swapped: list[tuple[np.ndarray, np.ndarray]] = []  # of each earlier step: the place swapped, and what came there
-    for j in range(m):
-        r = mix(hashes[live] + U(j + 1))
-        place = j + ((r >> U(32)) % U(m - j)).astype(np.int64)
-        value, here = place.copy(), np.full(len(live), j)
-        for to, came in swapped:
-            value = np.where(to == place, came, value)
-            here = np.where(to == j, came, here)
-        np.minimum.at(out, owner[live] * m + value, j + (r & U(0xFFFFFFFF)).astype(np.float64) / 2.0**32)
-        worst = out.reshape(sets, m).max(axis=1)
-        stay = worst[owner[live]] >= j + 1
+    """One row of SIGNATURE values for each set; infinite where the set is empty.
+
+    The permutation of a shingle goes round PLACES, a prime number, from a place and by a stride that its hash gives.
+    """
+    sets = len(ends) - 1
+    owner = np.repeat(np.arange(sets), np.diff(ends)) * PLACES
+    out = np.full(sets * PLACES, np.inf)
+    own = mix(hashes)
+    place, stride = ((own >> U(32)) % U(PLACES)).astype(np.int64), (1 + (own & U(0xFFFFFFFF)) % U(PLACES - 1)).astype(np.int64)
+    for j in range(PLACES):
+        part = mix(own + U(j + 1)) >> U(32)
+        np.minimum.at(out, owner + place, j + part.astype(np.float64) / 2.0**32)
+        stay = (out.reshape(sets, PLACES).max(axis=1) >= j + 1)[owner // PLACES]
         if not stay.any():
             break
-        live = live[stay]
-        swapped = [(to[stay], came[stay]) for to, came in [*swapped, (place, here)]]
-    return out.reshape(sets, m)
+        if not stay.all():
+            own, owner, place, stride = own[stay], owner[stay], place[stay], stride[stay]
+        place = place + stride
+        place -= PLACES * (place >= PLACES)
+    return out.reshape(sets, PLACES)[:, :SIGNATURE]
 
 
 def names_of(hashes: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -184,7 +186,7 @@ def posted(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     ends = F.min("g").alias("low"), F.max("g").alias("high")
     posts = stored(each.groupBy("hub", "e").agg(F.count("*").alias("n"), *ends).filter("low < high").select("hub", "e", "n"))
     shared = stored(join_counted(each, posts, ["hub", "e"], "n"))
-    long = shared.filter(F.col("n") > SHORT).select(F.xxhash64("hub", "e").alias("bucket"), "class", "n")
+    long = shared.filter(F.col("n") > SHORT).select(F.xxhash64("hub", "e").alias("bucket"), "class", "n", "size", "common", "g")
     short = shared.filter(F.col("n") <= SHORT)
     other = short.select("hub", "e", *[F.col(c).alias(f"_{c}") for c in ("class", "g", "size", "common")])
     met = short.join(other, ["hub", "e"]).filter("class < _class and g <> _g")
@@ -220,34 +222,38 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     named_sets = texts.select("class", "text").mapInArrow(_sets(words), "class bigint, hashes binary, name string")
     sets = stored(named_sets.join(classes.select("class", "name"), ["class", "name"]).dropDuplicates(["class"]).select("class", "hashes"))
 
+    sizes = classes.select("class", F.col("n_shingles").alias("size"))
+    members = stored(members.join(sizes, "class"))
     links, total = None, members.count()
     for left in range(ROUNDS - 1, -1, -1):
         often = members.groupBy("class").agg(F.sum("n").alias("meets"))
         ranked = stored(members.join(often, "class"))
         hubs = stored(ranked.groupBy("bucket", "n").agg(F.max_by("class", F.struct("meets", "class")).alias("hub")))
-        pairs = join_counted(ranked.drop("n"), hubs, ["bucket"], "n").filter("class <> hub").select("hub", "class").distinct()
-        found = stored(tested(pairs, sets, percent))
+        others = stored(join_counted(ranked.drop("n", "meets"), hubs, ["bucket"], "n").filter("class <> hub"))
+        pairs = others.groupBy("hub", "class").agg(F.max(F.col("n") > SMALL).alias("large"))
+        found = stored(tested(pairs.select("hub", "class"), sets, percent))
         new = found.filter("alike").select(F.col("hub").alias("a"), F.col("class").alias("b"))
         links = stored(new if links is None else links.unionByName(new))
         groups = components(links)
-        g = groups.select(F.col("node").alias("class"), F.col("component").alias("g"))
-        found = found.join(g, "class", "left").withColumn("g", F.coalesce("g", "class"))
+        grouped = lambda df: df.join(groups.withColumnsRenamed({"node": "class", "component": "g"}), "class", "left").withColumn("g", F.coalesce("g", "class"))  # noqa: B023, E731
+        small = grouped(others.filter((F.col("n") > 2) & (F.col("n") <= SMALL)).select("bucket", "class", "size"))
         # Only hubs with classes of several groups have open pairs.
-        alone = found.groupBy("hub").agg(F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high")
-        open_ = stored(join_counted(stored(found), stored(alone.select("hub", "n")), ["hub"], "n").drop("n"))
-        long, pairs = posted(open_, percent)
+        found = stored(grouped(found.join(pairs.filter("large").select("hub", "class"), ["hub", "class"])))
+        mixed = found.groupBy("hub").agg(F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high")
+        long, pairs = posted(stored(join_counted(found, stored(mixed.select("hub", "n")), ["hub"], "n").drop("n")), percent)
         long = stored(long)
         meetings = long.groupBy("bucket").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0))).head()[0]
-        last = not left or FEW * meetings <= total
-        if last and meetings:  # then pairing them is the shorter way
-            pairs = pairs.unionByName(paired(long)).distinct()
-        more = stored(tested(pairs, sets, percent).filter("alike").select(F.col("hub").alias("a"), F.col("class").alias("b")))
+        last = not left or meetings <= total
+        pairs = pairs.unionByName(paired(stored(small), percent))
+        if last and meetings:
+            pairs = pairs.unionByName(paired(long, percent))
+        more = stored(tested(pairs.distinct(), sets, percent).filter("alike").select(F.col("hub").alias("a"), F.col("class").alias("b")))
         if more.head(1):
             links = stored(links.unionByName(more))
             groups = components(links)
         if last:
             break
-        members = long
+        members = stored(long.select("bucket", "class", "n", "size"))
     named = classes.join(groups, classes["class"] == groups.node, "left").select("name", "class", F.coalesce("component", "class").alias("component"), "rows")
     named = stored(named)
     rows = stored(signed.filter("name is not null").select("row", "doc_id", "n_shingles", "name"))
@@ -259,10 +265,20 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     return full.unionByName(empty)
 
 
-def paired(long: DataFrame) -> DataFrame:
-    """All pairs (hub, class) of the classes of each bucket."""
-    other = long.select("bucket", F.col("class").alias("hub"))
-    return long.join(other, "bucket").filter("hub < class").select("class", "hub").distinct()
+def paired(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, class) of the classes of each bucket that are of different groups and whose sizes let them be alike.
+
+    With the column common, what each class shares with one hub: then two share at most the lesser of that, and of what else
+    they have.
+    """
+    own = ["class", "g", "size", *(["common"] if "common" in members.columns else [])]
+    other = members.select("bucket", *[F.col(c).alias(f"_{c}") for c in own])
+    met = members.join(other, "bucket").filter("class > _class and g <> _g")
+    met = met.filter(100 * F.least("size", "_size") >= percent * F.greatest("size", "_size"))
+    if "common" in own:
+        most = F.least("common", "_common") + F.least(F.col("size") - F.col("common"), F.col("_size") - F.col("_common"))
+        met = met.filter((100 + percent) * most >= percent * (F.col("size") + F.col("_size")))
+    return met.select("class", F.col("_class").alias("hub"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -67,6 +67,22 @@ def test_hot_group(spark):
     assert all(r.component_id == r.doc_id for r in got if r.doc_id >= 300)
 
 
+def test_signatures_estimate():
+    """Signatures agree in a share of places that is the sets' similarity, with less spread than independent ones have."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for both, alone in ((160, 20), (60, 40)):
+        got = []
+        for _ in range(150):
+            h = rng.integers(0, 1 << 63, both + 2 * alone, np.uint64)
+            sets = [h[: both + alone], np.concatenate([h[:both], h[both + alone :]])]
+            x, y = minhash.signatures(np.concatenate(sets), np.array([0, both + alone, 2 * (both + alone)]))
+            got.append((x == y).mean())
+        j = both / (both + 2 * alone)
+        assert abs(np.mean(got) - j) < 0.006 and np.std(got) < np.sqrt(j * (1 - j) / minhash.SIGNATURE)
+
+
 def _edited(rng, words, share, tag):
     """words with a share of them replaced, some left out, by few replacements so that edits are shared now and then."""
     out = []
@@ -95,7 +111,8 @@ def test_near_dedup_copies_of_copies(spark, monkeypatch):
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     sets = brute.shingle_sets([t for _, t in rows], 2)
     want = dict(zip(range(len(rows)), brute.groups([i for i, _ in rows], sets), strict=True))
-    for short in (32, 12):
+    for small, short in ((16, 64), (2, 12)):
+        monkeypatch.setattr(minhash, "SMALL", small)
         monkeypatch.setattr(minhash, "SHORT", short)
         got = minhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), words=2).collect()
         assert {r.doc_id: r.component_id for r in got} == want
