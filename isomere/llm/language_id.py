@@ -4,10 +4,11 @@ Each word is scored for each learned language by its character n-grams; only lan
 ranges of code points) are candidates. A Viterbi pass over the words, in which a change of language costs SWITCH, labels
 spans; the language with most letters in its spans is the text's, and its share of the letters is the score.
 
-The n-gram counts come from all labelled texts. At most MOST_GRAMS n-grams, the most frequent ones, form the model, which
-bounds what is sent to the executors. A null or empty text, or one without a letter, is `und` with score 0. With nothing to
-learn from, all texts are `und`. Repeated rows and ids and null ids are kept, extra columns ignored; an empty table gives an
-empty result. Of equally good languages the first by name is taken.
+The n-gram counts come from all labelled texts. Each n-gram counts at the slot that its hash names, of SLOTS; so all n-grams
+count, and the model that is sent to the executors has 4 bytes a slot and language, whatever the texts hold. A null or empty
+text, or one without a letter, is `und` with score 0. Very long texts are read whole. With nothing to learn from, all texts
+are `und`. Repeated rows and ids and null ids are kept, extra columns ignored; an empty table gives an empty result. Of
+equally good languages the first by name is taken.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, numbered, split_words
+from .common import numbered, pieces, split_words, stored
+from .minhash import U, mix
 
-MOST_GRAMS, MOST_LANGUAGES = 100_000, 250
+SLOTS = 1 << 20
 #: Cost of a change of language, in natural log units; add-SMOOTH of the n-gram probabilities.
 SWITCH, SMOOTH = 12.0, 0.5
-#: Texts that are labelled at once.
-AT_ONCE = 2000
+#: Bytes of text that are labelled at once.
+PIECE = 3_000_000
 #: A language is written in a script that has this share of its letters.
 SCRIPT_SHARE = 0.01
 #: A letter belongs to a language's alphabet with this share of its letters.
@@ -84,43 +86,44 @@ class Signs:
         keys = [self.letters, self.signs[two - 1] << 21 | self.signs[two], self.signs[three - 2] << 42 | self.signs[three - 1] << 21 | self.signs[three]]
         self.keys = np.concatenate(keys)
         self.words = np.concatenate([self.letter_word, of_two, word[three] - blank[three]])
+        self.slots = (mix(self.keys.astype(U)) & U(SLOTS - 1)).astype(np.int64)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+#: Keys of counts below 0: -1 - k for letters in script k, and A_LETTER - x for the letter x.
+A_LETTER = -100
+
+
 def _count(batches):
-    """(lang, key, n): how often each language's texts hold each n-gram, and under -1 - k the letters in script k."""
-    for whole in batches:
-        for start in range(0, whole.num_rows, AT_ONCE):
-            b = whole.slice(start, AT_ONCE)
-            words, of = split_words(b.column("text"))
-            names, at = numbered(letters(words)) if len(words) else (pa.array([], pa.string()), np.zeros(0, np.int64))
-            langs = b.column("lang").dictionary_encode()
-            lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[of]
-            full = pc.not_equal(names, "").to_numpy(zero_copy_only=False)
-            if not full.any():
-                continue
-            place = np.cumsum(full) - 1
-            lang, at = lang[full[at]], place[at[full[at]]]
-            signs = Signs(names.filter(pa.array(full)))
-            keys = np.concatenate([signs.keys, -1 - scripts_of(signs.letters)])
-            owner = np.concatenate([signs.words, signs.letter_word])
-            grams, which = np.unique(keys, return_inverse=True)
-            for k, name in enumerate(langs.dictionary.to_pylist()):
-                n = np.bincount(at[lang == k], minlength=len(signs.size))
-                counts = np.bincount(which, n[owner], len(grams)).astype(np.int64)
-                seen = counts > 0
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * int(seen.sum()), pa.string()), "gram": grams[seen], "n": counts[seen]})
+    """(lang, key, n): how often each language's texts hold n-grams of each slot, letters of each script, and each letter."""
+    for b in pieces(batches, most=PIECE):
+        words, of = split_words(b.column("text"))
+        names, at = numbered(letters(words)) if len(words) else (pa.array([], pa.string()), np.zeros(0, np.int64))
+        langs = b.column("lang").dictionary_encode()
+        lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[of]
+        full = pc.not_equal(names, "").to_numpy(zero_copy_only=False)
+        if not full.any():
+            continue
+        place = np.cumsum(full) - 1
+        lang, at = lang[full[at]], place[at[full[at]]]
+        signs = Signs(names.filter(pa.array(full)))
+        keys = np.concatenate([signs.slots, -1 - scripts_of(signs.letters), A_LETTER - signs.letters])
+        owner = np.concatenate([signs.words, signs.letter_word, signs.letter_word])
+        kinds, which = np.unique(keys, return_inverse=True)
+        for k, name in enumerate(langs.dictionary.to_pylist()):
+            n = np.bincount(at[lang == k], minlength=len(signs.size))
+            counts = np.bincount(which, n[owner], len(kinds)).astype(np.int64)
+            seen = counts > 0
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * int(seen.sum()), pa.string()), "gram": kinds[seen], "n": counts[seen]})
 
 
 class Model:
-    def __init__(self, langs: list[str], grams: np.ndarray, logs: np.ndarray, unseen: np.ndarray, scripts: np.ndarray):
-        """grams: sorted keys; logs: a row each and a column a language; scripts: whether each is used by each language."""
-        self.langs, self.grams, self.logs, self.scripts = langs, grams, np.vstack([logs, unseen]).astype(np.float32), scripts
-        p = np.where(logs > unseen + 1e-6, np.exp(logs), 0.0)[grams < 1 << 21]  # of single letters
-        self.alphabet = 1 + (p > LETTER_SHARE * p.sum(axis=0)).sum(axis=0)
+    def __init__(self, langs: list[str], logs: np.ndarray, scripts: np.ndarray, alphabet: np.ndarray):
+        """logs: a row a language and a column a slot; scripts: whether each is used by each; alphabet: letters of each."""
+        self.langs, self.logs, self.scripts, self.alphabet = langs, logs, scripts, alphabet
 
     def scores(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(scores of each word for each language, number of its letters, whether some language explains it).
@@ -136,13 +139,11 @@ class Model:
             return out, size, explained
         signs = Signs(own.filter(pa.array(full)))
         size[full] = signs.size
-        at = np.minimum(np.searchsorted(self.grams, signs.keys), max(0, len(self.grams) - 1))
-        at = np.where(self.grams[at] == signs.keys, at, len(self.grams)) if len(self.grams) else np.zeros(len(signs.keys), np.int64)
         script, found = scripts_of(signs.letters), []
         for k in range(len(self.langs)):
             able = np.ones(len(signs.size), bool)
             able[signs.letter_word[~self.scripts[script, k]]] = False
-            found.append((np.bincount(signs.words, self.logs[at, k], len(signs.size)), able))
+            found.append((np.bincount(signs.words, self.logs[k][signs.slots], len(signs.size)), able))
         able = np.stack([a for _, a in found], axis=1)
         random = -(6 * signs.size[:, None] + 2) * np.log(self.alphabet) - (3 * signs.size[:, None] + 1) * np.log(3)
         value = np.stack([v for v, _ in found], axis=1)
@@ -155,21 +156,26 @@ class Model:
 def train(labelled: DataFrame) -> Model:
     """The model of labelled (lang, text)."""
     counts = labelled.filter("lang is not null and text is not null").mapInArrow(_count, "lang string, gram bigint, n bigint")
-    counts = checkpoint(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    some = counts.filter("gram >= 0").groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("all"))
-    top = some.orderBy(F.desc("all"), "gram").limit(MOST_GRAMS).collect()
-    by_script = counts.filter("gram < 0").collect()  # languages by scripts
+    counts = stored(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    by_script = counts.filter(f"gram < 0 and gram > {A_LETTER}").collect()  # languages by scripts
     langs = sorted({r.lang for r in by_script})
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the model is bounded for {MOST_LANGUAGES}")
-    top.sort(key=lambda r: r.gram)
-    n = np.array([[r.by.get(x, 0) for x in langs] for r in top], np.float64).reshape(len(top), len(langs))
-    total = n.sum(axis=0) + SMOOTH * (len(top) + 1)
     held = np.zeros((OTHER + 1, len(langs)))
     for r in by_script:
         held[-1 - r.gram, langs.index(r.lang)] = r.n
-    used = held >= SCRIPT_SHARE * np.maximum(held.sum(axis=0), 1)
-    return Model(langs, np.array([r.gram for r in top], np.int64), np.log((n + SMOOTH) / total), np.log(SMOOTH / total), used)
+    share = held / np.maximum(held.sum(axis=0), 1)
+    letter = counts.filter(f"gram <= {A_LETTER}")
+    of = letter.groupBy("lang").agg((F.sum("n") * LETTER_SHARE).alias("least"))
+    alphabet = np.ones(len(langs))
+    for r in letter.join(of, "lang").filter("n > least").groupBy("lang").count().collect():  # a row a language
+        alphabet[langs.index(r.lang)] += r["count"]
+    slots = counts.filter("gram >= 0").toArrow()  # at most SLOTS rows a language
+    n = np.zeros((len(langs), SLOTS), np.float32)
+    if slots.num_rows:
+        n[pc.index_in(slots.column("lang"), value_set=pa.array(langs, pa.string())).to_numpy(), slots.column("gram").to_numpy()] = slots.column("n").to_numpy()
+    total = n.sum(axis=1, dtype=np.float64) + SMOOTH * (1 + np.count_nonzero(n.any(axis=0)))
+    n += np.float32(SMOOTH)
+    np.log(n, out=n)
+    return Model(langs, n - np.log(total)[:, None].astype(np.float32), share >= SCRIPT_SHARE, alphabet)
 
 
 def viterbi(scores: np.ndarray, of: np.ndarray, texts: int) -> np.ndarray:
@@ -209,7 +215,7 @@ def _label(model: Model, fit: bool = False):
     """fit: with a last column, the share of the letters in words that some language explains."""
 
     def run(batches):
-        for b in (whole.slice(start, AT_ONCE) for whole in batches for start in range(0, whole.num_rows, AT_ONCE)):
+        for b in pieces(batches, most=PIECE):
             words, of = split_words(b.column("text"))
             names, at = numbered(words)
             texts, count = b.num_rows, max(1, len(model.langs))
@@ -253,13 +259,13 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_
 
     def run(batches):
         label = _label(model, True)
-        for b in (whole.slice(start, AT_ONCE) for whole in batches for start in range(0, whole.num_rows, AT_ONCE)):
+        for b in pieces(batches, text_col, PIECE):
             own = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(text_col)], names=["doc_id", "text"])
-            (found,) = label([own])
+            found = pa.Table.from_batches(label([own])).combine_chunks()
             if lang_col in b.schema.names:
                 at, lang = b.schema.get_field_index(lang_col), b.column(lang_col)
-                filled = pc.coalesce(lang, found.column("lang_pred").cast(lang.type))
+                filled = pc.coalesce(lang, found.column("lang_pred").combine_chunks().cast(lang.type))
                 b = pa.RecordBatch.from_arrays([filled if k == at else c for k, c in enumerate(b.columns)], names=b.schema.names)
-            yield b.filter(pc.and_(pc.not_equal(found.column("lang_pred"), UND), pc.greater_equal(found.column("fit"), FITTING)))
+            yield b.filter(pc.and_(pc.not_equal(found.column("lang_pred"), UND), pc.greater_equal(found.column("fit"), FITTING)).combine_chunks())
 
     return docs.mapInArrow(run, docs.schema)
