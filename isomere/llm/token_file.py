@@ -10,11 +10,14 @@ follow whichever order judged best; it drives a range coder. All arithmetic is o
 other reads. The blocks of a shard are coded side by side, as lanes of arrays.
 
 A null text counts as empty and holds only its end. Null ids of documents come first. Repeated rows and ids are kept, extra
-columns are ignored, and an empty table gives an empty result. Ids must be below 65536.
+columns are ignored, and an empty table gives an empty result. Rows of one doc_id stand side by side, in any order. Very
+long texts are encoded whole and span as many blocks as they need. Text that spells a special token of the tokenizer's file
+is encoded as that token, as the library does. Ids must be below 65536.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 
@@ -24,11 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import pieces, written
 
 BLOCK, LANES = 4096, 2048
 #: Rows of sign counts and places of remembered ids that a lane has.
 SLOTS, PLACES = 1024, 4096
+#: Bytes of text that are tokenised at once.
+AT_ONCE = 500_000
 #: Characters of text that a shard has on average; one shard is written and read by one task.
 SHARD_CHARS = 16_000_000
 #: Of an interval of 64 bits: words of 16 bits leave when they are settled, or when it is short.
@@ -258,16 +263,16 @@ def decode_blocks(codes: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
 
 
 def _tokenise(path: str):
+    """Rows (doc_id, text) to rows (doc_id, ids): a piece of bounded size at a time, on the task's one thread."""
+
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                b = whole.slice(start, 500)
-                found = tokenizer.encode_batch_fast([x or "" for x in b.column("text").to_pylist()], add_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([np.array([*x.ids, END_ID], "<u2").tobytes() for x in found], pa.binary())], names=["doc_id", "ids"])
+        for b in pieces(batches, most=AT_ONCE):
+            found = [tokenizer.encode(x or "", add_special_tokens=False).ids for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([np.array([*x, END_ID], "<u2").tobytes() for x in found], pa.binary())], names=["doc_id", "ids"])
 
     return run
 
@@ -276,7 +281,7 @@ BLOCKS = "shard int, block bigint, doc_ids array<{}>, n_tokens array<bigint>, le
 
 
 def _write(batches):
-    """Sorted documents of a shard to its blocks; the first block of a run of blocks lists the documents of the run."""
+    """(doc_id, ids) of sorted documents of a shard to its blocks; the first block of a run of blocks lists the documents of the run."""
     from pyspark import TaskContext
 
     shard, number, docs, held = TaskContext.get().partitionId(), 0, [], 0
@@ -314,9 +319,10 @@ def write(docs: DataFrame, tokenizer_path: str, name: str, id_col: str = "doc_id
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     chars = own.agg(F.sum(F.char_length("text"))).head()[0] or 0
     kind = docs.schema[id_col].dataType.simpleString()
-    ids = own.mapInArrow(_tokenise(tokenizer_path), f"doc_id {kind}, ids binary")
-    shards = ids.repartitionByRange(max(1, -(-chars // SHARD_CHARS)), "doc_id").sortWithinPartitions("doc_id")
-    return written(shards.mapInArrow(_write, BLOCKS.format(kind)), name)
+    tokenise = _tokenise(tokenizer_path)
+    # The ranges are drawn from texts, so that each is tokenised once, after the shuffle.
+    shards = own.repartitionByRange(max(1, -(-chars // SHARD_CHARS)), "doc_id").sortWithinPartitions("doc_id")
+    return written(shards.mapInArrow(lambda batches: _write(tokenise(batches)), BLOCKS.format(kind)), name)
 
 
 def read(blocks: DataFrame) -> DataFrame:

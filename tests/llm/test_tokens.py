@@ -62,7 +62,6 @@ def test_token_file(docs, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = sorted(map(tuple, token_file.query(docs, path).collect()), key=lambda r: r[1])
     tokenizer, at, want = Tokenizer.from_file(path), 0, []
-    tokenizer.encode_special_tokens = True
     for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")
         want.append((r[0], at, len(ids), zlib.crc32(ids.tobytes())))
@@ -70,6 +69,16 @@ def test_token_file(docs, rows):
     assert got == want
 
 
+def test_token_file_special(spark):
+    """A special token's text is encoded as that token, as the library does without a switch."""
+    from tokenizers import Tokenizer
+
+    path, text = public_tokenizers.path("byte_bpe_50k.json"), "a <|endoftext|> b"
+    (row,) = token_file.query(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), path).collect()
+    ids = np.array([*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 0], "<u4")
+    assert (row.n_tokens, row.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_token_file_damage(docs):
     import uuid
 
