@@ -4,14 +4,18 @@ A token's restaurant is that of the up to two words before it in its text, whate
 words has that of the last one as its parent, shared by all contexts that end with it, and those share the root, whose base
 is uniform over the training vocabulary and one unknown word. Every context that the training texts hold has a restaurant.
 
-Seats are sampled by Gibbs: the customers of a dish leave and are seated again one after the other, given all others (from
-EXACT customers on, in strides that double, in which the chance of a new table stays as at the stride's middle). Words are
-dealt over parts; a part sweeps over all restaurants' cells of its words, given each restaurant's customers and tables as
-of the last round. These totals are summed by the hash of the context, dealt over groups, and come back to the parts that
-hold the context; no task holds those of all contexts. Predictive probabilities are averaged over the sweeps after BURN_IN; perplexity uses these averages.
+Seats are sampled by Gibbs: the customers of a dish leave and are seated again one after the other, given all others. Each
+opens a table with the chance that the seats so far give; customers who don't are skipped together, by a draw of the next
+one who would at the present chance, which is thinned by the chance that it has by then. Words are dealt over parts; a part
+sweeps over all restaurants' cells of its words, given each restaurant's customers and tables as of the last round. These
+totals are summed by the hash of the context, dealt over groups, and come back to the parts that hold the context; no task
+holds those of all contexts. Predictive probabilities are averaged over the sweeps after BURN_IN; perplexity uses these
+averages. All draws come from hashes of the word, its context and the draw's number, so they don't depend on how words are
+dealt.
 
 Null texts count as empty and still have their end. A null doc_id trains and is not held out. Repeated rows and ids are
-kept, extra columns ignored; an empty table gives an empty result.
+kept, extra columns ignored; very long texts are read whole; equal counts need no order; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -27,22 +31,35 @@ from .common import ascii_lower, checkpoint, split_words
 from .minhash import U, mix
 
 ROUNDS = 2
-SWEEPS, BURN_IN, EXACT = 6, 2, 32
+SWEEPS, BURN_IN = 6, 2
+MASK = (1 << 64) - 1
 #: Of the restaurants without context, with one and with two words.
 STRENGTH = np.array([10.0, 5.0, 5.0])
 
 
-def seat(rng: np.random.Generator, customers: np.ndarray, new: np.ndarray, discount: float) -> np.ndarray:
-    """Tables of each dish after its customers sit down in turn; new: (strength + discount * tables) * parent's probability."""
+def uniform(keys: np.ndarray, number: int) -> np.ndarray:
+    """The draw of that number of each key, between 0 and 1."""
+    with np.errstate(over="ignore"):
+        return ((mix(keys + U(number & MASK) * U(0xD1342543DE82EF95)) >> U(11)).astype(np.float64) + 0.5) / 2.0**53
+
+
+def seat(keys: np.ndarray, number: int, customers: np.ndarray, new: np.ndarray, discount: float) -> np.ndarray:
+    """Tables of each dish after its customers sit down in turn; new: (strength + discount * tables) * parent's probability.
+
+    The draws of a dish are those of its key from `number` on.
+    """
     tables = np.minimum(customers, 1).astype(np.int64)
-    i, live = 1, np.nonzero(customers > 1)[0]
+    seated, live = tables.copy(), np.nonzero(customers > 1)[0]
     while len(live):
-        many = np.minimum(customers[live] - i, 1 if i < EXACT else i)
-        middle = i + (many - 1) / 2
-        chance = new[live] / np.maximum(middle - discount * tables[live] + new[live], 1e-9)
-        tables[live] += rng.binomial(many, np.clip(chance, 0, 1))
-        i += 1 if i < EXACT else i
-        live = live[customers[live] > i]
+        t, w, i = discount * tables[live], new[live], seated[live]
+        chance = w / (i - t + w)
+        skip = np.floor(np.log(uniform(keys[live], number)) / np.log1p(-chance))
+        i = i + np.minimum(skip, customers[live]).astype(np.int64)  # the next who would open a table at this chance
+        opens = (i < customers[live]) & (uniform(keys[live], number + 1) * chance < w / (i - t + w))
+        tables[live] += opens
+        seated[live] = i + 1
+        live = live[seated[live] < customers[live]]
+        number += 2
     return tables
 
 
@@ -78,7 +95,8 @@ class State:
 class Part:
     """The cells of a part's words: words in the root, and (context, word) with contexts of one and of two words."""
 
-    def __init__(self, words: pa.Array, word: np.ndarray, context: np.ndarray, n: np.ndarray, side: int):
+    def __init__(self, words: pa.Array, word: np.ndarray, context: np.ndarray, n: np.ndarray, side: int, named=None):
+        """named: from contexts to hashes of theirs, which draws depend on."""
         size = max(1, len(words))
         self.words, self.size, self.side = words, size, side
         self.n = np.bincount(word, n, len(words)).astype(np.int64)
@@ -98,6 +116,9 @@ class Part:
             self.pass_up(k)
         self.p: list[np.ndarray] = []
         self.told: tuple | None = None
+        name = mix(word_trip.names_of(words.to_pylist()).view(U)) if len(words) else np.zeros(0, U)
+        place = (lambda x: mix(x.astype(U))) if named is None else named
+        self.keys = [name, *(mix(name[x % size] ^ place(x // size)) for x in (self.one, self.two))]
 
     def pass_up(self, k: int) -> None:
         if k == 2:
@@ -118,19 +139,20 @@ class Part:
             out.append((self.customers[k] - d[k] * self.tables[k] + s.new[contexts[k]] * above) / s.all[contexts[k]])
         return out
 
-    def sweep(self, s: State, rng: np.random.Generator) -> None:
+    def sweep(self, s: State, number: int) -> None:
+        """number: of the first draw, of 2 ** 40 that a level may need."""
         p = self.predict(s)
         above = [np.full(len(self.words), 1 / (s.distinct + 1)), p[0][self.up_one], p[1][self.up_two]]
         for k in (2, 1, 0):
             new = s.new[self.contexts(s)[k]] * above[k]
-            self.tables[k] = seat(rng, self.customers[k], new, s.discounts[k])
+            self.tables[k] = seat(self.keys[k], number + (k << 40), self.customers[k], new, s.discounts[k])
             self.pass_up(k)
 
-    def run(self, s: State, seed: list[int]) -> Part:
+    def run(self, s: State, round_: int) -> Part:
         """Sweeps; p is then the mean of the predictions of the sweeps after the first BURN_IN."""
-        rng, total = np.random.default_rng(seed), None
+        total = None
         for k in range(SWEEPS):
-            self.sweep(s, rng)
+            self.sweep(s, (round_ * SWEEPS + k) << 42)
             if k >= BURN_IN:
                 now = self.predict(s)
                 total = now if total is None else [a + b for a, b in zip(total, now, strict=True)]
@@ -240,7 +262,7 @@ class Held:
         self.ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=groups))])
 
     def part(self) -> Part:
-        return Part(self.words, self.word, self.context, self.n, self.side)
+        return Part(self.words, self.word, self.context, self.n, self.side, lambda x: mix(self.hash[np.searchsorted(self.codes, x)]))
 
     def state(self, distinct: int, discounts: np.ndarray, state: bytes) -> State:
         return State(self.side - 1, distinct, discounts, *word_trip.unpacked(state), self.codes)
@@ -258,7 +280,7 @@ def _round(parts: DataFrame, kept: DataFrame, groups: int, number: int, distinct
                 number_, held = b.column("part")[k].as_py(), Held(b.column("words")[k].values, b.column("data")[k].as_py(), groups)
                 part = held.part()
                 if number:
-                    part.run(held.state(distinct, discounts, b.column("state")[k].as_py()), [number, number_])
+                    part.run(held.state(distinct, discounts, b.column("state")[k].as_py()), number)
                 rows = [x[held.order] for x in (held.hash.view(np.int64), *part.sums(held.codes))]
                 some = np.nonzero(np.diff(held.ends))[0]
                 sums = [word_trip.pack(*(x[held.ends[g] : held.ends[g + 1]] for x in rows)) for g in some.tolist()]
@@ -320,7 +342,7 @@ def pitman_yor(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
             known = known.combine_chunks()
             held = Held(known.column("words").chunk(0)[0].values, known.column("data")[0].as_py(), groups)
             state = held.state(v, discounts, known.column("state")[0].as_py())
-            part = held.part().run(state, [ROUNDS, known.column("part")[0].as_py()])
+            part = held.part().run(state, ROUNDS)
             a = Asked(asked.column("words"), asked.column("items"), held.names)
             place = pc.index_in(a.words, value_set=part.words)
             known_, at = place.is_valid().to_numpy(zero_copy_only=False)[a.word], pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)[a.word]

@@ -55,10 +55,36 @@ def test_predictions_sum_to_one():
         assert abs(p.sum() + state.unknown(np.array([c]))[0] - 1) < 1e-9
 
 
+def seated_singly(rng, customers, new, discount):
+    """The tables of one dish, by a chance for each customer."""
+    tables = 1
+    for i in range(1, customers):
+        tables += rng.random() < new / (i - discount * tables + new)
+    return tables
+
+
 def test_seating():
-    rng = np.random.default_rng(0)
-    t = pitman_yor.seat(rng, np.array([0, 1, 5, 100_000]), np.full(4, 2.0), 0.5)
+    """Skipping customers gives the same distribution of tables as seating them one by one."""
+    keys = np.arange(4, dtype=np.uint64)
+    t = pitman_yor.seat(keys, 0, np.array([0, 1, 5, 100_000]), np.full(4, 2.0), 0.5)
     assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 5 and 1 < t[3] < 100_000
+    rng, runs = np.random.default_rng(0), 4000
+    for customers, new, discount in ((2, 0.4, 0.5), (7, 3.0, 0.8), (60, 0.7, 0.3), (300, 12.0, 0.6)):
+        fast = pitman_yor.seat(np.arange(runs, dtype=np.uint64) << np.uint64(20), 7 << 42, np.full(runs, customers), np.full(runs, new), discount)
+        slow = np.array([seated_singly(rng, customers, new, discount) for _ in range(runs)])
+        error = 5 * math.sqrt((fast.var() + slow.var()) / runs)
+        assert abs(fast.mean() - slow.mean()) < error and abs(fast.std() - slow.std()) < error
+
+
+def test_pitman_yor_is_dealt_alike(spark, sf):
+    """Scores don't depend on the number of shuffle partitions, by which words and contexts are dealt."""
+    docs, key, found = spark.read.parquet(f"{sf}/documents.parquet"), "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(key)
+    for n in (4, 9):
+        spark.conf.set(key, n)
+        found.append({r.doc_id: r.score for r in pitman_yor.query(docs).collect()})
+    spark.conf.set(key, before)
+    assert all(math.isclose(x, found[1][i], rel_tol=1e-6) for i, x in found[0].items())
 
 
 def test_pitman_yor_rare_contexts(spark):
