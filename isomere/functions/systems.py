@@ -27,7 +27,7 @@ def is_custom(kind: Column) -> Column:
 
 def vertical_name(identifier: Column) -> Column:
     low = F.lower(identifier)
-    return F.when(F.contains(low, F.lit("depth")), "depth").when(F.contains(low, F.lit("height")), "height").when(F.contains(low, F.lit("altitude")), "altitude")
+    return F.when(F.contains(low, F.lit("depth")), "depth").when(F.contains(low, F.lit("height")), "height").when(F.contains(low, F.lit("altitude")), "height")
 
 
 def vertical_positive(identifier: Column) -> Column:

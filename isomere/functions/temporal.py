@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-YEAR = r"^[+-]?[0-9]{4,}$"
+# Fixed lexical forms of years (expanded ones have a sign and five digits or more), months, days and seconds.
+YEAR = r"^([0-9]{4}|[+-][0-9]{5,})$"
 MONTH, DAY = r"^[0-9]{4}-[0-9]{2}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 SECOND = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"
 
@@ -27,26 +28,36 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def _days(year: Column, month: Column) -> Column:
+    """Days of a month by the Gregorian rules, which also hold for year 0."""
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    return F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+
+
 def resolve(value: Column) -> Column:
     """struct(kind, when, precision): moment, unrepresentable (year 0, beyond 9999, a leap second) or malformed."""
 
-    def probed(x: Column) -> Column:
+    def parts(x: Column) -> Column:
         v, form = x["v"], x["form"]
-        full = F.concat(v, F.when(form == "year", "-01-01").when(form == "month", "-01").otherwise(""))
-        leap = (form == "second") & F.regexp_like(v, F.lit(r"T[0-9]{2}:[0-9]{2}:60"))
-        year = F.when(F.startswith(v, F.lit("0000")), F.concat(F.lit("2000"), F.substring(full, 5, 100))).otherwise(full)
-        return F.struct(
-            form.alias("form"), F.regexp_like(v, F.lit("^[0-9]{4}([^0-9]|$)")).alias("plain"), (leap | F.startswith(v, F.lit("0000"))).alias("odd"),
-            F.try_to_timestamp(F.when(leap, F.regexp_replace(year, r"(T[0-9]{2}:[0-9]{2}):60", "$1:59")).otherwise(year)).alias("when"),
+        whole = lambda at, n: F.substring(v, at, n).try_cast("int")
+        year = F.when(form == "year", v.try_cast("bigint")).otherwise(whole(1, 4).cast("bigint"))
+        full = F.concat(F.lpad(year.cast("string"), 4, "0"), F.when(form == "year", "-01-01").when(form == "month", F.concat(F.substring(v, 5, 3), F.lit("-01"))).otherwise(F.substring(v, 5, 100)))
+        return F.struct(v.alias("v"), form.alias("form"), year.alias("year"), whole(6, 2).alias("month"), whole(9, 2).alias("day"), full.alias("full"))
+
+    def judged(x: Column) -> Column:
+        v, form, year, month = x["v"], x["form"], x["year"], x["month"]
+        leap_second = (form == "second") & (F.substring(v, 18, 2) == "60")
+        clock = (form != "second") | F.regexp_like(v, F.lit(r"T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]"))
+        right = (form == "year") | month.between(1, 12) & ((form == "month") | x["day"].between(1, _days(year, month))) & clock
+        when = F.when(form.isNotNull() & right & year.between(1, 9999) & ~leap_second, F.try_to_timestamp(x["full"]))
+        kind = (
+            F.when(form.isNull(), "malformed").when(leap_second, "unrepresentable").when(~right, "malformed")
+            .when(year.isNull() | ~year.between(1, 9999), "unrepresentable").when(when.isNull(), "malformed").otherwise("moment")
         )
-
-    def told(x: Column) -> Column:
-        kind = F.when(x["form"].isNull(), "malformed").when(~x["plain"], "unrepresentable").when(x["when"].isNull(), "malformed").when(x["odd"], "unrepresentable").otherwise("moment")
-        right = x["form"].isNotNull() & x["plain"] & ~x["odd"] & x["when"].isNotNull()
-        return F.struct(kind.alias("kind"), F.when(right, x["when"]).alias("when"), F.when(right, x["form"]).alias("precision"))
+        return F.struct(kind.alias("kind"), when.alias("when"), F.when(when.isNotNull(), form).alias("precision"))
 
     first = F.struct(value.alias("v"), precision(value).alias("form"))
-    return _let(_let(first, probed), told)
+    return _let(_let(first, parts), judged)
 
 
 def maybe_datetime(value: Column, column: WindowSpec) -> Column:

@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from isomere.functions.systems import flag_meaning, standard_name, vertical_name, vertical_positive
 
-# Fixed: names and units that tell a coordinate's role.
-ROLE_NAMES = {"x": ("x", "lon", "longitude"), "y": ("y", "lat", "latitude"), "z": ("z", "depth", "height", "altitude"), "t": ("t", "time")}
-ROLE_UNITS = {"x": ("degrees_east", "degree_east"), "y": ("degrees_north", "degree_north")}
+# Fixed: names and standard names that tell a coordinate's role, and how units of two of them begin.
+ROLE_NAMES = {"x": ("x", "lon", "longitude"), "y": ("y", "lat", "latitude"), "z": ("z", "depth", "height", "altitude", "level", "elevation"), "t": ("t", "time")}
+ROLE_STANDARD = {"x": ("longitude",), "y": ("latitude",), "z": ("depth", "height", "altitude"), "t": ("time",)}
+ROLE_UNITS = {"x": "degrees_e", "y": "degrees_n"}
 
 
-def role(name: Column, standard: Column, units: Column, axis: Column) -> Column:
-    """x, y, z or t by the axis attribute, the standard name, the units or the name, in this order; else null."""
+def role(name: Column, standard: Column, units: Column, axis: Column, positive: Column | None = None) -> Column:
+    """x, y, z or t by the axis attribute, the standard name, the units, a positive attribute or the name; else null."""
     low = F.lower(name)
     by_axis = F.when(F.upper(axis).isin("X", "Y", "Z", "T"), F.lower(axis))
     pick = lambda c, table: F.coalesce(*[F.when(c.isin(*v), k) for k, v in table.items()])
-    return F.coalesce(by_axis, pick(standard, ROLE_NAMES), pick(units, ROLE_UNITS), pick(low, ROLE_NAMES))
+    by_units = F.coalesce(*[F.when(F.startswith(F.lower(units), F.lit(v)), k) for k, v in {**ROLE_UNITS, "X": "degree_east", "Y": "degree_north"}.items()])
+    upright = F.lit(None).cast("string") if positive is None else F.when(positive.isNotNull(), "z")
+    return F.coalesce(by_axis, pick(F.lower(standard), ROLE_STANDARD), F.lower(by_units), upright, pick(low, ROLE_NAMES))
 
 
 def coordinate_attributes(kind: Column, identifier: Column, place: Column, axis: Column) -> Column:

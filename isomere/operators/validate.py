@@ -19,25 +19,25 @@ from isomere.functions.text import json_pointer, valid_language_tag
 
 # Fixed rules of the twelve domain types: required, optional and single-valued axes, composite type, allowed coordinates.
 RULES = {
-    "Grid": ("x y", "z t", "", None, ""),
-    "VerticalProfile": ("x y z", "t", "x y t", None, ""),
-    "PointSeries": ("x y t", "z", "x y z", None, ""),
-    "Point": ("x y", "z t", "x y z t", None, ""),
-    "MultiPointSeries": ("composite t", "", "", "tuple", "x,y,z x,y"),
-    "MultiPoint": ("composite", "t", "t", "tuple", "x,y,z x,y"),
-    "Trajectory": ("composite", "z", "z", "tuple", "t,x,y,z t,x,y"),
-    "Section": ("composite z", "", "", "tuple", "t,x,y"),
-    "Polygon": ("composite", "z t", "composite z t", "polygon", "x,y"),
-    "PolygonSeries": ("composite t", "z", "composite z", "polygon", "x,y"),
-    "MultiPolygon": ("composite", "z t", "z t", "polygon", "x,y"),
-    "MultiPolygonSeries": ("composite t", "z", "z", "polygon", "x,y"),
+    "Grid": (["x", "y"], ["z", "t"], [], None, []),
+    "VerticalProfile": (["x", "y", "z"], ["t"], ["x", "y", "t"], None, []),
+    "PointSeries": (["x", "y", "t"], ["z"], ["x", "y", "z"], None, []),
+    "Point": (["x", "y"], ["z", "t"], ["x", "y", "z", "t"], None, []),
+    "MultiPointSeries": (["composite", "t"], [], [], "tuple", ["x,y,z", "x,y"]),
+    "MultiPoint": (["composite"], ["t"], ["t"], "tuple", ["x,y,z", "x,y"]),
+    "Trajectory": (["composite"], ["z"], ["z"], "tuple", ["t,x,y,z", "t,x,y"]),
+    "Section": (["composite", "z"], [], [], "tuple", ["t,x,y"]),
+    "Polygon": (["composite"], ["z", "t"], ["composite", "z", "t"], "polygon", ["x,y"]),
+    "PolygonSeries": (["composite", "t"], ["z"], ["composite", "z"], "polygon", ["x,y"]),
+    "MultiPolygon": (["composite"], ["z", "t"], ["z", "t"], "polygon", ["x,y"]),
+    "MultiPolygonSeries": (["composite", "t"], ["z"], ["z"], "polygon", ["x,y"]),
 }
 
 WARNINGS = ("domain.missing-domain-type", "coverage.domain-type-not-omitted", "temporal.lexical-form")
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    rows = [(k, r.split(), o.split(), s.split(), c, a.split()) for k, (r, o, s, c, a) in RULES.items()]
+    rows = [(k, *rule) for k, rule in RULES.items()]
     return spark.createDataFrame(rows, "domain_type string, required array<string>, optional array<string>, single array<string>, composite string, allowed array<string>")
 
 
@@ -75,13 +75,13 @@ def domain_issues(domains: DataFrame, axes: DataFrame, keys: Sequence[str]) -> D
     named = composite.filter(F.col("data_type") == F.col("composite")).filter(~F.array_contains("allowed", F.array_join(F.coalesce("coordinates", F.array().cast("array<string>")), ",")))
     none = F.coalesce(F.nullif("domain_type", F.lit(""))).isNull()
     return report([
-        finding(missing, keys, "domain.missing-axis", F.lit("/domain/axes"), F.col("name")),
+        finding(missing, keys, "domain.missing-axis", at, F.col("name")),
         finding(single, keys, "domain.axis-not-single", at, F.col("name")),
         finding(wrong, keys, "domain.composite-data-type", at, F.col("composite")),
         finding(named, keys, "domain.composite-coordinates", at, F.array_join("coordinates", ",")),
         finding(extra, keys, "domain.extra-axis-not-single", at, F.col("name")),
-        finding(domains.filter("referencing is null or size(referencing) = 0"), keys, "domain.missing-referencing", F.lit("/domain")),
-        finding(domains.filter(none), keys, "domain.missing-domain-type", F.lit("/domain")),
+        finding(domains.filter("referencing is null or size(referencing) = 0"), keys, "domain.missing-referencing", F.lit("/domain/referencing")),
+        finding(domains.filter(none), keys, "domain.missing-domain-type", F.lit("/domain/domainType")),
     ])
 
 
@@ -92,9 +92,9 @@ def axis_form_issues(axes: DataFrame, keys: Sequence[str]) -> DataFrame:
     members = F.filter(F.array(*[F.when(F.col(f"axis.{m}").isNotNull(), m) for m in ("start", "stop", "num")]), lambda x: x.isNotNull())
     plain = F.coalesce(F.col("axis.dataType"), F.lit("")).isin("tuple", "polygon")
     return report([
-        finding(axes.filter(F.size("axis.bounds") != 2 * size), keys, "axis.bounds-length", at, F.size("axis.bounds")),
+        finding(axes.filter(F.size("axis.bounds") != 2 * size), keys, "axis.bounds-length", F.concat(at, F.lit("/bounds")), F.size("axis.bounds")),
         finding(axes.filter(F.col("axis.values").isNotNull() & (F.size(members) > 0)), keys, "axis.form-conflict", at, F.array_join(members, ",")),
-        finding(axes.filter(~plain & (F.col("axis.coordinates") == F.array("name"))), keys, "axis.coordinates-not-omitted", at, F.col("name")),
+        finding(axes.filter(~plain & (F.col("axis.coordinates") == F.array("name"))), keys, "axis.coordinates-not-omitted", F.concat(at, F.lit("/coordinates")), F.col("name")),
     ])
 
 
@@ -136,23 +136,24 @@ def ndarray_issues(arrays: DataFrame, keys: Sequence[str]) -> DataFrame:
     """arrays: keys, key, shape, axis_names, n_values."""
     at = json_pointer(F.lit("ranges"), F.col("key"))
     return report([
-        finding(arrays.filter(F.size("shape") != F.size("axis_names")), keys, "ndarray.shape-rank", at),
-        finding(arrays.filter(product(F.col("shape")) != F.col("n_values")), keys, "ndarray.value-count", at, F.col("n_values")),
+        finding(arrays.filter(F.size("shape") != F.size("axis_names")), keys, "ndarray.shape-rank", F.concat(at, F.lit("/shape"))),
+        finding(arrays.filter(product(F.col("shape")) != F.col("n_values")), keys, "ndarray.value-count", F.concat(at, F.lit("/values")), F.col("n_values")),
     ])
 
 
 def range_issues(ranges: DataFrame, axes: DataFrame, parameters: DataFrame, keys: Sequence[str]) -> DataFrame:
     """ranges: keys, key, shape, axis_names. axes: keys, name, size. parameters: keys, key."""
     keys = list(keys)
-    each = ranges.select(*keys, "key", F.explode(F.arrays_zip(F.col("axis_names").alias("name"), F.col("shape").alias("n"))).alias("x")).select(*keys, "key", "x.name", "x.n")
+    each = ranges.select(*keys, "key", F.posexplode(F.arrays_zip(F.col("axis_names").alias("name"), F.col("shape").alias("n"))).alias("k", "x")).select(*keys, "key", "k", "x.name", "x.n")
     at = json_pointer(F.lit("ranges"), F.col("key"))
+    place = lambda member: json_pointer(F.lit("ranges"), F.col("key"), F.lit(member), F.col("k"))
     unknown = each.join(axes.select(*keys, "name"), [*keys, "name"], "left_anti")
     unequal = each.join(axes.select(*keys, "name", "size"), [*keys, "name"]).filter("n <> size")
     lacking = ranges.join(parameters.select(*keys).distinct(), keys, "left_semi").join(parameters.select(*keys, "key"), [*keys, "key"], "left_anti")
     return report([
         finding(lacking, keys, "coverage.range-without-parameter", at, F.col("key")),
-        finding(unknown, keys, "coverage.range-axis-not-in-domain", at, F.col("name")),
-        finding(unequal, keys, "coverage.range-shape-mismatch", at, F.col("name")),
+        finding(unknown, keys, "coverage.range-axis-not-in-domain", place("axisNames"), F.col("name")),
+        finding(unequal, keys, "coverage.range-shape-mismatch", place("shape"), F.col("name")),
     ])
 
 
@@ -194,10 +195,10 @@ def domain_type_issues(members: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def system_issues(systems: DataFrame, keys: Sequence[str]) -> DataFrame:
     """systems: keys, conn_idx, kind, calendar, target."""
-    at = json_pointer(F.lit("domain"), F.lit("referencing"), F.col("conn_idx"))
+    at = lambda member: json_pointer(F.lit("domain"), F.lit("referencing"), F.col("conn_idx"), F.lit("system"), F.lit(member))
     return report([
-        finding(systems.filter("kind = 'TemporalRS' and calendar is null"), keys, "temporal.missing-calendar", at),
-        finding(systems.filter("kind = 'IdentifierRS' and target is null"), keys, "identifier.missing-target-concept", at),
+        finding(systems.filter("kind = 'TemporalRS' and calendar is null"), keys, "temporal.missing-calendar", at("calendar")),
+        finding(systems.filter("kind = 'IdentifierRS' and target is null"), keys, "identifier.missing-target-concept", at("targetConcept")),
     ])
 
 

@@ -627,3 +627,6 @@ def document_quarantine(spark, sf_dir):
     body = F.when(m == 0, '{"type":"Domain","axes":{}}').when(m == 1, '{"type":"Other"}').when(m == 2, '{"type":').otherwise("{}")
     _, bad = documents.decode(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), body.alias("body")))
     return bad.select(F.col("doc_id").alias("n_nationkey"), "error")
+
+
+from isomere.plans import whole_documents  # noqa: E402, F401 its queries are added to these

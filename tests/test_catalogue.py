@@ -30,6 +30,7 @@ def test_query(spark, con, name):
 
 
 def test_every_query_has_sql():
+    assert {"decode_props", "validate_documents"} <= set(catalogue.QUERIES)
     assert set(catalogue.QUERIES) == set(catalogue.ORACLE_SQL)
 
 

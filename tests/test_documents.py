@@ -64,7 +64,7 @@ def test_axis_form_findings(spark):
     good, _ = documents.decode(spark.createDataFrame([(0, body)], "doc_id int, body string"))
     rows = documents.axes(documents.effective(documents.coverages(good)))
     got = {(r.code, r.at, r.detail) for r in validate.axis_form_issues(rows, ["doc_id"]).collect()}
-    assert got == {("axis.bounds-length", "/domain/axes/x", "3"), ("axis.form-conflict", "/domain/axes/y", "num"), ("axis.coordinates-not-omitted", "/domain/axes/t", "t")}
+    assert got == {("axis.bounds-length", "/domain/axes/x/bounds", "3"), ("axis.form-conflict", "/domain/axes/y", "num"), ("axis.coordinates-not-omitted", "/domain/axes/t/coordinates", "t")}
 
 
 @pytest.mark.parametrize("values, at, strict", [
