@@ -137,7 +137,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 #: Bytes of text that a task works on at once.
-PIECE = 4_000_000
+PIECE = 2_000_000
 
 
 def pieces(batches, column: str = "text", most: int = PIECE):

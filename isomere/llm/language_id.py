@@ -26,7 +26,9 @@ SLOTS = 1 << 20
 #: Cost of a change of language, in natural log units; add-SMOOTH of the n-gram probabilities.
 SWITCH, SMOOTH = 12.0, 0.5
 #: Bytes of text that are labelled at once.
-PIECE = 3_000_000
+PIECE = 2_000_000
+#: Languages whose counts a task gathers before it sends them on.
+GATHERED = 8
 #: A language is written in a script that has this share of its letters.
 SCRIPT_SHARE = 0.01
 #: A letter belongs to a language's alphabet with this share of its letters.
@@ -83,10 +85,9 @@ class Signs:
         three = np.arange(2, len(text))
         three = three[~blank[three - 1]]
         # One to three letters, as one number each: no letter is 0, so the lengths stay apart.
-        keys = [self.letters, self.signs[two - 1] << 21 | self.signs[two], self.signs[three - 2] << 42 | self.signs[three - 1] << 21 | self.signs[three]]
-        self.keys = np.concatenate(keys)
+        grams = [self.letters, self.signs[two - 1] << 21 | self.signs[two], self.signs[three - 2] << 42 | self.signs[three - 1] << 21 | self.signs[three]]
+        self.slots = np.concatenate([(mix(g.astype(U)) & U(SLOTS - 1)).astype(np.int32) for g in grams])
         self.words = np.concatenate([self.letter_word, of_two, word[three] - blank[three]])
-        self.slots = (mix(self.keys.astype(U)) & U(SLOTS - 1)).astype(np.int64)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -99,6 +100,17 @@ A_LETTER = -100
 
 def _count(batches):
     """(lang, key, n): how often each language's texts hold n-grams of each slot, letters of each script, and each letter."""
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # of each language by slot and by letter
+
+    def sent():
+        for name, (slots, letter) in held.items():
+            at = np.nonzero(letter)[0]
+            script = np.bincount(scripts_of(at), letter[at], OTHER + 1)
+            used = [np.nonzero(x)[0] for x in (slots, script)]
+            keys, n = np.concatenate([used[0], -1 - used[1], A_LETTER - at]), np.concatenate([slots[used[0]], script[used[1]], letter[at]])
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(keys), pa.string()), "gram": keys, "n": n.astype(np.int64)})
+        held.clear()
+
     for b in pieces(batches, most=PIECE):
         words, of = split_words(b.column("text"))
         names, at = numbered(letters(words)) if len(words) else (pa.array([], pa.string()), np.zeros(0, np.int64))
@@ -110,14 +122,15 @@ def _count(batches):
         place = np.cumsum(full) - 1
         lang, at = lang[full[at]], place[at[full[at]]]
         signs = Signs(names.filter(pa.array(full)))
-        keys = np.concatenate([signs.slots, -1 - scripts_of(signs.letters), A_LETTER - signs.letters])
-        owner = np.concatenate([signs.words, signs.letter_word, signs.letter_word])
-        kinds, which = np.unique(keys, return_inverse=True)
         for k, name in enumerate(langs.dictionary.to_pylist()):
             n = np.bincount(at[lang == k], minlength=len(signs.size))
-            counts = np.bincount(which, n[owner], len(kinds)).astype(np.int64)
-            seen = counts > 0
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * int(seen.sum()), pa.string()), "gram": kinds[seen], "n": counts[seen]})
+            if n.any():
+                slots, letter = held.setdefault(name, (np.zeros(SLOTS), np.zeros(0x110000)))
+                slots += np.bincount(signs.slots, n[signs.words], SLOTS)
+                letter += np.bincount(signs.letters, n[signs.letter_word], 0x110000)
+        if len(held) > GATHERED:
+            yield from sent()
+    yield from sent()
 
 
 class Model:
