@@ -200,27 +200,60 @@ def test_quality_rejects_outliers(spark):
     assert all(got[i].kept for i, _, _ in clean if not got[i].base_failed)
 
 
-def test_kneser_ney_sums_to_one(spark):
-    rows = [("en", "abba baab abab bbaa aabb abcd"), ("de", "xyx yxx")]
-    model = quality.train(spark.createDataFrame(rows, "lang string, text string"))
-    lang = model.langs.index("en")
-    from isomere.llm.quality import ORDER, hashed
-
-    for context in ("   ", "  a", " ab", "aba", "zzz"):
-        total = 0.0
-        for sign in "abcd\n":
-            row = np.array([[ord(c) for c in context + sign]])
-            p, n = 0.0, ORDER
-            while n:
-                found, value = model._find(*model.grams, hashed(np.array([lang]), row[:, ORDER - n :], 0))
-                if found[0]:
-                    p += value[0]
-                    break
-                held, weight = model._find(*model.contexts, hashed(np.array([lang]), row[:, ORDER - n : -1], 1))
-                p += weight[0] if held[0] else 0.0
-                n -= 1
-            total += math.exp(p + (model.least[lang] if not n else 0.0))
-        assert abs(total - 1) < 0.2 and total <= 1.0001  # the rest goes to signs never seen
+def kneser_ney(words, fold):
+    """log p of a tuple of folded signs, as a function, by modified Kneser-Ney over the words' windows."""
+    order, kinds = quality.ORDER, 31
+    counts = {order: collections.Counter()}
+    for w in words:
+        signs = [quality.BEFORE] * (order - 1) + fold(w) + [quality.LAST]
+        counts[order].update(tuple(signs[i : i + order]) for i in range(len(w) + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    cuts = {}
+    for k, c in counts.items():
+        n = [sum(v == i for v in c.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0
+        known = n[1] + 2 * n[2]
+        cuts[k] = [min(i - 0.05, max(0.05, i - (i + 1) * y * n[i + 1] / n[i])) if known and n[i] else 0.5 * i for i in (1, 2, 3)]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / kinds
+        same = {h: n for h, n in counts[k].items() if h[:-1] == g[:-1]}
+        if not same:
+            return p(g[1:])
+        cut = lambda n: cuts[k][min(n, 3) - 1]
+        total, n = sum(same.values()), same.get(g, 0)
+        return ((n - cut(n)) if n else 0) / total + sum(map(cut, same.values())) / total * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney(spark):
+    """Every probability is that of a plain model, and those of all signs in a context sum to one."""
+    words = "abba baab abab bbaa aabb abcd abba 12-3 ÉÈ abab".split()
+    raw, signs = quality.counted(spark.createDataFrame([("en", " ".join(words)), ("de", "xyx yxx")], "lang string, text string"))
+    model = quality.train(raw, quality.Alphabets(signs))
+    lang = model.alphabets.langs.index("en")
+    fold = lambda w: model.alphabets.fold(np.full(len(w), lang), np.array([ord(c) for c in w])).tolist()
+    p = kneser_ney(words, fold)
+    contexts = [tuple(fold(c)) for c in ("   ", "  a", " ab", "aba", "zzz", "12-", "q9a")]
+    for context in contexts:
+        rows = [(*context, s) for s in range(1, 32)]
+        g = np.array([sum(s << 5 * (3 - i) for i, s in enumerate(r)) for r in rows])
+        got = np.exp(model.logs(np.full(31, lang), g))
+        assert abs(got.sum() - 1) < 1e-5 and np.allclose(got, [p(r) for r in rows], rtol=1e-4)
+
+
+def test_quality_languages_in_turn(spark, monkeypatch):
+    """More languages than have their models with the tasks at once give the same results."""
+    rows = [(i, " ".join(f"{'abcdefgh'[(i + k) % 8]}{'aeiou'[k % 5]}{i % 3}" for k in range(30)), f"l{i % 5}" if i % 11 else None) for i in range(120)]
+    frame, found = spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), []
+    for n in (8, 2):
+        monkeypatch.setattr(quality, "AT_ONCE", n)
+        found.append({r.doc_id: r for r in quality.quality(frame).collect()})
+    assert len(found[0]) == 120 and all(found[1][i].kept == r.kept and math.isclose(found[1][i].perplexity, r.perplexity, rel_tol=1e-6) for i, r in found[0].items())
 
 
 def test_quality_empty(none):
