@@ -15,7 +15,7 @@ def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_dedup(table(spark, sf_dir, "documents"), words=2, percent=80)
+    return minhash.near_dedup(table(spark, sf_dir, "documents"), words=2, percent=80).drop("class")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +40,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    known = labels.select(F.col("doc_id").alias("page_id"), (F.col("toxic") == 1).alias("block")).filter("block is not null")
-    return url_filter.url_filter(pages, pages.join(known, "page_id").select("url", "block"))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.url_filter(pages, url_filter.by_rules(pages, url_filter.RULES))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,5 +52,61 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.query(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_minhash, op3_quality, op4_byte_bpe, op5_exact_dedup, op6_secret_scan, op7_language_id, op8_url_filter, op9_mixing, op10_token_file)}
-ORACLE_SQL = {"op5_exact_dedup": exact_dedup.SQL, "op6_secret_scan": secret_scan.sql()}
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1_pitman_yor that SQL can express."""
+    found = op1_pitman_yor(spark, sf_dir)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_quality that SQL can express."""
+    return op3_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and fixed rule of op8_url_filter, and its verdict where a rule fits."""
+    return op8_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a text of ASCII characters in DuckDB's SQL, bit by bit."""
+    bit = "CASE WHEN d % 2 = 1 THEN xor(d // 2, 3988292384) ELSE d // 2 END"
+    byte = f"list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda d, z: {bit})"
+    codes = f"list_transform(string_split(CAST({text} AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {byte}), 4294967295::BIGINT)"
+
+
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+NEAR_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS low FROM documents UNION SELECT b, low FROM r JOIN both_ways ON a = doc_id),
+c AS (SELECT doc_id, min(low) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""
+LM_SQL = f"""WITH w AS (SELECT doc_id, list_append({WORDS}, ' ') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS t FROM w), crc AS (SELECT doc_id, {crc32_sql("doc_id")} % 7 = 2 AS held_out FROM documents),
+c AS (SELECT t, count(*) AS c FROM t JOIN crc USING (doc_id) WHERE NOT held_out GROUP BY 1), m AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n)::BIGINT AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) AS base_score
+FROM t JOIN crc USING (doc_id) LEFT JOIN c USING (t), m GROUP BY 1, 2"""
+QUALITY_SQL = r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+x AS (SELECT doc_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS x FROM w WHERE len(w) > 4),
+g AS (SELECT doc_id, unnest(x) AS g, generate_subscripts(x, 1) AS i FROM x), k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+q AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM k WHERE n > 1) GROUP BY 1)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+(len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(w) < 10 OR 100 * coalesce(n, 0) > 20 * len(w) AS base_failed
+FROM w JOIN l USING (doc_id) LEFT JOIN q USING (doc_id)"""
+RULES_SQL = r"""WITH h AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM h),
+r(verdict, rh, rp) AS (VALUES """ + ", ".join(map(str, url_filter.RULES)) + r"""),
+f AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
+SELECT page_id, host, path, rule, verdict FROM p LEFT JOIN f USING (page_id)"""
+
+QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_minhash, op3_quality, op4_byte_bpe, op5_exact_dedup, op6_secret_scan, op7_language_id, op8_url_filter, op9_mixing, op10_token_file, lm_base, quality_base, url_rules)}
+ORACLE_SQL = {
+    "op2_minhash": NEAR_SQL, "op5_exact_dedup": exact_dedup.SQL, "op6_secret_scan": secret_scan.sql(),
+    "lm_base": LM_SQL, "quality_base": QUALITY_SQL, "url_rules": RULES_SQL,
+}

@@ -5,8 +5,12 @@ frequent together with the label are found by Spark's FP-growth; rules below the
 rules that a part of their tokens implies with no less confidence, are pruned. A rule is indexed under its rarest token; a
 URL looks up its tokens in that index, and candidates are verified against the whole rule. DataFrame, SQL and Spark ML only.
 
+Labels must belong to URLs. The query's are the verdicts of the fixed rules on all pages, so mined rules carry these over to
+URLs that have the same tokens in other places.
+
 A null URL, or one without ://, has empty host and path, no tokens, and is allowed. Repeated rows give repeated results,
 null page_ids are kept, extra columns are ignored, an empty table gives an empty result, and without labels no rule is mined.
+Very long URLs are read whole. Of equally rare tokens a rule is indexed under the first by name.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 
-#: Of the mined rules: least share of the labelled URLs, least confidence, least lift.
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.8, 1.2
+#: Of the mined rules: least share and least number of the labelled URLs, least confidence, least lift.
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 20, 0.8, 1.2
 LABEL = "label=block"
 
 
@@ -68,11 +72,20 @@ def tokens(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def by_rules(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url") -> DataFrame:
+    """Labels (url, block) of all URLs: whether a fixed rule blocks them."""
+    urls = pages.select(F.col(url_col).alias("url")).filter("url is not null")
+    verdict = fixed_rule(host(F.col("url")), path(F.col("url")), rules)[1]
+    return urls.select("url", F.coalesce(verdict == "block", F.lit(False)).alias("block"))
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_count: int = MIN_COUNT) -> DataFrame:
     """Rules (antecedent, confidence, support, rarest) for blocking, from labelled (url, block boolean).
 
-    The least support bounds the tokens kept, by their number a URL over min_support, whatever the number of URLs.
+    The least support bounds the tokens kept, by their number a URL over min_support, whatever the number of URLs; the least
+    count keeps a few URLs of a small table from making a rule.
     """
+    min_support = min(1.0, max(min_support, min_count / max(1, labelled.count())))
     baskets = labelled.select(F.when(F.col("block"), F.array_append(tokens(F.col("url")), LABEL)).otherwise(tokens(F.col("url"))).alias("items"))
     model = FPGrowth(minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter(
