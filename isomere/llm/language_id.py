@@ -27,6 +27,8 @@ SLOTS = 1 << 20
 SWITCH, SMOOTH = 12.0, 0.5
 #: Bytes of text that are labelled at once.
 PIECE = 2_000_000
+#: Distinct words whose n-grams are taken at once.
+WORDS = 20_000
 #: Languages whose counts a task gathers before it sends them on.
 GATHERED = 8
 #: A language is written in a script that has this share of its letters.
@@ -121,13 +123,18 @@ def _count(batches):
             continue
         place = np.cumsum(full) - 1
         lang, at = lang[full[at]], place[at[full[at]]]
-        signs = Signs(names.filter(pa.array(full)))
-        for k, name in enumerate(langs.dictionary.to_pylist()):
-            n = np.bincount(at[lang == k], minlength=len(signs.size))
-            if n.any():
-                slots, letter = held.setdefault(name, (np.zeros(SLOTS), np.zeros(0x110000)))
-                slots += np.bincount(signs.slots, n[signs.words], SLOTS)
-                letter += np.bincount(signs.letters, n[signs.letter_word], 0x110000)
+        names = names.filter(pa.array(full))
+        counts = [np.bincount(at[lang == k], minlength=len(names)) for k in range(len(langs.dictionary))]
+        for start in range(0, len(names), WORDS):
+            signs = Signs(names.slice(start, WORDS))
+            for name, all_ in zip(langs.dictionary.to_pylist(), counts, strict=True):
+                n = all_[start : start + WORDS]
+                if n.any():
+                    slots, letter = held.get(name, (np.zeros(SLOTS, np.int32), np.zeros(0)))
+                    np.add.at(slots, signs.slots, n[signs.words].astype(np.int32))
+                    here = np.bincount(signs.letters, n[signs.letter_word], len(letter))
+                    here[: len(letter)] += letter
+                    held[name] = slots, here
         if len(held) > GATHERED:
             yield from sent()
     yield from sent()
@@ -147,11 +154,14 @@ class Model:
         explained = np.zeros(len(words), bool)
         out, size = np.zeros((len(words), len(self.langs)), np.float32), np.zeros(len(words), np.int64)
         own = letters(words)
-        full = pc.not_equal(own, "").to_numpy(zero_copy_only=False)
-        if not full.any():
-            return out, size, explained
-        signs = Signs(own.filter(pa.array(full)))
-        size[full] = signs.size
+        full = np.nonzero(pc.not_equal(own, "").to_numpy(zero_copy_only=False))[0]
+        for start in range(0, len(full), WORDS):
+            at = full[start : start + WORDS]
+            out[at], size[at], explained[at] = self._scores(own.take(pa.array(at)))
+        return out, size, explained
+
+    def _scores(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        signs = Signs(words)
         script, found = scripts_of(signs.letters), []
         for k in range(len(self.langs)):
             able = np.ones(len(signs.size), bool)
@@ -160,10 +170,8 @@ class Model:
         able = np.stack([a for _, a in found], axis=1)
         random = -(6 * signs.size[:, None] + 2) * np.log(self.alphabet) - (3 * signs.size[:, None] + 1) * np.log(3)
         value = np.stack([v for v, _ in found], axis=1)
-        explained[full] = (able & (value >= random)).any(axis=1)
         # A word in scripts of no language, or in mixed ones, keeps all candidates.
-        out[full] = value - 1e4 * (~able & able.any(axis=1)[:, None])
-        return out, size, explained
+        return value - 1e4 * (~able & able.any(axis=1)[:, None]), signs.size, (able & (value >= random)).any(axis=1)
 
 
 def train(labelled: DataFrame) -> Model:
