@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpoint, join_counted
+from .common import SPACE, checkpoint, join_counted, stored
 
 BLOCK_CHARS = 4096
 
@@ -112,11 +112,16 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 def drop_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with their columns."""
-    keep = exact_dedup(docs, text_col, id_col).filter("kept").select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
+    found = stored(exact_dedup(docs, text_col, id_col).select("doc_id", "text_sha256", "kept"))
+    keep = found.filter("kept").select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
+    again = stored(found.groupBy("doc_id", "text_sha256").count().filter("count > 1").select(F.col("doc_id").alias("__again_id"), F.col("text_sha256").alias("__again_sha")))
     own = docs.withColumn("__own_sha", F.sha2(normalised(F.col(text_col)), 256))
-    one = own.dropDuplicates([id_col, "__own_sha"])
     same = (F.col("__own_sha") == F.col("__keep_sha")) & F.col(id_col).eqNullSafe(F.col("__keep_id"))
-    return one.join(keep, same, "left_semi").select(docs.columns)
+    kept = own.join(keep, same, "left_semi")
+    if again.head(1):  # only rows that stand there twice, with id and text, need be put together
+        twice = (F.col("__own_sha") == F.col("__again_sha")) & F.col(id_col).eqNullSafe(F.col("__again_id"))
+        kept = kept.join(again, twice, "left_anti").unionByName(kept.join(again, twice, "left_semi").dropDuplicates([id_col, "__own_sha"]))
+    return kept.select(docs.columns)
 
 
 SQL = r"""
