@@ -1,7 +1,9 @@
 """A corpus pipeline: language ID, exact dedup, near-dedup, mixing to target weights, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All stages but the last return the columns of documents.
+stage's docs. All stages but the last return the columns of documents. A null or empty text is not identified and goes in
+the first stage; very long texts pass whole; of repeated rows and ties one row stays, by the operators' rules; empty tables
+give empty results; extra columns stay as they are up to the last stage.
 """
 
 from __future__ import annotations
@@ -17,27 +19,32 @@ from isomere.llm import byte_bpe, common, exact_dedup, language_id, minhash, mix
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that no language fits; one without a language in its column gets the one found."""
+    common.small_batches(spark)
     learnt = docs.filter(~language_id.held_out(F.col("doc_id"))).select("lang", "text")
     return language_id.keep_identified(docs, language_id.train(learnt))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    common.small_batches(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    common.small_batches(spark)
     return minhash.drop_near_copies(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample with the target shares of sources, languages and topics."""
+    common.small_batches(spark)
     return mixing.sample(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    common.small_batches(spark)
     return byte_bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
