@@ -41,3 +41,21 @@ def valid_language_tag(tag: Column) -> Column:
 def json_pointer(*parts: Column) -> Column:
     escaped = [F.concat(F.lit("/"), F.replace(F.replace(p.cast("string"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))) for p in parts]
     return reduce(lambda a, b: F.concat(a, b), escaped, F.lit(""))
+
+
+def json_string(text: Column) -> Column:
+    """A text as JSON writes it, with quotes; null for null."""
+    inner = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substring(inner, F.lit(2), F.char_length(inner) - 2))
+
+
+def member_texts(text: Column | str) -> Column:
+    """The members of an object's text, each as JSON text, in the order of the object; 1.50 becomes 1.5, 2.0 stays."""
+    typed = F.from_json(text, "map<string,variant>")
+    return F.transform_values(F.from_json(text, "map<string,string>"), lambda k, v: F.when(F.regexp_like(v, F.lit(r"^\s*[\[{]")) & (F.schema_of_variant(typed[k]) != "STRING"), v).otherwise(F.coalesce(F.to_json(typed[k]), F.lit("null"))))
+
+
+def object_text(texts: Column) -> Column:
+    """The text of an object with the members of member_texts()."""
+    pairs = F.transform(F.map_entries(texts), lambda e: F.concat(json_string(e["key"]), F.lit(":"), e["value"]))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,16 +66,17 @@ class FetchError(Exception):
         super().__init__(f"{first['kind']} fetching {first['url']}{more}")
 
 
-def halted(failures: DataFrame, keys: Sequence[str], order: Sequence[str], strategy: str = "collect_all", limit: int = 1) -> DataFrame:
+def halted(failures: DataFrame, keys: Sequence[str], order: Sequence[str], strategy: str | Callable[[Column, Column], Column] = "collect_all", limit: int = 1) -> DataFrame:
     """The failures that a strategy sees until it stops, with halt true on the one that it stops at.
 
+    strategy: one of those below, or a function from the number of failures so far and the kind of this one to a condition.
     fail_fast: the first; collect_all: all; halt_on_unrecoverable: up to the first that can't be tried again; stop_after: limit.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     n = F.row_number().over(window)
     if strategy == "stop_after" and limit < 1:
         raise ValueError("limit must be at least 1")
-    stop = {
+    stop = strategy(n, F.col("kind")) if callable(strategy) else {
         "fail_fast": n >= 1, "collect_all": F.lit(False), "stop_after": n >= limit, "halt_on_unrecoverable": F.col("kind") == "unrecoverable",
     }[strategy]
     marked = failures.withColumn("halt", stop)

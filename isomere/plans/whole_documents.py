@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isomere.functions import temporal as ft
-from isomere.operators import cf, conformance
+from isomere.operators import cf, cf_documents, conformance, fetching
 from isomere.plans import cases
 from isomere.plans.catalogue import query, table
+from isomere.sources.documents import decode
 
 N = len(cases.CASES)
 
@@ -70,3 +71,81 @@ def cf_coordinate_roles(spark, sf_dir):
     known = spark.createDataFrame([(i, *r[:-1]) for i, r in enumerate(ROLES)], "i int, name string, standard string, units string, axis string, positive string")
     rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % len(ROLES)).cast("int").alias("i")).join(F.broadcast(known), "i")
     return rows.select("c_custkey", cf.role(*[F.col(c) for c in ("name", "standard", "units", "axis", "positive")]).alias("role"))
+
+
+def linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, body) of a coverage a customer that refers to two URLs, within a collection for even keys; (url, body)."""
+    key = F.col("c_custkey").cast("string")
+    rows = table(spark, sf_dir, "customer")
+    cov = F.concat(F.lit('{"type":"Coverage","id":"'), key, F.lit('","domain":"http://x/d/'), key, F.lit('","ranges":{"p":"http://x/r/'), key, F.lit('","q":{"type":"NdArray","values":[2.0]}}}'))
+    body = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('{"type":"CoverageCollection","coverages":['), cov, F.lit("]}"))).otherwise(cov)
+    domain = rows.filter("c_custkey % 3 <> 0").select(F.concat(F.lit("http://x/d/"), key).alias("url"), F.concat(F.lit('{"type":"Domain","axes":{"b":{"values":['), key, F.lit("]}}}")).alias("body"))
+    kind = F.when(F.col("c_custkey") % 5 == 1, "Feature").otherwise("NdArray")
+    text = F.when(F.col("c_custkey") % 7 == 2, "{broken").otherwise(F.concat(F.lit('{"type":"'), kind, F.lit('","values":['), key, F.lit("]}")))
+    ranges = rows.filter("c_custkey % 11 <> 0").select(F.concat(F.lit("http://x/r/"), key).alias("url"), text.alias("body"))
+    return rows.select(F.col("c_custkey").alias("doc_id"), body.alias("body")), domain.unionByName(ranges)
+
+
+SITES = """WITH k AS (SELECT c_custkey AS doc_id, c_custkey::VARCHAR AS k, c_custkey % 3 <> 0 AS d,
+CASE WHEN c_custkey % 11 = 0 THEN 'no document' WHEN c_custkey % 7 = 2 THEN 'not JSON' WHEN c_custkey % 5 = 1 THEN 'unexpected type Feature' END AS r FROM customer)"""
+
+
+@query(SITES + """ SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{"type":"CoverageCollection","coverages":[' || cov || ']}' ELSE cov END AS body FROM (SELECT doc_id,
+'{"type":"Coverage","id":"' || k || '","domain":' || CASE WHEN d THEN '{"type":"Domain","axes":{"b":{"values":[' || k || ']}}}' ELSE '"http://x/d/' || k || '"' END
+|| ',"ranges":{"p":' || CASE WHEN r IS NULL THEN '{"type":"NdArray","values":[' || k || ']}' ELSE '"http://x/r/' || k || '"' END || ',"q":{"type":"NdArray","values":[2.0]}}}' AS cov FROM k)""")
+def resolve_documents(spark, sf_dir):
+    bodies, others = linked(spark, sf_dir)
+    return fetching.resolve_references(decode(bodies)[0], others)[0]
+
+
+@query(SITES + """ SELECT doc_id, 0 AS cov_idx, -1 AS slot_ord, 'domain' AS slot, 'http://x/d/' || k AS url, 'transient' AS kind, 'no document' AS message FROM k WHERE NOT d
+UNION ALL SELECT doc_id, 0, 0, 'p', 'http://x/r/' || k, CASE r WHEN 'no document' THEN 'transient' ELSE 'unrecoverable' END, r FROM k WHERE r IS NOT NULL""")
+def resolve_documents_failures(spark, sf_dir):
+    bodies, others = linked(spark, sf_dir)
+    return fetching.resolve_references(decode(bodies)[0], others)[1]
+
+
+def tiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, body) of a tiled array of 3 x 4 a customer, and its tiles of 2 x 3 (url, body), one in seven of them lost."""
+    rows, key = table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
+    body = F.concat(F.lit('{"type":"TiledNdArray","dataType":"float","axisNames":["y","x"],"shape":[3,4],"tileSets":[{"tileShape":[1,1],"urlTemplate":"http://x/'), key, F.lit('/{y}/{x}"},{"tileShape":[2,3],"urlTemplate":"http://x/'), key, F.lit('/{y}-{x}"}]}'))
+    parts = rows.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n")).filter("(c_custkey + n) % 7 <> 0")
+    y, x = F.floor(F.col("n") / 2).cast("int"), (F.col("n") % 2).cast("int")
+    h, w = F.when(y == 0, 2).otherwise(1), F.when(x == 0, 3).otherwise(1)
+    cell = lambda i: (F.col("c_custkey") * 100 + (y * 2 + F.floor(i / w)) * 4 + x * 3 + i % w).cast("string")
+    values = F.array_join(F.transform(F.sequence(F.lit(0), h * w - 1), cell), ",")
+    text = F.concat(F.lit('{"type":"NdArray","dataType":"float","axisNames":["y","x"],"shape":['), h.cast("string"), F.lit(","), w.cast("string"), F.lit('],"values":['), values, F.lit("]}"))
+    return rows.select(F.col("c_custkey").alias("doc_id"), body.alias("body")), parts.select(F.concat(F.lit("http://x/"), key, F.lit("/"), y.cast("string"), F.lit("-"), x.cast("string")).alias("url"), text.alias("body"))
+
+
+@query("""SELECT c_custkey AS doc_id, i AS flat_idx, CASE WHEN (c_custkey + (i // 8) * 2 + (i % 4) // 3) % 7 <> 0 THEN CAST(c_custkey * 100 + i AS VARCHAR) END AS value FROM customer, range(0, 12) r(i)""")
+def assemble_documents(spark, sf_dir):
+    bodies, others = tiled(spark, sf_dir)
+    return fetching.assemble(bodies, others, ["doc_id"])[0].select("doc_id", "flat_idx", "value")
+
+
+@query("""SELECT c_custkey AS doc_id, 'http://x/' || c_custkey || '/' || n // 2 || '-' || n % 2 AS url, 'transient' AS kind FROM customer, range(0, 4) r(n) WHERE (c_custkey + n) % 7 = 0""")
+def assemble_documents_failures(spark, sf_dir):
+    bodies, others = tiled(spark, sf_dir)
+    return fetching.assemble(bodies, others, ["doc_id"])[1].select("doc_id", "url", "kind")
+
+
+@query("""SELECT c_custkey::VARCHAR AS doc_id, '{"type":"Coverage","domain":{"type":"Domain","domainType":"PointSeries","axes":{"t":{"values":["2020-01-01T00:00:00Z","2020-01-02T00:00:00Z"]},"x":{"values":[' || c_custkey || '.0]},"y":{"values":[2.0]}},"referencing":[{"coordinates":["x","y"],"system":{"type":"GeographicCRS"}},{"coordinates":["t"],"system":{"type":"TemporalRS","calendar":"Gregorian"}}]},"parameters":{"v":{"type":"Parameter","observedProperty":{"label":{"und":"v"}},"unit":{"symbol":"m"}}},"ranges":{"v":{"type":"NdArray","dataType":"float","axisNames":["t"],"shape":[2],"values":[' || c_custkey || '.0,' || c_custkey || '.5]}}}' AS body FROM customer WHERE c_custkey % 5 <> 0""")
+def cf_to_documents(spark, sf_dir):
+    ds, key = F.col("c_custkey").cast("string").alias("ds_id"), F.col("c_custkey").cast("double")
+    rows = table(spark, sf_dir, "customer")
+    lost = F.col("c_custkey") % 5 == 0
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    unit = F.create_map(F.lit("units"), F.lit("m"))
+    no_dims, one_dim = F.array().cast("array<string>"), F.array(F.lit("t"))
+    told = [("lon", no_dims, none, True, False), ("lat", no_dims, none, True, False), ("t", one_dim, none, True, True), ("v", one_dim, unit, False, False)]
+    each = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(n).alias("name"), d.alias("dims"), a.alias("attrs"), F.lit(c).alias("is_coord"), F.lit(t).alias("is_time")) for k, (n, d, a, c, t) in enumerate(told)])
+    cell = lambda name, idx, number, text: F.struct(F.lit(name).alias("name"), F.lit(idx).alias("idx"), number.cast("double").alias("number"), text.cast("string").alias("text"))
+    null = F.lit(None)
+    cells = F.array(
+        cell("lon", 0, key, null), cell("lat", 0, F.lit(2), null), cell("t", 0, null, F.lit("2020-01-01T00:00:00Z")), cell("t", 1, null, F.when(~lost, "2020-01-02T00:00:00Z")),
+        cell("v", 0, key, null), cell("v", 1, key + 0.5, null),
+    )
+    variables, values = (rows.select(ds, F.inline(x)) for x in (each, cells))
+    sizes = rows.select(ds, F.lit("t").alias("dim"), F.lit(2).alias("size"))
+    return cf_documents.documents(variables, values, sizes, rows.select(ds, none.alias("attrs")))[0]
