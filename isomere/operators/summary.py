@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isomere.functions.axes import regular_values
+from isomere.functions.text import display
+from isomere.operators.conformance import Parts
+
 
 def escape(text: Column) -> Column:
     out = text
@@ -17,3 +21,64 @@ def card(title: Column, rows: Column) -> Column:
     """rows: map of labels to texts, in order."""
     lines = F.transform(F.map_entries(rows), lambda e: F.concat(F.lit("<tr><th>"), escape(e["key"]), F.lit("</th><td>"), escape(F.coalesce(e["value"], F.lit(""))), F.lit("</td></tr>")))
     return F.concat(F.lit("<div><strong>"), escape(title), F.lit("</strong><table>"), F.array_join(lines, ""), F.lit("</table></div>"))
+
+
+#: Values that a preview shows at either end.
+SHOWN = 3
+
+
+def grid(header: list[str], rows: Column) -> Column:
+    """A table with a header, of rows (arrays of texts); empty without rows."""
+    cells = lambda tag, texts: F.concat(F.lit("<tr>"), F.array_join(F.transform(texts, lambda x: F.concat(F.lit(f"<{tag}>"), escape(F.coalesce(x, F.lit(""))), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
+    body = F.array_join(F.transform(rows, lambda r: cells("td", r)), "")
+    return F.when(F.size(rows) > 0, F.concat(F.lit("<table>"), cells("th", F.array(*map(F.lit, header))), body, F.lit("</table>"))).otherwise(F.lit(""))
+
+
+def preview(tokens: Column) -> Column:
+    """The first and last values of a list of texts, with dots between them if some are left out."""
+    tokens = F.transform(tokens, lambda t: F.coalesce(t, F.lit("null")))
+    short = F.concat(F.array_join(F.slice(tokens, 1, SHOWN), ", "), F.lit(", …, "), F.array_join(F.slice(tokens, -SHOWN, SHOWN), ", "))
+    return F.when(F.size(tokens) <= 2 * SHOWN, F.array_join(tokens, ", ")).otherwise(short)
+
+
+def shape_text(names: Column, shape: Column) -> Column:
+    """Like y: 2 × x: 3; scalar without axes."""
+    pairs = F.zip_with(names, shape, lambda a, n: F.concat(F.coalesce(a, F.lit("?")), F.lit(": "), F.coalesce(n.cast("string"), F.lit("?"))))
+    return F.when(F.size(shape) == 0, "scalar").otherwise(F.array_join(pairs, " × "))
+
+
+def document_cards(decoded: DataFrame) -> DataFrame:
+    """(doc_id, path, html) of each coverage (path of the coverage) and each document that is a domain or an array.
+
+    A card lists axes by name, parameters and ranges by key; what it gathers are the parts of one coverage.
+    """
+    p = Parts(decoded)
+    cov = F.regexp_replace("path", "/domain$", "")
+    listed = F.transform("axis.values", lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
+    spread = F.transform(regular_values(F.col("axis.start"), F.col("axis.stop"), F.col("axis.num")), lambda v: v.cast("string"))
+    axis_row = F.array("name", F.col("size").cast("string"), preview(F.coalesce(listed, spread)))
+    axes = p.axes.select("doc_id", cov.alias("path"), F.col("name").alias("k"), axis_row.alias("row"), F.lit("axes").alias("of"))
+    unit = F.get_json_object("body", "$.unit.symbol")
+    symbol = F.coalesce(F.get_json_object("body", "$.unit.symbol.value"), unit, display(F.col("p.unit.label")))
+    own = p.parameters.withColumn("body", F.to_json("p"))
+    label = F.coalesce(display(F.col("p.label")), F.lit(""))
+    name = F.when(label == "", display(F.col("p.observedProperty.label"))).otherwise(label)
+    parameters = own.select("doc_id", F.col("cov").alias("path"), F.col("key").alias("k"), F.array("key", name, symbol).alias("row"), F.lit("parameters").alias("of"))
+    head = F.from_json("body", "struct<dataType:string,shape:array<int>,axisNames:array<string>,values:array<string>>")
+    none = F.array()
+    text = shape_text(F.coalesce(F.col("a.axisNames"), none.cast("array<string>")), F.coalesce(F.col("a.shape"), none.cast("array<int>")))
+    inline = F.col("kind") != "url"
+    ranges = p.ranges.withColumn("a", F.when(inline, head)).select(
+        "doc_id", F.coalesce("cov", F.lit("")).alias("path"), F.col("key").alias("k"), F.lit("ranges").alias("of"),
+        F.array("key", "kind", F.col("a.dataType"), F.when(inline, text), F.when(inline, preview(F.coalesce("a.values", none.cast("array<string>")))).otherwise(F.col("body"))).alias("row"),
+    )
+    rows = axes.unionByName(parameters).unionByName(ranges)
+    of = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("of") == name, F.struct("k", "row")))), lambda x: x["row"])
+    parts = rows.groupBy("doc_id", "path").agg(*[of(x).alias(x) for x in ("axes", "parameters", "ranges")])
+    kinds = p.domains.select("doc_id", cov.alias("path"), F.col("domain_type").alias("kind"))
+    titles = decoded.select("doc_id", "type").distinct()
+    whole = parts.join(kinds, ["doc_id", "path"], "left").join(titles, "doc_id")
+    title = F.concat_ws(" ", F.when(F.col("type") == "CoverageCollection", "Coverage").otherwise(F.col("type")), F.col("kind"))
+    sections = [F.when(F.size(x) > 0, F.concat(F.lit(f"<h4>{x.capitalize()}</h4>"), grid(h, F.col(x)))).otherwise("") for x, h in (
+        ("axes", ["name", "length", "values"]), ("parameters", ["key", "name", "unit"]), ("ranges", ["key", "kind", "type", "shape", "values"]))]
+    return whole.select("doc_id", "path", F.concat(F.lit("<div><strong>"), escape(title), F.lit("</strong>"), *sections, F.lit("</div>")).alias("html"))
