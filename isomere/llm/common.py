@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -141,6 +143,13 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def trim() -> None:
+    """Gives memory that this process has freed back to the machine, as a worker lives on for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 #: Bytes of text that a task works on at once.
 PIECE = 2_000_000
 
@@ -154,6 +163,7 @@ def pieces(batches, column: str = "text", most: int = PIECE):
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
             yield b.slice(start, stop - start)
             start = stop
+        trim()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import trim
+
 #: A chunk ends with the text that takes it to so many words.
 CHUNK_WORDS = 1_200_000
 #: Texts that are cut into words at once.
@@ -113,8 +115,10 @@ def chunks(batches: Iterator[pa.RecordBatch], split: Split, ends: bool = False)
             if sum(map(len, words)) >= CHUNK_WORDS:
                 yield Chunk(number, ids, words, lengths, learn, ends)
                 number, ids, words, lengths, learn = number + 1, [], [], [], []
+                trim()
     if ids:
         yield Chunk(number, ids, words, lengths, learn, ends)
+    trim()
 
 
 def _part(c: np.ndarray, parts: int) -> np.ndarray:
