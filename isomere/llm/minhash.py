@@ -180,6 +180,13 @@ def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sets, "class").join(hubs, "hub").select("hub", "class", "hub_hashes", "hashes").mapInArrow(_test(percent), TESTED)
 
 
+def _may_be_alike(percent: int):
+    """Whether two classes can be alike by their sizes and by what each shares with one hub: they share at most the lesser of
+    that, and of what else they have."""
+    most = F.least("common", "_common") + F.least(F.col("size") - F.col("common"), F.col("_size") - F.col("_common"))
+    return (100 + percent) * most >= percent * (F.col("size") + F.col("_size"))
+
+
 def posted(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Of TESTED with the group g of each class: long posts (bucket, class, n), and pairs (hub, class) to verify."""
     each = stored(found.select("hub", "class", "g", "size", "common", F.explode("novel").alias("e")))
@@ -189,7 +196,7 @@ def posted(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     long = shared.filter(F.col("n") > SHORT).select(F.xxhash64("hub", "e").alias("bucket"), "class", "n", "size", "common", "g")
     short = shared.filter(F.col("n") <= SHORT)
     other = short.select("hub", "e", *[F.col(c).alias(f"_{c}") for c in ("class", "g", "size", "common")])
-    met = short.join(other, ["hub", "e"]).filter("class < _class and g <> _g")
+    met = short.join(other, ["hub", "e"]).filter("class < _class and g <> _g").filter(_may_be_alike(percent))
     met = met.groupBy("hub", "class", "_class", "size", "_size", "common", "_common").agg(F.count("*").alias("c"))
     near = met.filter((100 + percent) * (F.col("c") + F.least("common", "_common")) >= percent * (F.col("size") + F.col("_size")))
 
@@ -276,8 +283,7 @@ def paired(members: DataFrame, percent: int) -> DataFrame:
     met = members.join(other, "bucket").filter("class > _class and g <> _g")
     met = met.filter(100 * F.least("size", "_size") >= percent * F.greatest("size", "_size"))
     if "common" in own:
-        most = F.least("common", "_common") + F.least(F.col("size") - F.col("common"), F.col("_size") - F.col("_common"))
-        met = met.filter((100 + percent) * most >= percent * (F.col("size") + F.col("_size")))
+        met = met.filter(_may_be_alike(percent))
     return met.select("class", F.col("_class").alias("hub"))
 
 
