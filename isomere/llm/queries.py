@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, minhash, mixing, pitman_yor, quality, secret_scan, token_file, url_filter
+from . import byte_bpe, exact_dedup, hash_ring, language_id, lexical_search, minhash, mixing, pitman_yor, prefix_trie, quality, secret_scan, token_file, url_filter
 from .common import table
 
 
@@ -52,6 +52,18 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.query(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_ring.query(table(spark, sf_dir, "documents"))
+
+
 def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op1_pitman_yor that SQL can express."""
     found = op1_pitman_yor(spark, sf_dir)
@@ -105,8 +117,9 @@ r(verdict, rh, rp) AS (VALUES """ + ", ".join(map(str, url_filter.RULES)) + r"""
 f AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
 SELECT page_id, host, path, rule, verdict FROM p LEFT JOIN f USING (page_id)"""
 
-QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_minhash, op3_quality, op4_byte_bpe, op5_exact_dedup, op6_secret_scan, op7_language_id, op8_url_filter, op9_mixing, op10_token_file, lm_base, quality_base, url_rules)}
+QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_minhash, op3_quality, op4_byte_bpe, op5_exact_dedup, op6_secret_scan, op7_language_id, op8_url_filter, op9_mixing, op10_token_file, op11_prefix_trie, op12_lexical_search, op13_hash_ring, lm_base, quality_base, url_rules)}
 ORACLE_SQL = {
     "op2_minhash": NEAR_SQL, "op5_exact_dedup": exact_dedup.SQL, "op6_secret_scan": secret_scan.sql(),
+    "op11_prefix_trie": prefix_trie.sql(crc32_sql("conv_id")), "op12_lexical_search": lexical_search.SQL, "op13_hash_ring": hash_ring.sql(),
     "lm_base": LM_SQL, "quality_base": QUALITY_SQL, "url_rules": RULES_SQL,
 }
