@@ -5,27 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-# Fixed lexical forms of years (expanded ones have a sign and five digits or more), months, days and seconds.
-YEAR = r"^([0-9]{4}|[+-][0-9]{5,})$"
-MONTH, DAY = r"^[0-9]{4}-[0-9]{2}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-SECOND = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"
+# Fixed lexical forms of years (expanded ones have a sign and five digits or more), months, days and seconds, as whole texts.
+PLAIN_YEAR, EXPANDED_YEAR = r"^[0-9]{4}\z", r"^[+-][0-9]{5,}\z"
+MONTH, DAY = r"^[0-9]{4}-[0-9]{2}\z", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
+SECOND = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})\z"
 
 
 def has_timezone(value: Column) -> Column:
-    return F.regexp_like(value, F.lit(r"(Z|[+-][0-9]{2}:[0-9]{2})$"))
+    return F.regexp_like(value, F.lit(r"(Z|[+-][0-9]{2}:[0-9]{2})\z"))
 
 
 def precision(value: Column) -> Column:
-    """year, month, day or second by the lexical form, null if there is none."""
-    out = F.lit(None).cast("string")
-    for pattern, name in ((SECOND, "second"), (DAY, "day"), (MONTH, "month"), (YEAR, "year")):
-        out = F.when(F.regexp_like(value, F.lit(pattern)), name).otherwise(out)
-    return out
-
-
-def _let(value: Column, then) -> Column:
-    """then(value) with the value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+    """year, month, day or second by the lexical form, null if there is none. The length tells which form to look for."""
+    n, fits = F.char_length(value), lambda pattern: F.regexp_like(value, F.lit(pattern))
+    signed = F.substring(value, 1, 1).isin("+", "-")
+    return (
+        F.when(signed, F.when(fits(EXPANDED_YEAR), "year")).when(n == 4, F.when(fits(PLAIN_YEAR), "year")).when(n == 7, F.when(fits(MONTH), "month"))
+        .when(n == 10, F.when(fits(DAY), "day")).when(n >= 20, F.when(fits(SECOND), "second"))
+    )
 
 
 def _days(year: Column, month: Column) -> Column:
@@ -35,29 +32,31 @@ def _days(year: Column, month: Column) -> Column:
 
 
 def resolve(value: Column) -> Column:
-    """struct(kind, when, precision): moment, unrepresentable (year 0, beyond 9999, a leap second) or malformed."""
-
-    def parts(x: Column) -> Column:
-        v, form = x["v"], x["form"]
-        whole = lambda at, n: F.substring(v, at, n).try_cast("int")
-        year = F.when(form == "year", v.try_cast("bigint")).otherwise(whole(1, 4).cast("bigint"))
-        full = F.concat(F.lpad(year.cast("string"), 4, "0"), F.when(form == "year", "-01-01").when(form == "month", F.concat(F.substring(v, 5, 3), F.lit("-01"))).otherwise(F.substring(v, 5, 100)))
-        return F.struct(v.alias("v"), form.alias("form"), year.alias("year"), whole(6, 2).alias("month"), whole(9, 2).alias("day"), full.alias("full"))
-
-    def judged(x: Column) -> Column:
-        v, form, year, month = x["v"], x["form"], x["year"], x["month"]
-        leap_second = (form == "second") & (F.substring(v, 18, 2) == "60")
-        clock = (form != "second") | F.regexp_like(v, F.lit(r"T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]"))
-        right = (form == "year") | month.between(1, 12) & ((form == "month") | x["day"].between(1, _days(year, month))) & clock
-        when = F.when(form.isNotNull() & right & year.between(1, 9999) & ~leap_second, F.try_to_timestamp(x["full"]))
-        kind = (
-            F.when(form.isNull(), "malformed").when(leap_second, "unrepresentable").when(~right, "malformed")
-            .when(year.isNull() | ~year.between(1, 9999), "unrepresentable").when(when.isNull(), "malformed").otherwise("moment")
-        )
-        return F.struct(kind.alias("kind"), when.alias("when"), F.when(when.isNotNull(), form).alias("precision"))
-
-    first = F.struct(value.alias("v"), precision(value).alias("form"))
-    return _let(_let(first, parts), judged)
+    """struct(kind, when, precision): moment, unrepresentable (year 0, beyond 9999, a leap second) or malformed.
+
+    Offsets are taken off by arithmetic, as they may be up to 23:59 either way. All parts are read by their places; the engine
+    computes each once a row where value is a column.
+    """
+    form, v = precision(value), value
+    whole = lambda at, n: F.substring(v, at, n).try_cast("int")
+    year, month, day = F.when(form == "year", v.try_cast("bigint")).otherwise(whole(1, 4).cast("bigint")), whole(6, 2), whole(9, 2)
+    zoned = (form == "second") & ~F.endswith(v, F.lit("Z"))
+    hours, minutes = F.substring(v, -5, 2).try_cast("int"), F.substring(v, -2, 2).try_cast("int")
+    leap_second = (form == "second") & (F.substring(v, 18, 2) == "60")
+    clock = (form != "second") | (whole(12, 2) <= 23) & (whole(15, 2) <= 59) & (whole(18, 2) <= 59) & (~zoned | (hours <= 23) & (minutes <= 59))
+    right = (form == "year") | month.between(1, 12) & ((form == "month") | day.between(1, _days(year, month))) & clock
+    inside = year.between(1, 9999)
+    start = F.lpad(year.cast("string"), 4, "0")
+    local = F.when(form == "year", F.concat(start, F.lit("-01-01"))).when(form == "month", F.concat(v, F.lit("-01"))).otherwise(F.when(zoned, F.concat(F.substring(v, F.lit(1), F.char_length(v) - 6), F.lit("Z"))).otherwise(v))
+    offset = F.make_dt_interval(F.lit(0), hours, minutes) * F.when(F.substring(v, -6, 1) == "-", -1).otherwise(1)
+    moment = form.isNotNull() & right & inside & ~leap_second
+    parsed = F.try_to_timestamp(F.when(moment, local))
+    when = F.when(zoned, parsed - offset).otherwise(parsed)
+    kind = (
+        F.when(form.isNull(), "malformed").when(leap_second, "unrepresentable").when(~right, "malformed")
+        .when(year.isNull() | ~inside, "unrepresentable").when(parsed.isNull(), "malformed").otherwise("moment")
+    )
+    return F.struct(kind.alias("kind"), when.alias("when"), F.when(when.isNotNull(), form).alias("precision"))
 
 
 def maybe_datetime(value: Column, column: WindowSpec) -> Column:

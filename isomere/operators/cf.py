@@ -11,18 +11,27 @@ from isomere.functions.systems import flag_meaning, standard_name, vertical_name
 
 # Fixed: names and standard names that tell a coordinate's role, and how units of two of them begin.
 ROLE_NAMES = {"x": ("x", "lon", "longitude"), "y": ("y", "lat", "latitude"), "z": ("z", "depth", "height", "altitude", "level", "elevation"), "t": ("t", "time")}
-ROLE_STANDARD = {"x": ("longitude",), "y": ("latitude",), "z": ("depth", "height", "altitude"), "t": ("time",)}
+ROLE_STANDARD = {"x": ("longitude",), "y": ("latitude",), "z": ("depth", "height", "altitude"), "t": ()}
 ROLE_UNITS = {"x": "degrees_e", "y": "degrees_n"}
 
 
-def role(name: Column, standard: Column, units: Column, axis: Column, positive: Column | None = None) -> Column:
-    """x, y, z or t by the axis attribute, the standard name, the units, a positive attribute or the name; else null."""
-    low = F.lower(name)
-    by_axis = F.when(F.upper(axis).isin("X", "Y", "Z", "T"), F.lower(axis))
-    pick = lambda c, table: F.coalesce(*[F.when(c.isin(*v), k) for k, v in table.items()])
-    by_units = F.coalesce(*[F.when(F.startswith(F.lower(units), F.lit(v)), k) for k, v in {**ROLE_UNITS, "X": "degree_east", "Y": "degree_north"}.items()])
-    upright = F.lit(None).cast("string") if positive is None else F.when(positive.isNotNull(), "z")
-    return F.coalesce(by_axis, pick(F.lower(standard), ROLE_STANDARD), F.lower(by_units), upright, pick(low, ROLE_NAMES))
+def role(name: Column, standard: Column, units: Column, positive: Column | None = None, is_time: Column | None = None) -> Column:
+    """x, y, z or t: the first role of which the standard name, the units or the name tells; else null.
+
+    A positive attribute tells of z, values that are times of t.
+    """
+    out = F.lit(None).cast("string")
+    for k in ("t", "z", "y", "x"):
+        told = F.lower(name).isin(*ROLE_NAMES[k])
+        if ROLE_STANDARD[k]:
+            told = told | F.coalesce(F.lower(standard).isin(*ROLE_STANDARD[k]), F.lit(False))
+        if k in ROLE_UNITS:
+            told = told | F.coalesce(F.startswith(F.lower(units), F.lit(ROLE_UNITS[k])), F.lit(False))
+        more = {"z": None if positive is None else positive.isNotNull(), "t": is_time}.get(k)
+        if more is not None:
+            told = told | F.coalesce(more, F.lit(False))
+        out = F.when(told, k).otherwise(out)
+    return out
 
 
 def coordinate_attributes(kind: Column, identifier: Column, place: Column, axis: Column) -> Column:

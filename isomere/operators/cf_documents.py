@@ -35,11 +35,18 @@ def _list(texts: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
 
 
-def roles(variables: DataFrame) -> DataFrame:
-    """(ds_id, role, name, dims): the first coordinate of each role."""
+def roles(variables: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """(ds_id, role, name, dims): the first coordinate of each role; overrides (ds_id, role, name) come first.
+
+    A role that is overridden isn't looked for, and a coordinate that an override names takes no other role.
+    """
     coords = variables.filter("is_coord")
-    told = F.coalesce(role(F.col("name"), _attr("standard_name"), _attr("units"), F.lit(None).cast("string"), _attr("positive")), F.when(F.col("is_time"), "t"))
-    return coords.withColumn("role", told).filter("role is not null").groupBy("ds_id", "role").agg(F.min_by(F.struct("name", "dims"), "ord").alias("c")).select("ds_id", "role", "c.name", "c.dims")
+    told = role(F.col("name"), _attr("standard_name"), _attr("units"), _attr("positive"), F.col("is_time"))
+    found = coords.withColumn("role", told).filter("role is not null")
+    if overrides is not None:
+        found = found.join(overrides.select("ds_id", "role"), ["ds_id", "role"], "left_anti").join(overrides.select("ds_id", "name"), ["ds_id", "name"], "left_anti")
+        found = found.unionByName(coords.join(overrides.select("ds_id", "role", "name"), ["ds_id", "name"]))
+    return found.groupBy("ds_id", "role").agg(F.min_by(F.struct("name", "dims"), "ord").alias("c")).select("ds_id", "role", "c.name", "c.dims")
 
 
 def composite(found: DataFrame) -> DataFrame:
@@ -70,9 +77,9 @@ def _lists(cells: DataFrame) -> DataFrame:
     )
 
 
-def axes(variables: DataFrame, cells: DataFrame, sizes: DataFrame, compact: bool = True) -> DataFrame:
+def axes(variables: DataFrame, cells: DataFrame, sizes: DataFrame, compact: bool = True, overrides: DataFrame | None = None) -> DataFrame:
     """(ds_id, key, dim, text): each axis, the dimension that it belongs to (null for a single value), and its JSON text."""
-    found, lists = roles(variables), _lists(_tokens(cells))
+    found, lists = roles(variables, overrides), _lists(_tokens(cells))
     joint = composite(found)
     along = found.join(joint, "ds_id", "left").withColumn("inside", F.coalesce(F.array_contains("composite", F.col("role")), F.lit(False)))
     valued = along.join(lists, ["ds_id", "name"])
@@ -92,13 +99,13 @@ def axes(variables: DataFrame, cells: DataFrame, sizes: DataFrame, compact: bool
     return taken.unionByName(left)
 
 
-def quarantine(variables: DataFrame, cells: DataFrame, sizes: DataFrame) -> DataFrame:
+def quarantine(variables: DataFrame, cells: DataFrame, sizes: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """(ds_id, error) of datasets without a document."""
-    found = roles(variables)
+    found = roles(variables, overrides)
     curved = found.filter(F.size("dims") > 1).select("ds_id", F.concat(F.lit("coordinate "), "name", F.lit(" has more than one dimension")).alias("error"))
     times = variables.filter("is_coord and is_time").select("ds_id", "name").join(cells, ["ds_id", "name"]).filter("text is null")
     missing = times.select("ds_id", F.concat(F.lit("time "), "name", F.lit(" has a missing value")).alias("error")).distinct()
-    every = axes(variables, cells, sizes).select("ds_id", "key", "dim")
+    every = axes(variables, cells, sizes, overrides=overrides).select("ds_id", "key", "dim")
     twice = every.groupBy("ds_id", "key").count().filter("count > 1").select("ds_id", F.concat(F.lit("axis "), "key", F.lit(" has two dimensions")).alias("error"))
     hosts = every.filter("dim is not null").groupBy("ds_id", "dim").count().filter("count > 1").select("ds_id", F.concat(F.lit("dimension "), "dim", F.lit(" has two axes")).alias("error"))
     return curved.unionByName(missing).unionByName(twice).unionByName(hosts)
@@ -129,12 +136,12 @@ def parameter(name: Column) -> Column:
     return F.when(_attr("flag_values").isNotNull() & _attr("flag_meanings").isNotNull(), flags).when(_attr("units").isNotNull(), plain)
 
 
-def referencing(variables: DataFrame) -> DataFrame:
+def referencing(variables: DataFrame, found: DataFrame) -> DataFrame:
     """(ds_id, referencing): the systems of the roles present; a crs coordinate names the horizontal one, else it is geographic."""
     crs = variables.filter("is_coord and name = 'crs'").select("ds_id", _attr("reference_system_id").alias("id"), _attr("reference_system_type").alias("kind"))
     calendar = variables.select("ds_id", "name", _attr("calendar").alias("calendar"))
-    times = roles(variables).filter("role = 't'").join(calendar, ["ds_id", "name"]).select("ds_id", F.coalesce("calendar", F.lit("Gregorian")).alias("calendar"))
-    by = roles(variables).groupBy("ds_id").agg(F.collect_set("role").alias("r")).join(crs, "ds_id", "left").join(times, "ds_id", "left")
+    times = found.filter("role = 't'").join(calendar, ["ds_id", "name"]).select("ds_id", F.coalesce("calendar", F.lit("Gregorian")).alias("calendar"))
+    by = found.groupBy("ds_id").agg(F.collect_set("role").alias("r")).join(crs, "ds_id", "left").join(times, "ds_id", "left")
     kind = F.when(F.col("kind") == "ProjectedCRS", '"ProjectedCRS"').otherwise('"GeographicCRS"')
     system = lambda on, *members: _object(("coordinates", F.lit(on)), ("system", _object(*members)))
     has = lambda r: F.array_contains("r", r)
@@ -145,10 +152,16 @@ def referencing(variables: DataFrame) -> DataFrame:
     return by.select("ds_id", _list(F.filter(listed, lambda x: x.isNotNull())).alias("referencing"))
 
 
-def documents(variables: DataFrame, cells: DataFrame, sizes: DataFrame, attributes: DataFrame, compact: bool = True) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, body) of a Coverage a dataset, quarantine (ds_id, error)); attributes id and domain_type of a dataset win."""
-    bad = quarantine(variables, cells, sizes)
-    every = axes(variables, cells, sizes, compact)
+def documents(variables: DataFrame, cells: DataFrame, sizes: DataFrame, attributes: DataFrame, compact: bool = True, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, body) of a Coverage a dataset, quarantine (ds_id, error)); attributes id and domain_type of a dataset win.
+
+    overrides: (ds_id, role, name), the coordinates that fill roles whatever their attributes say.
+    """
+    bad = quarantine(variables, cells, sizes, overrides)
+    if overrides is not None:
+        unknown = overrides.join(variables.filter("is_coord").select("ds_id", "name"), ["ds_id", "name"], "left_anti")
+        bad = bad.unionByName(unknown.select("ds_id", F.concat(F.lit("no coordinate "), "name").alias("error")))
+    every = axes(variables, cells, sizes, compact, overrides)
     by_axis = F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "text"))))
     of_axes = every.join(bad.select("ds_id").distinct(), "ds_id", "left_anti").groupBy("ds_id").agg(by_axis.alias("axes"))
     named = every.filter("dim is not null").groupBy("ds_id").agg(F.collect_list(F.struct("dim", "key")).alias("pairs"))
@@ -165,8 +178,8 @@ def documents(variables: DataFrame, cells: DataFrame, sizes: DataFrame, attribut
     data = data.select("ds_id", "ord", "name", array.alias("range"), parameter(F.col("name")).alias("parameter"))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("ord", "name", F.col(c).alias("text"))))), lambda x: F.struct(x["name"], x["text"]))
     ranges = data.groupBy("ds_id").agg(F.map_from_entries(in_order("range")).alias("ranges"), F.map_from_entries(in_order("parameter")).alias("parameters"))
-    found = roles(variables)
-    whole = of_axes.join(ranges, "ds_id", "left").join(domain_type(found, composite(found)), "ds_id", "left").join(referencing(variables), "ds_id", "left").join(attributes.select("ds_id", "attrs"), "ds_id", "left")
+    found = roles(variables, overrides)
+    whole = of_axes.join(ranges, "ds_id", "left").join(domain_type(found, composite(found)), "ds_id", "left").join(referencing(variables, found), "ds_id", "left").join(attributes.select("ds_id", "attrs"), "ds_id", "left")
     kind = F.coalesce(_attr("domain_type"), "inferred")
     domain = _object(("type", F.lit('"Domain"')), ("domainType", json_string(kind)), ("axes", object_text(F.col("axes"))), ("referencing", F.coalesce("referencing", F.lit("[]"))))
     body = _object(

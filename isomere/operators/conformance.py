@@ -1,8 +1,8 @@
 """Findings of whole documents: from decoded documents of any root to rows (doc_id, code, severity, at, detail).
 
-Each rule is an expression, an anti-join or a window over the normalized rows of its part (domains, axes, axis values, ranges,
-parameters, groups, reference systems); rows are keyed by document and by the pointer of the part, and no rule gathers more
-of a document than one axis. Rules that read every value run only if check_values is set.
+Each rule is an expression on the row of a coverage, a domain or an array (sources.parts), which gives its findings as a list;
+one pass over the documents makes them all, without joins but for the twelve rules of domain types, and without sorting.
+Rules that read every value run only if check_values is set.
 
 A document that can't be decoded has no findings; it is in decode()'s quarantine. Findings of a coverage within a collection
 point below /coverages/<i>, after inheritance. Repeated rows give repeated findings, extra columns are ignored.
@@ -10,319 +10,357 @@ point below /coverages/<i>, after inheritance. Repeated rows give repeated findi
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isomere.functions import axes as ax
 from isomere.functions.arrays import product, template_variables
 from isomere.functions.systems import missing_required_member, refine
 from isomere.functions.temporal import is_standard_calendar, resolve
 from isomere.functions.text import json_pointer, valid_language_tag
-from isomere.operators.validate import finding, rules
+from isomere.operators.validate import WARNINGS, rules
 from isomere.sources import documents as docs
+from isomere.sources.model import is_number, is_text, listed, mapped, present, sub
+from isomere.sources.parts import entries, items, parts
 
-#: A part is told by its document and the pointer to it.
-PART = ["doc_id", "path"]
-TEXTS = "map<string,string>"
-CONCEPT = f"label:{TEXTS},description:{TEXTS}"
-OBSERVED = f"{CONCEPT},categories:array<struct<id:string,{CONCEPT}>>"
-PARAMETER = f"struct<{CONCEPT},observedProperty:struct<{OBSERVED}>,unit:struct<label:{TEXTS}>,categoryEncoding:map<string,string>>"
-GROUP = f"struct<{CONCEPT},observedProperty:struct<{OBSERVED}>,members:array<string>>"
-SYSTEM = f"struct<type:string,id:string,calendar:string,targetConcept:struct<{CONCEPT}>,identifiers:map<string,struct<{CONCEPT}>>,{CONCEPT}>"
-TILED = "struct<shape:array<int>,axisNames:array<string>,tileSets:array<struct<tileShape:array<int>,urlTemplate:string>>>"
-
-#: A column of (keys, axis columns, pos, value) to whether a value breaks the order; see order_issues.
+FINDING = "struct<code:string,at:string,detail:string>"
+NONE = f"cast(array() AS array<{FINDING}>)"
+
+#: A frame of (doc_id, path, name, pos, v, ordering), the values of plain axes, to (doc_id, path, name, pos), the first value
+#: of each axis that breaks the order; in place of the usual rule.
 OrderChecker = Callable[[DataFrame], DataFrame]
 
 
-def _below(*parts: Column | str) -> Column:
-    """The pointer of a part of `path`; strings are member names."""
-    return F.concat(F.col("path"), json_pointer(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+def _below(at: Column, *more: Column | str) -> Column:
+    """The pointer of a part below another; strings are member names that stand for themselves in pointers."""
+    return F.concat(at, *[F.lit(f"/{p}") if isinstance(p, str) else json_pointer(p) for p in more])
 
 
-def _issue(rows: DataFrame, code: str, at: Column, detail: Column | None = None) -> DataFrame:
-    return finding(rows, ["doc_id"], code, at, detail)
+def _issue(wrong: Column, code: str, at: Column, detail: Column | None = None) -> Column:
+    """A list with the finding, empty unless wrong."""
+    detail = F.lit(None).cast("string") if detail is None else detail.cast("string")
+    one = F.array(F.struct(F.lit(code).alias("code"), at.alias("at"), detail.alias("detail")))
+    return F.when(wrong, one).otherwise(F.expr(NONE))
 
 
-class Parts:
-    """The normalized rows of decoded documents: covs, domains, axes, ranges, tiled, parameters, groups, systems."""
+def _each(of: Column, rule: Callable) -> Column:
+    """The findings of all items."""
+    return F.flatten(F.coalesce(F.transform(of, rule), F.expr(f"cast(array() AS array<array<{FINDING}>>)")))
 
-    def __init__(self, decoded: DataFrame):
-        covs = docs.effective(docs.coverages(decoded))
-        whole = decoded.select("doc_id", (F.col("type") == "CoverageCollection").alias("many"))
-        covs = covs.join(whole.distinct(), "doc_id")
-        self.covs = covs.withColumn("path", F.when(F.col("many"), json_pointer(F.lit("coverages"), F.col("cov_idx"))).otherwise(F.lit("")))
-        kind = lambda c: F.nullif(c, F.lit(""))
-        inline = self.covs.filter(docs.is_object(F.col("domain"))).select(
-            "doc_id", _below("domain").alias("path"), docs.members("domain").alias("members"), "referencing",
-            F.coalesce(kind(F.col("inner_type")), kind(F.col("own_type")), kind(F.col("shared_type"))).alias("domain_type"),
-        )
-        roots = decoded.filter("type = 'Domain'").select("doc_id", F.lit("").alias("path"), "members", F.try_element_at("members", F.lit("referencing")).alias("referencing"), kind(F.try_element_at("members", F.lit("domainType"))).alias("domain_type"))
-        self.domains = inline.unionByName(roots)
-        entries = self.domains.select(*PART, F.explode(F.map_entries(F.from_json(F.col("members")["axes"], docs.MEMBERS))).alias("e"))
-        axis = entries.select(*PART, F.col("e.key").alias("name"), F.from_json("e.value", docs.AXIS).alias("axis"))
-        names = F.coalesce("axis.coordinates", F.array("name"))
-        self.axes = axis.select("*", ax.length(F.col("axis.values"), F.col("axis.num")).alias("size"), F.col("axis.dataType").alias("data_type"), names.alias("coordinates"))
-        own = docs.ranges(self.covs).join(self.covs.select("doc_id", "cov_idx", F.col("path").alias("cov")), ["doc_id", "cov_idx"])
-        own = own.select("doc_id", "cov", "key", F.concat("cov", json_pointer(F.lit("ranges"), F.col("key"))).alias("path"), "kind", "body")
-        alone = decoded.filter("type in ('NdArray', 'TiledNdArray')").select("doc_id", F.lit(None).cast("string").alias("cov"), F.lit("").alias("key"), F.lit("").alias("path"), F.col("type").alias("kind"), "body")
-        self.ranges = own.unionByName(alone)
-        head = "struct<dataType:string,shape:array<int>,axisNames:array<string>,values:array<string>>"
-        arrays = self.ranges.filter("kind = 'NdArray'").withColumn("a", F.from_json("body", head))
-        none = F.array()
-        self.arrays = arrays.select("doc_id", "cov", "key", "path", "body", F.col("a.dataType").alias("data_type"), F.coalesce("a.shape", none.cast("array<int>")).alias("shape"), F.coalesce("a.axisNames", none.cast("array<string>")).alias("axis_names"), F.size("a.values").alias("n_values"))
-        bodies = docs.parameters(self.covs).join(self.covs.select("doc_id", "cov_idx", F.col("path").alias("cov")), ["doc_id", "cov_idx"])
-        self.parameters = bodies.select("doc_id", "cov", "key", F.concat("cov", json_pointer(F.lit("parameters"), F.col("key"))).alias("path"), F.from_json("body", PARAMETER).alias("p"))
-        each = self.covs.select("doc_id", F.col("path").alias("cov"), F.posexplode(F.from_json("groups", f"array<{GROUP}>")).alias("i", "g"))
-        self.groups = each.select("doc_id", "cov", F.concat("cov", json_pointer(F.lit("parameterGroups"), F.col("i"))).alias("path"), "g")
-        connection = f"array<struct<coordinates:array<string>,system:{SYSTEM}>>"
-        refs = self.domains.select(*PART, F.posexplode(F.from_json("referencing", connection)).alias("i", "c"))
-        self.systems = refs.select("doc_id", F.col("path").alias("domain"), "i", F.concat("path", json_pointer(F.lit("referencing"), F.col("i"), F.lit("system"))).alias("path"), "c.coordinates", F.col("c.system").alias("s"))
-
-
-def domain_issues(p: Parts) -> list[DataFrame]:
-    known = p.domains.join(F.broadcast(rules(p.domains.sparkSession)), "domain_type").drop("members", "referencing")  # twelve rows
-    have = p.axes.select(*PART, "name", "size", "data_type", "coordinates")
-    named = lambda c: known.select(*PART, F.explode(c).alias("name"))
-    missing = named(F.col("required")).join(have, [*PART, "name"], "left_anti")
-    single = named(F.col("single")).join(have, [*PART, "name"]).filter("size <> 1")
-    expected = named(F.concat("required", "optional"))
-    extra = have.join(known.select(*PART), PART, "left_semi").join(expected, [*PART, "name"], "left_anti").filter("size <> 1")
-    composite = have.filter("name = 'composite'").join(known.filter("composite is not null").select(*PART, "composite", "allowed"), PART)
-    typed = F.col("data_type").eqNullSafe(F.col("composite"))
-    strange = composite.filter(typed & ~F.array_contains("allowed", F.array_join("coordinates", ",")))
-    no_refs = F.col("referencing").isNull() | (F.regexp_replace(F.coalesce("referencing", F.lit("")), r"\s", "") == "[]")
-    at = _below("axes", F.col("name"))
-    return [
-        _issue(p.domains.filter("domain_type is null"), "domain.missing-domain-type", _below("domainType")),
-        _issue(missing, "domain.missing-axis", at, F.col("name")),
-        _issue(single, "domain.axis-not-single", at, F.col("name")),
-        _issue(composite.filter(~typed), "domain.composite-data-type", at, F.col("composite")),
-        _issue(strange, "domain.composite-coordinates", at, F.array_join("coordinates", ",")),
-        _issue(extra, "domain.extra-axis-not-single", at, F.col("name")),
-        _issue(p.domains.filter(no_refs), "domain.missing-referencing", _below("referencing")),
-    ]
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-def axis_issues(p: Parts) -> list[DataFrame]:
-    members = F.filter(F.array(*[F.when(F.col(f"axis.{m}").isNotNull(), m) for m in ("start", "stop", "num")]), lambda x: x.isNotNull())
-    plain = ~F.coalesce("data_type", F.lit("")).isin("tuple", "polygon")
-    at = lambda *more: _below("axes", F.col("name"), *more)
-    return [
-        _issue(p.axes.filter(F.col("axis.values").isNotNull() & (F.size(members) > 0)), "axis.form-conflict", at(), F.array_join(members, ",")),
-        _issue(p.axes.filter(F.size("axis.bounds") != 2 * F.col("size")), "axis.bounds-length", at("bounds"), F.size("axis.bounds")),
-        _issue(p.axes.filter(plain & F.col("axis.coordinates").eqNullSafe(F.array("name"))), "axis.coordinates-not-omitted", at("coordinates"), F.col("name")),
-    ]
+
+def _axis_at(a: Column, *more: Column | str) -> Column:
+    return _below(F.col("domain_at"), "axes", a["name"], *more)
 
 
-def axis_values(p: Parts) -> DataFrame:
-    """(doc_id, path, name, data_type, arity, pos, v) of all listed axis values."""
-    return p.axes.select(*PART, "name", "data_type", F.size("coordinates").alias("arity"), F.posexplode("axis.values").alias("pos", "v"))
-
-
-def composite_issues(values: DataFrame) -> list[DataFrame]:
-    listed = lambda v: F.try_variant_get(v, "$", "array<variant>")
-    at = _below("axes", F.col("name"), F.lit("values"), F.col("pos"))
-    tuples = values.filter("data_type = 'tuple'").withColumn("x", listed(F.col("v")))
-    rings = values.filter("data_type = 'polygon'").withColumn("x", listed(F.col("v")))
-    full = lambda x: F.coalesce(F.size(x) > 0, F.lit(False))
-    positions = lambda r: F.transform(listed(r), listed)
-    shaped = full(F.col("x")) & F.forall("x", lambda r: full(listed(r)) & F.forall(positions(r), lambda q: q.isNotNull()))
-    rings = rings.withColumn("right", F.coalesce(shaped, F.lit(False)))
-    ring = rings.filter("right").select(*PART, "name", "arity", "pos", F.posexplode("x").alias("ring", "r")).withColumn("q", positions(F.col("r")))
-    last = F.element_at("q", -1)
-    numbers = lambda q: F.transform(q, lambda c: F.coalesce(F.try_variant_get(c, "$", "double").cast("string"), F.to_json(c)))
-    at_ring = _below("axes", F.col("name"), F.lit("values"), F.col("pos"), F.col("ring"))
-    position = ring.select(*PART, "name", "arity", "pos", "ring", F.posexplode("q").alias("k", "one")).filter(F.size("one") != F.col("arity"))
+def member_issues() -> list[Column]:
+    """Domain types of a collection's coverages beside its own, and what a coverage must have."""
+    kind = lambda c: F.nullif(F.col(c), F.lit(""))
+    own, shared = F.coalesce(kind("inner_type"), kind("own_type")), kind("shared_type")
+    at = F.when(kind("inner_type").isNotNull(), _below(F.col("path"), "domain", "domainType")).otherwise(_below(F.col("path"), "domainType"))
+    cov = F.col("kind") == "Coverage"
+    known = F.col("parameters").isNotNull()
     return [
-        _issue(tuples.filter("x is null"), "axis.composite-value-shape", at, F.lit("tuple")),
-        _issue(tuples.filter(F.size("x") != F.col("arity")), "axis.composite-arity", at, F.size("x")),
-        _issue(rings.filter("not right"), "axis.composite-value-shape", at, F.lit("polygon")),
-        _issue(position, "axis.polygon-position-arity", F.concat(at_ring, json_pointer(F.col("k"))), F.size("one")),
-        _issue(ring.filter(F.size("q") < 4), "axis.polygon-ring-too-short", at_ring, F.size("q")),
-        _issue(ring.filter(~numbers(F.get("q", F.lit(0))).eqNullSafe(numbers(last))), "axis.polygon-ring-not-closed", at_ring),
+        _issue(own != shared, "coverage.domain-type-conflict", at, own),
+        _issue((own == shared) & F.col("own_type").isNotNull(), "coverage.domain-type-not-omitted", _below(F.col("path"), "domainType"), F.col("own_type")),
+        _issue(cov & ~known, "coverage.missing-parameters", _below(F.col("path"), "parameters")),
+        _each(F.when(known, F.map_keys("ranges")), lambda k: _issue(~F.map_contains_key("parameters", k), "coverage.range-without-parameter", _below(F.col("path"), "ranges", k), k)),
     ]
 
 
-def ordering(p: Parts) -> DataFrame:
-    """(doc_id, path, name, ordering): numeric or temporal, by the last reference system that names the coordinate."""
-    kind = refine(F.col("s.type"), F.col("s.calendar"), F.to_json("s.targetConcept"))
-    told = F.when(kind.isin("GeographicCRS", "ProjectedCRS", "VerticalCRS"), "numeric").when((kind == "TemporalRS") & is_standard_calendar(F.col("s.calendar")), "temporal")
-    rows = p.systems.select("doc_id", F.col("domain").alias("path"), "i", F.explode("coordinates").alias("name"), told.alias("ordering"))
-    return rows.groupBy(*PART, "name").agg(F.max_by("ordering", "i").alias("ordering")).filter("ordering is not null")
-
-
-def turned(rows: DataFrame) -> DataFrame:
-    """The first pos at which an axis turns back, of (doc_id, path, name, pos, key); equal neighbours go either way."""
-    by = Window.partitionBy(*PART, "name").orderBy("pos")
-    rows = rows.withColumn("step", F.sign(F.col("key") - F.lag("key").over(by)))
-    rows = rows.withColumn("way", F.first(F.nullif("step", F.lit(0.0)), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return rows.filter("step <> 0 and step <> way").groupBy(*PART, "name").agg(F.min("pos").alias("pos"))
-
-
-def order_issues(p: Parts, values: DataFrame, checker: OrderChecker | None = None) -> list[DataFrame]:
-    """Lexical forms of times, and the order of axes; checker: in place of turned(), and then for all plain axes."""
-    plain = values.filter(~F.coalesce("data_type", F.lit("")).isin("tuple", "polygon"))
-    text, number = F.try_variant_get("v", "$", "string"), F.try_variant_get("v", "$", "double")
-    is_text = F.schema_of_variant("v") == "STRING"
-    sorted_ = plain.join(ordering(p), [*PART, "name"])
-    times = sorted_.filter((F.col("ordering") == "temporal") & is_text).withColumn("text", text).withColumn("when", resolve(F.col("text")))
-    at = _below("axes", F.col("name"), F.lit("values"), F.col("pos"))
-    lexical = _issue(times.filter("when.kind = 'malformed'"), "temporal.lexical-form", at, F.col("text"))
-    if checker is not None:
-        broken = checker(plain.join(ordering(p), [*PART, "name"], "left").select(*PART, "name", "pos", "v", "ordering"))
-    else:
-        moments = times.filter("when.kind = 'moment'").withColumn("zoned", F.col("when.precision") == "second")
-        one = Window.partitionBy(*PART, "name")
-        # Times with and without zones don't compare.
-        moments = moments.withColumn("same", F.min("zoned").over(one) == F.max("zoned").over(one)).filter("same")
-        numbers = sorted_.filter((F.col("ordering") == "numeric") & ~is_text & number.isNotNull() & ~F.isnan(number))
-        keys = numbers.select(*PART, "name", "pos", number.alias("key")).unionByName(moments.select(*PART, "name", "pos", F.unix_micros("when.when").cast("double").alias("key")))
-        broken = turned(keys)
-    return [lexical, _issue(broken, "axis.not-monotonic", at, F.col("pos"))]
-
-
-def array_issues(p: Parts) -> list[DataFrame]:
-    rank = F.size("axis_names") != F.size("shape")
-    expected = F.when(F.size("shape") == 0, 1).otherwise(product(F.col("shape")))
-    each = p.arrays.filter("cov is not null").select("doc_id", "cov", "path", "shape", F.posexplode("axis_names").alias("k", "name"))
-    inline = p.domains.select("doc_id", F.expr("substring(path, 1, length(path) - 7)").alias("cov")).filter("cov is not null")
-    sizes = p.axes.select("doc_id", F.expr("substring(path, 1, length(path) - 7)").alias("cov"), "name", "size")
-    each = each.join(inline, ["doc_id", "cov"], "left_semi")
-    met = each.join(sizes, ["doc_id", "cov", "name"], "left")
-    n = F.get("shape", F.col("k"))
-    known = p.covs.filter("parameters is not null").select("doc_id", F.col("path").alias("cov"))
-    lacking = p.ranges.join(known, ["doc_id", "cov"], "left_semi").join(p.parameters.select("doc_id", "cov", "key"), ["doc_id", "cov", "key"], "left_anti")
+def domain_issues() -> list[Column]:
+    """rule: those of the domain's type, null where it isn't known."""
+    there, rule, axes = F.col("domain_at").isNotNull(), F.col("rule"), F.col("axes")
+    names = F.transform(axes, lambda a: a["name"])
+
+    def of_axis(a: Column) -> Column:
+        composite = (a["name"] == "composite") & rule["composite"].isNotNull()
+        typed = a["data_type"].eqNullSafe(rule["composite"])
+        joined = F.array_join(a["coordinates"], ",")
+        return F.concat(
+            _issue(F.array_contains(rule["single"], a["name"]) & (a["size"] != 1), "domain.axis-not-single", _axis_at(a), a["name"]),
+            _issue(~F.array_contains(F.concat(rule["required"], rule["optional"]), a["name"]) & (a["size"] != 1), "domain.extra-axis-not-single", _axis_at(a), a["name"]),
+            _issue(composite & ~typed, "domain.composite-data-type", _axis_at(a), rule["composite"]),
+            _issue(composite & typed & ~F.array_contains(rule["allowed"], joined), "domain.composite-coordinates", _axis_at(a), joined),
+        )
+
     return [
-        _issue(p.arrays.filter(rank), "ndarray.shape-rank", _below("shape")),
-        _issue(p.arrays.filter(F.col("n_values") != expected), "ndarray.value-count", _below("values"), F.col("n_values")),
-        _issue(lacking, "coverage.range-without-parameter", F.col("path"), F.col("key")),
-        _issue(met.filter("size is null"), "coverage.range-axis-not-in-domain", _below("axisNames", F.col("k")), F.col("name")),
-        _issue(met.filter(n != F.col("size")), "coverage.range-shape-mismatch", _below("shape", F.col("k")), F.col("name")),
+        _issue(there & F.col("domain_type").isNull(), "domain.missing-domain-type", _below(F.col("domain_at"), "domainType")),
+        _issue(there & F.col("referencing").isNull(), "domain.missing-referencing", _below(F.col("domain_at"), "referencing")),
+        _each(F.array_except(rule["required"], names), lambda n: _issue(there, "domain.missing-axis", _below(F.col("domain_at"), "axes", n), n)),
+        _each(F.when(rule.isNotNull(), axes), of_axis),
     ]
 
 
-def value_issues(p: Parts) -> list[DataFrame]:
+def axis_issues() -> list[Column]:
+    def of_axis(a: Column) -> Column:
+        more = F.filter(F.array(*[F.when(present(sub(a["axis"], m)), m) for m in ("start", "stop", "num")]), lambda x: x.isNotNull())
+        bounds, named = (sub(a["axis"], m, f"array<{k}>") for m, k in (("bounds", "variant"), ("coordinates", "string")))
+        plain = ~F.coalesce(a["data_type"], F.lit("")).isin("tuple", "polygon")
+        return F.concat(
+            _issue(a["values"].isNotNull() & (F.size(more) > 0), "axis.form-conflict", _axis_at(a), F.array_join(more, ",")),
+            _issue(bounds.isNotNull() & (F.size(bounds) != 2 * a["size"]), "axis.bounds-length", _axis_at(a, "bounds"), F.size(bounds)),
+            _issue(plain & named.eqNullSafe(F.array(a["name"])), "axis.coordinates-not-omitted", _axis_at(a, "coordinates"), a["name"]),
+        )
+
+    return [_each(F.col("axes"), of_axis)]
+
+
+def composite_issues() -> list[Column]:
+    def tuples(a: Column) -> Callable:
+        def one(v: Column, i: Column) -> Column:
+            x, at = listed(v), _axis_at(a, "values", i)
+            return F.concat(_issue(x.isNull(), "axis.composite-value-shape", at, F.lit("tuple")), _issue(F.size(x) != F.size(a["coordinates"]), "axis.composite-arity", at, F.size(x)))
+
+        return one
+
+    def ring_issues(a: Column, at: Column, q: Column) -> Column:
+        """q: the positions of a ring, each a list."""
+        numbers = lambda p: F.transform(p, lambda c: F.coalesce(F.try_variant_get(c, "$", "double").cast("string"), F.to_json(c)))
+        closed = numbers(F.get(q, F.lit(0))).eqNullSafe(numbers(F.try_element_at(q, F.lit(-1))))
+        return F.concat(
+            _each(q, lambda p, k: _issue(F.size(p) != F.size(a["coordinates"]), "axis.polygon-position-arity", _below(at, k), F.size(p))),
+            _issue(F.size(q) < 4, "axis.polygon-ring-too-short", at, F.size(q)), _issue(~closed, "axis.polygon-ring-not-closed", at),
+        )
+
+    def polygons(a: Column) -> Callable:
+        full = lambda x: F.coalesce(F.size(x) > 0, F.lit(False))
+
+        def one(v: Column, i: Column) -> Column:
+            at = _axis_at(a, "values", i)
+            rings = F.transform(listed(v), lambda r: F.transform(listed(r), listed))
+
+            def judged(x: Column) -> Column:
+                shaped = full(x) & F.forall(x, lambda q: full(q) & F.forall(q, lambda p: p.isNotNull()))
+                right = F.coalesce(shaped, F.lit(False))
+                return F.concat(_issue(~right, "axis.composite-value-shape", at, F.lit("polygon")), _each(F.when(right, x), lambda q, k: ring_issues(a, _below(at, k), q)))
+
+            return _let(rings, judged)
+
+        return one
+
+    kind = lambda name: F.filter("axes", lambda a: a["data_type"] == name)
+    return [_each(kind("tuple"), lambda a: _each(a["values"], tuples(a))), _each(kind("polygon"), lambda a: _each(a["values"], polygons(a)))]
+
+
+def _plain(a: Column) -> Column:
+    return a["values"].isNotNull() & ~F.coalesce(a["data_type"], F.lit("")).isin("tuple", "polygon")
+
+
+def ordering(name: Column) -> Column:
+    """numeric or temporal, by the last reference system that names the coordinate; else null."""
+    last = F.try_element_at(F.filter("referencing", lambda c: F.array_contains(sub(c, "coordinates", "array<string>"), name)), F.lit(-1))
+    member = lambda m: F.try_variant_get(last, f"$.system.{m}", "string")
+    kind = refine(member("type"), member("calendar"), F.to_json(F.try_variant_get(last, "$.system.targetConcept", "variant")))
+    return F.when(kind.isin("GeographicCRS", "ProjectedCRS", "VerticalCRS"), "numeric").when((kind == "TemporalRS") & is_standard_calendar(member("calendar")), "temporal")
+
+
+def turned(keys: Column) -> Column:
+    """The pos at which keys, of (pos, key), first turn back, or null; equal neighbours go either way."""
+    start = F.struct(F.lit(None).cast("double").alias("before"), F.lit(0.0).alias("way"), F.lit(None).cast("int").alias("at"))
+
+    def on(s: Column, x: Column) -> Column:
+        step = F.coalesce(F.signum(x["key"] - s["before"]), F.lit(0.0))
+        way = F.when(s["way"] == 0, step).otherwise(s["way"])
+        back = (step != 0) & (step != way)
+        return F.struct(x["key"].alias("before"), way.alias("way"), F.coalesce(s["at"], F.when(back, x["pos"])).alias("at"))
+
+    return F.aggregate(keys, start, on, lambda s: s["at"])
+
+
+def order_issues(usual: bool = True) -> list[Column]:
+    """Lexical forms of times, and with the usual rule the order of axes."""
+
+    def times(a: Column) -> Column:
+        read = lambda v, i: F.struct(i.alias("pos"), F.when(is_text(v), F.try_variant_get(v, "$", "string")).alias("text"))
+        texts = F.filter(F.transform(a["values"], read), lambda x: x["text"].isNotNull())
+        return F.transform(texts, lambda x: F.struct(x["pos"].alias("pos"), x["text"].alias("text"), resolve(x["text"]).alias("when")))
+
+    def temporal(a: Column) -> Column:
+        def judged(x: Column) -> Column:
+            lexical = _each(x, lambda t: _issue(t["when"]["kind"] == "malformed", "temporal.lexical-form", _axis_at(a, "values", t["pos"]), t["text"]))
+            if not usual:
+                return lexical
+            moments = F.filter(x, lambda t: t["when"]["kind"] == "moment")
+            zoned = F.array_distinct(F.transform(moments, lambda t: t["when"]["precision"] == "second"))
+            keys = F.transform(moments, lambda t: F.struct(t["pos"].alias("pos"), F.unix_micros(t["when"]["when"]).cast("double").alias("key")))
+            # Times with and without zones don't compare.
+            return F.concat(lexical, _let(F.when(F.size(zoned) == 1, turned(keys)), lambda p: _issue(p.isNotNull(), "axis.not-monotonic", _axis_at(a, "values", p), p)))
+
+        return _let(times(a), judged)
+
+    def numeric(a: Column) -> Column:
+        keys = F.transform(a["values"], lambda v, i: F.struct(i.alias("pos"), F.when(is_number(v), F.try_variant_get(v, "$", "double")).alias("key")))
+        keys = F.filter(keys, lambda x: x["key"].isNotNull() & ~F.isnan(x["key"]))
+        return _let(turned(keys), lambda p: _issue(p.isNotNull(), "axis.not-monotonic", _axis_at(a, "values", p), p))
+
+    of = lambda kind: F.filter("axes", lambda a: _plain(a) & (ordering(a["name"]) == kind))
+    return [_each(of("temporal"), temporal), *([_each(of("numeric"), numeric)] if usual else [])]
+
+
+def array_issues() -> list[Column]:
+    def of_array(r: Column) -> Column:
+        none = lambda kind: F.array().cast(f"array<{kind}>")
+        shape, names = F.coalesce(sub(r["array"], "shape", "array<int>"), none("int")), F.coalesce(sub(r["array"], "axisNames", "array<string>"), none("string"))
+        n, expected = F.size(sub(r["array"], "values", "array<variant>")), F.when(F.size(shape) == 0, 1).otherwise(product(shape))
+
+        def of_name(name: Column, k: Column) -> Column:
+            return _let(F.get(F.filter("axes", lambda a: a["name"] == name), F.lit(0))["size"], lambda size: F.concat(
+                _issue(size.isNull(), "coverage.range-axis-not-in-domain", _below(r["path"], "axisNames", k), name),
+                _issue(F.get(shape, k) != size, "coverage.range-shape-mismatch", _below(r["path"], "shape", k), name),
+            ))
+
+        inline = (F.col("kind") == "Coverage") & F.col("domain_at").isNotNull()
+        return F.concat(
+            _issue(F.size(names) != F.size(shape), "ndarray.shape-rank", _below(r["path"], "shape")), _issue(n != expected, "ndarray.value-count", _below(r["path"], "values"), n),
+            _each(F.when(inline, names), of_name),
+        )
+
+    return [_each(F.col("arrays"), of_array)]
+
+
+def value_issues() -> list[Column]:
     """Types of values as written, and codes of categories."""
-    typed = F.from_json("body", "struct<values:array<variant>>")["values"]
-    raw = F.from_json("body", "struct<values:array<string>>")["values"]
-    rows = p.arrays.select("doc_id", "cov", "key", "path", "data_type", F.posexplode(F.arrays_zip(raw.alias("token"), typed.alias("v"))).alias("i", "x"))
-    kind = F.schema_of_variant("x.v")
-    written = F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(F.regexp_like("x.token", F.lit("[.eE]")), "float").otherwise("integer")
-    rows = rows.filter(F.col("x.v").isNotNull() & (kind != "VOID")).select("doc_id", "cov", "key", "path", "data_type", "i", F.col("x.token").alias("token"), written.alias("class"))
-    fits = (F.col("class") == F.col("data_type")) | ((F.col("data_type") == "float") & (F.col("class") == "integer"))
-    coded = p.parameters.filter("p.observedProperty.categories is not null and p.categoryEncoding is not null")
-    entries = coded.select("doc_id", "cov", "key", F.transform("p.observedProperty.categories", lambda c: c["id"]).alias("ids"), F.explode_outer("p.categoryEncoding").alias("id", "code"))
-    lists = F.coalesce(F.from_json("code", "array<bigint>"), F.array(F.col("code").try_cast("bigint")))
-    valid = entries.filter(F.array_contains("ids", F.col("id"))).select("doc_id", "cov", "key", F.explode(lists).alias("n")).distinct()
-    coded_values = rows.join(coded.select("doc_id", "cov", "key"), ["doc_id", "cov", "key"], "left_semi").withColumn("n", F.when(F.col("class") == "integer", F.col("token").try_cast("bigint")))
-    wrong = coded_values.join(valid, ["doc_id", "cov", "key", "n"], "left_anti")
-    at = _below("values", F.col("i"))
-    return [
-        _issue(rows.filter(~fits), "range.value-type-mismatch", at, F.col("token")),
-        _issue(wrong, "range.invalid-category-code", at, F.col("token")),
-    ]
 
+    def of_array(r: Column) -> Column:
+        kind, p = sub(r["array"], "dataType", "string"), F.try_element_at("parameters", r["key"])
+        ids = F.transform(F.try_variant_get(p, "$.observedProperty.categories", "array<variant>"), lambda c: sub(c, "id", "string"))
+        encoding = sub(p, "categoryEncoding", "map<string,variant>")
+        code = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<bigint>"), F.array(F.try_variant_get(v, "$", "bigint")))
+        codes = F.flatten(F.transform(F.filter(F.map_entries(encoding), lambda e: F.array_contains(ids, e["key"])), lambda e: code(e["value"])))
+        coded = ids.isNotNull() & encoding.isNotNull()
+        tokens = F.from_json(F.try_element_at("range_texts", r["key"]), "struct<values:array<string>>")["values"]
 
-def tile_issues(p: Parts) -> list[DataFrame]:
-    tiled = p.ranges.filter("kind = 'TiledNdArray'").withColumn("a", F.from_json("body", TILED))
-    tiled = tiled.select("doc_id", "path", F.col("a.shape").alias("shape"), F.col("a.axisNames").alias("axis_names"), F.col("a.tileSets").alias("sets"))
-    same = F.size("shape") == F.size("axis_names")
-    each = tiled.select("doc_id", "path", "shape", "axis_names", same.alias("same"), F.posexplode("sets").alias("ts", "t"))
-    dims = each.select("doc_id", "path", "ts", "shape", F.posexplode("t.tileShape").alias("k", "tile")).withColumn("dim", F.get("shape", F.col("k")))
-    variables = template_variables(F.col("t.urlTemplate"))
-    divided = F.filter(F.zip_with("axis_names", "t.tileShape", lambda a, t: F.when(t.isNotNull(), a)), lambda x: x.isNotNull())
-    at_dim, at_url = _below("tileSets", F.col("ts"), F.lit("tileShape"), F.col("k")), _below("tileSets", F.col("ts"), F.lit("urlTemplate"))
-    lacking = each.select("doc_id", "path", "ts", F.explode(F.array_except(divided, variables)).alias("v"))
-    unknown = each.filter("same").select("doc_id", "path", "ts", F.explode(F.array_except(variables, divided)).alias("v"))
-    return [
-        _issue(tiled.filter(~same), "tiled-ndarray.shape-rank", _below("shape")),
-        _issue(dims.filter("tile > dim"), "tiled-ndarray.tile-shape-too-large", at_dim, F.col("tile")),
-        _issue(dims.filter("tile < 1"), "tiled-ndarray.tile-shape-not-positive", at_dim, F.col("tile")),
-        _issue(lacking, "tiled-ndarray.url-template-missing-variable", at_url, F.col("v")),
-        _issue(unknown, "tiled-ndarray.url-template-unknown-variable", at_url, F.col("v")),
-    ]
+        def of_value(x: Column, i: Column) -> Column:
+            token, v = x["token"], x["v"]
+            written = F.when(is_text(v), "string").when(F.schema_of_variant(v) == "BOOLEAN", "boolean").when(F.regexp_like(token, F.lit("[.eE]")), "float").otherwise("integer")
 
+            def judged(w: Column) -> Column:
+                fits = (w == kind) | ((kind == "float") & (w == "integer"))
+                known = F.array_contains(codes, F.when(w == "integer", token.try_cast("bigint")))
+                at = _below(r["path"], "values", i)
+                there = present(v)
+                return F.concat(_issue(there & ~fits, "range.value-type-mismatch", at, token), _issue(there & coded & ~F.coalesce(known, F.lit(False)), "range.invalid-category-code", at, token))
 
-def parameter_issues(p: Parts) -> list[DataFrame]:
-    ids = F.transform("p.observedProperty.categories", lambda c: c["id"])
-    keys = p.parameters.select("doc_id", "path", F.coalesce(ids, F.array().cast("array<string>")).alias("ids"), F.explode(F.map_keys("p.categoryEncoding")).alias("id"))
-    members = p.groups.select("doc_id", "cov", "path", F.explode("g.members").alias("key"))
-    known = p.covs.filter("parameters is not null").select("doc_id", F.col("path").alias("cov"))
-    strange = members.join(known, ["doc_id", "cov"], "left_semi").join(p.parameters.select("doc_id", "cov", "key"), ["doc_id", "cov", "key"], "left_anti")
-    return [
-        _issue(p.covs.filter("parameters is null"), "coverage.missing-parameters", _below("parameters")),
-        _issue(strange, "parameter-group.unknown-member", F.col("path"), F.col("key")),
-        _issue(keys.filter(~F.array_contains("ids", F.col("id"))), "parameter.category-encoding-unknown-id", _below("categoryEncoding", F.col("id")), F.col("id")),
-    ]
+            return _let(written, judged)
 
+        return _each(F.arrays_zip(tokens.alias("token"), sub(r["array"], "values", "array<variant>").alias("v")), of_value)
 
-def member_issues(p: Parts) -> list[DataFrame]:
-    """Domain types of a collection's coverages beside its own."""
-    shared = p.covs.filter("many and nullif(shared_type, '') is not null")
-    own = F.coalesce(F.nullif("inner_type", F.lit("")), F.nullif("own_type", F.lit("")))
-    inner = F.nullif("inner_type", F.lit("")).isNotNull()
-    return [
-        _issue(shared.filter(own != F.col("shared_type")), "coverage.domain-type-conflict", F.when(inner, _below("domain", "domainType")).otherwise(_below("domainType")), own),
-        _issue(shared.filter(own == F.col("shared_type")).filter("has_type"), "coverage.domain-type-not-omitted", _below("domainType"), F.col("own_type")),
-    ]
+    return [_each(F.col("arrays"), of_array)]
 
 
-def system_issues(p: Parts) -> list[DataFrame]:
-    missing = missing_required_member(F.col("s.type"), F.col("s.calendar"), F.to_json("s.targetConcept"))
-    rows = p.systems.withColumn("missing", missing)
-    return [
-        _issue(rows.filter("missing = 'calendar'"), "temporal.missing-calendar", _below("calendar")),
-        _issue(rows.filter("missing = 'targetConcept'"), "identifier.missing-target-concept", _below("targetConcept")),
-    ]
+def tile_issues() -> list[Column]:
+    def of_array(r: Column) -> Column:
+        shape, names = sub(r["array"], "shape", "array<int>"), sub(r["array"], "axisNames", "array<string>")
+        same = F.size(shape) == F.size(names)
 
+        def of_set(t: Column, i: Column) -> Column:
+            tile, at = sub(t, "tileShape", "array<int>"), lambda *more: _below(r["path"], "tileSets", i, *more)
+            variables = template_variables(sub(t, "urlTemplate", "string"))
+            divided = F.filter(F.zip_with(names, tile, lambda a, n: F.when(n.isNotNull(), a)), lambda x: x.isNotNull())
 
-def texts(p: Parts) -> DataFrame:
-    """(doc_id, path, texts): all language maps of parameters, groups and identifier systems, with their pointers."""
+            def of_size(n: Column, k: Column) -> Column:
+                return F.concat(
+                    _issue(n > F.get(shape, k), "tiled-ndarray.tile-shape-too-large", at("tileShape", k), n), _issue(n < 1, "tiled-ndarray.tile-shape-not-positive", at("tileShape", k), n)
+                )
 
-    def concept(c: Column, *parts: Column | str) -> list[Column]:
-        return [F.struct(_below(*parts, k).alias("path"), c[k].alias("texts")) for k in ("label", "description")]
+            return F.concat(
+                _each(tile, of_size), _each(F.array_except(divided, variables), lambda v: _issue(F.lit(True), "tiled-ndarray.url-template-missing-variable", at("urlTemplate"), v)),
+                _each(F.array_except(variables, divided), lambda v: _issue(same, "tiled-ndarray.url-template-unknown-variable", at("urlTemplate"), v)),
+            )
 
-    def observed(c: Column) -> list[Column]:
-        each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(c["categories"]), F.lit(0))), lambda i: F.array(*concept(F.get(c["categories"], i), "observedProperty", "categories", i)))
-        return [*concept(c, "observedProperty"), F.flatten(each)]
+        return F.concat(_issue(~same, "tiled-ndarray.shape-rank", _below(r["path"], "shape")), _each(sub(r["array"], "tileSets", "array<variant>"), of_set))
 
-    def rows(of: DataFrame, columns: list[Column]) -> DataFrame:
-        one = F.array(*[c for c in columns[:-1]])
-        return of.select("doc_id", F.explode(F.concat(one, columns[-1])).alias("x")).select("doc_id", "x.path", "x.texts").filter("texts is not null")
+    return [_each(F.col("tiled"), of_array)]
 
-    *plain, categories = observed(F.col("p.observedProperty"))
-    of_parameters = [*plain, *concept(F.col("p")), F.struct(_below("unit", "label").alias("path"), F.col("p.unit.label").alias("texts")), categories]
-    *plain, categories = observed(F.col("g.observedProperty"))
-    named = F.flatten(F.transform(F.map_entries(F.coalesce("s.identifiers", F.create_map().cast(f"map<string,struct<{CONCEPT}>>"))), lambda e: F.array(*concept(e["value"], "identifiers", e["key"]))))
-    identified = p.systems.filter("s.type = 'IdentifierRS'")
-    return reduce(DataFrame.unionByName, [
-        rows(p.parameters, of_parameters), rows(p.groups, [*concept(F.col("g")), *plain, categories]),
-        rows(identified, [*concept(F.col("s.targetConcept"), "targetConcept"), *concept(F.col("s")), named]),
-    ])
 
+def _parameter_at(key: Column, *more: Column | str) -> Column:
+    return _below(F.col("path"), "parameters", key, *more)
 
-def language_issues(p: Parts) -> list[DataFrame]:
-    own = texts(p)
-    tags = own.select("doc_id", "path", F.explode(F.map_keys("texts")).alias("tag"))
-    return [
-        _issue(own.filter(F.size("texts") == 0), "i18n.empty", F.col("path")),
-        _issue(tags.filter(~valid_language_tag(F.col("tag"))), "i18n.invalid-language-tag", _below(F.col("tag")), F.col("tag")),
+
+def parameter_issues() -> list[Column]:
+    def of_parameter(e: Column) -> Column:
+        ids = F.transform(items(F.try_variant_get(e["value"], "$.observedProperty.categories", "variant")), lambda c: sub(c, "id", "string"))
+        encoding = F.map_keys(sub(e["value"], "categoryEncoding", "map<string,variant>"))
+        return _each(encoding, lambda k: _issue(~F.array_contains(ids, k), "parameter.category-encoding-unknown-id", _parameter_at(e["key"], "categoryEncoding", k), k))
+
+    def of_group(g: Column, i: Column) -> Column:
+        strange = lambda k: _issue(~F.map_contains_key("parameters", k), "parameter-group.unknown-member", _below(F.col("path"), "parameterGroups", i), k)
+        return _each(sub(g, "members", "array<string>"), strange)
+
+    return [_each(F.map_entries("parameters"), of_parameter), _each(F.col("groups"), of_group)]
+
+
+def system_issues() -> list[Column]:
+    def of_connection(c: Column, i: Column) -> Column:
+        member = lambda m: F.try_variant_get(c, f"$.system.{m}", "string")
+        target = F.to_json(F.when(present(F.try_variant_get(c, "$.system.targetConcept", "variant")), F.try_variant_get(c, "$.system.targetConcept", "variant")))
+        missing = missing_required_member(member("type"), member("calendar"), target)
+        at = lambda m: _below(F.col("domain_at"), "referencing", i, "system", m)
+        return F.concat(_issue(missing == "calendar", "temporal.missing-calendar", at("calendar")), _issue(missing == "targetConcept", "identifier.missing-target-concept", at("targetConcept")))
+
+    return [_each(F.col("referencing"), of_connection)]
+
+
+def language_issues() -> list[Column]:
+    """All language maps of parameters, groups and identifier systems."""
+
+    one = lambda v, at, name: F.struct(_below(at, name).alias("at"), mapped(sub(v, name)).alias("texts"))
+    both = lambda v, at: [one(v, at, "label"), one(v, at, "description")]
+
+    def rule(t: Column) -> Column:
+        tags = _each(F.map_keys(t["texts"]), lambda k: _issue(~valid_language_tag(k), "i18n.invalid-language-tag", _below(t["at"], k), k))
+        return F.concat(_issue(F.size(t["texts"]) == 0, "i18n.empty", t["at"]), tags)
+
+    def described(v: Column, at: Column, *more: Column) -> Column:
+        inner, below = sub(v, "observedProperty"), _below(at, "observedProperty")
+        listed_ = F.transform(items(sub(inner, "categories")), lambda c, i: F.array(*both(c, _below(below, "categories", i))))
+        return F.concat(F.array(*both(v, at), *both(inner, below), *more), F.flatten(listed_))
+
+    def of_parameter(e: Column) -> Column:
+        at = _parameter_at(e["key"])
+        return described(e["value"], at, one(sub(e["value"], "unit"), _below(at, "unit"), "label"))
+
+    def of_connection(c: Column, i: Column) -> Column:
+        s, at = sub(c, "system"), _below(F.col("domain_at"), "referencing", i, "system")
+        named = F.transform(entries(sub(s, "identifiers", "map<string,variant>")), lambda e: F.array(*both(e["value"], _below(at, "identifiers", e["key"]))))
+        return F.concat(F.array(*both(sub(s, "targetConcept"), _below(at, "targetConcept")), *both(s, at)), F.flatten(named))
+
+    identified = F.filter("referencing", lambda c: F.try_variant_get(c, "$.system.type", "string") == "IdentifierRS")
+    # Connections keep their numbers, as pointers have them.
+    maps = [
+        F.transform(F.map_entries("parameters"), of_parameter), F.transform("groups", lambda g, i: described(g, _below(F.col("path"), "parameterGroups", i))),
+        F.when(F.size(identified) > 0, F.transform("referencing", lambda c, i: F.when(F.try_variant_get(c, "$.system.type", "string") == "IdentifierRS", of_connection(c, i)))),
     ]
+    return [_each(F.filter(F.flatten(F.filter(m, lambda x: x.isNotNull())), lambda t: t["texts"].isNotNull()), rule) for m in maps]
+
+
+def _found(rows: DataFrame, found: Sequence[Column]) -> DataFrame:
+    severity = F.when(F.col("code").isin(*WARNINGS), "warning").otherwise("error").alias("severity")
+    return rows.select("doc_id", F.inline(F.concat(*found))).select("doc_id", "code", severity, "at", "detail")
 
 
 def validate(documents: DataFrame, check_values: bool = False, checker: OrderChecker | None = None) -> DataFrame:
     """Findings (doc_id, code, severity, at, detail) of documents (doc_id, body); those that don't decode have none."""
     decoded, _ = docs.decode(documents.select("doc_id", "body"))
-    p = Parts(decoded)
-    found = [f for rule in (member_issues, domain_issues, axis_issues, array_issues, tile_issues, parameter_issues, system_issues, language_issues) for f in rule(p)]
+    rows = parts(decoded)
+    known = F.broadcast(rules(rows.sparkSession).select(F.col("domain_type").alias("_type"), F.struct("required", "optional", "single", "composite", "allowed").alias("rule")))  # twelve rows
+    rows = rows.join(known, F.col("domain_type") == F.col("_type"), "left")
+    found = [f for rule in (member_issues, domain_issues, axis_issues, array_issues, tile_issues, parameter_issues, system_issues, language_issues) for f in rule()]
     if check_values:
-        values = axis_values(p)
-        found += [*composite_issues(values), *order_issues(p, values, checker), *value_issues(p)]
-    return reduce(DataFrame.unionByName, found)
+        found += [*composite_issues(), *order_issues(checker is None), *value_issues()]
+    out = _found(rows, found)
+    if check_values and checker is not None:
+        axes = rows.select("doc_id", F.col("domain_at").alias("path"), "referencing", F.explode(F.filter("axes", _plain)).alias("a"))
+        axes = axes.select("doc_id", "path", F.col("a.name").alias("name"), F.col("a.values").alias("values"), ordering(F.col("a.name")).alias("ordering"))
+        broken = checker(axes.select("doc_id", "path", "name", F.posexplode("values").alias("pos", "v"), "ordering"))
+        out = out.unionByName(_found(broken, [_issue(F.lit(True), "axis.not-monotonic", _below(F.col("path"), "axes", F.col("name"), "values", F.col("pos")), F.col("pos"))]))
+    return out
 
 
 class ValidationError(ValueError):

@@ -16,6 +16,8 @@ from isomere.functions.arrays import expand_template, strides
 from isomere.functions.text import member_texts, object_text
 from isomere.operators import tiles
 from isomere.sources import documents as docs
+from isomere.sources.fetch import Fetch
+from isomere.sources.fetch import fetched as fetch_urls
 
 TILED = "struct<dataType:string,shape:array<int>,axisNames:array<string>,tileSets:array<struct<tileShape:array<int>,urlTemplate:string>>>"
 
@@ -31,22 +33,62 @@ def reference_sites(decoded: DataFrame) -> DataFrame:
     return of_domain.unionByName(of_ranges.select("doc_id", "cov_idx", "slot_ord", F.col("e.key").alias("slot"), F.col("e.value").alias("url")))
 
 
+#: What a document must be where a domain or a range stands.
+WANTED = {True: ("Domain",), False: ("NdArray", "TiledNdArray")}
+
+
+def judged(documents: DataFrame) -> DataFrame:
+    """(url, kind, message, lost) of documents (url, body): kind where the body decodes, else what is wrong with it.
+
+    Documents may come with error and transient, as sources.fetch gives them. The body itself is not in the result.
+    """
+    failed = F.col("error").isNotNull() if "error" in documents.columns else F.lit(False)
+    wrong = docs.model.structure_error(F.col("body"), docs.ROOTS)
+    rows = documents.withColumn("_wrong", F.when(~failed, wrong))
+    reason = F.concat(F.col("_wrong.reason"), F.when(F.col("_wrong.at") != "", F.concat(F.lit(" at "), F.col("_wrong.at"))).otherwise(""))
+    error = F.when(failed, F.col("error")).otherwise(reason) if "error" in documents.columns else reason
+    lost = F.coalesce(F.col("transient"), F.lit(False)) if "transient" in documents.columns else F.lit(False)
+    return rows.select("url", F.when(error.isNull(), F.get_json_object("body", "$.type")).alias("kind"), error.alias("message"), lost.alias("lost"))
+
+
 def fetched(sites: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(resolved, failures) of reference_sites() against documents (url, body).
 
     resolved: the sites that have a body. failures: the others with kind, message, and slot `domain` for that of a domain.
+
+    A document is decoded once, however many sites refer to it, and its body comes last, to the sites that get it.
     """
-    kind = F.try_element_at(docs.members("body"), F.lit("type"))
-    broken = F.schema_of_variant(F.try_parse_json("body")).isNull()
-    there = documents.select(F.col("url").alias("_url"), "body", F.when(~broken, kind).alias("kind"), broken.alias("broken"), F.lit(True).alias("there"))
-    found = sites.join(there, F.col("url") == F.col("_url"), "left")
-    wanted = F.when(F.col("slot").isNull(), F.col("kind") == "Domain").otherwise(F.col("kind").isin("NdArray", "TiledNdArray"))
-    good = F.coalesce(F.col("there") & wanted, F.lit(False))
-    message = F.when(F.col("there").isNull(), "no document").when(F.col("broken"), "not JSON").otherwise(F.concat(F.lit("unexpected type "), F.coalesce("kind", F.lit("none"))))
-    failures = found.filter(~good).select(
-        "doc_id", "cov_idx", "slot_ord", F.coalesce("slot", F.lit("domain")).alias("slot"), "url", F.when(F.col("there"), "unrecoverable").otherwise("transient").alias("kind"), message.alias("message")
+    asked = sites.groupBy("url").agg(F.count("*").alias("_n"))
+    found = asked.join(judged(documents), "url", "left").withColumn("there", F.col("kind").isNotNull() | F.col("message").isNotNull())
+    met = _join_counted(sites, found)
+    is_domain = F.col("slot").isNull()
+    wanted = F.when(is_domain, F.col("kind").isin(*WANTED[True])).otherwise(F.col("kind").isin(*WANTED[False]))
+    good = F.coalesce(wanted, F.lit(False))
+    message = F.when(~F.col("there"), "no document").when(F.col("message").isNotNull(), F.col("message")).otherwise(F.concat(F.lit("unexpected type "), F.col("kind")))
+    transient = ~F.col("there") | F.col("lost")
+    failures = met.filter(~good).select(
+        "doc_id", "cov_idx", "slot_ord", F.coalesce("slot", F.lit("domain")).alias("slot"), "url", F.when(F.coalesce(transient, F.lit(True)), "transient").otherwise("unrecoverable").alias("kind"), message.alias("message")
     )
-    return found.filter(good).select("doc_id", "cov_idx", "slot_ord", "slot", "url", "body"), failures
+    bodies = documents.select("url", "body").join(asked, "url")
+    return _join_counted(met.filter(good).select("doc_id", "cov_idx", "slot_ord", "slot", "url"), bodies).drop("_n"), failures
+
+
+#: A URL is hot from this many sites on, and from this share of all sites on; so at most 1 / HOT_SHARE are hot.
+HOT_SITES, HOT_SHARE = 10_000, 0.001
+
+
+def _join_counted(sites: DataFrame, by_url: DataFrame) -> DataFrame:
+    """sites joined to by_url, one row a URL with the number of its sites in _n; hot URLs are spread over several tasks.
+
+    The sites of a hot URL get a number below its spread, and its one row is repeated for each of these. Hot URLs are few, so
+    their spreads are broadcast; all is one lazy plan.
+    """
+    limit = F.greatest(F.lit(HOT_SITES), sites.select(F.count("*").alias("n")).scalar() * HOT_SHARE)
+    spread = lambda n: F.greatest(F.lit(1), F.ceil(n / limit)).cast("int")
+    hot = sites.groupBy("url").agg(F.count("*").alias("_m")).filter(F.col("_m") > limit).select("url", spread(F.col("_m")).alias("_spread"))
+    salted = sites.join(F.broadcast(hot), "url", "left").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "cov_idx", "slot_ord"), F.coalesce("_spread", F.lit(1))).cast("int")).drop("_spread")
+    repeated = by_url.withColumn("_salt", F.explode(F.sequence(F.lit(0), spread(F.col("_n")) - 1)))
+    return salted.join(repeated, ["url", "_salt"]).drop("_salt")
 
 
 def rebuilt(decoded: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -78,6 +120,20 @@ def resolve_references(decoded: DataFrame, documents: DataFrame) -> tuple[DataFr
     return rebuilt(decoded, resolved), failures
 
 
+def resolve_with(decoded: DataFrame, fetch: Fetch, **options) -> tuple[DataFrame, DataFrame]:
+    """As resolve_references(), with the documents that a user's function gives; options: as sources.fetch.fetched()."""
+    return resolve_references(decoded, fetch_urls(reference_sites(decoded), fetch, **options))
+
+
+def assemble_with(arrays: DataFrame, fetch: Fetch, keys: Sequence[str], tileset: int | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """As assemble(), with the tiles that a user's function gives; failed calls are failures of their tiles."""
+    came = fetch_urls(tile_layout(arrays, keys, tileset), fetch, **options)
+    cells, failures = assemble(arrays, came.filter("error is null"), keys, tileset)
+    told = came.filter("error is not null").select("url", F.col("error").alias("_error"), F.col("transient").alias("_transient"))
+    joined = failures.join(told, "url", "left").withColumn("kind", F.when(F.col("_error").isNull(), F.col("kind")).when(F.col("_transient"), "transient").otherwise("unrecoverable"))
+    return cells, joined.withColumn("message", F.col("_error")).drop("_error", "_transient")
+
+
 def tile_layout(arrays: DataFrame, keys: Sequence[str], tileset: int | None = None) -> DataFrame:
     """A row a tile of arrays (keys, body of a TiledNdArray): keys, data_type, axis_names, shape, url, ordinals, offsets.
 

@@ -556,11 +556,14 @@ def geojson_crs(spark, sf_dir):
     return geojson.crs(systems, ["n_nationkey"])
 
 
-@query("""SELECT * FROM (VALUES ('lon', 'x'), ('latitude', 'y'), ('depth', 'z'), ('time', 't'), ('a', 'y'), ('b', 'x'), ('c', NULL)) v(name, role)""")
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'x' WHEN 2 THEN 'y' WHEN 3 THEN 'z' WHEN 4 THEN 't' ELSE CASE WHEN l_returnflag = 'R' THEN 'z' END END AS role FROM lineitem""")
 def cf_roles(spark, sf_dir):
-    rows = [("lon", None, None, None), ("latitude", None, None, None), ("depth", None, None, None), ("time", None, None, None), ("a", None, "degrees_north", None), ("b", "time", None, "X"), ("c", None, "m", None)]
-    names = spark.createDataFrame(rows, "name string, standard string, units string, axis string")
-    return names.select("name", cf.role(*[F.col(c) for c in ("name", "standard", "units", "axis")]).alias("role"))
+    """Coordinates named by line number; those of other lines with a positive attribute where a line was returned."""
+    number = F.col("l_linenumber")
+    name = F.coalesce(F.get(F.array(*map(F.lit, ("", "Lon", "latitude", "depth", "TIME"))), number.cast("int")), F.lit("other"))
+    positive = F.when((F.col("l_returnflag") == "R") & (number > 4), "up")
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cf.role(name, none, none, positive).alias("role"))
 
 
 @query("SELECT user_id, string_agg(CAST(code AS VARCHAR), ',' ORDER BY event_type) AS flag_values, string_agg('type_' || event_type, ' ' ORDER BY event_type) AS flag_meanings FROM (SELECT DISTINCT user_id, event_type, length(event_type) AS code FROM events) GROUP BY user_id")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from isomere.functions import temporal as ft
 from isomere.operators import cf, cf_documents, conformance, fetching
 from isomere.plans import cases
-from isomere.plans.catalogue import query, table
-from isomere.sources.documents import decode
+from isomere.plans.catalogue import ORACLE_SQL, query, table
+from isomere.sources.documents import decode, encode
 
 N = len(cases.CASES)
 
@@ -45,6 +45,8 @@ TIMES = [
     ("2020-01-02T03:04:05Z", "moment", "2020-01-02 03:04:05", "second"), ("2020-01-02T03:04:05.5+01:00", "moment", "2020-01-02 02:04:05.5", "second"), ("2020-01-02T03:04:05", "malformed", None, None),
     ("2016-12-31T23:59:60Z", "unrepresentable", None, None), ("2016-13-31T23:59:60Z", "unrepresentable", None, None), ("2016-12-31T25:99:60Z", "unrepresentable", None, None), ("2016-12-31T24:00:00Z", "malformed", None, None),
     ("0000-01-01T00:00:00Z", "unrepresentable", None, None), ("0000-01-01T00:61:00Z", "malformed", None, None), ("", "malformed", None, None), ("now", "malformed", None, None),
+    ("2020-01-02T03:04:05+19:00", "moment", "2020-01-01 08:04:05", "second"), ("2020-01-02T03:04:05.25-23:59", "moment", "2020-01-03 03:03:05.25", "second"), ("2020-01-02T03:04:05+24:00", "malformed", None, None), ("2020-01-02T03:04:05+01:60", "malformed", None, None),
+    ("2020\n", "malformed", None, None), ("2020-01\n", "malformed", None, None), ("2020-01-02\n", "malformed", None, None), ("2020-01-02T03:04:05Z\n", "malformed", None, None), ("+002020\n", "malformed", None, None),
 ]
 
 
@@ -57,31 +59,32 @@ def temporal_forms(spark, sf_dir):
     return r.select("c_custkey", "value", "r.kind", F.col("r.when").cast("timestamp_ntz").alias("when"), "r.precision")
 
 
-#: Name, standard name, units, axis attribute, positive attribute, and the role.
+#: Name, standard name, units, positive attribute, whether values are times, and the role.
 ROLES = [
-    ("lon", None, None, None, None, "x"), ("east", None, "degrees_E", None, None, "x"), ("a", "longitude", None, None, None, "x"), ("Latitude", None, None, None, None, "y"), ("b", None, "degrees_north", None, None, "y"),
-    ("level", None, None, None, None, "z"), ("elevation", None, None, None, None, "z"), ("c", None, None, None, "up", "z"), ("d", "depth", None, None, None, "z"), ("e", "altitude", None, None, None, "z"),
-    ("time", None, None, None, None, "t"), ("f", "time", None, "X", None, "x"), ("g", None, "m", None, None, None),
+    ("lon", None, None, None, False, "x"), ("east", None, "degrees_E", None, False, "x"), ("a", "longitude", None, None, False, "x"), ("Latitude", None, None, None, False, "y"), ("b", None, "degrees_north", None, False, "y"),
+    ("level", None, None, None, False, "z"), ("elevation", None, None, None, False, "z"), ("c", None, None, "up", False, "z"), ("d", "depth", None, None, False, "z"), ("e", "altitude", None, None, False, "z"),
+    ("time", None, None, None, False, "t"), ("f", "time", None, None, False, None), ("g", None, "m", None, False, None), ("h", None, None, None, True, "t"), ("lon", "latitude", None, None, False, "x"),
+    ("x", None, None, "down", True, "x"), ("i", None, "degree_east", None, False, None), ("depth", None, "degrees_north", "down", False, "y"), ("t", None, None, "up", True, "z"),
 ]
 
 
 @query(f"""SELECT c_custkey, role FROM customer
 JOIN (VALUES {cases.sql_values([(i, r[-1]) for i, r in enumerate(ROLES)])}) v(i, role) ON c_custkey % {len(ROLES)} = i""")
 def cf_coordinate_roles(spark, sf_dir):
-    known = spark.createDataFrame([(i, *r[:-1]) for i, r in enumerate(ROLES)], "i int, name string, standard string, units string, axis string, positive string")
+    known = spark.createDataFrame([(i, *r[:-1]) for i, r in enumerate(ROLES)], "i int, name string, standard string, units string, positive string, is_time boolean")
     rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % len(ROLES)).cast("int").alias("i")).join(F.broadcast(known), "i")
-    return rows.select("c_custkey", cf.role(*[F.col(c) for c in ("name", "standard", "units", "axis", "positive")]).alias("role"))
+    return rows.select("c_custkey", cf.role(*[F.col(c) for c in ("name", "standard", "units", "positive", "is_time")]).alias("role"))
 
 
 def linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, body) of a coverage a customer that refers to two URLs, within a collection for even keys; (url, body)."""
     key = F.col("c_custkey").cast("string")
     rows = table(spark, sf_dir, "customer")
-    cov = F.concat(F.lit('{"type":"Coverage","id":"'), key, F.lit('","domain":"http://x/d/'), key, F.lit('","ranges":{"p":"http://x/r/'), key, F.lit('","q":{"type":"NdArray","values":[2.0]}}}'))
+    cov = F.concat(F.lit('{"type":"Coverage","id":"'), key, F.lit('","domain":"http://x/d/'), key, F.lit('","ranges":{"p":"http://x/r/'), key, F.lit('","q":{"type":"NdArray","dataType":"float","values":[2.0]}}}'))
     body = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('{"type":"CoverageCollection","coverages":['), cov, F.lit("]}"))).otherwise(cov)
     domain = rows.filter("c_custkey % 3 <> 0").select(F.concat(F.lit("http://x/d/"), key).alias("url"), F.concat(F.lit('{"type":"Domain","axes":{"b":{"values":['), key, F.lit("]}}}")).alias("body"))
     kind = F.when(F.col("c_custkey") % 5 == 1, "Feature").otherwise("NdArray")
-    text = F.when(F.col("c_custkey") % 7 == 2, "{broken").otherwise(F.concat(F.lit('{"type":"'), kind, F.lit('","values":['), key, F.lit("]}")))
+    text = F.when(F.col("c_custkey") % 7 == 2, "{broken").otherwise(F.concat(F.lit('{"type":"'), kind, F.lit('","dataType":"float","values":['), key, F.lit("]}")))
     ranges = rows.filter("c_custkey % 11 <> 0").select(F.concat(F.lit("http://x/r/"), key).alias("url"), text.alias("body"))
     return rows.select(F.col("c_custkey").alias("doc_id"), body.alias("body")), domain.unionByName(ranges)
 
@@ -92,7 +95,7 @@ CASE WHEN c_custkey % 11 = 0 THEN 'no document' WHEN c_custkey % 7 = 2 THEN 'not
 
 @query(SITES + """ SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{"type":"CoverageCollection","coverages":[' || cov || ']}' ELSE cov END AS body FROM (SELECT doc_id,
 '{"type":"Coverage","id":"' || k || '","domain":' || CASE WHEN d THEN '{"type":"Domain","axes":{"b":{"values":[' || k || ']}}}' ELSE '"http://x/d/' || k || '"' END
-|| ',"ranges":{"p":' || CASE WHEN r IS NULL THEN '{"type":"NdArray","values":[' || k || ']}' ELSE '"http://x/r/' || k || '"' END || ',"q":{"type":"NdArray","values":[2.0]}}}' AS cov FROM k)""")
+|| ',"ranges":{"p":' || CASE WHEN r IS NULL THEN '{"type":"NdArray","dataType":"float","values":[' || k || ']}' ELSE '"http://x/r/' || k || '"' END || ',"q":{"type":"NdArray","dataType":"float","values":[2.0]}}}' AS cov FROM k)""")
 def resolve_documents(spark, sf_dir):
     bodies, others = linked(spark, sf_dir)
     return fetching.resolve_references(decode(bodies)[0], others)[0]
@@ -105,6 +108,22 @@ def resolve_documents_failures(spark, sf_dir):
     return fetching.resolve_references(decode(bodies)[0], others)[1]
 
 
+@query(ORACLE_SQL["resolve_documents"])
+def resolve_fetched(spark, sf_dir):
+    """As resolve_documents, with a user's function in place of a table of documents."""
+
+    def fetch(url: str) -> bytes:
+        what, key = url.split("/")[-2:]
+        n = int(key)
+        if what == "d" and n % 3 == 0 or what == "r" and n % 11 == 0:
+            raise FileNotFoundError(url)
+        if what == "d":
+            return f'{{"type":"Domain","axes":{{"b":{{"values":[{n}]}}}}}}'.encode()
+        return b"{broken" if n % 7 == 2 else f'{{"type":"{"Feature" if n % 5 == 1 else "NdArray"}","dataType":"float","values":[{n}]}}'.encode()
+
+    return fetching.resolve_with(decode(linked(spark, sf_dir)[0])[0], fetch, retries=0)[0]
+
+
 def tiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, body) of a tiled array of 3 x 4 a customer, and its tiles of 2 x 3 (url, body), one in seven of them lost."""
     rows, key = table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
@@ -149,3 +168,47 @@ def cf_to_documents(spark, sf_dir):
     variables, values = (rows.select(ds, F.inline(x)) for x in (each, cells))
     sizes = rows.select(ds, F.lit("t").alias("dim"), F.lit(2).alias("size"))
     return cf_documents.documents(variables, values, sizes, rows.select(ds, none.alias("attrs")))[0]
+
+
+#: Documents with a structural error each, the pointer to it and its reason; %s stands for a customer's key.
+BROKEN = [
+    ('{"type":"Domain","axes":{"x":{"start":%s,"stop":1}}}', "/axes/x", "neither values nor a whole regular form"), ('{"type":"Domain","axes":{"x":{"values":[%s]},"y":{"values":[]}}}', "/axes/y", "no values"),
+    ('{"type":"Domain","axes":{"x":{"start":%s,"stop":1,"num":0}}}', "/axes/x", "num below 1"), ('{"type":"Domain","axes":{"x":{"values":[[%s]],"dataType":"tuple"}}}', "/axes/x", "a composite axis needs values and coordinates"),
+    ('{"type":"TiledNdArray","dataType":"float","axisNames":["x"],"shape":[%s],"tileSets":[]}', "", "no tile sets"), ('{"type":"TiledNdArray","dataType":"float","axisNames":["x"],"shape":[%s],"tileSets":[{"tileShape":[1,1],"urlTemplate":"u"}]}', "", "a tile set of another rank"),
+    ('{"type":"Coverage","domain":"u","ranges":{},"parameters":{"%s":{"observedProperty":{"label":{}},"unit":{}}}}', "/parameters/%s/unit", "a unit needs a label or a symbol"), ('{"type":"Coverage","domain":"u","ranges":{},"parameters":{"%s":{"observedProperty":{"label":{}},"categoryEncoding":{"a":1}}}}', "/parameters/%s", "an encoding without categories"),
+    ('{"type":"Coverage","domain":"u","ranges":{},"parameterGroups":[{"members":["%s"]}]}', "/parameterGroups/0", "a group needs a label or an observed property"), ('{"type":"CoverageCollection","coverages":[{"domain":"u","ranges":{"%s":1}}]}', "/coverages/0/ranges/%s", "neither an object nor a text"),
+    ('{"type":"NdArray","dataType":"float","values":[%s]}', None, None),
+]
+
+
+def of_kinds(spark: SparkSession, sf_dir: str, bodies: list[str]) -> DataFrame:
+    """(doc_id, body): a customer's document, of the kind that the key's remainder names, with the key for %s."""
+    key = F.col("c_custkey").cast("string")
+    body = F.replace(F.get(F.array(*map(F.lit, bodies)), (F.col("c_custkey") % len(bodies)).cast("int")), F.lit("%s"), key)
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), body.alias("body"))
+
+
+@query(f"""SELECT c_custkey AS doc_id, error, replace("at", '%s', c_custkey::VARCHAR) AS "at" FROM customer
+JOIN (VALUES {cases.sql_values([(i, at, error) for i, (_, at, error) in enumerate(BROKEN)])}) v(i, "at", error) ON c_custkey % {len(BROKEN)} = i WHERE error IS NOT NULL""")
+def structure_quarantine(spark, sf_dir):
+    return decode(of_kinds(spark, sf_dir, [b for b, _, _ in BROKEN]))[1]
+
+
+#: Documents of the five roots as they may come, and in canonical form.
+WRITTEN = [
+    ('{"ranges":{"q":"u","p":{"values":[%s,2.50,null],"dataType":"float","type":"NdArray","shape":[],"axisNames":[]}},"type":"Coverage","id":null,"more":1,"domain":{"axes":{"z":{"num":3,"start":1,"stop":2.5},"b":{"bounds":[0,1],"values":[%s]}},"referencing":[],"type":"Domain"}}',
+     '{"type":"Coverage","domain":{"type":"Domain","axes":{"z":{"start":1.0,"stop":2.5,"num":3},"b":{"values":[%s],"bounds":[0.0,1.0]}}},"ranges":{"q":"u","p":{"type":"NdArray","dataType":"float","values":[%s,2.5,null]}}}'),
+    ('{"coverages":[{"type":"Coverage","ranges":{},"domain":"u"}], "parameters":{"k%s":{"observedProperty":{"id":"i","label":{"b":"1","a":"2"}},"type":"Parameter","unit":{"symbol":{"type":"t","value":"K"}}}},"type":"CoverageCollection","referencing":[]}',
+     '{"type":"CoverageCollection","coverages":[{"type":"Coverage","domain":"u","ranges":{}}],"parameters":{"k%s":{"type":"Parameter","observedProperty":{"label":{"b":"1","a":"2"},"id":"i"},"unit":{"symbol":{"value":"K","type":"t"}}}}}'),
+    ('{"domainType":null,"type":"Domain","axes":{"x":{"values":["%s"]}},"@context":["c"]}', '{"type":"Domain","axes":{"x":{"values":["%s"]}},"@context":["c"]}'),
+    ('{"values":[%s],"axisNames":["x"],"shape":[1],"type":"NdArray","dataType":"integer"}', '{"type":"NdArray","dataType":"integer","values":[%s],"shape":[1],"axisNames":["x"]}'),
+    ('{"tileSets":[{"urlTemplate":"u","tileShape":[null]}],"shape":[%s],"axisNames":["x"],"dataType":"float","type":"TiledNdArray"}', '{"type":"TiledNdArray","dataType":"float","axisNames":["x"],"shape":[%s],"tileSets":[{"tileShape":[null],"urlTemplate":"u"}]}'),
+]
+
+
+@query(f"""SELECT c_custkey AS doc_id, replace(body, '%s', c_custkey::VARCHAR) AS body FROM customer
+JOIN (VALUES {cases.sql_values([(i, body) for i, (_, body) in enumerate(WRITTEN)])}) v(i, body) ON c_custkey % {len(WRITTEN)} = i""")
+def encode_documents(spark, sf_dir):
+    """Decoded, encoded, decoded and encoded again."""
+    once = encode(decode(of_kinds(spark, sf_dir, [b for b, _ in WRITTEN]))[0])
+    return encode(decode(once.select("doc_id", "body"))[0]).select("doc_id", "body")

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isomere.functions.arrays import finite_or_null
-from isomere.functions.text import MEDIA_TYPE, is_media_type
+from isomere.functions.text import MEDIA_TYPE, is_media_type, media_type
+from isomere.sources import model
 
 ROOTS = ("Coverage", "CoverageCollection", "Domain", "NdArray", "TiledNdArray")
 MEMBERS = "map<string,string>"
@@ -32,22 +33,32 @@ def is_object(text: Column) -> Column:
 
 
 def decode(documents: DataFrame, *types: str) -> tuple[DataFrame, DataFrame]:
-    """(decoded, quarantine) of (doc_id, body): decoded has type and members; quarantine has error. types: those accepted."""
-    wanted = types or ROOTS
-    rows = documents.withColumn("members", members("body")).withColumn("type", F.col("members")["type"])
-    error = (
-        F.when(F.col("body").isNull() | F.schema_of_variant(F.try_parse_json("body")).isNull(), "not JSON")
-        .when(~is_object(F.col("body")), "not an object").when(F.col("type").isNull(), "no type").when(~F.col("type").isin(*wanted), F.concat(F.lit("unexpected type "), F.col("type")))
-    )
-    rows = rows.withColumn("error", error)
-    return rows.filter("error is null").drop("error"), rows.filter("error is not null").select("doc_id", "error")
+    """(decoded, quarantine) of (doc_id, body): decoded has type and members; quarantine has error and at. types: those accepted.
+
+    Each document is judged alone: that it is an object of an accepted type, and that all its objects have the members and
+    kinds that model.MODEL names. at: the pointer to the first thing wrong.
+    """
+    rows = documents.withColumn("_found", model.structure_error(F.col("body"), types or ROOTS))
+    bad = rows.filter("_found is not null").select("doc_id", F.col("_found.reason").alias("error"), "_found.at")
+    good = rows.filter("_found is null").drop("_found").withColumn("members", members("body"))
+    return good.withColumn("type", F.try_element_at("members", F.lit("type"))), bad
+
+
+def encode(decoded: DataFrame) -> DataFrame:
+    """decoded with `body` in canonical form: members in the order of model.MODEL, without defaults and unknown members."""
+    return decoded.withColumn("body", model.canonical_text(F.col("body")))
+
+
+def encode_response(decoded: DataFrame, *profiles: str) -> DataFrame:
+    """(doc_id, body, content_type) of decoded documents, as responses carry them."""
+    return encode(decoded).select("doc_id", "body", F.lit(media_type(*profiles)).alias("content_type"))
 
 
 def decode_response(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """As decode for (doc_id, body, content_type); a wrong content type is an error, a null one is not checked."""
     right = F.col("content_type").isNull() | is_media_type(F.col("content_type"))
     good, bad = decode(responses.filter(right))
-    wrong = responses.filter(~right).select("doc_id", F.concat(F.lit("content type is not "), F.lit(MEDIA_TYPE)).alias("error"))
+    wrong = responses.filter(~right).select("doc_id", F.concat(F.lit("content type is not "), F.lit(MEDIA_TYPE)).alias("error"), F.lit("").alias("at"))
     return good, bad.unionByName(wrong)
 
 

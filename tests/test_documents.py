@@ -11,10 +11,10 @@ COVERAGE = {
     "type": "Coverage", "id": "c1",
     "domain": {"type": "Domain", "domainType": "PointSeries", "axes": {"z": {"values": [1]}, "x": {"values": [1, 2.5]}, "t": {"start": 0, "stop": 4, "num": 3}}, "referencing": []},
     "ranges": {"b": {"type": "NdArray", "dataType": "float", "axisNames": ["t"], "shape": [3], "values": [1, 1.0, None]}, "a": "http://x/r", "domain": "http://x/d"},
-    "parameters": {"b": {"type": "Parameter"}},
+    "parameters": {"b": {"type": "Parameter", "observedProperty": {"label": {"en": "b"}}}},
 }
 COLLECTION = {
-    "type": "CoverageCollection", "domainType": "Grid", "parameters": {"p": {}}, "referencing": [{"coordinates": ["t"], "system": {"type": "TemporalRS"}}],
+    "type": "CoverageCollection", "domainType": "Grid", "parameters": {"p": {"observedProperty": {"label": {}}}}, "referencing": [{"coordinates": ["t"], "system": {"type": "TemporalRS"}}],
     "coverages": [
         {"type": "Coverage", "domain": {"type": "Domain", "axes": {}}, "ranges": {}}, {"type": "Coverage", "domain": "http://x/d", "ranges": {}, "parameters": {}, "domainType": "Grid"},
     ],
@@ -44,7 +44,7 @@ def test_orders_and_classes(decoded):
 
 def test_inheritance(decoded):
     eff = {r.cov_idx: r for r in documents.effective(documents.coverages(decoded[0])).filter("doc_id = 1").collect()}
-    assert eff[0].parameters == '{"p":{}}' and eff[1].parameters == "{}"  # present but empty is not inherited
+    assert eff[0].parameters == '{"p":{"observedProperty":{"label":{}}}}' and eff[1].parameters == "{}"  # present but empty is not inherited
     assert eff[0].referencing and eff[1].referencing is None  # only into an inline domain
     assert eff[1].has_type and not eff[0].has_type
 

@@ -3,28 +3,81 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from isomere.operators import geojson, parameters, references, tiles
-from isomere.sources import structure
+from isomere.operators import conformance, geojson, parameters, references, tiles
+from isomere.sources.documents import decode, encode, encode_response
 
-AXIS = "struct<values:array<double>,start:double,stop:double,num:int,dataType:string,coordinates:array<string>>"
+GOOD = {"type": "Domain", "axes": {"x": {"values": [1]}}}
+ARRAY = {"type": "NdArray", "dataType": "float", "values": [1]}
+TILED = {"type": "TiledNdArray", "dataType": "float", "axisNames": ["y"], "shape": [4], "tileSets": [{"tileShape": [None], "urlTemplate": "u"}]}
+NAMED = {"label": {"en": "n"}}
 
 
-@pytest.mark.parametrize("axis, wrong", [
-    ({"values": [1]}, False), ({"values": []}, True), ({"start": 0, "stop": 1, "num": 2}, False), ({"start": 0, "stop": 1}, True), ({}, True), ({"start": 0, "stop": 1, "num": 1}, True), ({"start": 1, "stop": 1, "num": 1}, False),
-    ({"start": 0, "stop": 1, "num": 0}, True), ({"values": [1], "num": 0}, False), ({"values": [1], "dataType": "tuple"}, True), ({"values": [1], "dataType": "polygon", "coordinates": ["x"]}, True), ({"values": [1], "coordinates": []}, True),
-])
-def test_axis(spark, axis, wrong):
-    (reason,) = spark.range(1).select(structure.axis_error(F.from_json(F.lit(json.dumps(axis)), AXIS))).head()
-    assert (reason is not None) == wrong
+def axis(**members):
+    return {"type": "Domain", "axes": {"a/b": members}}
 
 
-def test_others(spark):
-    null, some = F.lit(None).cast("string"), F.array(F.lit("a"))
-    row = spark.range(1).select(
-        structure.unit_error(null, null).alias("a"), structure.unit_error(null, F.lit("m")).alias("b"), structure.parameter_error(F.lit("m"), some, null).alias("c"), structure.parameter_error(null, F.lit(None).cast("array<string>"), F.lit("e")).alias("d"),
-        structure.group_error(some, null, null).alias("e"), structure.group_error(some, F.lit("x"), null).alias("f"), structure.tiled_error(F.array(F.lit(4)), F.array(F.array(F.lit(2), F.lit(2)))).alias("g"), structure.observed_error(F.array().cast("array<string>")).alias("h"),
-    ).head()
-    assert [row[k] is not None for k in "abcdefgh"] == [True, False, True, True, True, False, True, True]
+def cov(**members):
+    return {"type": "Coverage", "domain": "http://d", "ranges": {}, **members}
+
+
+def parameter(**members):
+    return cov(parameters={"p": {"type": "Parameter", "observedProperty": NAMED, **members}})
+
+
+#: A document, and the pointer and reason of what is wrong with it.
+BROKEN = [
+    (axis(), "/axes/a~1b", "neither values nor a whole regular form"), (axis(start=0, stop=1), "/axes/a~1b", "neither values nor a whole regular form"), (axis(values=[]), "/axes/a~1b", "no values"),
+    (axis(start=0, stop=1, num=0), "/axes/a~1b", "num below 1"), (axis(start=0, stop=1, num=1), "/axes/a~1b", "one value with start other than stop"), (axis(values=[True]), "/axes/a~1b/values/0", "neither a number, a text nor a list"),
+    (axis(values=[1], dataType="tuple"), "/axes/a~1b", "a composite axis needs values and coordinates"), (axis(values=[1], dataType="polygon", coordinates=["x"]), "/axes/a~1b", "polygons need two coordinates"),
+    (axis(values=[1], coordinates=[]), "/axes/a~1b", "no coordinates"), (axis(start=0, stop=1, num=2.0), "/axes/a~1b/num", "not a whole number"), (axis(values=[1], bounds=[None]), "/axes/a~1b/bounds/0", "neither a number nor a text"),
+    ({"type": "Domain"}, "/axes", "missing"), ({**GOOD, "domainType": 1}, "/domainType", "not a text"), ({**GOOD, "referencing": None}, "/referencing", "not a list"),
+    ({**GOOD, "referencing": [{"coordinates": ["x"], "system": {"id": "i"}}]}, "/referencing/0/system/type", "missing"), ({**GOOD, "referencing": [{"coordinates": ["x"], "system": {"type": "t", "targetConcept": {}}}]}, "/referencing/0/system/targetConcept/label", "missing"),
+    ({**ARRAY, "dataType": "double"}, "/dataType", "not a data type"), ({**ARRAY, "values": [[1]]}, "/values/0", "neither a number, a text nor null"), ({**ARRAY, "shape": ["1"]}, "/shape/0", "not a whole number"),
+    ({**TILED, "shape": [], "axisNames": []}, "", "no shape"), ({**TILED, "tileSets": []}, "", "no tile sets"), ({**TILED, "tileSets": [{"tileShape": [1, 1], "urlTemplate": "u"}]}, "", "a tile set of another rank"),
+    ({**TILED, "tileSets": [{"tileShape": [1]}]}, "/tileSets/0/urlTemplate", "missing"), (cov(domain=ARRAY), "/domain/type", "another type"), (cov(domain=None), "/domain", "neither an object nor a text"),
+    (cov(ranges={"r": {"dataType": "float", "values": []}}), "/ranges/r/type", "missing"), (cov(ranges={"r": GOOD}), "/ranges/r/type", "another type"), (cov(domainType=None), "/domainType", "not a text"), ({"type": "Coverage", "ranges": {}}, "/domain", "missing"),
+    (parameter(unit={"id": "u"}), "/parameters/p/unit", "a unit needs a label or a symbol"), (parameter(unit={"symbol": {"value": "K"}}), "/parameters/p/unit/symbol/type", "missing"), (parameter(label={"en": 1}), "/parameters/p/label/en", "not a text"),
+    (parameter(observedProperty={**NAMED, "categories": []}), "/parameters/p/observedProperty", "no categories"), (parameter(categoryEncoding={"a": 1}), "/parameters/p", "an encoding without categories"),
+    (parameter(observedProperty={**NAMED, "categories": [{"id": "a", **NAMED}]}, unit={"symbol": "m"}), "/parameters/p", "categories with a unit"),
+    (cov(parameterGroups=[{"members": [], **NAMED}]), "/parameterGroups/0", "no members"), (cov(parameterGroups=[{"members": ["p"]}]), "/parameterGroups/0", "a group needs a label or an observed property"),
+    ({"type": "CoverageCollection", "coverages": [cov(), cov(ranges=[])]}, "/coverages/1/ranges", "not an object"), ({"type": "CoverageCollection", "coverages": [cov()], "parameters": {"p": {}}}, "/parameters/p/observedProperty", "missing"),
+]
+SOUND = [
+    GOOD, ARRAY, TILED, cov(), parameter(unit={"symbol": {"value": "K", "type": "t"}}), axis(values=[1], num=0), axis(start=1, stop=1, num=1), axis(start=0, stop=1, num=2), {**GOOD, "@context": [1, None], "more": {"of": [1]}},
+    cov(domain={"axes": {}}, id=None), parameter(observedProperty={**NAMED, "categories": [{"id": "a", **NAMED}]}, categoryEncoding={"a": [1, 2]}, unit=None), {"type": "CoverageCollection", "coverages": []},
+]
+
+
+def test_structure(spark):
+    bodies = [json.dumps(b) for b in [*(b for b, _, _ in BROKEN), *SOUND]]
+    good, bad = decode(spark.createDataFrame(list(enumerate(bodies)), "doc_id int, body string"))
+    assert {r.doc_id: (r.at, r.error) for r in bad.collect()} == {i: (at, reason) for i, (_, at, reason) in enumerate(BROKEN)}
+    assert sorted(r.doc_id for r in good.collect()) == list(range(len(BROKEN), len(bodies)))
+
+
+def test_repeated_documents(spark):
+    """Three copies of a document under one id give its findings three times."""
+    body = json.dumps({"type": "Domain", "domainType": "Grid", "axes": {"x": {"values": [3, 1, 2]}}})
+    rows = spark.createDataFrame([(1, body)] * 3 + [(None, body)] * 2, "doc_id int, body string")
+    found = conformance.validate(rows, check_values=True).collect()
+    once = ["domain.missing-axis", "domain.missing-referencing"]
+    assert sorted(r.code for r in found if r.doc_id == 1) == sorted(once * 3) and len(found) == 10
+
+
+def test_canonical(spark):
+    """Decoding what encoding wrote, and encoding that again, gives the same text, for all five roots."""
+    wild = [
+        ({"ranges": {"q": "u", "p": {"values": [1, 2.0, None, "x"], "dataType": "string", "type": "NdArray", "shape": [], "axisNames": []}}, "type": "Coverage", "id": None, "more": 1, "domain": {"axes": {"z": {"num": 3, "start": 1, "stop": 2.5}, "b": {"bounds": [0, 1], "values": [1]}}, "type": "Domain", "referencing": []}},
+         '{"type":"Coverage","domain":{"type":"Domain","axes":{"z":{"start":1.0,"stop":2.5,"num":3},"b":{"values":[1],"bounds":[0.0,1.0]}}},"ranges":{"q":"u","p":{"type":"NdArray","dataType":"string","values":[1,2.0,null,"x"]}}}'),
+        ({"parameters": {}, "coverages": [], "type": "CoverageCollection", "referencing": [], "@context": None}, '{"type":"CoverageCollection","coverages":[],"parameters":{},"@context":null}'),
+        ({"domainType": None, "axes": {"é": {"values": ["a"]}}, "type": "Domain"}, '{"type":"Domain","axes":{"é":{"values":["a"]}}}'),
+        ({"axisNames": ["x"], "values": [1.50], "shape": [1], "type": "NdArray", "dataType": "float"}, '{"type":"NdArray","dataType":"float","values":[1.5],"shape":[1],"axisNames":["x"]}'),
+        (dict(reversed(TILED.items())), '{"type":"TiledNdArray","dataType":"float","axisNames":["y"],"shape":[4],"tileSets":[{"tileShape":[null],"urlTemplate":"u"}]}'),
+    ]
+    first = encode(decode(spark.createDataFrame([(i, json.dumps(b)) for i, (b, _) in enumerate(wild)], "doc_id int, body string"))[0])
+    assert {r.doc_id: r.body for r in first.collect()} == {i: t for i, (_, t) in enumerate(wild)}
+    again = encode_response(decode(first.select("doc_id", "body"))[0], "http://p").collect()
+    assert {r.doc_id: r.body for r in again} == {i: t for i, (_, t) in enumerate(wild)} and {r.content_type for r in again} == {'application/prs.coverage+json; profile="http://p"'}
 
 
 def test_builders(spark):
