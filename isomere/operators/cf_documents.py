@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from isomere.functions import axes as fx
 from isomere.functions.text import json_string, object_text
 from isomere.operators.cf import role
+from isomere.sources.stored import stored
 
 ROLES = ("x", "y", "z", "t")
 
@@ -80,7 +81,10 @@ def _lists(cells: DataFrame) -> DataFrame:
 def axes(variables: DataFrame, cells: DataFrame, sizes: DataFrame, compact: bool = True, overrides: DataFrame | None = None) -> DataFrame:
     """(ds_id, key, dim, text): each axis, the dimension that it belongs to (null for a single value), and its JSON text."""
     found, lists = roles(variables, overrides), _lists(_tokens(cells))
-    joint = composite(found)
+    return _axes(variables, found, composite(found), lists, sizes, compact)
+
+
+def _axes(variables: DataFrame, found: DataFrame, joint: DataFrame, lists: DataFrame, sizes: DataFrame, compact: bool) -> DataFrame:
     along = found.join(joint, "ds_id", "left").withColumn("inside", F.coalesce(F.array_contains("composite", F.col("role")), F.lit(False)))
     valued = along.join(lists, ["ds_id", "name"])
     regular = fx.compact(F.col("numbers"))
@@ -99,13 +103,11 @@ def axes(variables: DataFrame, cells: DataFrame, sizes: DataFrame, compact: bool
     return taken.unionByName(left)
 
 
-def quarantine(variables: DataFrame, cells: DataFrame, sizes: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """(ds_id, error) of datasets without a document."""
-    found = roles(variables, overrides)
+def quarantine(variables: DataFrame, cells: DataFrame, found: DataFrame, every: DataFrame) -> DataFrame:
+    """(ds_id, error) of datasets without a document; found: roles(), every: axes()."""
     curved = found.filter(F.size("dims") > 1).select("ds_id", F.concat(F.lit("coordinate "), "name", F.lit(" has more than one dimension")).alias("error"))
     times = variables.filter("is_coord and is_time").select("ds_id", "name").join(cells, ["ds_id", "name"]).filter("text is null")
     missing = times.select("ds_id", F.concat(F.lit("time "), "name", F.lit(" has a missing value")).alias("error")).distinct()
-    every = axes(variables, cells, sizes, overrides=overrides).select("ds_id", "key", "dim")
     twice = every.groupBy("ds_id", "key").count().filter("count > 1").select("ds_id", F.concat(F.lit("axis "), "key", F.lit(" has two dimensions")).alias("error"))
     hosts = every.filter("dim is not null").groupBy("ds_id", "dim").count().filter("count > 1").select("ds_id", F.concat(F.lit("dimension "), "dim", F.lit(" has two axes")).alias("error"))
     return curved.unionByName(missing).unionByName(twice).unionByName(hosts)
@@ -155,18 +157,23 @@ def referencing(variables: DataFrame, found: DataFrame) -> DataFrame:
 def documents(variables: DataFrame, cells: DataFrame, sizes: DataFrame, attributes: DataFrame, compact: bool = True, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((doc_id, body) of a Coverage a dataset, quarantine (ds_id, error)); attributes id and domain_type of a dataset win.
 
-    overrides: (ds_id, role, name), the coordinates that fill roles whatever their attributes say.
+    overrides: (ds_id, role, name), the coordinates that fill roles whatever their attributes say. Tables, roles, axes and the
+    lists of values are written once to the shared checkpoint folder, and all rules read these.
     """
-    bad = quarantine(variables, cells, sizes, overrides)
+    variables, cells, sizes = (stored(df) for df in (variables, cells, sizes))
+    found, lists = stored(roles(variables, overrides)), stored(_lists(_tokens(cells)))
+    joint = composite(found)
+    every = stored(_axes(variables, found, joint, lists, sizes, compact))
+    bad = quarantine(variables, cells, found, every)
     if overrides is not None:
         unknown = overrides.join(variables.filter("is_coord").select("ds_id", "name"), ["ds_id", "name"], "left_anti")
         bad = bad.unionByName(unknown.select("ds_id", F.concat(F.lit("no coordinate "), "name").alias("error")))
-    every = axes(variables, cells, sizes, compact, overrides)
+    bad = stored(bad)
     by_axis = F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "text"))))
     of_axes = every.join(bad.select("ds_id").distinct(), "ds_id", "left_anti").groupBy("ds_id").agg(by_axis.alias("axes"))
     named = every.filter("dim is not null").groupBy("ds_id").agg(F.collect_list(F.struct("dim", "key")).alias("pairs"))
     length = sizes.groupBy("ds_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", F.col("size").cast("string")))).alias("lengths"))
-    data = kept(variables).join(_lists(_tokens(cells)), ["ds_id", "name"]).join(named, "ds_id", "left").join(length, "ds_id", "left")
+    data = kept(variables).join(lists, ["ds_id", "name"]).join(named, "ds_id", "left").join(length, "ds_id", "left")
     key_of = F.transform("dims", lambda d: F.coalesce(F.get(F.filter("pairs", lambda p: p["dim"] == d), F.lit(0))["key"], d))
     texts = F.exists("tokens", lambda t: F.startswith(t, F.lit('"')))
     integers = F.coalesce(F.startswith(_attr("dtype"), F.lit("int")), F.lit(False))
@@ -178,8 +185,7 @@ def documents(variables: DataFrame, cells: DataFrame, sizes: DataFrame, attribut
     data = data.select("ds_id", "ord", "name", array.alias("range"), parameter(F.col("name")).alias("parameter"))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("ord", "name", F.col(c).alias("text"))))), lambda x: F.struct(x["name"], x["text"]))
     ranges = data.groupBy("ds_id").agg(F.map_from_entries(in_order("range")).alias("ranges"), F.map_from_entries(in_order("parameter")).alias("parameters"))
-    found = roles(variables, overrides)
-    whole = of_axes.join(ranges, "ds_id", "left").join(domain_type(found, composite(found)), "ds_id", "left").join(referencing(variables, found), "ds_id", "left").join(attributes.select("ds_id", "attrs"), "ds_id", "left")
+    whole = of_axes.join(ranges, "ds_id", "left").join(domain_type(found, joint), "ds_id", "left").join(referencing(variables, found), "ds_id", "left").join(attributes.select("ds_id", "attrs"), "ds_id", "left")
     kind = F.coalesce(_attr("domain_type"), "inferred")
     domain = _object(("type", F.lit('"Domain"')), ("domainType", json_string(kind)), ("axes", object_text(F.col("axes"))), ("referencing", F.coalesce("referencing", F.lit("[]"))))
     body = _object(

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isomere.functions import calendars
 from isomere.functions import temporal as ft
-from isomere.operators import cf, cf_documents, conformance, fetching
+from isomere.operators import cf, cf_documents, cf_variables, conformance, fetching
 from isomere.plans import cases
 from isomere.plans.catalogue import ORACLE_SQL, query, table
 from isomere.sources.documents import decode, encode
@@ -76,10 +77,10 @@ def cf_coordinate_roles(spark, sf_dir):
     return rows.select("c_custkey", cf.role(*[F.col(c) for c in ("name", "standard", "units", "positive", "is_time")]).alias("role"))
 
 
-def linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, body) of a coverage a customer that refers to two URLs, within a collection for even keys; (url, body)."""
+def linked(spark: SparkSession, sf_dir: str, of: str = "customer", named: str = "c_custkey") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, body) of a coverage a customer (or a row of another table) that refers to two URLs, within a collection for even keys; (url, body)."""
+    rows = table(spark, sf_dir, of).select(F.col(named).alias("c_custkey"))
     key = F.col("c_custkey").cast("string")
-    rows = table(spark, sf_dir, "customer")
     cov = F.concat(F.lit('{"type":"Coverage","id":"'), key, F.lit('","domain":"http://x/d/'), key, F.lit('","ranges":{"p":"http://x/r/'), key, F.lit('","q":{"type":"NdArray","dataType":"float","values":[2.0]}}}'))
     body = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('{"type":"CoverageCollection","coverages":['), cov, F.lit("]}"))).otherwise(cov)
     domain = rows.filter("c_custkey % 3 <> 0").select(F.concat(F.lit("http://x/d/"), key).alias("url"), F.concat(F.lit('{"type":"Domain","axes":{"b":{"values":['), key, F.lit("]}}}")).alias("body"))
@@ -108,9 +109,9 @@ def resolve_documents_failures(spark, sf_dir):
     return fetching.resolve_references(decode(bodies)[0], others)[1]
 
 
-@query(ORACLE_SQL["resolve_documents"])
+@query(ORACLE_SQL["resolve_documents"].replace("customer", "documents").replace("c_custkey", "doc_id"))
 def resolve_fetched(spark, sf_dir):
-    """As resolve_documents, with a user's function in place of a table of documents."""
+    """As resolve_documents over the ids of documents, with a user's function in place of a table of what is referred to."""
 
     def fetch(url: str) -> bytes:
         what, key = url.split("/")[-2:]
@@ -121,7 +122,7 @@ def resolve_fetched(spark, sf_dir):
             return f'{{"type":"Domain","axes":{{"b":{{"values":[{n}]}}}}}}'.encode()
         return b"{broken" if n % 7 == 2 else f'{{"type":"{"Feature" if n % 5 == 1 else "NdArray"}","dataType":"float","values":[{n}]}}'.encode()
 
-    return fetching.resolve_with(decode(linked(spark, sf_dir)[0])[0], fetch, retries=0)[0]
+    return fetching.resolve_with(decode(linked(spark, sf_dir, "documents", "doc_id")[0])[0], fetch, retries=0)[0]
 
 
 def tiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -170,7 +171,7 @@ def cf_to_documents(spark, sf_dir):
     return cf_documents.documents(variables, values, sizes, rows.select(ds, none.alias("attrs")))[0]
 
 
-#: Documents with a structural error each, the pointer to it and its reason; %s stands for a customer's key.
+#: Documents with a structural error each, the pointer to it and its reason; %s stands for the id of a row of documents.
 BROKEN = [
     ('{"type":"Domain","axes":{"x":{"start":%s,"stop":1}}}', "/axes/x", "neither values nor a whole regular form"), ('{"type":"Domain","axes":{"x":{"values":[%s]},"y":{"values":[]}}}', "/axes/y", "no values"),
     ('{"type":"Domain","axes":{"x":{"start":%s,"stop":1,"num":0}}}', "/axes/x", "num below 1"), ('{"type":"Domain","axes":{"x":{"values":[[%s]],"dataType":"tuple"}}}', "/axes/x", "a composite axis needs values and coordinates"),
@@ -182,14 +183,13 @@ BROKEN = [
 
 
 def of_kinds(spark: SparkSession, sf_dir: str, bodies: list[str]) -> DataFrame:
-    """(doc_id, body): a customer's document, of the kind that the key's remainder names, with the key for %s."""
-    key = F.col("c_custkey").cast("string")
-    body = F.replace(F.get(F.array(*map(F.lit, bodies)), (F.col("c_custkey") % len(bodies)).cast("int")), F.lit("%s"), key)
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), body.alias("body"))
+    """(doc_id, body): for each row of documents a document of the kind that its id's remainder names, with the id for %s."""
+    body = F.replace(F.get(F.array(*map(F.lit, bodies)), (F.col("doc_id") % len(bodies)).cast("int")), F.lit("%s"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
 
 
-@query(f"""SELECT c_custkey AS doc_id, error, replace("at", '%s', c_custkey::VARCHAR) AS "at" FROM customer
-JOIN (VALUES {cases.sql_values([(i, at, error) for i, (_, at, error) in enumerate(BROKEN)])}) v(i, "at", error) ON c_custkey % {len(BROKEN)} = i WHERE error IS NOT NULL""")
+@query(f"""SELECT doc_id, error, replace("at", '%s', doc_id::VARCHAR) AS "at" FROM documents
+JOIN (VALUES {cases.sql_values([(i, at, error) for i, (_, at, error) in enumerate(BROKEN)])}) v(i, "at", error) ON doc_id % {len(BROKEN)} = i WHERE error IS NOT NULL""")
 def structure_quarantine(spark, sf_dir):
     return decode(of_kinds(spark, sf_dir, [b for b, _, _ in BROKEN]))[1]
 
@@ -206,9 +206,58 @@ WRITTEN = [
 ]
 
 
-@query(f"""SELECT c_custkey AS doc_id, replace(body, '%s', c_custkey::VARCHAR) AS body FROM customer
-JOIN (VALUES {cases.sql_values([(i, body) for i, (_, body) in enumerate(WRITTEN)])}) v(i, body) ON c_custkey % {len(WRITTEN)} = i""")
+@query(f"""SELECT doc_id, replace(body, '%s', doc_id::VARCHAR) AS body FROM documents
+JOIN (VALUES {cases.sql_values([(i, body) for i, (_, body) in enumerate(WRITTEN)])}) v(i, body) ON doc_id % {len(WRITTEN)} = i""")
 def encode_documents(spark, sf_dir):
     """Decoded, encoded, decoded and encoded again."""
     once = encode(decode(of_kinds(spark, sf_dir, [b for b, _ in WRITTEN]))[0])
     return encode(decode(once.select("doc_id", "body"))[0]).select("doc_id", "body")
+
+
+#: A series a document: a time axis, a regular axis, a range along both with a missing value, and one of codes.
+SERIES_COVERAGE = (
+    '{"type":"Coverage","id":"c%s","domain":{"type":"Domain","domainType":"Grid","axes":{"t":{"values":["2020-01-01T00:00:00Z","2020-01-02T00:00:00.500000Z"]},"x":{"values":[%s.0,2.5,2.75]},'
+    '"y":{"start":0.0,"stop":1.0,"num":3},"z":{"values":[%s.0]}},"referencing":[{"coordinates":["x","y"],"system":{"type":"GeographicCRS","id":"http://www.opengis.net/def/crs/OGC/1.3/CRS84"}},'
+    '{"coordinates":["z"],"system":{"type":"VerticalCRS"}},{"coordinates":["t"],"system":{"type":"TemporalRS","calendar":"Gregorian"}}]},'
+    '"parameters":{"ice":{"type":"Parameter","observedProperty":{"label":{"und":"Ice"},"categories":[{"id":"1","label":{"und":"thin ice"}},{"id":"2","label":{"und":"thick"}}]},"categoryEncoding":{"1":1,"2":2}},'
+    '"v":{"type":"Parameter","observedProperty":{"label":{"und":"Speed"}},"unit":{"symbol":"m/s"}}},'
+    '"ranges":{"ice":{"type":"NdArray","dataType":"integer","axisNames":["x"],"shape":[3],"values":[1,2,1]},"v":{"type":"NdArray","dataType":"float","axisNames":["t","y"],"shape":[2,3],"values":[%s.0,1.5,null,0.0,2.0,3.0]}}}'
+)
+
+
+@query(f"""SELECT doc_id::VARCHAR AS doc_id, replace('{SERIES_COVERAGE}', '%s', doc_id::VARCHAR) AS body FROM documents""")
+def cf_round_trip(spark, sf_dir):
+    """Documents to variables and back."""
+    v = cf_variables.variables(decode(of_kinds(spark, sf_dir, [SERIES_COVERAGE]))[0])
+    return cf_documents.documents(v.variables, v.cells, v.sizes, v.attributes)[0]
+
+
+#: What of a document's coverages has no form as variables.
+NOT_VARIABLES = [
+    ('{"type":"Coverage","domain":"http://x/%s","ranges":{}}', "the domain is elsewhere"), ('{"type":"Coverage","domain":{"axes":{"x":{"values":[%s]}}},"ranges":{"p":"http://x","q":"http://y"}}', "ranges elsewhere: p, q"),
+    ('{"type":"Coverage","domain":{"domainType":"Polygon","axes":{"composite":{"dataType":"polygon","coordinates":["x","y"],"values":[[[[%s,0],[1,1],[1,0],[%s,0]]]]}}},"ranges":{}}', "a domain of polygons"),
+    ('{"type":"Coverage","domain":{"axes":{"t":{"values":["2020-%s-50"]}},"referencing":[{"coordinates":["t"],"system":{"type":"TemporalRS","calendar":"Gregorian"}}]},"ranges":{}}', "times that are none: t"),
+    ('{"type":"Coverage","domain":{"axes":{"t":{"values":["2020-02-30"]}},"referencing":[{"coordinates":["t"],"system":{"type":"TemporalRS","calendar":"360_day"}}]},"ranges":{}}', None),
+    ('{"type":"Coverage","domain":{"axes":{"t":{"values":["2020-02-29"]}},"referencing":[{"coordinates":["t"],"system":{"type":"TemporalRS","calendar":"noleap"}}]},"ranges":{}}', "times that are none: t"),
+    ('{"type":"Coverage","domain":{"axes":{"x":{"values":[1,2]}}},"ranges":{"p":{"type":"NdArray","dataType":"float","axisNames":["x"],"shape":[3],"values":[1,2,%s]}}}', "dimension of two lengths: x"),
+]
+
+
+@query(f"""SELECT doc_id::VARCHAR AS ds_id, error FROM documents JOIN (VALUES {cases.sql_values([(i, e) for i, (_, e) in enumerate(NOT_VARIABLES)])}) v(i, error) ON doc_id % {len(NOT_VARIABLES)} = i WHERE error IS NOT NULL""")
+def cf_variables_quarantine(spark, sf_dir):
+    return cf_variables.variables(decode(of_kinds(spark, sf_dir, [b for b, _ in NOT_VARIABLES]))[0]).quarantine
+
+
+@query("""WITH w AS (SELECT doc_id, DATE '1990-01-01' + (doc_id % 10000)::INTEGER AS o FROM documents), o AS (SELECT doc_id, year(o) AS y, month(o) AS m, least(day(o), 28) AS d FROM w)
+SELECT doc_id, ((y * 360 + (m - 1) * 30 + d - 1) * 86400 + doc_id % 86400) * 1000000 AS days_360, ((y * 365 + [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334][m] + d - 1) * 86400 + doc_id % 86400) * 1000000 AS no_leap, TRUE AS comes_back FROM o""")
+def calendar_times(spark, sf_dir):
+    """A day and a second for each id, as times of other calendars, as whole numbers and back."""
+    date, second = F.date_add(F.lit("1990-01-01").cast("date"), (F.col("doc_id") % 10000).cast("int")), (F.col("doc_id") % 86400).cast("int")
+    two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
+    day = two(F.least(F.dayofmonth(date), F.lit(28)))
+    text = F.concat(F.date_format(date, "yyyy-MM-"), day, F.lit("T"), F.concat_ws(":", two(F.floor(second / 3600)), two(F.floor(second / 60) % 60), two(second % 60)), F.lit("Z"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    kinds = {k: F.lit(k) for k in ("360_day", "noleap", "julian", "all_leap")}
+    rows = rows.select("doc_id", "text", *[calendars.micros(F.col("text"), c).alias(k) for k, c in kinds.items()])
+    back = F.forall(F.array(*[calendars.text(F.col(k), c) for k, c in kinds.items()]), lambda t: t == F.col("text"))
+    return rows.select("doc_id", F.col("360_day").alias("days_360"), F.col("noleap").alias("no_leap"), back.alias("comes_back"))

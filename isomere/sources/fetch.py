@@ -14,15 +14,15 @@ from __future__ import annotations
 import asyncio
 import inspect
 import sys
-import tempfile
 import time
-import uuid
 from collections.abc import Awaitable, Callable
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from isomere.sources.stored import stored
 
 # Workers get these functions by value, so executors need no copy of the package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -31,17 +31,6 @@ Fetch = Callable[[str], bytes] | Callable[[str], Awaitable[bytes]]
 SCHEMA = "url string, body string, error string, transient boolean, calls int"
 
 
-def _shared(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster; one of this machine's only where none is named, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        where = context.getConf().get("spark.checkpoint.dir", None)
-        if where is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="isomere-checkpoints-"))
-    return context.getCheckpointDir()
-
-
 def _row(url: str, data: bytes | str | None, error: Exception | None, transient: bool, calls: int) -> dict:
     body = data
     if isinstance(data, bytes):
@@ -99,7 +88,5 @@ def fetched(urls: DataFrame, fetch: Fetch, in_flight: int = 16, retries: int = 2
                     rows = asyncio.run(together(part)) if inspect.iscoroutinefunction(fetch) else list(pool.map(one, part))
                     yield pa.RecordBatch.from_pylist(rows, pa.schema(list(types.items())))
 
-    where = f"{_shared(urls.sparkSession)}/fetched-{uuid.uuid4().hex}"
     distinct = urls.select("url").filter("url is not null").distinct()
-    distinct.repartition("url").mapInArrow(run, SCHEMA).write.parquet(where)
-    return urls.sparkSession.read.schema(SCHEMA).parquet(where)
+    return stored(distinct.repartition("url").mapInArrow(run, SCHEMA), "fetched")
