@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from isomere.functions import calendars
 from isomere.functions import temporal as ft
-from isomere.operators import cf, cf_documents, cf_variables, conformance, fetching
+from isomere.operators import cf, cf_documents, cf_variables, conformance, fetching, subset_documents
 from isomere.plans import cases
 from isomere.plans.catalogue import ORACLE_SQL, query, table
 from isomere.sources.documents import decode, encode
@@ -261,3 +261,27 @@ def calendar_times(spark, sf_dir):
     rows = rows.select("doc_id", "text", *[calendars.micros(F.col("text"), c).alias(k) for k, c in kinds.items()])
     back = F.forall(F.array(*[calendars.text(F.col(k), c) for k, c in kinds.items()]), lambda t: t == F.col("text"))
     return rows.select("doc_id", F.col("360_day").alias("days_360"), F.col("noleap").alias("no_leap"), back.alias("comes_back"))
+
+
+def _changed(*pairs: tuple[str, str]) -> str:
+    """SERIES_COVERAGE as a text of SQL, with parts of it in another form."""
+    text = SERIES_COVERAGE
+    for old, new in pairs:
+        text = text.replace(old, new)
+    return f"SELECT doc_id, '' AS path, replace('{text}', '%s', doc_id::VARCHAR) AS body FROM documents"
+
+
+@query(_changed(
+    ('{"values":["2020-01-01T00:00:00Z","2020-01-02T00:00:00.500000Z"]}', '{"values":["2020-01-02T00:00:00.500000Z"]}'), ('{"values":[%s.0,2.5,2.75]}', '{"values":[2.75,%s.0]}'),
+    ('"axisNames":["x"],"shape":[3],"values":[1,2,1]', '"values":[1,1],"shape":[2],"axisNames":["x"]'), ('"axisNames":["t","y"],"shape":[2,3],"values":[%s.0,1.5,null,0.0,2.0,3.0]', '"values":[0.0,2.0,3.0],"shape":[3],"axisNames":["y"]'),
+))
+def documents_isel(spark, sf_dir):
+    return subset_documents.isel(decode(of_kinds(spark, sf_dir, [SERIES_COVERAGE]))[0], {"x": slice(None, None, -2)}, t=-1)[0]
+
+
+@query(_changed(
+    ('{"start":0.0,"stop":1.0,"num":3}', '{"values":[0.5,1.0]}'), ('"axisNames":["x"],"shape":[3],"values":[1,2,1]', '"values":[1,2,1],"shape":[3],"axisNames":["x"]'),
+    ('"axisNames":["t","y"],"shape":[2,3],"values":[%s.0,1.5,null,0.0,2.0,3.0]', '"values":[1.5,null,2.0,3.0],"shape":[2,2],"axisNames":["t","y"]'),
+))
+def documents_sel(spark, sf_dir):
+    return subset_documents.sel(decode(of_kinds(spark, sf_dir, [SERIES_COVERAGE]))[0], y=slice(0.25, None))[0]

@@ -231,11 +231,13 @@ def structure_error(body: Column, roots: tuple[str, ...]) -> Column:
     judge = _judged(roots)
 
     @F.arrow_udf("struct<at:string,reason:string>")
-    def errors(bodies: pa.Array) -> pa.Array:
-        found = [judge(b.as_py()) for b in bodies]
+    def errors(bodies: pa.Array, missing: pa.Array) -> pa.Array:
+        found = [judge(None if m.as_py() else b.as_py()) for b, m in zip(bodies, missing, strict=True)]
         return pa.array([e and {"at": e[0], "reason": e[1]} for e in found], pa.struct([("at", pa.string()), ("reason", pa.string())]))
 
-    return errors(body)
+    # Not deterministic: evaluated where it stands, once a row, and never moved into other filters. A text used twice stays a
+    # column of its own: calls whose argument is a large expression are not handed to Python by this engine.
+    return errors.asNondeterministic()(body, body.isNull())
 
 
 def canonical_text(body: Column) -> Column:
@@ -246,7 +248,7 @@ def canonical_text(body: Column) -> Column:
         each = ((x, x["type"]) for x in (_loaded(b.as_py()) for b in bodies))
         return pa.array([json.dumps(canonical(x, kind), ensure_ascii=False, separators=(",", ":")) for x, kind in each], pa.string())
 
-    return texts(body)
+    return texts.asNondeterministic()(body)
 
 
 # Variants
