@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import release, stored
 
 #: Virtual nodes of a shard. Cells of the ring, in which nodes are looked up.
 NODES, CELLS = 128, 4096
@@ -97,6 +97,7 @@ def shard(docs: DataFrame, shards: int, nodes: int = NODES, slack: float = 0.0)
 
     along = ["node", "place", "doc_id", "text_crc32", "size", "row"]
     lined = stored(rows.repartitionByRange(*along).sortWithinPartitions(*along).drop("row", "place").withColumn("at", F.monotonically_increasing_id()))
+    release(rows)
     part = F.shiftright("at", 33).alias("part")
     counts = lined.groupBy(part).agg(F.count("*").alias("n"))
     offsets = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
@@ -106,6 +107,7 @@ def shard(docs: DataFrame, shards: int, nodes: int = NODES, slack: float = 0.0)
     held = stored(held.withColumn("first", F.sum("n").over(Window.orderBy("node")) - F.col("n")))
     where = stored(runs(held.select("node", "shard", "n"), shards, slack).join(held.select("node", "first"), "node").select("node", "shard", (F.col("first") + F.col("start")).alias("start"), "n", "slot"))
 
+    release(around, held)
     numbered = lined.select("*", part).join(F.broadcast(offsets), "part").withColumn("number", number)
     placed = numbered.join(F.broadcast(where), "node").filter("number >= start AND number < start + n")
     return placed.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("slot") + F.col("number") - F.col("start")).alias("slot"))

@@ -42,12 +42,19 @@ def _turns(conversations: DataFrame) -> DataFrame:
     return rows
 
 
+def _kept(sums: DataFrame) -> DataFrame:
+    """What running() gives, in a table of its own."""
+    out = stored(sums)
+    release(sums)
+    return out
+
+
 def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conv_id, length), and its turns (conv_id, depth from 1 on, k1 to k4, points): the first turns of the head of its hundred, then its own."""
-    turns = stored(running(_turns(conversations), "conv_id", ["turn", "d1", "d2"]))
-    own = stored(turns.groupBy("conv_id").agg(F.count("*").alias("n")))
+    turns = _kept(running(_turns(conversations), "conv_id", ["turn", "d1", "d2"]))
+    counts = stored(turns.groupBy("conv_id").agg(F.count("*").alias("n")))
     head = F.expr(f"conv_id - conv_id % {FAMILY}")
-    own = own.withColumn("shared", F.expr(f"crc32(cast(cast(conv_id AS string) AS binary)) % {MOST_SHARED}")).withColumn("head", head)
+    own = counts.withColumn("shared", F.expr(f"crc32(cast(cast(conv_id AS string) AS binary)) % {MOST_SHARED}")).withColumn("head", head)
     heads = own.filter("conv_id = head").select("head", F.col("n").alias("of_head"))
     all_ = stored(own.join(heads, "head", "left").withColumn("taken", F.least("shared", F.coalesce("of_head", F.lit(0)))))
     first = turns.filter(f"position < {MOST_SHARED - 1} AND conv_id % {FAMILY} = 0").withColumnRenamed("conv_id", "head")
@@ -57,7 +64,9 @@ def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = F.md5(F.concat_ws(" ", "depth", "d1", "d2"))
     part = lambda k: F.conv(F.substring(place, 1 + 8 * k, 8), 16, 10).cast("bigint").bitwiseAND(F.lit(2**31 - 1))
     rows = rows.select("conv_id", "depth", *(part(k).alias(c) for k, c in enumerate(PARTS)), "points")
-    return all_.select("conv_id", F.expr("taken + greatest(n - shared, 0)").alias("length")), rows
+    lengths, rows = stored(all_.select("conv_id", F.expr("taken + greatest(n - shared, 0)").alias("length"))), stored(rows)
+    release(turns, counts, all_)
+    return lengths, rows
 
 
 def _chunks(batches):
@@ -132,8 +141,8 @@ def _zero(*names: str) -> list[Column]:
 def trie(conversations: DataFrame) -> DataFrame:
     """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256, a row a node."""
     lengths, rows = rebuilt(conversations)
-    lengths = stored(lengths)
-    summed = stored(running(rows, "conv_id", ["depth"], PARTS).drop("position"))
+    summed = _kept(running(rows, "conv_id", ["depth"], PARTS))
+    release(rows)
     last = summed.join(lengths.withColumnRenamed("length", "depth"), ["conv_id", "depth"]).select("conv_id", "depth", *(F.col(f"{c}_sum").alias(c) for c in PARTS))
     turnless = lengths.filter("length = 0").select("conv_id", *_zero(*KEY))
     ends = _ends(last.unionByName(turnless))
@@ -154,12 +163,14 @@ def trie(conversations: DataFrame) -> DataFrame:
             F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
         )
     )
+    release(lengths, summed, nodes, parents)
     paths = tree.groupBy("conv_id").agg(F.sum("leaf").alias("leaves"), F.sum("saving").alias("saved"), F.min_by(F.struct(F.col("parent_conv_id").alias("up"), (F.col("depth") - 1).alias("up_depth")), "depth").alias("top"))
     sent = _peel(paths.select("conv_id", "top.*", "leaves", "saved"))
     came = sent.groupBy(F.col("up").alias("conv_id"), F.col("up_depth").alias("depth")).agg(F.sum("leaves").alias("l"), F.sum("saved").alias("s"))
     own = tree.join(came, ["conv_id", "depth"], "left").fillna(0, ["l", "s"])
     own = own.withColumn("leaf", F.col("leaf") + F.col("l")).withColumn("saving", F.col("saving") + F.col("s")).withColumn("upwards", -F.col("depth")).drop("l", "s")
     total = running(own, "conv_id", ["upwards"], ["leaf", "saving"])
+    release(tree)
     return total.select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", F.col("leaf_sum").alias("n_leaves"), F.col("saving_sum").alias("saved_tokens"), "ends_sha256"
     )

@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, trim
+from .common import release, stored, trim
 
 
 def _local(key: str, sums: list[str], names: list[str]):
@@ -41,7 +41,8 @@ def running(df: DataFrame, key: str, order: list[str], sums: list[str] = ()) ->
 
     key and sums are whole numbers without nulls. Rows are sorted by ranges of (key, order); rows that are equal in these are
     split by their number. Tasks count and add along their own rows, and what the key of a task's first row has had in tasks
-    before is added to that key's rows: it is read off one row a task.
+    before is added to that key's rows: it is read off one row a task. The result reads one stored table, which release() of
+    the result removes.
     """
     sums = list(sums)
     kept = stored(df.withColumn("_row", F.monotonically_increasing_id()))
@@ -50,6 +51,7 @@ def running(df: DataFrame, key: str, order: list[str], sums: list[str] = ()) ->
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("_row").schema), *(f"`{c}` bigint" for c in extra[:-3]), "_part int, _at bigint, _head boolean"])
     lined = kept.repartitionByRange(*by).sortWithinPartitions(*by).drop("_row")
     lined = stored(lined.mapInArrow(_local(key, sums, [*lined.columns, *extra]), schema))
+    release(kept)
     ends = lined.groupBy("_part").agg(F.min_by(key, "_at").alias("first"), F.max_by(F.struct(F.col(key).alias("last"), "_head", *extra[:-3]), "_at").alias("end"))
     carried, before = [], None
     for r in sorted(ends.collect(), key=lambda r: r["_part"]):
@@ -60,8 +62,12 @@ def running(df: DataFrame, key: str, order: list[str], sums: list[str] = ()) ->
         end = [r["end"]["position"] + 1, *(r["end"][f"{s}_sum"] for s in sums)]
         before = r["end"]["last"], [x + (c if r["end"]["_head"] else 0) for x, c in zip(end, carry, strict=True)]
     if not carried:
-        return lined.drop(*extra[-3:])
+        out = lined.drop(*extra[-3:])
+        out.stored_in = lined.stored_in
+        return out
     table = df.sparkSession.createDataFrame(carried, ", ".join(["_part int", *(f"_carry_{c} bigint" for c in extra[:-3])]))
     joined = lined.join(F.broadcast(table), "_part", "left")
     total = lambda c: F.col(c) + F.when(F.col("_head"), F.coalesce(f"_carry_{c}", F.lit(0))).otherwise(0)
-    return joined.select(*kept.drop("_row").columns, *(total(c).alias(c) for c in extra[:-3]))
+    out = joined.select(*kept.drop("_row").columns, *(total(c).alias(c) for c in extra[:-3]))
+    out.stored_in = lined.stored_in
+    return out
