@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isomere.functions.systems import geographic_crs
@@ -26,6 +26,19 @@ def linestring(vertices: DataFrame, keys: Sequence[str], order: Sequence[str], c
     return out.select(*keys, geometry.alias("geometry"), F.size("line").alias("n"))
 
 
+def line_parts(vertices: DataFrame, keys: Sequence[str], order: Sequence[str], at_most: int, coordinates: Sequence[str] = ("x", "y")) -> DataFrame:
+    """(keys, part, geometry, n): as linestring(), in parts of at most so many vertices, each starting where the last one ends."""
+    if at_most < 2:
+        raise ValueError("a line has two vertices at least")
+    step, window = at_most - 1, Window.partitionBy(*keys).orderBy(*order)
+    rows = vertices.withColumn("_at", F.row_number().over(window).cast("long") - 1).withColumn("_more", F.lead(F.lit(True)).over(window).isNotNull())
+    own = F.floor(F.col("_at") / step)
+    # A vertex between two parts is in both; the last one of a line ends its part.
+    between = (F.col("_at") % step == 0) & (F.col("_at") > 0)
+    parts = F.when(between & F.col("_more"), F.array(own - 1, own)).when(between, F.array(own - 1)).otherwise(F.array(own))
+    return linestring(rows.withColumn("part", F.explode(parts)), [*keys, "part"], ["_at"], coordinates)
+
+
 def polygon(rings: Column, order: Sequence[int] = (0, 1)) -> Column:
     """A Polygon from rings of positions, the first the shell; order: the places of x, y (and z) in a position."""
     pick = F.transform(rings, lambda ring: F.transform(ring, lambda p: F.array(*[F.get(p, F.lit(i)) for i in order])))
