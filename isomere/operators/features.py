@@ -172,8 +172,9 @@ def features(decoded: DataFrame, trajectories: str = "points") -> tuple[DataFram
         return _let(held, lambda s: F.when(s["total"] > 0, each(s)))
 
     whole = F.array(F.struct(F.lit(0).cast("long").alias("idx"), _line(joint).alias("geometry"), _members(label).alias("properties")))
-    good = rows.filter(F.size("errors") == 0)
-    out = good.select("doc_id", "path", "domain_type", crs.alias("crs"), F.inline(F.when(F.col("line"), whole).otherwise(_let(_layout(seen), spread))))
+    # A condition here, not a filter: pushed below, it would compute the parts that it reads once more.
+    elements = F.when(F.size("errors") > 0, None).when(F.col("line"), whole).otherwise(_let(_layout(seen), spread))
+    out = rows.select("doc_id", "path", "domain_type", crs.alias("crs"), F.inline(elements))
     return out, rows.select("doc_id", "path", F.explode("errors").alias("error"))
 
 
