@@ -632,4 +632,4 @@ def document_quarantine(spark, sf_dir):
     return bad.select(F.col("doc_id").alias("n_nationkey"), "error")
 
 
-from isomere.plans import feature_documents, whole_documents  # noqa: E402, F401 their queries are added to these
+from isomere.plans import feature_documents, tree_documents, whole_documents  # noqa: E402, F401 their queries are added to these
