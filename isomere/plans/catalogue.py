@@ -12,7 +12,7 @@ from isomere.functions import axes as fx
 from isomere.functions import systems as fs
 from isomere.functions import temporal as ft
 from isomere.functions import text as fm
-from isomere.operators import cf, coverage, geojson, references, subset, tiles, validate
+from isomere.operators import cf, coverage, folds, geojson, references, subset, tiles, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -304,6 +304,21 @@ def strategy_fail_fast(spark, sf_dir):
     return tiles.halted(_failures(spark, sf_dir), ["g"], ["page_id"], "fail_fast")
 
 
+@query("""WITH e AS (SELECT user_id, ts, event_id, event_type, event_type = lag(event_type) OVER w AND event_type = lag(event_type, 2) OVER w AS third FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, coalesce(third, FALSE) AS halt, count(*) FILTER (third) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e)
+SELECT user_id, ts, event_id, event_type, halt FROM s WHERE n = 0 OR (n = 1 AND halt)""")
+def strategy_with_state(spark, sf_dir):
+    """Each user's events up to the third in a row of one type."""
+
+    def third(state, row):
+        last, n = state
+        n = n + 1 if row["event_type"] == last else 1
+        return (row["event_type"], n), n == 3
+
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return folds.fold(events, ["user_id"], ["ts", "event_id"], third, lambda: (None, 0), chunk=25_000)
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN c_mktsegment ELSE n_name END AS parameters FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def collection_inherit(spark, sf_dir):
     members = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
