@@ -51,8 +51,13 @@ def json_string(text: Column) -> Column:
 
 def member_texts(text: Column | str) -> Column:
     """The members of an object's text, each as JSON text, in the order of the object; 1.50 becomes 1.5, 2.0 stays."""
-    typed = F.from_json(text, "map<string,variant>")
-    return F.transform_values(F.from_json(text, "map<string,string>"), lambda k, v: F.when(F.regexp_like(v, F.lit(r"^\s*[\[{]")) & (F.schema_of_variant(typed[k]) != "STRING"), v).otherwise(F.coalesce(F.to_json(typed[k]), F.lit("null"))))
+    raw = F.from_json(text, "map<string,string>")
+
+    def one(typed: Column) -> Column:
+        return F.transform_values(raw, lambda k, v: F.when(F.regexp_like(v, F.lit(r"^\s*[\[{]")) & (F.schema_of_variant(typed[k]) != "STRING"), v).otherwise(F.coalesce(F.to_json(typed[k]), F.lit("null"))))
+
+    # The text is parsed once, not once a member.
+    return F.get(F.transform(F.array(F.from_json(text, "map<string,variant>")), one), F.lit(0))
 
 
 def object_text(texts: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from isomere.functions.arrays import strides
 from isomere.functions.text import json_string, member_texts, object_text
 from isomere.sources.model import is_number, is_text, present, sub
-from isomere.sources.parts import parts
+from isomere.sources.parts import parts, settled
 
 Label = int | float | str
 
@@ -60,7 +60,8 @@ def _keys(a: Column, numeric: bool) -> Column:
     """The axis's values as numbers or texts, null for those of the other kind."""
     listed = F.transform(a["values"], lambda v: F.when(is_number(v), F.try_variant_get(v, "$", "double")) if numeric else F.when(is_text(v), F.try_variant_get(v, "$", "string")))
     start, step, num = _regular(a)
-    return F.coalesce(listed, F.transform(F.sequence(F.lit(0), num - 1), lambda i: start + i * step)) if numeric else F.coalesce(listed, F.array().cast("array<string>"))
+    counted = _let(F.struct(start.alias("start"), step.alias("step")), lambda r: F.transform(F.sequence(F.lit(0), num - 1), lambda i: r["start"] + i * r["step"]))
+    return F.coalesce(listed, counted) if numeric else F.coalesce(listed, F.array().cast("array<string>"))
 
 
 def _by_label(a: Column, label: Label | slice, nearest: bool) -> Column:
@@ -96,6 +97,11 @@ def _tokens(values: Column, texts: Column) -> Column:
     return F.zip_with(values, texts, lambda v, t: F.when(is_number(v), t).otherwise(F.coalesce(F.to_json(v), F.lit("null"))))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _list(texts: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
 
@@ -103,11 +109,18 @@ def _list(texts: Column) -> Column:
 def _subset(decoded: DataFrame, selection: dict, positions: Callable[[Column, object], Column]) -> tuple[DataFrame, DataFrame]:
     """(documents, quarantine) for axes and what of them is taken; positions: of an axis and its indexer."""
     rows = parts(decoded).filter("kind = 'Coverage'").withColumn("members", member_texts("text"))
+    kept = ["doc_id", "path", "text", "members", "domain_at", "axes", "ranges", "arrays", "range_texts"]
+    # Each step's columns are settled: they are read many times by the next ones, in lambdas too.
+    rows = settled(rows, *kept)
     axis_of = lambda name: F.get(F.filter("axes", lambda a: a["name"] == name), F.lit(0))
     for k, name in enumerate(selection):
         rows = rows.withColumn(f"_a{k}", axis_of(name))
+    kept += [f"_a{k}" for k in range(len(selection))]
+    rows = settled(rows, *kept)
     for k, which in enumerate(selection.values()):
         rows = rows.withColumn(f"_p{k}", F.when(F.col(f"_a{k}").isNotNull(), positions(F.col(f"_a{k}"), which)))
+    kept += [f"_p{k}" for k in range(len(selection))]
+    rows = settled(rows, *kept)
     elsewhere = F.filter(F.map_keys("ranges"), lambda n: ~F.exists("arrays", lambda r: r["key"] == n))
     wrong = F.when(F.col("domain_at").isNull(), "the domain is elsewhere")
     for k, name in enumerate(selection):
@@ -119,7 +132,7 @@ def _subset(decoded: DataFrame, selection: dict, positions: Callable[[Column, ob
             .when(F.size(p) == 0, f"nothing of axis {name} is taken")
         )
     wrong = wrong.when(F.size(elsewhere) > 0, F.concat(F.lit("ranges elsewhere: "), F.array_join(elsewhere, ", ")))
-    rows = rows.withColumn("error", wrong)
+    rows = settled(rows.withColumn("error", wrong), *kept, "error")
     good, bad = rows.filter("error is null"), rows.filter("error is not null").select("doc_id", "path", "error")
 
     # Axes, as texts in their order.
@@ -130,10 +143,11 @@ def _subset(decoded: DataFrame, selection: dict, positions: Callable[[Column, ob
         a, p = F.col(f"_a{k}"), F.col(f"_p{k}")
         raw = F.from_json(F.try_element_at(F.from_json(axes_text, "map<string,string>"), F.lit(name)), "struct<values:array<string>,bounds:array<string>>")
         start, step, _ = _regular(a)
-        tokens = _tokens(a["values"], raw["values"])
-        values = F.when(a["values"].isNull(), F.transform(p, lambda i: (start + i * step).cast("string"))).otherwise(F.transform(p, lambda i: F.get(tokens, i)))
+        counted = _let(F.struct(start.alias("start"), step.alias("step")), lambda r: F.transform(p, lambda i: (r["start"] + i * r["step"]).cast("string")))
+        listed = _let(_tokens(a["values"], raw["values"]), lambda t: F.transform(p, lambda i: F.get(t, i)))
+        values = F.when(a["values"].isNull(), counted).otherwise(listed)
         bounds = _tokens(sub(a["axis"], "bounds", "array<variant>"), raw["bounds"])
-        pairs = F.flatten(F.transform(p, lambda i: F.array(F.get(bounds, 2 * i), F.get(bounds, 2 * i + 1))))
+        pairs = F.flatten(_let(bounds, lambda t: F.transform(p, lambda i: F.array(F.get(t, 2 * i), F.get(t, 2 * i + 1)))))
         named = sub(a["axis"], "coordinates", "array<string>")
         taken[name] = F.concat(F.lit('{"values":'), _list(values), F.when(named.isNotNull(), F.concat(F.lit(',"coordinates":'), F.to_json(named))).otherwise(""), F.when(bounds.isNotNull(), F.concat(F.lit(',"bounds":'), _list(pairs))).otherwise(""), F.lit("}"))
 
@@ -161,13 +175,13 @@ def _subset(decoded: DataFrame, selection: dict, positions: Callable[[Column, ob
         rank = F.when(F.size(left) > 0, F.concat(
             F.lit(',"shape":'), _list(F.transform(left, lambda d: F.size(d["at"]).cast("string"))), F.lit(',"axisNames":'), F.to_json(F.transform(left, lambda d: d["n"]))
         )).otherwise("")
-        values = F.get(F.transform(F.array(tokens), lambda t: F.transform(places, lambda i: F.get(t, i.cast("int")))), F.lit(0))
+        values = _let(tokens, lambda t: F.transform(places, lambda i: F.get(t, i.cast("int"))))
         return F.concat(F.lit('{"type":"NdArray","dataType":'), json_string(sub(r["array"], "dataType", "string")), F.lit(',"values":'), _list(values), rank, F.lit("}"))
 
     by_key = F.map_from_entries(F.transform("arrays", lambda r: F.struct(r["key"].alias("key"), range_text(r).alias("value"))))
     ranges = member_texts(F.col("members")["ranges"])
     domain = object_text(F.transform_values(member_texts(F.col("members")["domain"]), lambda k, v: F.when(k == "axes", F.col("_axes")).otherwise(v)))
-    good = good.withColumn("_axes", new_axes).withColumn("_ranges", by_key)
+    good = settled(good.withColumn("_axes", new_axes).withColumn("_ranges", by_key), "doc_id", "path", "members", "_axes", "_ranges")
     new_ranges = object_text(F.transform_values(ranges, lambda k, v: F.coalesce(F.try_element_at("_ranges", k), v)))
     body = object_text(F.transform_values("members", lambda k, v: F.when(k == "domain", domain).when(k == "ranges", new_ranges).otherwise(v)))
     return good.select("doc_id", "path", body.alias("body")), bad

@@ -84,6 +84,11 @@ def parts(decoded: DataFrame) -> DataFrame:
     return rows.select("*", of("NdArray").alias("arrays"), of("TiledNdArray").alias("tiled"), texts.alias("range_texts"))
 
 
+def settled(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with these columns, each computed once: what follows reads values, and no filter takes their expressions below."""
+    return rows.select(F.inline(F.array(F.struct(*columns))))
+
+
 def entries(objects: Column) -> Column:
     """A map's entries, none for null."""
     return F.coalesce(F.map_entries(objects), F.array().cast("array<struct<key:string,value:variant>>"))
