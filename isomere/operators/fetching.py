@@ -18,6 +18,7 @@ from isomere.operators import tiles
 from isomere.sources import documents as docs
 from isomere.sources.fetch import Fetch
 from isomere.sources.fetch import fetched as fetch_urls
+from isomere.sources.stored import stored
 
 TILED = "struct<dataType:string,shape:array<int>,axisNames:array<string>,tileSets:array<struct<tileShape:array<int>,urlTemplate:string>>>"
 
@@ -26,11 +27,12 @@ def reference_sites(decoded: DataFrame) -> DataFrame:
     """(doc_id, cov_idx, slot_ord, slot, url): URLs in place of domains (slot null, the first) and ranges (slot their key)."""
     covs = docs.coverages(decoded).select("doc_id", "cov_idx", "own")
     domain = F.try_element_at("own", F.lit("domain"))
-    of_domain = covs.filter(domain.isNotNull() & ~docs.is_object(domain)).select("doc_id", "cov_idx", F.lit(-1).alias("slot_ord"), F.lit(None).cast("string").alias("slot"), domain.alias("url"))
+    of_domain = F.when(domain.isNotNull() & ~docs.is_object(domain), F.array(F.struct(F.lit(-1).alias("slot_ord"), F.lit(None).cast("string").alias("slot"), domain.alias("url"))))
     entries = F.map_entries(F.from_json(F.try_element_at("own", F.lit("ranges")), docs.MEMBERS))
-    ranges = covs.select("doc_id", "cov_idx", F.posexplode(entries).alias("slot_ord", "e"))
-    of_ranges = ranges.filter(F.col("e.value").isNotNull() & ~docs.is_object(F.col("e.value")))
-    return of_domain.unionByName(of_ranges.select("doc_id", "cov_idx", "slot_ord", F.col("e.key").alias("slot"), F.col("e.value").alias("url")))
+    ranges = F.transform(entries, lambda e, i: F.struct(i.alias("slot_ord"), e["key"].alias("slot"), e["value"].alias("url")))
+    of_ranges = F.filter(ranges, lambda r: r["url"].isNotNull() & ~docs.is_object(r["url"]))
+    none = F.array().cast("array<struct<slot_ord:int,slot:string,url:string>>")
+    return covs.select("doc_id", "cov_idx", F.inline(F.concat(F.coalesce(of_domain, none), F.coalesce(of_ranges, none))))
 
 
 #: What a document must be where a domain or a range stands.
@@ -56,8 +58,10 @@ def fetched(sites: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFram
 
     resolved: the sites that have a body. failures: the others with kind, message, and slot `domain` for that of a domain.
 
-    A document is decoded once, however many sites refer to it, and its body comes last, to the sites that get it.
+    A document is decoded once, however many sites refer to it, and its body comes last, to the sites that get it. Sites are
+    written once to the shared checkpoint folder, as four steps read them.
     """
+    sites = stored(sites)
     asked = sites.groupBy("url").agg(F.count("*").alias("_n"))
     found = asked.join(judged(documents), "url", "left").withColumn("there", F.col("kind").isNotNull() | F.col("message").isNotNull())
     met = _join_counted(sites, found)
@@ -81,7 +85,7 @@ def _join_counted(sites: DataFrame, by_url: DataFrame) -> DataFrame:
     """sites joined to by_url, one row a URL with the number of its sites in _n; hot URLs are spread over several tasks.
 
     The sites of a hot URL get a number below its spread, and its one row is repeated for each of these. Hot URLs are few, so
-    their spreads are broadcast; all is one lazy plan.
+    their spreads are broadcast.
     """
     limit = F.greatest(F.lit(HOT_SITES), sites.select(F.count("*").alias("n")).scalar() * HOT_SHARE)
     spread = lambda n: F.greatest(F.lit(1), F.ceil(n / limit)).cast("int")

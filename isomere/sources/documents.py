@@ -64,9 +64,12 @@ def decode_response(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def coverages(decoded: DataFrame) -> DataFrame:
     """(doc_id, cov_idx, own, shared): each coverage's members and those of its collection, null for a single coverage."""
-    single = decoded.filter("type = 'Coverage'").select("doc_id", F.lit(0).alias("cov_idx"), F.col("members").alias("own"), F.lit(None).cast(MEMBERS).alias("shared"))
-    many = decoded.filter("type = 'CoverageCollection'").select("doc_id", F.posexplode(F.from_json(F.col("members")["coverages"], "array<string>")).alias("cov_idx", "one"), F.col("members").alias("shared"))
-    return single.unionByName(many.select("doc_id", "cov_idx", members("one").alias("own"), "shared"))
+    none = F.lit(None).cast(MEMBERS)
+    single = F.array(F.struct(F.lit(0).alias("cov_idx"), F.col("members").alias("own"), none.alias("shared")))
+    listed = F.from_json(F.col("members")["coverages"], "array<string>")
+    many = F.transform(listed, lambda one, i: F.struct(i.alias("cov_idx"), members(one).alias("own"), F.col("members").alias("shared")))
+    # One pass: documents are judged as they are read, so two would judge them twice.
+    return decoded.select("doc_id", F.inline(F.when(F.col("type") == "Coverage", single).when(F.col("type") == "CoverageCollection", many)))
 
 
 def effective(covs: DataFrame) -> DataFrame:
