@@ -32,6 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that become one task's documents.
+ROWS_A_TASK = 2000
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over tasks by their number: making and judging a document costs far more than the few bytes of its key."""
+    return rows.repartition(max(1, -(-rows.count() // ROWS_A_TASK)))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> coverage.Coverage:
     """One PointSeries a user: times in order, equal times apart."""
     return coverage.series(table(spark, sf_dir, "events"), "user_id", "ts", ["ts", "event_id"], {"value": "value"})

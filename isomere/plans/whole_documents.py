@@ -9,7 +9,7 @@ from isomere.functions import calendars
 from isomere.functions import temporal as ft
 from isomere.operators import cf, cf_documents, cf_variables, conformance, fetching, subset_documents
 from isomere.plans import cases
-from isomere.plans.catalogue import ORACLE_SQL, query, table
+from isomere.plans.catalogue import ORACLE_SQL, query, spread, table
 from isomere.sources.documents import decode, encode
 
 N = len(cases.CASES)
@@ -18,7 +18,7 @@ N = len(cases.CASES)
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, body): a customer's document, of the kind that the key's remainder names."""
     kinds = spark.createDataFrame(list(enumerate(cases.bodies())), "kind int, template string")
-    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % N).cast("int").alias("kind"))
+    keys = spread(table(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % N).cast("int").alias("kind"))
     return keys.join(F.broadcast(kinds), "kind").select("doc_id", F.replace("template", F.lit(cases.KEY), F.col("doc_id").cast("string")).alias("body"))
 
 
@@ -79,7 +79,7 @@ def cf_coordinate_roles(spark, sf_dir):
 
 def linked(spark: SparkSession, sf_dir: str, of: str = "customer", named: str = "c_custkey") -> tuple[DataFrame, DataFrame]:
     """(doc_id, body) of a coverage a customer (or a row of another table) that refers to two URLs, within a collection for even keys; (url, body)."""
-    rows = table(spark, sf_dir, of).select(F.col(named).alias("c_custkey"))
+    rows = spread(table(spark, sf_dir, of).select(F.col(named).alias("c_custkey")))
     key = F.col("c_custkey").cast("string")
     cov = F.concat(F.lit('{"type":"Coverage","id":"'), key, F.lit('","domain":"http://x/d/'), key, F.lit('","ranges":{"p":"http://x/r/'), key, F.lit('","q":{"type":"NdArray","dataType":"float","values":[2.0]}}}'))
     body = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('{"type":"CoverageCollection","coverages":['), cov, F.lit("]}"))).otherwise(cov)
@@ -127,7 +127,7 @@ def resolve_fetched(spark, sf_dir):
 
 def tiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, body) of a tiled array of 3 x 4 a customer, and its tiles of 2 x 3 (url, body), one in seven of them lost."""
-    rows, key = table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
+    rows, key = spread(table(spark, sf_dir, "customer").select("c_custkey")), F.col("c_custkey").cast("string")
     body = F.concat(F.lit('{"type":"TiledNdArray","dataType":"float","axisNames":["y","x"],"shape":[3,4],"tileSets":[{"tileShape":[1,1],"urlTemplate":"http://x/'), key, F.lit('/{y}/{x}"},{"tileShape":[2,3],"urlTemplate":"http://x/'), key, F.lit('/{y}-{x}"}]}'))
     parts = rows.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n")).filter("(c_custkey + n) % 7 <> 0")
     y, x = F.floor(F.col("n") / 2).cast("int"), (F.col("n") % 2).cast("int")
@@ -185,7 +185,7 @@ BROKEN = [
 def of_kinds(spark: SparkSession, sf_dir: str, bodies: list[str]) -> DataFrame:
     """(doc_id, body): for each row of documents a document of the kind that its id's remainder names, with the id for %s."""
     body = F.replace(F.get(F.array(*map(F.lit, bodies)), (F.col("doc_id") % len(bodies)).cast("int")), F.lit("%s"), F.col("doc_id").cast("string"))
-    return table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", body.alias("body"))
 
 
 @query(f"""SELECT doc_id, error, replace("at", '%s', doc_id::VARCHAR) AS "at" FROM documents
