@@ -22,8 +22,10 @@ def shared(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     """df, written as Parquet to a folder of its own in the shared folder, and read again.
 
-    The planner then has its real size, and plans that use it several times stay small.
+    Plans that use it several times stay small. The planner takes its size to be that of its files, in which texts that
+    repeat take a hundredth of their room; so that no table that grows with the documents is broadcast, its joins are told to
+    shuffle. A side that is broadcast by name still is.
     """
     where = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where).hint("merge")

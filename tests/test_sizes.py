@@ -2,9 +2,12 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from isomere.operators import fetching, subset_documents
 from isomere.plans import catalogue, whole_documents
 from isomere.sources.documents import decode
+from isomere.sources.stored import stored
 
 
 def optimized(df) -> str:
@@ -32,3 +35,11 @@ def test_documents_are_judged_once_for_their_sites(spark):
     decoded = decode(spark.createDataFrame([(1, "{}")], "doc_id int, body string"))[0]
     assert optimized(fetching.reference_sites(decoded)).count("ArrowEvalPython") + optimized(fetching.reference_sites(decoded)).count("errors(") <= 2
     assert "Union" not in optimized(fetching.reference_sites(decoded))
+
+
+def test_stored_tables_are_not_broadcast(spark):
+    # Two texts that repeat: some bytes as a file, however many rows.
+    left, right = (stored(spark.range(1000).selectExpr("id", "'a text' AS a", "'another text' AS b")) for _ in range(2))
+    for joined in (left.join(right, "id"), left.join(right.filter("id > 5").select("id").distinct(), "id", "left_anti"), left.join(right.groupBy("id").count(), "id", "left")):
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in left.join(F.broadcast(right), "id")._jdf.queryExecution().sparkPlan().toString()
