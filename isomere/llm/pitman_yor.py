@@ -321,19 +321,22 @@ BACK = "part int, chunk bigint, n bigint, counts binary, logs binary"
 BACK_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("logs", pa.binary())])
 
 
-def pitman_yor(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score. held: which rows not to learn from."""
+def pitman_yor(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", seats: bool = True) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score. held: which rows not to learn from.
+
+    Without seats, the words alone make the trip, no one is seated, and score is null; the other columns need no more.
+    """
     lower = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     own = docs.select(F.col(id_col).alias("id"), lower.alias("text"), (~held).alias("learn"))
     count = word_trip.parts_for(docs)
     groups = max(1, count // 2)
-    sent = word_trip.sent(own, _split, count, True)
+    sent = word_trip.sent(own, _split, count, True, seats)
     parts = checkpoint(vocabulary(sent))
     *few, n, v = parts.agg(*[F.coalesce(F.sum(F.get("stats", F.lit(k))), F.lit(0)) for k in range(8)]).head()
     once, twice = np.array(few[:3], float), np.array(few[3:], float)
     discounts = np.clip(np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5), 0.05, 0.95)
     told = parts
-    for k in range(ROUNDS):
+    for k in range(ROUNDS if seats else 0):
         told = _round(told, parts, groups, k, v, discounts)
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -341,19 +344,21 @@ def pitman_yor(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
         if asked.num_rows:
             known = known.combine_chunks()
             held = Held(known.column("words").chunk(0)[0].values, known.column("data")[0].as_py(), groups)
-            state = held.state(v, discounts, known.column("state")[0].as_py())
-            part = held.part().run(state, ROUNDS)
+            part = held.part()
+            if seats:
+                state = held.state(v, discounts, known.column("state")[0].as_py())
+                part.run(state, ROUNDS)
             a = Asked(asked.column("words"), asked.column("items"), held.names)
             place = pc.index_in(a.words, value_set=part.words)
             known_, at = place.is_valid().to_numpy(zero_copy_only=False)[a.word], pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)[a.word]
             counts = np.where(known_, part.n[at], 0) if len(part.n) else np.zeros(len(at), np.int64)
-            logs = part.log(state, at, known_, a.context)
+            logs = part.log(state, at, known_, a.context) if seats else np.zeros(len(at))
             for number, chunk, i, j in zip(asked.column("part").to_pylist(), asked.column("chunk").to_pylist(), a.ends[:-1], a.ends[1:], strict=True):
                 rows.append((number, chunk, int(j - i), pa.compress(counts[i:j].astype("<i8").tobytes(), codec="zstd", asbytes=True), logs[i:j].astype("<f4").tobytes()))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, BACK_ARROW, strict=True)], schema=BACK_ARROW)
 
     back = sent.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(answer, BACK)
-    texts = word_trip.kept(own.drop("learn"), _split, count, True)
+    texts = word_trip.kept(own.drop("learn"), _split, count, True, seats)
     kind = docs.schema[id_col].dataType
 
     def score(answers: pa.Table, row: dict) -> pa.Table:
@@ -371,7 +376,7 @@ def pitman_yor(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
         total = lambda y: np.bincount(of, y[at], rows)
         return pa.table({
             "doc_id": pa.array(row["ids"], to_arrow_type(kind)), "n_tokens": np.diff(ends), "n_known": total(c > 0).astype(np.int64),
-            "train_tokens": np.full(rows, n, np.int64), "base_score": total(np.log10((c + 1) / (n + v + 1))), "score": total(x),
+            "train_tokens": np.full(rows, n, np.int64), "base_score": total(np.log10((c + 1) / (n + v + 1))), "score": total(x) if seats else pa.nulls(rows, pa.float64()),
         })
 
     return word_trip.by_chunk(back, texts, score, f"doc_id {kind.simpleString()}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

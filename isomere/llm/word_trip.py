@@ -70,7 +70,7 @@ class Chunk:
     Items that are frequent in the chunk have small numbers. learn holds the column of that name for each text, if any.
     """
 
-    def __init__(self, number: int, ids: list, words: list, lengths: list, learn: list, ends: bool):
+    def __init__(self, number: int, ids: list, words: list, lengths: list, learn: list, ends: bool, contexts: bool = True):
         self.number, self.ids = number, pa.chunked_array(ids).combine_chunks()
         self.lengths, self.learn = np.concatenate(lengths).astype(np.int64), np.concatenate(learn)
         d = pa.concat_arrays(words).dictionary_encode()
@@ -80,19 +80,19 @@ class Chunk:
             self.lengths = self.lengths + 1
             names = pa.concat_arrays([names, pa.array([END], names.type)])
         size = max(1, len(names))
-        items, contexts = np.arange(len(names)), np.zeros(1, np.int64)
-        if ends:
+        items, before = np.arange(len(names)), np.zeros(1, np.int64)
+        if ends and contexts:
             within = np.arange(len(at)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
             last, last_but_one = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
             last[1:], last_but_one[2:] = at[:-1] + 1, at[:-2] + 1
             last[within < 1], last_but_one[within < 2] = 0, 0
-            contexts, of = np.unique(last + last_but_one * (size + 1), return_inverse=True)
+            before, of = np.unique(last + last_but_one * (size + 1), return_inverse=True)
             items, at = np.unique(of * size + at, return_inverse=True)
         order = np.argsort(-np.bincount(at, minlength=len(items)), kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         self.at, items = rank[at], items[order]
-        self.names, self.word, context = names, items % size, contexts[items // size]
+        self.names, self.word, context = names, items % size, before[items // size]
         self.one, self.two = context % (size + 1), context // (size + 1)
 
     def parts(self, parts: int) -> np.ndarray:
@@ -100,7 +100,7 @@ class Chunk:
         return np.fromiter((zlib.crc32(w.encode()) % parts for w in self.names.to_pylist()), np.uint16, len(self.names))[self.word]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], split: Split, ends: bool = False) -> Iterator[Chunk]:
+def chunks(batches: Iterator[pa.RecordBatch], split: Split, ends: bool = False, contexts: bool = True) -> Iterator[Chunk]:
     from pyspark import TaskContext
 
     number, ids, words, lengths, learn = TaskContext.get().partitionId() << 32, [], [], [], []
@@ -113,11 +113,11 @@ def chunks(batches: Iterator[pa.RecordBatch], split: Split, ends: bool = False)
             lengths.append(n)
             learn.append(b.column("learn").to_numpy(zero_copy_only=False).astype(bool) if "learn" in b.schema.names else np.ones(len(n), bool))
             if sum(map(len, words)) >= CHUNK_WORDS:
-                yield Chunk(number, ids, words, lengths, learn, ends)
+                yield Chunk(number, ids, words, lengths, learn, ends, contexts)
                 number, ids, words, lengths, learn = number + 1, [], [], [], []
                 trim()
     if ids:
-        yield Chunk(number, ids, words, lengths, learn, ends)
+        yield Chunk(number, ids, words, lengths, learn, ends, contexts)
     trim()
 
 
@@ -138,16 +138,17 @@ def _counted(c: Chunk, order: np.ndarray, starts: np.ndarray) -> Iterator[pa.Rec
         })
 
 
-def sent(docs: DataFrame, split: Split, parts: int, counted: bool = False) -> DataFrame:
+def sent(docs: DataFrame, split: Split, parts: int, counted: bool = False, contexts: bool = True) -> DataFrame:
     """docs (id, what split wants) to rows of SENT: each chunk's distinct items of a part, in order of their numbers.
 
     counted: rows of COUNTED, in which texts have ends and items are words in their contexts of up to two words. A row then
     has its distinct words, and packed: the place of each item's word there, the places of the one and two words of its
     context among names, counted from 1, how often the texts to learn from hold it, and names, the hashes of the words.
+    Without contexts, items of counted rows are words alone.
     """
 
     def run(batches):
-        for c in chunks(batches, split, counted):
+        for c in chunks(batches, split, counted, contexts):
             part = c.parts(parts)
             order = np.argsort(part, kind="stable")
             starts = _part(part, parts)
@@ -161,12 +162,12 @@ def sent(docs: DataFrame, split: Split, parts: int, counted: bool = False) -> Da
     return docs.mapInArrow(run, COUNTED if counted else SENT)
 
 
-def kept(docs: DataFrame, split: Split, parts: int, counted: bool = False) -> DataFrame:
+def kept(docs: DataFrame, split: Split, parts: int, counted: bool = False, contexts: bool = True) -> DataFrame:
     """docs to one row a chunk: the ids, the number of words of each text, the items of the words, the part of each item."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for c in chunks(batches, split, counted):
+        for c in chunks(batches, split, counted, contexts):
             planes = c.at.astype("<u4").view(np.uint8).reshape(-1, 4).T  # the high bytes are mostly zero
             packed, part = (pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in (planes, c.parts(parts)))
             yield pa.RecordBatch.from_pydict(
