@@ -11,6 +11,7 @@ ignored, and an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 
 import numpy as np
@@ -20,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_trip
+from .common import trim
 
 #: Distinct words that one task remembers; it starts anew beyond.
-MOST_KNOWN = 1_000_000
+MOST_KNOWN = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -63,6 +65,9 @@ def _encoder(path: str, pattern: str):
                 [b.column("part"), b.column("chunk"), *(pa.array([p[k] for p in packed[j::2]]) for j in (0, 1) for k in (0, 1))],
                 names=["part", "chunk", "n_words", "lengths", "n_ids", "ids"],
             )
+        del encode
+        known.clear()
+        trim()
 
     return run
 
@@ -89,20 +94,32 @@ def _reassemble(answers: pa.Table, row: dict) -> pa.Table:
     start[order], size[order] = np.cumsum(lengths) - lengths, lengths
     n = size[at]
     stop = np.concatenate([[0], np.cumsum(n)])
-    ids = pool[np.repeat(start[at] - stop[:-1], n) + np.arange(stop[-1])]
-    lists = pa.ListArray.from_arrays(pa.array(stop[ends].astype(np.int32)), pa.array(ids.astype(np.int32)))
+    from_ = np.repeat(start[at] - stop[:-1], n)
+    from_ += np.arange(stop[-1])
+    lists = pa.ListArray.from_arrays(pa.array(stop[ends].astype(np.int32)), pa.array(pool[from_].view(np.int32)))
     return pa.table({"doc_id": pa.chunked_array([pa.array(row["ids"])]), "ids": lists})
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every row of docs."""
+    return _encoded(docs, ranks_path, pattern, id_col, text_col, lambda t: t, "ids array<int>")
+
+
+def _encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, then, schema: str) -> DataFrame:
+    """(doc_id, ids) of every row of docs, after `then`, which makes doc_id and the columns of schema of a chunk's rows."""
     tokens, parts = pre_tokens(docs, pattern, id_col, text_col), word_trip.parts_for(docs)
     words = word_trip.sent(tokens, _tokens, parts).repartition("part")
     back = words.mapInArrow(_encoder(ranks_path, pattern), "part int, chunk bigint, n_words bigint, lengths binary, n_ids bigint, ids binary")
     kind = docs.schema[id_col].dataType.simpleString()
     typed = _typed(docs.select(F.col(id_col).alias("doc_id")).schema)
     texts = word_trip.kept(tokens, _tokens, parts)
-    return word_trip.by_chunk(back, texts, lambda a, r: typed(_reassemble(a, r)), f"doc_id {kind}, ids array<int>")
+
+    def whole(answers: pa.Table, row: dict) -> pa.Table:
+        out = typed(then(_reassemble(answers, row)))
+        trim()
+        return out
+
+    return word_trip.by_chunk(back, texts, whole, f"doc_id {kind}, {schema}")
 
 
 def _typed(schema):
@@ -112,31 +129,50 @@ def _typed(schema):
     return lambda t: t.set_column(0, "doc_id", t.column("doc_id").cast(kind))
 
 
+@functools.lru_cache(maxsize=1)
+def _token_bytes(ranks_path: str) -> list[bytes]:
+    ranks = read_ranks(ranks_path)
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
+DECODED = "n_tokens bigint, ids_sha256 string, decoded binary"
+
+
+def _decoded(batches, ranks_path: str):
+    """Batches of (doc_id, ids) to batches of doc_id and DECODED, few rows at a time."""
+    table = _token_bytes(ranks_path)
+    for b in (whole.slice(start, word_trip.AT_ONCE) for whole in batches for start in range(0, whole.num_rows, word_trip.AT_ONCE)):
+        lists = b.column("ids")
+        ends = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy(zero_copy_only=False)
+        rows = [flat[s:e] for s, e in zip(ends, ends[1:], strict=False)]
+        ids = [r.astype("<u4").tobytes() for r in rows]
+        text = [b"".join([table[i] for i in r.tolist()]) for r in rows]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), pa.array(list(map(len, rows)), pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array(text, pa.binary())],
+            names=["doc_id", "n_tokens", "ids_sha256", "decoded"],
+        )
+        del lists, flat, rows, ids, text
+        trim()
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """encoded (doc_id, ids) with ids_le (the ids as little-endian unsigned 32-bit integers) and decoded (their bytes)."""
     kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, ranks_path), f"doc_id {kind}, {DECODED}")
 
-    def run(batches):
-        ranks = read_ranks(ranks_path)
-        table = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            table[rank] = token
-        for b in (whole.slice(start, word_trip.AT_ONCE) for whole in batches for start in range(0, whole.num_rows, word_trip.AT_ONCE)):
-            lists = b.column("ids")
-            ends = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            rows = [flat[s:e] for s, e in zip(ends, ends[1:], strict=False)]
-            ids = [r.astype("<u4").tobytes() for r in rows]
-            text = [b"".join([table[i] for i in r.tolist()]) for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(list(map(len, rows)), pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array(text, pa.binary())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded"],
-            )
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded binary")
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    A chunk's ids are decoded by the worker that has put them together, so that a task keeps one worker, not two.
+    """
 
+    def back(ids: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(_decoded(ids.to_batches(), ranks_path))
 
-def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    decoded = decode(encode(docs, ranks_path, pattern, id_col, text_col), ranks_path)
+    decoded = _encoded(docs, ranks_path, pattern, id_col, text_col, back, DECODED)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -37,6 +37,18 @@ def test_byte_bpe_odd_texts(spark, encoder):
     assert [got[i] for i in range(len(texts))] == [encoder.encode_ordinary(t) for t in texts]
 
 
+def test_byte_bpe_one_worker_a_task(docs):
+    """Chunks, words and encoding are each a step of their own stage; putting together and decoding is one step of one."""
+    plan = byte_bpe.encode_and_decode(docs, RANKS, public_tokenizers.PATTERN)._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("MapInArrow"), plan.count("FlatMapCoGroupsInArrow")) == (3, 1)
+
+
+def test_byte_bpe_decodes_encoded(docs):
+    own = byte_bpe.decode(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()
+    whole = byte_bpe.encode_and_decode(docs, RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, hashlib.sha256(r.decoded).hexdigest()) for r in own) == sorted((str(r[0]), *r[1:]) for r in whole)
+
+
 def test_byte_bpe_empty(none):
     assert byte_bpe.encode_and_decode(none, RANKS, public_tokenizers.PATTERN).count() == 0
 
