@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isomere.functions.arrays import expand_template, strides
+from isomere.functions.arrays import expand_template, strides, tile_count
 from isomere.functions.text import member_texts, object_text
 from isomere.operators import tiles
 from isomere.sources import documents as docs
@@ -138,15 +138,32 @@ def assemble_with(arrays: DataFrame, fetch: Fetch, keys: Sequence[str], tileset:
     return cells, joined.withColumn("message", F.col("_error")).drop("_error", "_transient")
 
 
-def tile_layout(arrays: DataFrame, keys: Sequence[str], tileset: int | None = None) -> DataFrame:
+#: Arrays and tiles that one task sorts. Their texts are alike and shuffle to a tenth of their size or less, so that Spark,
+#: which goes by these bytes, would give a few tasks all of them.
+ARRAYS_A_TASK, TILES_A_TASK = 20_000, 50_000
+
+
+def _tasks(arrays: DataFrame, tileset: int | None) -> tuple[int, int]:
+    """Over how many tasks arrays and their tiles go, as many as there are cores at least."""
+    a = F.from_json("body", TILED)
+    counts = F.transform(a["tileSets"], lambda t: tile_count(a["shape"], t["tileShape"]))
+    n, tiles_ = arrays.agg(F.count("*"), F.coalesce(F.sum(F.array_min(counts) if tileset is None else F.get(counts, F.lit(tileset))), F.lit(0))).head()
+    cores = arrays.sparkSession.sparkContext.defaultParallelism
+    return max(cores, -(-n // ARRAYS_A_TASK)), max(cores, -(-int(tiles_) // TILES_A_TASK))
+
+
+def tile_layout(arrays: DataFrame, keys: Sequence[str], tileset: int | None = None, parts: int | None = None) -> DataFrame:
     """A row a tile of arrays (keys, body of a TiledNdArray): keys, data_type, axis_names, shape, url, ordinals, offsets.
 
     tileset: the number of the tile set taken; without it that with fewest tiles. An array without that set has no tiles.
+    parts: over how many tasks arrays are dealt for that choice; without it Spark settles that by the bytes it shuffles.
     """
     a = arrays.select(*keys, F.from_json("body", TILED).alias("a"))
     whole = a.select(*keys, F.col("a.dataType").alias("data_type"), F.col("a.axisNames").alias("axis_names"), F.col("a.shape").alias("shape"), F.posexplode("a.tileSets").alias("pos", "t"))
     sets = whole.select(*keys, "data_type", "axis_names", "shape", "pos", F.col("t.tileShape").alias("tile_shape"), F.col("t.urlTemplate").alias("url_template"))
     rest = [*keys, "data_type", "axis_names"]
+    if tileset is None and parts is not None:
+        sets = sets.repartition(parts, *rest, "shape")
     chosen = tiles.select_tile_set(sets, rest) if tileset is None else sets.filter(F.col("pos") == tileset)
     per_axis = F.zip_with("shape", "tile_shape", lambda n, t: F.when(t.isNull(), F.lit(1)).otherwise(F.ceil(n / t)).cast("int"))
     rows = chosen.withColumn("per_axis", per_axis)
@@ -169,5 +186,6 @@ def assemble(arrays: DataFrame, documents: DataFrame, keys: Sequence[str], tiles
     d = F.from_json("body", head)
     right = d["type"] == "NdArray"
     bodies = documents.select("url", F.when(right, F.coalesce(d["shape"], F.array().cast("array<int>"))).alias("tile_shape"), F.when(right, d["values"]).alias("values"))
-    return tiles.stitch(tile_layout(arrays, keys, tileset), bodies, [*keys, "data_type", "axis_names"])
+    of_arrays, of_tiles = _tasks(arrays, tileset)
+    return tiles.stitch(tile_layout(arrays, keys, tileset, of_arrays), bodies, [*keys, "data_type", "axis_names"], parts=of_tiles)
 

@@ -35,17 +35,22 @@ def layout(sets: DataFrame, keys: Sequence[str], axis_names: Sequence[str], shap
     return out.select(*keys, shape, url.alias("url"), ordinals.alias("ordinals"), offsets.alias("offsets"))
 
 
-def stitch(tiles: DataFrame, documents: DataFrame, keys: Sequence[str], shape: str = "shape") -> tuple[DataFrame, DataFrame]:
+def stitch(tiles: DataFrame, documents: DataFrame, keys: Sequence[str], shape: str = "shape", parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(cells, failures) of tiles from layout() and documents (url, tile_shape, values; null values are broken documents).
 
     cells: keys, flat_idx, value, with a null for every place that no tile fills; the tile with the larger ordinals wins where
     tiles overlap. failures: keys, url, kind (transient: no document, unrecoverable: a broken one), offsets, ordinals.
+
+    Documents grow with the tiles, so they are not broadcast; failures meet them without their values. parts: over how many
+    tasks tiles and documents are dealt by URL; without it Spark settles that by the bytes it shuffles.
     """
-    found = tiles.join(documents.select(F.col("url"), F.col("tile_shape").alias("_tile"), F.col("values").alias("_values"), F.lit(True).alias("_there")), "url", "left")
-    failed = found.filter(F.col("_values").isNull()).select(
+    bodies = documents.select("url", F.col("tile_shape").alias("_tile"), F.col("values").alias("_values"), F.col("values").isNotNull().alias("_whole"), F.lit(True).alias("_there"))
+    dealt = (lambda df: df) if parts is None else (lambda df: df.repartition(parts, "url"))
+    found = dealt(tiles).join(dealt(bodies).hint("merge"), "url", "left")
+    failed = found.filter(~F.coalesce("_whole", F.lit(False))).select(
         *keys, "url", F.when(F.col("_there"), "unrecoverable").otherwise("transient").alias("kind"), "offsets", "ordinals"
     )
-    cells = found.filter(F.col("_values").isNotNull()).select(*keys, shape, "offsets", "ordinals", "_tile", F.posexplode("_values").alias("_at", "value"))
+    cells = found.filter("_whole").select(*keys, shape, "offsets", "ordinals", "_tile", F.posexplode("_values").alias("_at", "value"))
     local = F.zip_with(strides(F.col("_tile")), F.col("_tile"), lambda s, n: F.floor(F.col("_at") / s) % n)
     index = F.zip_with(local, F.col("offsets"), lambda a, b: a + b)
     flat = F.aggregate(F.zip_with(index, strides(F.col(shape)), lambda i, s: i * s), F.lit(0).cast("long"), lambda a, x: a + x)

@@ -43,3 +43,30 @@ def test_stored_tables_are_not_broadcast(spark):
     for joined in (left.join(right, "id"), left.join(right.filter("id > 5").select("id").distinct(), "id", "left_anti"), left.join(right.groupBy("id").count(), "id", "left")):
         assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in left.join(F.broadcast(right), "id")._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_tiles_are_dealt_by_number_and_not_broadcast(spark, tmp_path, monkeypatch):
+    n = 100
+    spark.range(n).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(fetching, "ARRAYS_A_TASK", 10)
+    monkeypatch.setattr(fetching, "TILES_A_TASK", 20)
+    for df, rows in zip(fetching.assemble(*whole_documents.tiled(spark, str(tmp_path)), ["doc_id"]), (12 * n, sum((c + k) % 7 == 0 for c in range(n) for k in range(4))), strict=True):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+        numbers = set(map(int, re.findall(r"RepartitionByExpression \[.*\], (\d+)", optimized(df))))
+        assert {n // 10, 4 * n // 20} <= numbers
+        assert df.count() == rows
+
+
+def test_failures_of_tiles_meet_no_values(spark, tmp_path):
+    spark.range(5).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    failures = fetching.assemble(*whole_documents.tiled(spark, str(tmp_path)), ["doc_id"])[1]
+    assert "_values" not in optimized(failures)
+
+
+def test_repeated_and_no_arrays(spark):
+    body = '{"type":"TiledNdArray","dataType":"float","axisNames":["x"],"shape":[2],"tileSets":[{"tileShape":[1],"urlTemplate":"u{x}"},{"tileShape":[2],"urlTemplate":"w{x}"}]}'
+    arrays, none = spark.createDataFrame([(1, body), (1, body), (2, "{}")], "doc_id int, body string"), spark.createDataFrame([], "url string, body string")
+    for tileset, found in ((None, [(1, "w0")]), (0, [(1, "u0"), (1, "u0"), (1, "u1"), (1, "u1")]), (7, [])):
+        failures = fetching.assemble(arrays, none, ["doc_id"], tileset)[1]
+        assert sorted((r.doc_id, r.url) for r in failures.collect()) == found
+    assert fetching.assemble(arrays.limit(0), none, ["doc_id"])[0].count() == 0
