@@ -117,3 +117,37 @@ def test_near_dedup_copies_of_copies(spark, monkeypatch):
         got = minhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), words=2).collect()
         assert {r.doc_id: r.component_id for r in got} == want
     assert 20 < len(set(want.values())) < len(rows)
+
+
+def test_common_passage_makes_no_posts(spark):
+    """Of 100 texts with a passage in common, all unlike the hub, only the two that are alike go on; the passage is no bucket."""
+    own = lambda i: list(range(1000 * i, 1000 * i + 110))
+    passage = list(range(-30, 0))
+    rows = [(0, i, 140, 140, 0, False, passage + own(i), [], i) for i in range(1, 101)]
+    rows[1] = (0, 2, 140, 140, 0, False, passage + own(1)[:105] + own(2)[:5], [], 2)
+    found = spark.createDataFrame(rows, minhash.TESTED + ", g bigint")
+    long, pairs = minhash.posted(found, 80)
+    assert long.count() == 0 and [tuple(r) for r in pairs.collect()] == [(2, 1)]
+
+
+def test_buckets_of_one_group_share_a_hub(spark):
+    """A copy that is the first of some buckets of a group is not their hub, as most of their members meet class 1 more often."""
+    members = [(b, c) for b in range(4) for c in range(1, 21)] + [(b, c) for b in (4, 5) for c in range(2, 21)] + [(6, 40), (6, 41)]
+    n = {b: sum(x == b for x, _ in members) for b in range(7)}
+    meets = {c: sum(n[b] for b, x in members if x == c) - (0 if c == 1 else 60) for _, c in members}
+    ranked = spark.createDataFrame([(b, c, n[b], meets[c]) for b, c in members], "bucket bigint, class bigint, n bigint, meets bigint")
+    assert {r.bucket: r.hub for r in minhash.central(ranked).collect()} == dict.fromkeys(range(6), 1) | {6: 41}
+
+
+def test_pair_in_a_bucket_with_a_hub_elsewhere(spark):
+    """Two texts that are alike and meet alone in a bucket are linked, also if that bucket has another's hub."""
+    import random
+
+    rng = random.Random(7)
+    top = [f"w{i}" for i in range(120)]
+    texts = [_edited(rng, top, rng.uniform(0, 0.3), f"x{i}") for i in range(150)]
+    texts += [[*t[:60], f"more{i}", *t[60:]] for i, t in enumerate(texts[:40])]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute.groups([i for i, _ in rows], brute.shingle_sets([t for _, t in rows], 2))
+    got = {r.doc_id: r.component_id for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), words=2).collect()}
+    assert [got[i] for i, _ in rows] == want
