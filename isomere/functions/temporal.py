@@ -34,29 +34,57 @@ def _days(year: Column, month: Column) -> Column:
 def resolve(value: Column) -> Column:
     """struct(kind, when, precision): moment, unrepresentable (year 0, beyond 9999, a leap second) or malformed.
 
-    Offsets are taken off by arithmetic, as they may be up to 23:59 either way. All parts are read by their places; the engine
-    computes each once a row where value is a column.
+    Offsets are taken off by arithmetic, as they may be up to 23:59 either way. All parts are read by their places. The form, the
+    parts and the moment are bound one after the other, so each is worked out once, also under a condition, where the engine
+    would repeat the form's patterns wherever a part depends on them.
     """
-    form, v = precision(value), value
+    return _let(F.struct(value.alias("v"), precision(value).alias("form")), _parts)
+
+
+def _let(value: Column, then) -> Column:
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _parts(r: Column) -> Column:
+    form, v = r["form"], r["v"]
     whole = lambda at, n: F.substring(v, at, n).try_cast("int")
-    year, month, day = F.when(form == "year", v.try_cast("bigint")).otherwise(whole(1, 4).cast("bigint")), whole(6, 2), whole(9, 2)
+    # Only what the form has is cast: a cast that fails costs more than all the rest.
+    year = F.when(form == "year", v.try_cast("bigint")).when(form.isNotNull(), whole(1, 4).cast("bigint"))
+    month, day = F.when(form != "year", whole(6, 2)), F.when(form.isin("day", "second"), whole(9, 2))
     zoned = (form == "second") & ~F.endswith(v, F.lit("Z"))
-    hours, minutes = F.substring(v, -5, 2).try_cast("int"), F.substring(v, -2, 2).try_cast("int")
-    leap_second = (form == "second") & (F.substring(v, 18, 2) == "60")
-    clock = (form != "second") | (whole(12, 2) <= 23) & (whole(15, 2) <= 59) & (whole(18, 2) <= 59) & (~zoned | (hours <= 23) & (minutes <= 59))
+    parts = F.struct(
+        v.alias("v"), form.alias("form"), year.alias("year"), month.alias("month"), day.alias("day"), zoned.alias("zoned"), F.when(zoned, F.substring(v, -5, 2).try_cast("int")).alias("hours"),
+        F.when(zoned, F.substring(v, -2, 2).try_cast("int")).alias("minutes"), ((form == "second") & (F.substring(v, 18, 2) == "60")).alias("leap_second"),
+    )
+    return _let(parts, _judged)
+
+
+def _judged(r: Column) -> Column:
+    form, v, year, month, day, zoned = (r[k] for k in ("form", "v", "year", "month", "day", "zoned"))
+    whole = lambda at, n: F.substring(v, at, n).try_cast("int")
+    clock = (form != "second") | (whole(12, 2) <= 23) & (whole(15, 2) <= 59) & (whole(18, 2) <= 59) & (~zoned | (r["hours"] <= 23) & (r["minutes"] <= 59))
     right = (form == "year") | month.between(1, 12) & ((form == "month") | day.between(1, _days(year, month))) & clock
-    inside = year.between(1, 9999)
-    start = F.lpad(year.cast("string"), 4, "0")
+    return _let(F.struct(r.alias("of"), right.alias("right"), year.between(1, 9999).alias("inside")), _timed)
+
+
+def _timed(j: Column) -> Column:
+    r, right, inside = j["of"], j["right"], j["inside"]
+    form, v, zoned = r["form"], r["v"], r["zoned"]
+    start = F.lpad(r["year"].cast("string"), 4, "0")
     local = F.when(form == "year", F.concat(start, F.lit("-01-01"))).when(form == "month", F.concat(v, F.lit("-01"))).otherwise(F.when(zoned, F.concat(F.substring(v, F.lit(1), F.char_length(v) - 6), F.lit("Z"))).otherwise(v))
-    offset = F.make_dt_interval(F.lit(0), hours, minutes) * F.when(F.substring(v, -6, 1) == "-", -1).otherwise(1)
-    moment = form.isNotNull() & right & inside & ~leap_second
-    parsed = F.try_to_timestamp(F.when(moment, local))
-    when = F.when(zoned, parsed - offset).otherwise(parsed)
-    kind = (
-        F.when(form.isNull(), "malformed").when(leap_second, "unrepresentable").when(~right, "malformed")
-        .when(year.isNull() | ~inside, "unrepresentable").when(parsed.isNull(), "malformed").otherwise("moment")
-    )
-    return F.struct(kind.alias("kind"), when.alias("when"), F.when(when.isNotNull(), form).alias("precision"))
+    offset = F.make_dt_interval(F.lit(0), r["hours"], r["minutes"]) * F.when(F.substring(v, -6, 1) == "-", -1).otherwise(1)
+    moment = form.isNotNull() & right & inside & ~r["leap_second"]
+
+    def told(parsed: Column) -> Column:
+        when = F.when(zoned, parsed - offset).otherwise(parsed)
+        kind = (
+            F.when(form.isNull(), "malformed").when(r["leap_second"], "unrepresentable").when(~right, "malformed")
+            .when(r["year"].isNull() | ~inside, "unrepresentable").when(parsed.isNull(), "malformed").otherwise("moment")
+        )
+        # The moment is missing exactly where what was parsed is.
+        return F.struct(kind.alias("kind"), when.alias("when"), F.when(parsed.isNotNull(), form).alias("precision"))
+
+    return _let(F.try_to_timestamp(F.when(moment, local)), told)
 
 
 def maybe_datetime(value: Column, column: WindowSpec) -> Column:
@@ -78,5 +106,4 @@ def iso_time(when: Column) -> Column:
 
 
 def is_standard_calendar(calendar: Column) -> Column:
-    name = F.lower(F.element_at(F.split(calendar, "/"), -1))
-    return F.coalesce(name.isin("gregorian", "standard", "proleptic_gregorian"), F.lit(False))
+    return F.coalesce(F.regexp_like(calendar, F.lit(r"(?is)^(.*/)?(gregorian|standard|proleptic_gregorian)\z")), F.lit(False))

@@ -45,8 +45,8 @@ def json_pointer(*parts: Column) -> Column:
 
 def json_string(text: Column) -> Column:
     """A text as JSON writes it, with quotes; null for null."""
-    inner = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), F.substring(inner, F.lit(2), F.char_length(inner) - 2))
+    # The text's own brackets lie within its quotes, so those of the list alone are trimmed, and it is written once.
+    return F.when(text.isNotNull(), F.btrim(F.to_json(F.array(text)), F.lit("[]")))
 
 
 def member_texts(text: Column | str) -> Column:

@@ -28,8 +28,7 @@ def _attr(name: str) -> Column:
 
 def _object(*members: tuple[str, Column]) -> Column:
     """The text of an object of those members that are not null, in order."""
-    texts = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in members]), lambda e: e["value"].isNotNull()))
-    return object_text(texts)
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in members]), F.lit("}"))
 
 
 def _list(texts: Column) -> Column:
@@ -66,8 +65,8 @@ def kept(variables: DataFrame) -> DataFrame:
 
 def _tokens(cells: DataFrame) -> DataFrame:
     """cells with their JSON text; not-a-number is null."""
-    number = F.when(~F.isnan("number"), F.to_json(F.array("number")))
-    return cells.withColumn("token", F.coalesce(json_string(F.col("text")), F.substring(number, F.lit(2), F.char_length(number) - 2), F.lit("null")))
+    number = F.when(~F.isnan("number"), F.btrim(F.to_json(F.array("number")), F.lit("[]")))
+    return cells.withColumn("token", F.coalesce(json_string(F.col("text")), number, F.lit("null")))
 
 
 def _lists(cells: DataFrame) -> DataFrame:

@@ -66,75 +66,92 @@ def _of(systems: Column, name: Column) -> Column:
     return F.try_element_at(F.filter(systems, lambda c: F.array_contains(c["coordinates"], name)), F.lit(-1))
 
 
-def _coordinate_attributes(systems: Column, name: Column) -> Column:
-    own = _of(systems, name)
+def _coordinate_attributes(systems: Column, own: Column, name: Column) -> Column:
+    """own: the connection that _of() finds."""
     geographic = F.try_element_at(F.filter(systems, lambda c: (c["kind"] == "GeographicCRS") & F.array_contains(c["coordinates"], name)), F.lit(-1))
-    place = F.array_position(geographic["coordinates"], name)
-    out = F.when(own["kind"] == "VerticalCRS", _attributes(("standard_name", vertical_name(own["id"])), ("positive", vertical_positive(own["id"]))))
-    for k, (standard, more) in enumerate(GEOGRAPHIC):
-        out = F.when(place == k + 1, _attributes(("standard_name", F.lit(standard)), *[(m, F.lit(v)) for m, v in more.items()])).otherwise(out)
+    vertical = F.when(own["kind"] == "VerticalCRS", _attributes(("standard_name", vertical_name(own["id"])), ("positive", vertical_positive(own["id"]))))
+
+    def placed(place: Column) -> Column:
+        out = vertical
+        for k, (standard, more) in enumerate(GEOGRAPHIC):
+            out = F.when(place == k + 1, _attributes(("standard_name", F.lit(standard)), *[(m, F.lit(v)) for m, v in more.items()])).otherwise(out)
+        return out
+
     calendar = _attributes(("calendar", F.when(~is_standard_calendar(own["calendar"]), own["calendar"])))
-    return F.coalesce(F.when(own["kind"] == "TemporalRS", calendar).otherwise(out), F.create_map().cast(TEXTS))
+    return F.coalesce(F.when(own["kind"] == "TemporalRS", calendar).otherwise(_let(F.array_position(geographic["coordinates"], name), placed)), F.create_map().cast(TEXTS))
 
 
-def _variable_attributes(p: Column, crs: Column, data_type: Column) -> Column:
-    texts = lambda path: display(F.try_variant_get(p, path, TEXTS))
-    label = F.nullif(texts("$.label"), F.lit(""))
-    symbol = F.try_variant_get(p, "$.unit.symbol", "variant")
-    unit = F.when(is_text(symbol), F.try_variant_get(symbol, "$", "string")).otherwise(sub(symbol, "value", "string"))
-    encoding = F.try_variant_get(p, "$.categoryEncoding", "map<string,variant>")
+def _number(v: Column) -> Column:
+    return F.when(~is_text(v), F.try_variant_get(v, "$", "double"))
+
+
+def _text(v: Column) -> Column:
+    return F.when(is_text(v), F.try_variant_get(v, "$", "string"))
+
+
+def _with_attributes(data: DataFrame) -> DataFrame:
+    """data (name, parameters, crs, data_type) with attrs; what several attributes read is a column before they do."""
+    texts = lambda v, path: F.nullif(_let(F.try_variant_get(v, path, TEXTS), display), F.lit(""))
+    p, encoding, flags, symbol = F.col("p"), F.col("encoding"), F.col("flags"), F.col("symbol")
     codes = lambda c: _let(F.try_element_at(encoding, sub(c, "id", "string")), lambda v: F.coalesce(F.try_variant_get(v, "$", "array<bigint>"), F.array(F.try_variant_get(v, "$", "bigint"))))
-    flag = lambda c: F.transform(codes(c), lambda n: F.struct(n.cast("string").alias("value"), flag_meaning(F.coalesce(F.nullif(display(F.try_variant_get(c, "$.label", TEXTS)), F.lit("")), sub(c, "id", "string"))).alias("meaning")))
-    flags = F.filter(F.flatten(F.transform(F.try_variant_get(p, "$.observedProperty.categories", "array<variant>"), flag)), lambda x: x["value"].isNotNull())
+    flag = lambda c: F.transform(codes(c), lambda n: F.struct(n.cast("string").alias("value"), flag_meaning(F.coalesce(texts(c, "$.label"), sub(c, "id", "string"))).alias("meaning")))
+    data = data.withColumn("p", F.try_element_at("parameters", F.col("name"))).withColumns({"encoding": F.try_variant_get(p, "$.categoryEncoding", "map<string,variant>"), "symbol": F.try_variant_get(p, "$.unit.symbol", "variant")})
+    listed = F.filter(F.flatten(F.transform(F.try_variant_get(p, "$.observedProperty.categories", "array<variant>"), flag)), lambda x: x["value"].isNotNull())
+    data = data.withColumn("flags", F.when(encoding.isNotNull(), listed))
     some = lambda part, by: F.when(F.size(flags) > 0, F.array_join(F.transform(flags, lambda x: x[part]), by))
-    return _attributes(
-        ("long_name", F.coalesce(label, F.nullif(texts("$.observedProperty.label"), F.lit("")))), ("standard_name", standard_name(F.try_variant_get(p, "$.observedProperty.id", "string"))), ("units", unit),
-        ("flag_values", F.when(encoding.isNotNull(), some("value", ","))), ("flag_meanings", F.when(encoding.isNotNull(), some("meaning", " "))),
-        ("dtype", F.when(data_type == "integer", "int64")), ("grid_mapping", F.when(crs.isNotNull(), "crs")),
-    )
+    unit = F.when(is_text(symbol), F.try_variant_get(symbol, "$", "string")).otherwise(sub(symbol, "value", "string"))
+    return data.withColumn("attrs", _attributes(
+        ("long_name", F.coalesce(texts(p, "$.label"), texts(p, "$.observedProperty.label"))), ("standard_name", standard_name(F.try_variant_get(p, "$.observedProperty.id", "string"))), ("units", unit),
+        ("flag_values", some("value", ",")), ("flag_meanings", some("meaning", " ")), ("dtype", F.when(F.col("data_type") == "integer", "int64")), ("grid_mapping", F.when(F.col("crs").isNotNull(), "crs")),
+    ))
 
 
 def variables(decoded: DataFrame) -> Variables:
     """The tables of all coverages of decoded documents."""
     rows = parts(decoded).filter("kind = 'Coverage'").withColumn("ds_id", F.concat(F.col("doc_id").cast("string"), F.col("path"))).withColumn("systems", _systems(F.col("referencing")))
+    cell = lambda v: F.struct(_number(v).alias("number"), _text(v).alias("text"))
     arrays = F.transform(F.filter(F.map_entries("ranges"), lambda e: sub(e["value"], "type", "string") == "NdArray"), lambda e: F.struct(
-        e["key"].alias("name"), e["value"].alias("array"), F.coalesce(sub(e["value"], "axisNames", "array<string>"), F.array().cast("array<string>")).alias("dims"),
-        F.coalesce(sub(e["value"], "shape", "array<int>"), F.array().cast("array<int>")).alias("shape"),
+        e["key"].alias("name"), F.coalesce(sub(e["value"], "axisNames", "array<string>"), F.array().cast("array<string>")).alias("dims"),
+        F.coalesce(sub(e["value"], "shape", "array<int>"), F.array().cast("array<int>")).alias("shape"), sub(e["value"], "dataType", "string").alias("data_type"),
+        F.transform(sub(e["value"], "values", "array<variant>"), cell).alias("values"),
     ))
     crs = F.get(F.filter("systems", lambda c: c["kind"].isin("GeographicCRS", "ProjectedCRS")), F.lit(0))
-    kept = ["ds_id", "domain_at", "domain_type", "axes", "ranges", "parameters", "systems", "data", "crs", "id"]
-    rows = stored(rows.withColumn("data", arrays).withColumn("crs", crs).withColumn("id", sub(F.col("own"), "id", "string")).select(*kept))
     used = F.flatten(F.transform("data", lambda d: d["dims"]))
 
+    def coordinate(a: Column, name: Column, dims: Column, pick) -> Column:
+        """pick: from an item of the axis to the coordinate's value."""
+        values = F.transform(a["values"], lambda whole: _let(pick(whole), lambda v: F.struct(_number(v).alias("number"), _text(v).alias("text"), present(v).alias("there"))))
+        own = _let(_of(F.col("systems"), name), lambda own: F.struct(
+            F.coalesce(own["kind"] == "TemporalRS", F.lit(False)).alias("is_time"), own["calendar"].alias("calendar"), _coordinate_attributes(F.col("systems"), own, name).alias("attrs")
+        ))
+        start, stop, num = (sub(a["axis"], m, k).alias(m) for m, k in (("start", "double"), ("stop", "double"), ("num", "int")))
+        return F.struct(name.alias("name"), dims.alias("dims"), own.alias("told"), values.alias("values"), a["size"].alias("size"), start, stop, num)
+
     def coordinates(a: Column) -> Column:
-        plain = F.array(F.struct(a["name"].alias("name"), F.when((a["size"] == 1) & ~F.array_contains(used, a["name"]), F.array().cast("array<string>")).otherwise(F.array(a["name"])).alias("dims"), F.lit(-1).alias("place"), a.alias("axis")))
-        inner = F.transform(a["coordinates"], lambda c, k: F.struct(c.alias("name"), F.array(a["name"]).alias("dims"), k.alias("place"), a.alias("axis")))
+        alone = F.when((a["size"] == 1) & ~F.array_contains(F.col("used"), a["name"]), F.array().cast("array<string>")).otherwise(F.array(a["name"]))
+        plain = F.array(coordinate(a, a["name"], alone, lambda whole: whole))
+        inner = F.transform(a["coordinates"], lambda c, k: coordinate(a, c, F.array(a["name"]), lambda whole: F.get(F.try_variant_get(whole, "$", "array<variant>"), k)))
         return F.when(a["data_type"].eqNullSafe("tuple"), inner).otherwise(plain)
 
-    # One row a coordinate; few of a coverage's members go with it.
-    rows = rows.withColumn("coords", F.flatten(F.transform("axes", coordinates)))
+    # All that a coverage tells is worked out once, in its row; the tables below only spread it.
+    rows = rows.withColumn("data", arrays).withColumn("used", used)
     curved = F.exists("axes", lambda a: a["data_type"].eqNullSafe("polygon"))
     elsewhere = F.array_join(F.filter(F.map_keys("ranges"), lambda k: ~F.exists("data", lambda d: d["name"] == k)), ", ")
-    each = rows.select("ds_id", "systems", F.posexplode("coords").alias("ord", "c")).select("ds_id", "systems", "ord", "c.*")
-    own = _of(F.col("systems"), F.col("name"))
-    each = each.withColumn("is_time", F.coalesce(own["kind"] == "TemporalRS", F.lit(False))).withColumn("calendar", own["calendar"])
-    of_coords = each.select("ds_id", "ord", "name", "dims", _coordinate_attributes(F.col("systems"), F.col("name")).alias("attrs"), F.lit(True).alias("is_coord"), "is_time")
+    coords = F.flatten(F.transform("axes", coordinates))
+    rows = stored(rows.select("ds_id", "domain_at", "domain_type", "parameters", "data", crs.alias("crs"), sub(F.col("own"), "id", "string").alias("id"), coords.alias("coords"), curved.alias("curved"), elsewhere.alias("elsewhere")))
+    each = rows.select("ds_id", F.posexplode("coords").alias("ord", "c")).select("ds_id", "ord", "c.*").select("*", "told.*").drop("told")
+    of_coords = each.select("ds_id", "ord", "name", "dims", "attrs", F.lit(True).alias("is_coord"), "is_time")
     grid = rows.filter("crs is not null").select("ds_id", F.size("coords").alias("ord"), F.lit("crs").alias("name"), F.array().cast("array<string>").alias("dims"), _attributes(
         ("reference_system_type", F.col("crs.kind")), ("grid_mapping_name", F.when(F.col("crs.kind") == "GeographicCRS", "latitude_longitude")), ("reference_system_id", F.col("crs.id"))
     ).alias("attrs"), F.lit(True).alias("is_coord"), F.lit(False).alias("is_time"))
-    data = rows.select("ds_id", "crs", "parameters", F.size("coords").alias("n"), F.posexplode("data").alias("k", "d"))
-    of_data = data.select(
-        "ds_id", (F.col("n") + 1 + F.col("k")).alias("ord"), "d.name", "d.dims", _variable_attributes(F.try_element_at("parameters", F.col("d.name")), F.col("crs"), sub(F.col("d.array"), "dataType", "string")).alias("attrs"),
-        F.lit(False).alias("is_coord"), F.lit(False).alias("is_time"),
-    )
+    data = rows.select("ds_id", F.posexplode("data").alias("k", "d"))
+    named = rows.select("ds_id", "crs", "parameters", F.size("coords").alias("n"), F.posexplode(F.transform("data", lambda d: F.struct(d["name"].alias("name"), d["dims"].alias("dims"), d["data_type"].alias("data_type")))).alias("k", "d"))
+    named = _with_attributes(named.select("ds_id", "crs", "parameters", (F.col("n") + 1 + F.col("k")).alias("ord"), "d.*"))
+    of_data = named.select("ds_id", "ord", "name", "dims", "attrs", F.lit(False).alias("is_coord"), F.lit(False).alias("is_time"))
 
-    number, text = (lambda v: F.when(~is_text(v), F.try_variant_get(v, "$", "double"))), (lambda v: F.when(is_text(v), F.try_variant_get(v, "$", "string")))
-    start, stop, num = (sub(F.col("axis.axis"), m, k) for m, k in (("start", "double"), ("stop", "double"), ("num", "int")))
-    listed = each.filter("axis.values is not null").select("ds_id", "name", "is_time", "calendar", "place", F.posexplode("axis.values").alias("idx", "whole"))
-    listed = listed.withColumn("v", F.when(F.col("place") < 0, F.col("whole")).otherwise(F.get(F.try_variant_get("whole", "$", "array<variant>"), F.col("place"))))
-    listed = listed.select("ds_id", "name", "is_time", "calendar", "idx", number(F.col("v")).alias("number"), text(F.col("v")).alias("text"), present(F.col("v")).alias("there"))
+    listed = each.filter("values is not null").select("ds_id", "name", "is_time", "calendar", F.posexplode("values").alias("idx", "v")).select("ds_id", "name", "is_time", "calendar", "idx", "v.*")
     # Positions of a regular axis are counted, and each value follows from its position.
-    regular = each.filter("axis.values is null").select("ds_id", "name", "is_time", "calendar", start.alias("start"), stop.alias("stop"), num.alias("num"))
+    regular = each.filter("values is null").select("ds_id", "name", "is_time", "calendar", "start", "stop", "num")
     regular = regular.select("*", F.explode(F.sequence(F.lit(0), F.col("num") - 1)).alias("idx"))
     step = F.coalesce((F.col("stop") - F.col("start")) / F.nullif(F.col("num") - 1, F.lit(0)), F.lit(0.0))
     regular = regular.select("ds_id", "name", "is_time", "calendar", "idx", (F.col("start") + F.col("idx") * step).alias("number"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("there"))
@@ -142,17 +159,16 @@ def variables(decoded: DataFrame) -> Variables:
     time = F.when(F.col("when").isNull(), F.col("text")).otherwise(iso_time(F.col("when.when")))
     of_axes = spread.select("ds_id", "name", "idx", "number", time.alias("text"))
     of_crs = rows.filter("crs is not null").select("ds_id", F.lit("crs").alias("name"), F.lit(0).alias("idx"), F.lit(0.0).alias("number"), F.lit(None).cast("string").alias("text"))
-    values = data.select("ds_id", "d.name", F.posexplode(sub(F.col("d.array"), "values", "array<variant>")).alias("idx", "v"))
-    of_values = values.select("ds_id", "name", "idx", number(F.col("v")).alias("number"), text(F.col("v")).alias("text"))
+    of_values = data.select("ds_id", "d.name", F.posexplode("d.values").alias("idx", "v")).select("ds_id", "name", "idx", "v.*")
 
-    lengths = each.filter("size(dims) > 0").select("ds_id", F.get("dims", F.lit(0)).alias("dim"), F.col("axis.size").alias("size")).unionByName(
+    lengths = each.filter("size(dims) > 0").select("ds_id", F.get("dims", F.lit(0)).alias("dim"), "size").unionByName(
         data.select("ds_id", F.inline(F.arrays_zip(F.col("d.dims").alias("dim"), F.col("d.shape").alias("size"))))
     )
     by_dim = lengths.groupBy("ds_id", "dim").agg(F.min("size").alias("size"), F.max("size").alias("most"))
 
     wrong = F.filter(F.array(
-        F.when(F.col("domain_at").isNull(), "the domain is elsewhere"), F.when(F.col("domain_type").isin("Polygon", "PolygonSeries", "MultiPolygon", "MultiPolygonSeries") | curved, "a domain of polygons"),
-        F.when(elsewhere != "", F.concat(F.lit("ranges elsewhere: "), elsewhere)),
+        F.when(F.col("domain_at").isNull(), "the domain is elsewhere"), F.when(F.col("domain_type").isin("Polygon", "PolygonSeries", "MultiPolygon", "MultiPolygonSeries") | F.col("curved"), "a domain of polygons"),
+        F.when(F.col("elsewhere") != "", F.concat(F.lit("ranges elsewhere: "), "elsewhere")),
     ), lambda e: e.isNotNull())
     right_time = F.when(is_standard_calendar(F.col("calendar")), F.col("when.kind") == "moment").otherwise(is_moment(F.col("text"), F.col("calendar")))
     untimely = spread.filter(F.col("is_time") & F.col("there") & ~F.coalesce(right_time, F.lit(False))).groupBy("ds_id", "name").agg(F.count("*").alias("n"))

@@ -106,3 +106,17 @@ def test_cf_and_cards(spark):
 def test_schemas():
     made = schemas.component_schemas()
     assert schemas.schema_ref("NdArray")["$ref"].split("/")[-1] in made and made["CoverageJSON.NdArray"]["required"] == ["type", "dataType", "values"]
+
+
+def test_resolve_looks_for_each_form_once(spark):
+    """Also under a condition, where the engine shares nothing."""
+    rows = spark.createDataFrame([("2020-01-02T03:04:05+01:00", True), ("2020-02-29", True), ("x", True), (None, True), ("2020", False)], "v string, c boolean")
+    found = rows.select(F.when(F.col("c"), temporal.resolve(F.col("v"))).alias("r"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("^[0-9]{4}-[0-9]{2}-[0-9]{2}T") == 1
+    assert [r.r and (r.r.kind, r.r.precision) for r in found.collect()] == [("moment", "second"), ("moment", "day"), ("malformed", None), ("malformed", None), None]
+
+
+def test_text_in_brackets_keeps_them(spark):
+    row = spark.range(1).select(text.json_string(F.lit("[a]")).alias("a"), text.json_string(F.lit('"]')).alias("b"), text.json_string(F.lit("")).alias("c"), text.json_string(F.lit(None).cast("string")).alias("d")).head()
+    assert tuple(row) == ('"[a]"', '"\\"]"', '""', None)

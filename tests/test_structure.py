@@ -114,3 +114,14 @@ def test_linestring_needs_two(spark):
     rows = spark.createDataFrame([("a", 1, 1.0, 2.0), ("b", 2, 3.0, 4.0), ("b", 1, 5.0, 6.0)], "k string, t int, x double, y double")
     got = {r.k: r.geometry and r.geometry.coordinates for r in geojson.linestring(rows, ["k"], ["t"]).collect()}
     assert got == {"a": None, "b": [[5.0, 6.0], [3.0, 4.0]]}
+
+
+def test_right_documents_need_no_pointers(monkeypatch):
+    from isomere.sources import model
+
+    def none(*_):
+        raise AssertionError("a pointer without an error")
+
+    monkeypatch.setattr(model, "_below", none)
+    right = {"type": "Domain", "axes": {"x": {"values": [1, "a"], "bounds": [0, 2]}}, "referencing": [{"coordinates": ["x"], "system": {"type": "GeographicCRS"}}]}
+    assert model.first_error(right, "Domain") is None
