@@ -194,11 +194,15 @@ TOTALS = ["level", "context", "customers", "tables", "once", "twice"]
 
 #: data: packed word, differences of context, n, hashes of context words, differences of all contexts, asked ones too;
 #: stats: a level the cells with one customer and those with two at first, then the numbers of tokens and of words.
-PART = "part int, words array<string>, data binary, stats array<bigint>"
+#: asked: the items of each chunk in its order, packed: the place of the word from 1, or 0 where it has none, and of the context.
+PART = "part int, words array<string>, data binary, stats array<bigint>, asked array<struct<chunk:bigint,items:binary>>"
 TOLD = "part int, words array<string>, data binary, state binary"
 TOLD_ARROW = pa.schema([("part", pa.int32()), ("words", pa.list_(pa.string())), ("data", pa.binary()), ("state", pa.binary())])
 
 
+ITEMS = pa.struct([("chunk", pa.int64()), ("items", pa.binary())])
+
+
 def _listed(x: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
@@ -206,9 +210,9 @@ def _listed(x: pa.Array) -> pa.ListArray:
 class Asked:
     """The items of a part's rows of word_trip.COUNTED: words, contexts by the sorted hashes of context words, counts."""
 
-    def __init__(self, words: pa.ChunkedArray, items: pa.ChunkedArray, names: np.ndarray | None = None):
+    def __init__(self, words: pa.ChunkedArray, items: pa.ChunkedArray):
         rows = [word_trip.unpacked(x) for x in items.to_pylist()]
-        self.names = np.unique(np.concatenate([r[4] for r in rows])) if names is None else names
+        self.names = np.unique(np.concatenate([r[4] for r in rows]))
         side, starts = len(self.names) + 1, np.cumsum([0, *pc.list_value_length(words).to_pylist()])
         codes = []
         for _, one, two, _, names_ in rows:
@@ -221,28 +225,36 @@ class Asked:
 
 
 def vocabulary(sent: DataFrame) -> DataFrame:
-    """One row of PART a part: its training words, how often each context holds each of them, and all contexts asked for."""
+    """One row of PART a part: its training words, how often each context holds each of them, and all contexts asked for.
+
+    The items of the texts stay with it as places, a few bytes each, so that they make their trip once.
+    """
 
     def whole(t: pa.Table) -> pa.Table:
         a = Asked(t.column("words"), t.column("items"))
         side, learnt = len(a.names) + 1, a.n > 0
         d = a.words.dictionary_encode()
         used = np.zeros(len(d.dictionary), bool)
-        word = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)[a.word[learnt]]
+        every = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)[a.word]
+        word = every[learnt]
         used[word] = True
         words = d.dictionary.filter(pa.array(used))
         order = pc.sort_indices(words).to_numpy()
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        words, word, size = words.take(pa.array(order)), place[(np.cumsum(used) - 1)[word]], max(1, len(order))
-        codes = np.unique(np.concatenate([[0], a.context, a.context % side]))
+        places = np.zeros(len(used), np.int64)
+        places[used] = place + 1
+        words, word, size = words.take(pa.array(order)), places[word] - 1, max(1, len(order))
+        codes, at = np.unique(np.concatenate([[0], a.context, a.context % side]), return_inverse=True)
+        known, context = places[every], at[1 : 1 + len(every)]
+        asked = [{"chunk": c, "items": word_trip.pack(known[i:j], context[i:j])} for c, i, j in zip(t.column("chunk").to_pylist(), a.ends[:-1].tolist(), a.ends[1:].tolist(), strict=True)]
         cells, at = np.unique(np.searchsorted(codes, a.context[learnt]) * size + word, return_inverse=True)
         n = np.bincount(at, a.n[learnt], len(cells)).astype(np.int64)
         word, context = cells % size, codes[cells // size]
         part = Part(words, word, context, n, side)
         stats = [*(int((c == i).sum()) for i in (1, 2) for c in part.customers), int(n.sum()), len(words)]
         data = word_trip.pack(word, np.diff(context, prepend=0), n, a.names, np.diff(codes, prepend=0))
-        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "words": _listed(words), "data": pa.array([data], pa.binary()), "stats": pa.array([stats], pa.list_(pa.int64()))})
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "words": _listed(words), "data": pa.array([data], pa.binary()), "stats": pa.array([stats], pa.list_(pa.int64())), "asked": pa.array([asked], pa.list_(ITEMS))})
 
     return sent.groupBy("part").applyInArrow(whole, PART)
 
@@ -335,29 +347,26 @@ def pitman_yor(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
     *few, n, v = parts.agg(*[F.coalesce(F.sum(F.get("stats", F.lit(k))), F.lit(0)) for k in range(8)]).head()
     once, twice = np.array(few[:3], float), np.array(few[3:], float)
     discounts = np.clip(np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5), 0.05, 0.95)
-    told = parts
+    told = parts.select("part", "words", "data")
     for k in range(ROUNDS if seats else 0):
-        told = _round(told, parts, groups, k, v, discounts)
+        told = _round(told, parts.select("part", "words", "data"), groups, k, v, discounts)
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        rows = []
-        if asked.num_rows:
-            known = known.combine_chunks()
-            held = Held(known.column("words").chunk(0)[0].values, known.column("data")[0].as_py(), groups)
-            part = held.part()
-            if seats:
-                state = held.state(v, discounts, known.column("state")[0].as_py())
-                part.run(state, ROUNDS)
-            a = Asked(asked.column("words"), asked.column("items"), held.names)
-            place = pc.index_in(a.words, value_set=part.words)
-            known_, at = place.is_valid().to_numpy(zero_copy_only=False)[a.word], pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)[a.word]
+        known, rows = known.combine_chunks(), []
+        number, held = known.column("part")[0].as_py(), Held(known.column("words").chunk(0)[0].values, known.column("data")[0].as_py(), groups)
+        part = held.part()
+        if seats:
+            state = held.state(v, discounts, known.column("state")[0].as_py())
+            part.run(state, ROUNDS)
+        for items in pc.list_flatten(asked.column("asked")):
+            place, context = word_trip.unpacked(items["items"].as_py())
+            known_, at = place > 0, np.maximum(place - 1, 0)
             counts = np.where(known_, part.n[at], 0) if len(part.n) else np.zeros(len(at), np.int64)
-            logs = part.log(state, at, known_, a.context) if seats else np.zeros(len(at))
-            for number, chunk, i, j in zip(asked.column("part").to_pylist(), asked.column("chunk").to_pylist(), a.ends[:-1], a.ends[1:], strict=True):
-                rows.append((number, chunk, int(j - i), pa.compress(counts[i:j].astype("<i8").tobytes(), codec="zstd", asbytes=True), logs[i:j].astype("<f4").tobytes()))
+            logs = part.log(state, at, known_, held.codes[context]) if seats else np.zeros(len(at))
+            rows.append((number, items["chunk"].as_py(), len(at), pa.compress(counts.astype("<i8").tobytes(), codec="zstd", asbytes=True), logs.astype("<f4").tobytes()))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, BACK_ARROW, strict=True)], schema=BACK_ARROW)
 
-    back = sent.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(answer, BACK)
+    back = parts.select("part", "asked").groupBy("part").cogroup(told.groupBy("part")).applyInArrow(answer, BACK)
     texts = word_trip.kept(own.drop("learn"), _split, count, True, seats)
     kind = docs.schema[id_col].dataType
 

@@ -259,3 +259,11 @@ def test_quality_languages_in_turn(spark, monkeypatch):
 def test_quality_empty(none):
     assert quality.quality(none).count() == 0
     assert F is not None
+
+
+def test_items_of_texts_make_their_trip_once(spark):
+    """What scores the texts reads them once more for their places, but sends no items a second time."""
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None)], "doc_id long, text string")
+    scored = pitman_yor.pitman_yor(docs, pitman_yor.held_out(F.col("doc_id")), seats=False)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(r.n_tokens for r in scored.collect()) == [1, 3, 4]
