@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from isomere.functions import axes as fx
 from isomere.functions.text import json_string, object_text
 from isomere.operators.cf import role
-from isomere.sources.stored import stored
+from isomere.sources.stored import shuffled, stored
 
 ROLES = ("x", "y", "z", "t")
 
@@ -95,10 +95,10 @@ def _axes(variables: DataFrame, found: DataFrame, joint: DataFrame, lists: DataF
     tuples = columns.select("ds_id", F.lit("composite").alias("key"), "dim", _object(("dataType", F.lit('"tuple"')), ("coordinates", F.to_json("composite")), ("values", _list(rows))).alias("text"))
     taken = alone.unionByName(tuples)
     dims = kept(variables).select("ds_id", F.explode("dims").alias("dim")).distinct()
-    rest = dims.join(taken.select("ds_id", "dim"), ["ds_id", "dim"], "left_anti").join(sizes, ["ds_id", "dim"])
+    rest = dims.join(shuffled(taken.select("ds_id", "dim")), ["ds_id", "dim"], "left_anti").join(shuffled(sizes), ["ds_id", "dim"])
     own = lists.join(variables.filter("is_coord").select("ds_id", "name"), ["ds_id", "name"]).withColumnRenamed("name", "dim")
     counted = _object(("values", _list(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: i.cast("string")))))
-    left = rest.join(own, ["ds_id", "dim"], "left").select("ds_id", F.col("dim").alias("key"), "dim", F.when(F.col("tokens").isNull(), counted).otherwise(text).alias("text"))
+    left = rest.join(shuffled(own), ["ds_id", "dim"], "left").select("ds_id", F.col("dim").alias("key"), "dim", F.when(F.col("tokens").isNull(), counted).otherwise(text).alias("text"))
     return taken.unionByName(left)
 
 
@@ -142,7 +142,7 @@ def referencing(variables: DataFrame, found: DataFrame) -> DataFrame:
     crs = variables.filter("is_coord and name = 'crs'").select("ds_id", _attr("reference_system_id").alias("id"), _attr("reference_system_type").alias("kind"))
     calendar = variables.select("ds_id", "name", _attr("calendar").alias("calendar"))
     times = found.filter("role = 't'").join(calendar, ["ds_id", "name"]).select("ds_id", F.coalesce("calendar", F.lit("Gregorian")).alias("calendar"))
-    by = found.groupBy("ds_id").agg(F.collect_set("role").alias("r")).join(crs, "ds_id", "left").join(times, "ds_id", "left")
+    by = found.groupBy("ds_id").agg(F.collect_set("role").alias("r")).join(shuffled(crs), "ds_id", "left").join(shuffled(times), "ds_id", "left")
     kind = F.when(F.col("kind") == "ProjectedCRS", '"ProjectedCRS"').otherwise('"GeographicCRS"')
     system = lambda on, *members: _object(("coordinates", F.lit(on)), ("system", _object(*members)))
     has = lambda r: F.array_contains("r", r)
@@ -172,7 +172,7 @@ def documents(variables: DataFrame, cells: DataFrame, sizes: DataFrame, attribut
     of_axes = every.join(bad.select("ds_id").distinct(), "ds_id", "left_anti").groupBy("ds_id").agg(by_axis.alias("axes"))
     named = every.filter("dim is not null").groupBy("ds_id").agg(F.collect_list(F.struct("dim", "key")).alias("pairs"))
     length = sizes.groupBy("ds_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", F.col("size").cast("string")))).alias("lengths"))
-    data = kept(variables).join(lists, ["ds_id", "name"]).join(named, "ds_id", "left").join(length, "ds_id", "left")
+    data = kept(variables).join(lists, ["ds_id", "name"]).join(shuffled(named), "ds_id", "left").join(shuffled(length), "ds_id", "left")
     key_of = F.transform("dims", lambda d: F.coalesce(F.get(F.filter("pairs", lambda p: p["dim"] == d), F.lit(0))["key"], d))
     texts = F.exists("tokens", lambda t: F.startswith(t, F.lit('"')))
     integers = F.coalesce(F.startswith(_attr("dtype"), F.lit("int")), F.lit(False))
@@ -184,7 +184,9 @@ def documents(variables: DataFrame, cells: DataFrame, sizes: DataFrame, attribut
     data = data.select("ds_id", "ord", "name", array.alias("range"), parameter(F.col("name")).alias("parameter"))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("ord", "name", F.col(c).alias("text"))))), lambda x: F.struct(x["name"], x["text"]))
     ranges = data.groupBy("ds_id").agg(F.map_from_entries(in_order("range")).alias("ranges"), F.map_from_entries(in_order("parameter")).alias("parameters"))
-    whole = of_axes.join(ranges, "ds_id", "left").join(domain_type(found, joint), "ds_id", "left").join(referencing(variables, found), "ds_id", "left").join(attributes.select("ds_id", "attrs"), "ds_id", "left")
+    whole = of_axes
+    for more in (ranges, domain_type(found, joint), referencing(variables, found), attributes.select("ds_id", "attrs")):
+        whole = whole.join(shuffled(more), "ds_id", "left")
     kind = F.coalesce(_attr("domain_type"), "inferred")
     domain = _object(("type", F.lit('"Domain"')), ("domainType", json_string(kind)), ("axes", object_text(F.col("axes"))), ("referencing", F.coalesce("referencing", F.lit("[]"))))
     body = _object(

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from isomere.operators import cf_documents
 from isomere.operators.cf_variables import Variables
-from isomere.sources.stored import stored
+from isomere.sources.stored import shuffled, stored
 
 NODE = ("tree", "path")
 
@@ -56,9 +56,9 @@ def depth(path: Column) -> Column:
 def members(tree: Tree, nested: bool = False) -> DataFrame:
     """(tree, path, ord) of the nodes that become coverages."""
     nodes = tree.nodes.filter("tree is not null and path is not null").groupBy(*NODE).agg(F.min("ord").alias("ord"))
-    filled = nodes.join(tree.variables.filter("not is_coord").select(*NODE).distinct(), list(NODE), "left_semi")
+    filled = nodes.join(shuffled(tree.variables.filter("not is_coord").select(*NODE).distinct()), list(NODE), "left_semi")
     below = filled.filter("path <> ''" if nested else depth(F.col("path")) == 1)
-    root = filled.filter("path = ''").join(below.select("tree").distinct(), "tree", "left_anti")
+    root = filled.filter("path = ''").join(shuffled(below.select("tree").distinct()), "tree", "left_anti")
     return below.unionByName(root)
 
 
@@ -109,6 +109,6 @@ def to_collections(tree: Tree, nested: bool = False, compact: bool = True, overr
     good = taken.join(bodies.withColumnRenamed("doc_id", "ds_id"), "ds_id").join(bad.select("ds_id").distinct(), "ds_id", "left_anti")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path", "body"))), lambda m: m["body"]), ",")
     trees = tree.nodes.select("tree").filter("tree is not null").distinct()
-    listed = trees.join(good.groupBy("tree").agg(text.alias("text")), "tree", "left")
+    listed = trees.join(shuffled(good.groupBy("tree").agg(text.alias("text"))), "tree", "left")
     body = F.concat(F.lit('{"type":"CoverageCollection","coverages":['), F.coalesce("text", F.lit("")), F.lit("]}"))
     return listed.select(F.col("tree").alias("doc_id"), body.alias("body")), taken.join(bad, "ds_id").select(*NODE, "error")

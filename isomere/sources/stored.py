@@ -19,6 +19,11 @@ def shared(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, whose joins are told to shuffle; the hint of a stored table ends at the first join or union above it."""
+    return df.hint("merge")
+
+
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     """df, written as Parquet to a folder of its own in the shared folder, and read again.
 
@@ -28,4 +33,4 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     """
     where = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where).hint("merge")
+    return shuffled(df.sparkSession.read.schema(df.schema).parquet(where))

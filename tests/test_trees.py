@@ -51,3 +51,27 @@ def test_other_length_than_above(tree):
     rows, bad = trees.to_collections(t, compact=False)
     assert [m[0] for m in members(rows)] == ["/b"]
     assert [tuple(r) for r in bad.collect()] == [("a", "/a", "dimension z has another length above")]
+
+
+def test_no_table_of_datasets_is_broadcast(spark, tree, monkeypatch):
+    """Whatever sizes the planner guesses, joins of tables that grow with the trees shuffle."""
+    from isomere.operators import cf_documents
+    from isomere.sources.stored import stored
+
+    plans = []
+
+    def noted(df, *name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, *name)
+
+    monkeypatch.setattr(trees, "stored", noted)
+    monkeypatch.setattr(cf_documents, "stored", noted)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100g")
+    try:
+        t = tree([("", 0), ("/m", 1)], [("", "z", ["z"], True, [1, 2, 4]), ("/m", "v", ["z"], False, [1, 2, 3])])
+        rows, _ = trees.to_collections(t)
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(plans) > 5 and not [p for p in plans if "BroadcastExchange" in p]
