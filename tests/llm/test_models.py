@@ -256,6 +256,41 @@ def test_quality_languages_in_turn(spark, monkeypatch):
     assert len(found[0]) == 120 and all(found[1][i].kept == r.kept and math.isclose(found[1][i].perplexity, r.perplexity, rel_tol=1e-6) for i, r in found[0].items())
 
 
+def test_quality_every_sign_counts(spark):
+    """Signs beyond the frequent ones are told apart, and a word's probability is that of a plain model of its symbols."""
+    import pyarrow as pa
+
+    digits, number = quality.spelling()
+    codes = np.zeros(len(digits), np.int64)
+    for k in range(digits.shape[1]):
+        codes = codes * 32 + digits[:, k]
+    assert len(np.unique(codes)) == 0x110000 and ((digits > 0).sum(axis=1) == number).all() and digits.max() < 32
+    assert all(len(set(number[digits[:, 0] == d].tolist())) == 1 for d in range(1, 32))  # no spelling begins another
+    plain = " ".join("abcdefghi jklmnopqr stuvwxyz! abc bcd cde".split() * 3)
+    texts = [(i, plain + x, "en") for i, x in enumerate([" QaQ XbX", " QaQ XbX", " QaQ XbX", " YaY XbX", " \u0416a\u0416 \u4e2db\u4e2d", " \U00020021a\U000e0021"])]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.perplexity for r in quality.quality(frame).collect()}
+    assert got[0] == got[1] < got[3]  # they differ in a rare sign only
+    raw, signs = quality.counted(frame.select("lang", "text"))
+    model = quality.train(raw, quality.Alphabets(signs))
+
+    def spelled(w):
+        out = []
+        for c in map(ord, w):
+            own = signs["en"].index(c) + quality.FIRST if c in signs["en"] else None
+            kind = quality.DIGIT if chr(c) in "0123456789" else quality.LETTER if c >= 128 or chr(c).isalpha() else quality.OTHER
+            out += [own] if own else [kind, *digits[c, : number[c]].tolist()]
+        return tuple(out)
+
+    words = [spelled(w) for _, x, _ in texts for w in x.split()]
+    p = kneser_ney(words, list)
+    for w in ("QaQ", "\u0416a\u0416", "\u4e2db\u4e2d", "\U00020021a\U000e0021", "abc"):
+        line = [quality.BEFORE] * 3 + list(spelled(w)) + [quality.LAST]
+        want = sum(math.log(p(tuple(line[i : i + 4]))) for i in range(len(line) - 3))
+        (log,), (n,) = model.words(np.zeros(1, np.int64), pa.array([w]))
+        assert n == len(w) + 1 and math.isclose(log, want, rel_tol=1e-4)
+
+
 def test_quality_empty(none):
     assert quality.quality(none).count() == 0
     assert F is not None
