@@ -103,3 +103,43 @@ def test_token_file_damage(docs):
 
 def test_token_file_empty(none):
     assert token_file.query(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_token_file_units(monkeypatch):
+    """Odd texts have the library's ids, and a piece that comes again is not encoded again."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, asked, encoded = public_tokenizers.path("byte_bpe_50k.json"), [], token_file._encoded
+    monkeypatch.setattr(token_file, "_encoded", lambda tokenizer, units, parted: [asked.append(x) for x in units] and encoded(tokenizer, units, parted))
+    signs = [" ", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", " ", "a", "b's", "'LL", "12", "!", "é", "中", "😀", "<|endoftext|>", "<|end", "oftext|>", "_", "\r\n", "\x00"]
+    dice = random.Random(3)
+    texts = ["".join(dice.choices(signs, k=dice.randrange(25))) for _ in range(3000)] + [None, "", " ", "common words " * 5000]
+    tokenizer = Tokenizer.from_file(path)
+    want = [np.array([*tokenizer.encode(x or "", add_special_tokens=False).ids, 0], "<u2").tobytes() for x in texts]
+    for some in (slice(0, 1500), slice(1500, None)):
+        b = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts[some]))), "text": pa.array(texts[some], pa.string())})
+        got = [x for part in token_file._tokenise(path)([b]) for x in part.column("ids").to_pylist()]
+        assert got == want[some]
+    asked.clear()
+    again = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["common words " * 300_000, "words common"]})
+    assert sum(b.num_rows for b in token_file._tokenise(path)([again])) == 2
+    assert len(asked) <= 6
+
+
+def test_blocks_of_a_run():
+    """A run's table goes with it, and a damaged block spoils no other."""
+    dice = np.random.default_rng(5)
+    blocks = [dice.zipf(1.3, n) % 50_000 for n in (4096, 4096, 700, 1)]
+    table = token_file.Table.of(np.concatenate(blocks))
+    assert int(table.size.sum()) == 1 << token_file.TOTAL and (table.size[np.concatenate(blocks)] > 0).all()
+    codes, lengths = token_file.encode_blocks(blocks, table), np.array([4096, 4096, 700, 1])
+    assert sum(map(len, codes)) < sum(map(len, token_file.encode_blocks(blocks)))
+    again = token_file.Table.read(table.written())
+    assert [b.tolist() for b in token_file.decode_blocks(codes, lengths, again)] == [b.tolist() for b in blocks]
+    codes[1] = codes[1][:50] + bytes(len(codes[1]) - 50)
+    back = token_file.decode_blocks(codes, lengths, again)
+    assert back[1].tolist() != blocks[1].tolist() and [back[k].tolist() for k in (0, 2, 3)] == [blocks[k].tolist() for k in (0, 2, 3)]
+    assert [s.stop - s.start for s in token_file._shares(2 * token_file.LANES + 1)] == [token_file.LANES, token_file.LANES + 1]
