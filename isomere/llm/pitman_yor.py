@@ -33,33 +33,47 @@ from .minhash import U, mix
 ROUNDS = 2
 SWEEPS, BURN_IN = 6, 2
 MASK = (1 << 64) - 1
+#: Draws that are made at once, if dishes are so few.
+DRAWN = 4096
 #: Of the restaurants without context, with one and with two words.
 STRENGTH = np.array([10.0, 5.0, 5.0])
 
 
-def uniform(keys: np.ndarray, number: int) -> np.ndarray:
-    """The draw of that number of each key, between 0 and 1."""
-    with np.errstate(over="ignore"):
-        return ((mix(keys + U(number & MASK) * U(0xD1342543DE82EF95)) >> U(11)).astype(np.float64) + 0.5) / 2.0**53
+def uniform(keys: np.ndarray, number: int, count: int) -> np.ndarray:
+    """The draws of count numbers from `number` on of each key, between 0 and 1; a row a number."""
+    steps = np.array([(number + k) * 0xD1342543DE82EF95 & MASK for k in range(count)], U)
+    return ((mix(keys + steps[:, None]) >> U(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
 def seat(keys: np.ndarray, number: int, customers: np.ndarray, new: np.ndarray, discount: float) -> np.ndarray:
     """Tables of each dish after its customers sit down in turn; new: (strength + discount * tables) * parent's probability.
 
-    The draws of a dish are those of its key from `number` on.
+    The draws of a dish are those of its key from `number` on, DRAWN for the dishes that are left at once, as a few
+    dishes with many tables go on long after all others.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
-    seated, live = tables.copy(), np.nonzero(customers > 1)[0]
+    live = np.nonzero(customers > 1)[0]
+    n, w, own, i = customers[live], new[live], tables[live], tables[live]
     while len(live):
-        t, w, i = discount * tables[live], new[live], seated[live]
-        chance = w / (i - t + w)
-        skip = np.floor(np.log(uniform(keys[live], number)) / np.log1p(-chance))
-        i = i + np.minimum(skip, customers[live]).astype(np.int64)  # the next who would open a table at this chance
-        opens = (i < customers[live]) & (uniform(keys[live], number + 1) * chance < w / (i - t + w))
-        tables[live] += opens
-        seated[live] = i + 1
-        live = live[seated[live] < customers[live]]
-        number += 2
+        pairs = max(1, min(64, DRAWN // (2 * len(live))))
+        draws, column = uniform(keys[live], number, 2 * pairs), slice(None)
+        number += 2 * pairs
+        skips = np.log(draws[::2])
+        for k in range(pairs):
+            t = discount * own
+            chance = w / (i - t + w)
+            skip = np.floor(skips[k, column] / np.log1p(-chance))
+            i = i + np.minimum(skip, n).astype(np.int64)  # the next who would open a table at this chance
+            own = own + ((i < n) & (draws[2 * k + 1, column] * chance < w / (i - t + w)))
+            i = i + 1
+            stay = i < n
+            if not stay.all():
+                tables[live[~stay]] = own[~stay]
+                at = np.nonzero(stay)[0]
+                column = at if isinstance(column, slice) else column[at]
+                live, n, w, own, i = live[at], n[at], w[at], own[at], i[at]
+                if not len(live):
+                    break
     return tables
 
 
@@ -116,7 +130,7 @@ class Part:
             self.pass_up(k)
         self.p: list[np.ndarray] = []
         self.told: tuple | None = None
-        name = mix(word_trip.names_of(words.to_pylist()).view(U)) if len(words) else np.zeros(0, U)
+        name = mix(word_trip.names_of(words).view(U)) if len(words) else np.zeros(0, U)
         place = (lambda x: mix(x.astype(U))) if named is None else named
         self.keys = [name, *(mix(name[x % size] ^ place(x // size)) for x in (self.one, self.two))]
 

@@ -38,7 +38,11 @@ def pack(*arrays: np.ndarray) -> bytes:
     """Whole numbers of 64 bits, compressed byte by byte, as the high bytes are mostly equal."""
     out = []
     for x in arrays:
-        planes = pa.compress(x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+        planes, each = np.zeros((8, len(x)), np.uint8), np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8)
+        used = 8 if len(x) and x.min() < 0 else (int(x.max(initial=0)).bit_length() + 7) // 8
+        for k in range(used):
+            planes[k] = each[:, k]
+        planes = pa.compress(planes, codec="zstd", asbytes=True) if len(x) else b""
         out += [struct.pack("<qq", len(x), len(planes)), planes]
     return b"".join(out)
 
@@ -50,14 +54,24 @@ def unpacked(data: bytes) -> list[np.ndarray]:
         n, size = struct.unpack_from("<qq", data, at)
         at += 16
         raw = pa.decompress(data[at : at + size], 8 * n, codec="zstd", asbytes=True) if n else b""
-        out.append(np.frombuffer(raw, np.uint8).reshape(8, n).T.copy().view("<i8").reshape(-1))
+        x = np.zeros(n, "<i8")
+        for k, plane in enumerate(np.frombuffer(raw, np.uint8).reshape(8, n)):
+            if plane.any():
+                x.view(np.uint8).reshape(-1, 8)[:, k] = plane
+        out.append(x)
         at += size
     return out
 
 
-def names_of(words: list[str]) -> np.ndarray:
+def spelled(words: pa.Array) -> list[bytes]:
+    """The bytes of each word."""
+    return words.cast(pa.large_string()).cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+
+
+def names_of(words: pa.Array) -> np.ndarray:
     """A hash of 64 bits of each word, never 0."""
-    h = np.frombuffer(b"".join([hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words]), "<i8")
+    hash_ = hashlib.blake2b
+    h = np.frombuffer(b"".join([hash_(w, digest_size=8).digest() for w in spelled(words)]), "<i8")
     return np.where(h == 0, 1, h)
 
 
@@ -97,7 +111,7 @@ class Chunk:
 
     def parts(self, parts: int) -> np.ndarray:
         """The part of each item, by the CRC of its word."""
-        return np.fromiter((zlib.crc32(w.encode()) % parts for w in self.names.to_pylist()), np.uint16, len(self.names))[self.word]
+        return (np.fromiter(map(zlib.crc32, spelled(self.names)), np.int64, len(self.names)) % parts).astype(np.uint16)[self.word]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], split: Split, ends: bool = False, contexts: bool = True) -> Iterator[Chunk]:
@@ -127,7 +141,7 @@ def _part(c: np.ndarray, parts: int) -> np.ndarray:
 
 def _counted(c: Chunk, order: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
     n = np.bincount(c.at[np.repeat(c.learn, c.lengths)], minlength=len(c.word))
-    hashes, strings = names_of(c.names.to_pylist()), c.names.cast(pa.string())
+    hashes, strings = names_of(c.names), c.names.cast(pa.string())
     for k in np.nonzero(np.diff(starts))[0].tolist():
         of = order[starts[k] : starts[k + 1]]
         words, word = np.unique(c.word[of], return_inverse=True)

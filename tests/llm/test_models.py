@@ -256,6 +256,32 @@ def test_quality_languages_in_turn(spark, monkeypatch):
     assert len(found[0]) == 120 and all(found[1][i].kept == r.kept and math.isclose(found[1][i].perplexity, r.perplexity, rel_tol=1e-6) for i, r in found[0].items())
 
 
+def test_seating_draws_ahead(monkeypatch):
+    """A dish with many tables needs few passes of draws, and the tables are those of one pair of draws after the other."""
+    keys, customers, new, discount = np.arange(40, dtype=np.uint64) * np.uint64(977), np.array([0, 1, 2, 9, 300_000] * 8), np.linspace(0.1, 400, 40), 0.6
+    want = np.minimum(customers, 1)
+    for k in range(40):
+        key, i, number = keys[k : k + 1], int(want[k]), 5 << 40
+        while i < customers[k]:
+            (u,), (v,) = pitman_yor.uniform(key, number, 2)
+            t = discount * want[k]
+            chance = new[k] / (i - t + new[k])
+            i += int(min(np.floor(np.log(u) / np.log1p(-chance)), customers[k]))
+            want[k] += i < customers[k] and v * chance < new[k] / (i - t + new[k])
+            i, number = i + 1, number + 2
+    passes, uniform = [], pitman_yor.uniform
+    monkeypatch.setattr(pitman_yor, "uniform", lambda *x: passes.append(x) or uniform(*x))
+    assert pitman_yor.seat(keys, 5 << 40, customers, new, discount).tolist() == want.tolist()
+    assert len(passes) < want.max() / 10
+
+
+def test_packed_numbers():
+    from isomere.llm import word_trip
+
+    rows = [np.array(x, np.int64) for x in ([], [0], [1, 255, 256, 2**40], [-1, 5, 2**63 - 1, -(2**63)], [0, 0])]
+    assert [x.tolist() for x in word_trip.unpacked(word_trip.pack(*rows))] == [x.tolist() for x in rows]
+
+
 def test_quality_every_sign_counts(spark):
     """Signs beyond the frequent ones are told apart, and a word's probability is that of a plain model of its symbols."""
     import pyarrow as pa
