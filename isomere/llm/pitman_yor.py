@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import word_trip
-from .common import ascii_lower, checkpoint, split_words
+from .common import ascii_lower, release, shuffles_removed, split_words, stored
 from .minhash import U, mix
 
 ROUNDS = 2
@@ -357,13 +357,18 @@ def pitman_yor(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
     count = word_trip.parts_for(docs)
     groups = max(1, count // 2)
     sent = word_trip.sent(own, _split, count, True, seats)
-    parts = checkpoint(vocabulary(sent))
+    with shuffles_removed(docs.sparkSession):
+        parts = stored(vocabulary(sent))
     *few, n, v = parts.agg(*[F.coalesce(F.sum(F.get("stats", F.lit(k))), F.lit(0)) for k in range(8)]).head()
     once, twice = np.array(few[:3], float), np.array(few[3:], float)
     discounts = np.clip(np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5), 0.05, 0.95)
     told = parts.select("part", "words", "data")
     for k in range(ROUNDS if seats else 0):
-        told = _round(told, parts.select("part", "words", "data"), groups, k, v, discounts)
+        before = told
+        with shuffles_removed(docs.sparkSession):
+            told = stored(_round(before, parts.select("part", "words", "data"), groups, k, v, discounts))
+        if k:
+            release(before)
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         known, rows = known.combine_chunks(), []

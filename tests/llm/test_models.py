@@ -275,6 +275,19 @@ def test_seating_draws_ahead(monkeypatch):
     assert len(passes) < want.max() / 10
 
 
+def test_pitman_yor_leaves_no_rounds(docs, spark):
+    """Of the tables between rounds only the parts and the last round's stay, and the session's setting is as before."""
+    import os
+
+    from isomere.llm import common
+
+    folder, name = common._shared(spark).removeprefix("file:"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held, setting = set(os.listdir(folder)), spark.conf.get(name)
+    scored = pitman_yor.query(docs)
+    assert len(set(os.listdir(folder)) - held) == 2 and spark.conf.get(name) == setting
+    assert scored.count() == docs.count()
+
+
 def test_packed_numbers():
     from isomere.llm import word_trip
 
